@@ -1,0 +1,7 @@
+"""Streaming.
+
+The factorisation has no streaming form: a fit is an iterative batch job
+over whole tensors. A fitted model is plain factor tables, so scoring a
+stream of new cells is the ordinary stream-static join of
+:func:`twinfold.operators.predict.predict` applied to a streaming DataFrame.
+"""
