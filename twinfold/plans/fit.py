@@ -91,6 +91,7 @@ class Model:
     checkpoints: dict[int, dict[FactorKey, str]] = field(default_factory=dict)
     best_validation: dict[int, tuple[int, float, dict[FactorKey, str]]] = field(default_factory=dict)
     root: str = ""
+    timings: list[tuple[str, float]] = field(default_factory=list)
 
     def factor(self, t: int, m: int) -> DataFrame:
         return self.spark.read.parquet(self.paths[(t, m)]).select("idx", "v")
@@ -183,6 +184,13 @@ def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coup
     rank, common, opts = cfg.rank, cfg.common, cfg.options
     root = root or run_dir(spark, "fit")
     n_modes = tensors[0].n_modes
+    timings: list[tuple[str, float]] = []
+    mark = [time.time()]
+
+    def lap(phase: str) -> None:
+        now = time.time()
+        timings.append((phase, now - mark[0]))
+        mark[0] = now
 
     # Entries: checked, counted and cached once (recomputable from source).
     cached: list[Tensor] = []
@@ -213,7 +221,9 @@ def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coup
             init[(t, m)] = init_factor(spark, ten.dims[m], rank, cfg.init, t, m, cfg.seed)
     if cfg.share_init:
         init[(coupling.t2, coupling.m2)] = init[(coupling.t1, coupling.m1)]
+    lap("prepare")
     store.put_many(init, "it00000")
+    lap("init")
     _log(verbose, f"init done: entries {counts}")
 
     coupled = {(coupling.t1, coupling.m1): (coupling.t2, coupling.m2),
@@ -267,6 +277,7 @@ def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coup
         return means, stop, rel
 
     means, stop, rel = step_metrics(0)
+    lap("loss_0")
     while not stop:
         it += 1
         tag = f"it{it:05d}"
@@ -295,9 +306,11 @@ def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coup
                     new = update_uncoupled(spark, ten, fac_t, m, rank, opts, counts[t],
                                            means[(t, m)], means[(other, m)])
                     store.put((t, m), new, tag)
+        lap(f"sweep_{it}")
         means, stop, rel = step_metrics(it)
+        lap(f"loss_{it}")
 
     final = it if (it == 0 or rel > 0) else it - 1
     for t in cached + (vcached or []):
         t.entries.unpersist()
-    return Model(spark, rank, common, snapshots[final], history, final, checkpoints, best, root)
+    return Model(spark, rank, common, snapshots[final], history, final, checkpoints, best, root, timings)
