@@ -25,13 +25,18 @@ from twinfold.operators.factors import join_factors
 from twinfold.spec import Tensor
 
 
+def _prod_sql(vectors: Sequence[str], r: int) -> str:
+    return " * ".join(f"{v}[{r}]" for v in vectors) if vectors else "CAST(1 AS DOUBLE)"
+
+
 def observations(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], mode: int,
                  block: Sequence[int], rank: int, with_own: bool | None = None) -> DataFrame:
     """Design and target per entry (P3, P5): ``key, a_0..a_{k-1}, t``.
 
     ``block`` lists the columns being solved; the remaining columns of the
     rank form the residual subtracted from ``y``. The factor of ``mode``
-    itself is joined only when the residual needs it.
+    itself is joined only when the residual needs it. Expressions are
+    passed as SQL text: one call builds the whole projection.
     """
     n = tensor.n_modes
     others = [k for k in range(n) if k != mode]
@@ -40,9 +45,10 @@ def observations(spark: SparkSession, tensor: Tensor, factors: Mapping[int, Data
     modes = others + ([mode] if own else [])
     j = join_factors(spark, tensor.entries, factors, tensor.dims, modes, rank)
     other_vecs = [f"f{k}" for k in others]
-    a = [row_product(other_vecs, r).alias(f"a_{i}") for i, r in enumerate(block)]
-    target = F.col("y") - cp_sum([f"f{k}" for k in modes], rest) if rest else F.col("y")
-    return j.select(F.col(f"i{mode}").alias("key"), *a, target.alias("t"))
+    a = [f"{_prod_sql(other_vecs, r)} AS a_{i}" for i, r in enumerate(block)]
+    all_vecs = [f"f{k}" for k in modes]
+    target = "y - (" + " + ".join(_prod_sql(all_vecs, r) for r in rest) + ")" if rest else "y"
+    return j.selectExpr(f"i{mode} AS key", *a, f"{target} AS t")
 
 
 def normal_equations(obs: DataFrame, k: int, weight: float = 1.0) -> DataFrame:
@@ -77,22 +83,26 @@ def merge_normal(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
 
 
 def add_mean_pull(df: DataFrame, k: int, length: int, own_means: Sequence[float],
-                  other_means: Sequence[float], weight: float = 1.0, x_col: str = "v") -> DataFrame:
+                  other_means: Sequence[float], weight: float = 1.0, x_col: str = "v",
+                  x_cols: Sequence[str] | None = None) -> DataFrame:
     """Add the leave-one-out mean pseudo-observations (P7) to keyed equations.
 
     For every column c the reference adds one observation with design
     ``e_c / len`` and target ``z_c = other_mean[c] - (own_mean[c] - x_c / len)``,
     where ``x_c`` is the key's current value. That adds ``w / len^2`` to the
     diagonal cell (c, c) and ``w z_c / len`` to ``atb_c``. ``df`` must carry
-    the current row in ``x_col``; null equations stay null.
+    the current row, as the array ``x_col`` or as the columns ``x_cols``;
+    null equations stay null.
     """
     L = float(length)
     w = float(weight)
     cols: dict[str, Column] = {}
     for c in range(k):
-        z = F.lit(float(other_means[c])) - (F.lit(float(own_means[c])) - F.col(x_col)[c] / F.lit(L))
-        cols[f"ata_{c}_{c}"] = F.col(f"ata_{c}_{c}") + F.lit(w / (L * L))
-        cols[f"atb_{c}"] = F.col(f"atb_{c}") + F.lit(w) * z / F.lit(L)
+        x = x_cols[c] if x_cols is not None else f"{x_col}[{c}]"
+        lf = f"CAST({L!r} AS DOUBLE)"
+        z = f"(CAST({float(other_means[c])!r} AS DOUBLE) - (CAST({float(own_means[c])!r} AS DOUBLE) - {x} / {lf}))"
+        cols[f"ata_{c}_{c}"] = F.expr(f"ata_{c}_{c} + CAST({w / (L * L)!r} AS DOUBLE)")
+        cols[f"atb_{c}"] = F.expr(f"atb_{c} + CAST({w!r} AS DOUBLE) * {z} / {lf}")
     return df.withColumns(cols)
 
 

@@ -65,7 +65,8 @@ def solve_column(k: int, lam: float, key: str = "key") -> Column:
         x = solve_batch(ne, k, lam_f)
         return pd.DataFrame({f"x_{p}": x[:, p] for p in range(k)})
 
-    return _solve(F.struct(F.col(key).alias("key"), *[F.col(c) for c in names]))
+    pairs = [f"'key', {key}"] + [f"'{n}', {n}" for n in names]
+    return _solve(F.expr(f"named_struct({', '.join(pairs)})"))
 
 
 def ridge_solve(ne: DataFrame, k: int, lam: float, key: str = "key") -> DataFrame:

@@ -107,3 +107,23 @@ def check(tensor: Tensor, allow_duplicates: bool = True) -> int:
         if dup:
             raise ValueError(f"tensor {tensor.name} has duplicate coordinates")
     return int(row.n)
+
+
+def partitions_for(spark, n_entries: int, rows_per_partition: int) -> int:
+    """Partition count for cached entries: enough for the cores, and bounded rows per task."""
+    by_size = -(-int(n_entries) // max(int(rows_per_partition), 1))
+    return max(spark.sparkContext.defaultParallelism, by_size, 1)
+
+
+def cluster_by_mode(entries: DataFrame, mode: int, n_modes: int, partitions: int) -> DataFrame:
+    """Entries range-partitioned on ``(i{mode}, other indices)``.
+
+    Each partition holds a contiguous run of keys of ``mode``, so the
+    partial aggregate of that mode's normal equations emits about one row
+    per key instead of one per entry, and the shuffle after it carries
+    little. The other indices break ties in the range bounds, so a key that
+    holds a third of all entries is spread over many partitions instead of
+    landing in one.
+    """
+    order = [f"i{mode}"] + [f"i{k}" for k in range(n_modes) if k != mode]
+    return entries.repartitionByRange(int(partitions), *order)

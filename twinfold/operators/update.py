@@ -1,20 +1,29 @@
 """Factor updates (M4-M6): one closed-form ridge solve per observed key.
 
-Each function returns the new factor (or the solved block) as a lazy
-DataFrame; the fit loop decides where to materialise it. Keys without
-entries keep their rows (J4/J5).
+Plan of one update: the entries (cached) join the other modes' factors
+(broadcast when their declared size allows), give one observation each
+(design, target), and are unioned with the current factor rows; a single
+``groupBy(key)`` then sums the normal equations (partial sums map-side, so a
+hot key is combined on every map task) and carries the key's current row
+along as ``max`` of its columns (one non-null value per key). That one
+shuffle replaces the join of the equations with the old factor. An
+Arrow-batched solve follows, and keys without entries keep their rows
+(J4/J5), since every factor row passes through the aggregate.
+
+Each function returns a lazy DataFrame ``(idx, v)`` (M6: ``(tensor, mode,
+idx, v)`` for both coupled factors); the fit loop decides where it lands.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.operators.factors import block_row
-from twinfold.operators.normal import add_mean_pull, merge_normal, normal_equations, observations
-from twinfold.operators.solve import ridge_solve, solve_column
+from twinfold.functions.columns import cell_names, rhs_names
+from twinfold.operators.normal import add_mean_pull, observations
+from twinfold.operators.solve import solve_column
 from twinfold.spec import Options, Tensor
 
 
@@ -23,9 +32,51 @@ def entry_weight(options: Options, n_entries: int) -> float:
     return 1.0 / n_entries if options.loss == "wls" and n_entries else 1.0
 
 
-def _keyed(spark: SparkSession, old: DataFrame, ne: DataFrame) -> DataFrame:
-    """Current factor rows left-joined to their keyed equations (null = no entries)."""
-    return old.join(ne, old["idx"] == ne["key"], "left")
+def _equations_with_rows(obs: Sequence[tuple[DataFrame, float]], rows: Sequence[tuple[str, DataFrame]],
+                         k: int, rank: int) -> DataFrame:
+    """Union observations and factor rows, then one keyed aggregate.
+
+    ``obs``: (observations ``key, a_0.., t``, weight) per side.
+    ``rows``: (label, factor ``idx, v``); the row lands in ``{label}_0..``.
+    Output: ``key, n_{side}.., ata_p_q, atb_p, {label}_c..``; equations are
+    null for keys without observations. Expressions go in as SQL text, so
+    building the plan costs a handful of calls whatever the rank.
+    """
+    null = "CAST(NULL AS DOUBLE)"
+    labels = [lab for lab, _ in rows]
+    row_cols = [f"{lab}_{c}" for lab in labels for c in range(rank)]
+    parts = []
+    for s, (o, _) in enumerate(obs):
+        parts.append(o.selectExpr("key", f"{s} AS _s", *[f"a_{i}" for i in range(k)], "t",
+                                  *[f"{null} AS {c}" for c in row_cols]))
+    for j, (lab, fac) in enumerate(rows):
+        cells = [f"v[{c}] AS {lb}_{c}" if lb == lab else f"{null} AS {lb}_{c}"
+                 for lb in labels for c in range(rank)]
+        parts.append(fac.selectExpr("idx AS key", f"{-1 - j} AS _s", *[f"{null} AS a_{i}" for i in range(k)],
+                                    f"{null} AS t", *cells))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    weights = [float(w) for _, w in obs]
+    if all(w == 1.0 for w in weights):
+        wsql = ""
+    else:
+        wsql = "CASE " + " ".join(f"WHEN _s = {s} THEN CAST({w!r} AS DOUBLE)" for s, w in enumerate(weights)) + " END * "
+    aggs = [f"count(CASE WHEN _s = {s} THEN 1 END) AS n_{s}" for s in range(len(obs))]
+    aggs += [f"sum({wsql}a_{p} * a_{q}) AS {name}" for p, q, name in cell_names(k)]
+    aggs += [f"sum({wsql}t * a_{p}) AS {name}" for p, name in enumerate(rhs_names(k))]
+    aggs += [f"max({c}) AS {c}" for c in row_cols]
+    return u.groupBy("key").agg(*[F.expr(a) for a in aggs])
+
+
+def _row(label: str, rank: int) -> str:
+    return "array(" + ", ".join(f"{label}_{c}" for c in range(rank)) + ")"
+
+
+def _solved_row(label: str, k: int, start: int, rank: int) -> str:
+    cells = ([f"{label}_{c}" for c in range(start)] + [f"_x.x_{c}" for c in range(k)]
+             + [f"{label}_{c}" for c in range(start + k, rank)])
+    return "array(" + ", ".join(cells) + ")"
 
 
 def update_uncoupled(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], mode: int,
@@ -36,14 +87,14 @@ def update_uncoupled(spark: SparkSession, tensor: Tensor, factors: Mapping[int,
     Without means (a single tensor) the mean pull is left out.
     """
     obs = observations(spark, tensor, factors, mode, list(range(rank)), rank)
-    ne = normal_equations(obs, rank, entry_weight(options, n_entries))
-    j = _keyed(spark, factors[mode], ne)
+    eq = _equations_with_rows([(obs, entry_weight(options, n_entries))], [("old", factors[mode])], rank, rank)
     if own_means is not None and other_means is not None:
         w2 = 1.0 / rank if options.loss == "wls" else 1.0
-        j = add_mean_pull(j, rank, tensor.dims[mode], own_means, other_means, w2)
-    x = solve_column(rank, options.lam)
-    new_v = F.array(*[x[f"x_{c}"] for c in range(rank)])
-    return j.select("idx", F.when(F.col("n").isNotNull(), new_v).otherwise(F.col("v")).alias("v"))
+        eq = add_mean_pull(eq, rank, tensor.dims[mode], own_means, other_means, w2,
+                           x_cols=[f"old_{c}" for c in range(rank)])
+    eq = eq.withColumn("_x", solve_column(rank, options.lam))
+    return eq.selectExpr("key AS idx",
+                         f"CASE WHEN n_0 > 0 THEN {_solved_row('old', rank, 0, rank)} ELSE {_row('old', rank)} END AS v")
 
 
 def update_specific(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], mode: int,
@@ -54,25 +105,38 @@ def update_specific(spark: SparkSession, tensor: Tensor, factors: Mapping[int, D
     block = list(range(common, rank))
     k = len(block)
     obs = observations(spark, tensor, factors, mode, block, rank)
-    ne = normal_equations(obs, k, entry_weight(options, n_entries))
-    j = _keyed(spark, factors[mode], ne)
-    x = solve_column(k, options.lam)
-    new_v = block_row("v", [x[f"x_{c}"] for c in range(k)], common, rank, rank)
-    return j.select("idx", F.when(F.col("n").isNotNull(), new_v).otherwise(F.col("v")).alias("v"))
+    eq = _equations_with_rows([(obs, entry_weight(options, n_entries))], [("old", factors[mode])], k, rank)
+    eq = eq.withColumn("_x", solve_column(k, options.lam))
+    return eq.selectExpr("key AS idx",
+                         f"CASE WHEN n_0 > 0 THEN {_solved_row('old', k, common, rank)} ELSE {_row('old', rank)} END AS v")
 
 
-def solve_common(spark: SparkSession, a: Tensor, fa: Mapping[int, DataFrame], mode_a: int, na: int,
-                 b: Tensor, fb: Mapping[int, DataFrame], mode_b: int, nb: int, rank: int, common: int,
-                 options: Options) -> DataFrame:
-    """Solve the shared block ``[0, common)`` from both tensors (M6): ``idx, x``.
+def update_common(spark: SparkSession, a: Tensor, fa: Mapping[int, DataFrame], mode_a: int, na: int,
+                  b: Tensor, fb: Mapping[int, DataFrame], mode_b: int, nb: int, rank: int, common: int,
+                  options: Options, labels: tuple[tuple[int, int], tuple[int, int]] = ((0, 1), (1, 1))) -> DataFrame:
+    """Update the shared block ``[0, common)`` of both coupled factors at once (M6).
 
-    Only keys seen in both tensors are solved (J3); their block is written to
-    both coupled factors by :func:`twinfold.operators.factors.upsert_block`.
+    Equations of both tensors are summed per key (A4); only keys seen in
+    both tensors are solved (J3) and the solution is written to both
+    factors. Returns ``(tensor, mode, idx, v)`` rows for both factors, so
+    one write lands both.
     """
     if not 0 < common <= rank:
         raise ValueError("the common block is empty")
     block = list(range(common))
-    ne_a = normal_equations(observations(spark, a, fa, mode_a, block, rank), common, entry_weight(options, na))
-    ne_b = normal_equations(observations(spark, b, fb, mode_b, block, rank), common, entry_weight(options, nb))
-    merged = merge_normal(ne_a, ne_b, common)
-    return ridge_solve(merged, common, options.lam).withColumnRenamed("key", "idx")
+    oa = observations(spark, a, fa, mode_a, block, rank)
+    ob = observations(spark, b, fb, mode_b, block, rank)
+    eq = _equations_with_rows(
+        [(oa, entry_weight(options, na)), (ob, entry_weight(options, nb))],
+        [("va", fa[mode_a]), ("vb", fb[mode_b])], common, rank)
+    both = "n_0 > 0 AND n_1 > 0"
+    names = [n for _, _, n in cell_names(common)] + rhs_names(common)
+    eq = eq.withColumns({n: F.expr(f"CASE WHEN {both} THEN {n} END") for n in names})
+    eq = eq.withColumn("_x", solve_column(common, options.lam))
+    (ta, ma), (tb, mb) = labels
+    row_a = f"CASE WHEN {both} THEN {_solved_row('va', common, 0, rank)} ELSE {_row('va', rank)} END"
+    row_b = f"CASE WHEN {both} THEN {_solved_row('vb', common, 0, rank)} ELSE {_row('vb', rank)} END"
+    out = eq.selectExpr("key AS idx", f"explode(array(named_struct('tensor', {ta}, 'mode', {ma}, 'v', {row_a}), "
+                                      f"named_struct('tensor', {tb}, 'mode', {mb}, 'v', {row_b}))) AS _r")
+    return out.selectExpr("_r.tensor AS tensor", "_r.mode AS mode", "idx", "_r.v AS v")
+

@@ -273,11 +273,8 @@ def q_update_common(spark, sf):
     rank, common = 3, 2
     a, b = x1(spark, sf), x2(spark, sf)
     fa, fb = lcg_factors(spark, a, 0, rank), lcg_factors(spark, b, 1, rank)
-    solved = update.solve_common(spark, a, fa, 1, 0, b, fb, 1, 0, rank, common, Options(LAM, "ls"))
-    new_a = fo.upsert_block(fa[1], solved, 0, common, rank)
-    new_b = fo.upsert_block(fb[1], solved, 0, common, rank)
-    return _flat(new_a, rank).withColumn("tensor", F.lit(0)).unionByName(
-        _flat(new_b, rank).withColumn("tensor", F.lit(1)))
+    both = update.update_common(spark, a, fa, 1, 0, b, fb, 1, 0, rank, common, Options(LAM, "ls"))
+    return both.select("idx", *[_r(F.col("v")[c], ROUND_SOLVE).alias(f"v{c}") for c in range(rank)], "tensor")
 
 
 def q_gradient_x1(spark, sf):

@@ -22,14 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinfold.functions.columns import entry_columns
-from twinfold.operators.factors import copy_factor, init_factor, means_rows, upsert_block
+from twinfold.operators.factors import copy_factor, init_factor, means_rows
 from twinfold.operators.predict import loss_table, mean_loss, rmse, training_loss
-from twinfold.operators.tensor import check
-from twinfold.operators.update import solve_common, update_specific, update_uncoupled
+from twinfold.operators.tensor import check, cluster_by_mode, partitions_for
+from twinfold.operators.update import update_common, update_specific, update_uncoupled
 from twinfold.session import run_dir
 from twinfold.spec import Coupling, FitConfig, Tensor
 
 FactorKey = tuple[int, int]
+FACTOR_SCHEMA = "idx long, v array<double>"
 
 METRICS_SCHEMA = T.StructType([
     T.StructField("iter", T.IntegerType(), False),
@@ -64,12 +65,20 @@ class FactorStore:
         union = parts[0]
         for p in parts[1:]:
             union = union.unionByName(p)
-        union.write.mode("overwrite").partitionBy("tensor", "mode").parquet(path)
-        for (t, m) in frames:
+        self.put_table(union, list(frames), tag, path)
+
+    def put_table(self, table: DataFrame, keys: list[FactorKey], tag: str, path: str | None = None) -> None:
+        """Write a ``(tensor, mode, idx, v)`` table in one job and load each factor."""
+        if path is None:
+            self._version += 1
+            path = f"{self.root}/factors/{tag}/v{self._version:05d}"
+        table.write.mode("overwrite").partitionBy("tensor", "mode").parquet(path)
+        for (t, m) in keys:
             self.load((t, m), f"{path}/tensor={t}/mode={m}")
 
     def load(self, key: FactorKey, path: str) -> DataFrame:
-        df = self.spark.read.parquet(path).select("idx", "v")
+        # Declared schema: no job to read footers back.
+        df = self.spark.read.schema(FACTOR_SCHEMA).parquet(path)
         self.paths[key] = path
         self.frames[key] = df
         return df
@@ -94,7 +103,7 @@ class Model:
     timings: list[tuple[str, float]] = field(default_factory=list)
 
     def factor(self, t: int, m: int) -> DataFrame:
-        return self.spark.read.parquet(self.paths[(t, m)]).select("idx", "v")
+        return self.spark.read.schema(FACTOR_SCHEMA).parquet(self.paths[(t, m)])
 
     def factors_of(self, t: int) -> dict[int, DataFrame]:
         return {m: self.factor(tt, m) for (tt, m) in sorted(self.paths) if tt == t}
@@ -104,7 +113,7 @@ class Model:
         use = paths or self.paths
         out = None
         for (t, m), p in sorted(use.items()):
-            df = copy_factor(self.spark.read.parquet(p).select("idx", "v"), t, m)
+            df = copy_factor(self.spark.read.schema(FACTOR_SCHEMA).parquet(p), t, m)
             out = df if out is None else out.unionByName(df)
         return out
 
@@ -192,14 +201,25 @@ def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coup
         timings.append((phase, now - mark[0]))
         mark[0] = now
 
-    # Entries: checked, counted and cached once (recomputable from source).
-    cached: list[Tensor] = []
+    # Entries: checked and counted once, then cached as one copy per mode,
+    # range-partitioned on that mode's key (the reference keeps one slice
+    # per mode too). Cached data is recomputable from its source if an
+    # executor is lost.
+    copies: list[list[Tensor]] = []
     counts: list[int] = []
     for t in tensors:
-        e = t.entries.select(*entry_columns(t.n_modes)).persist(StorageLevel.MEMORY_AND_DISK)
-        ct = t.with_entries(e)
-        counts.append(check(ct))
-        cached.append(ct)
+        src = t.entries.select(*entry_columns(t.n_modes)).persist(StorageLevel.MEMORY_AND_DISK)
+        n = check(t.with_entries(src))
+        counts.append(n)
+        parts = partitions_for(spark, n, cfg.rows_per_partition)
+        per_mode = []
+        for m in range(t.n_modes):
+            e = cluster_by_mode(src, m, t.n_modes, parts).persist(StorageLevel.MEMORY_AND_DISK)
+            e.count()
+            per_mode.append(t.with_entries(e))
+        src.unpersist()
+        copies.append(per_mode)
+    cached = [c[0] for c in copies]
     vcached: list[Tensor] | None = None
     if validation is not None:
         if len(validation) != len(tensors):
@@ -289,21 +309,16 @@ def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coup
                     t2, m2 = coupled[(t, m)]
                     if common > 0 and t == 0:
                         fac_2 = {k: store.frames[(t2, k)] for k in range(n_modes)}
-                        solved = solve_common(spark, ten, fac_t, m, counts[t], cached[t2], fac_2, m2,
-                                              counts[t2], rank, common, opts)
-                        solved = solved.persist(StorageLevel.MEMORY_AND_DISK)
-                        store.put_many({
-                            (t, m): upsert_block(store.frames[(t, m)], solved, 0, common, rank),
-                            (t2, m2): upsert_block(store.frames[(t2, m2)], solved, 0, common, rank),
-                        }, tag)
-                        solved.unpersist()
+                        both = update_common(spark, copies[t][m], fac_t, m, counts[t], copies[t2][m2], fac_2, m2,
+                                             counts[t2], rank, common, opts, ((t, m), (t2, m2)))
+                        store.put_table(both, [(t, m), (t2, m2)], tag)
                         fac_t = {k: store.frames[(t, k)] for k in range(n_modes)}
                     if common < rank:
-                        new = update_specific(spark, ten, fac_t, m, rank, common, opts, counts[t])
+                        new = update_specific(spark, copies[t][m], fac_t, m, rank, common, opts, counts[t])
                         store.put((t, m), new, tag)
                 else:
                     other = 1 - t
-                    new = update_uncoupled(spark, ten, fac_t, m, rank, opts, counts[t],
+                    new = update_uncoupled(spark, copies[t][m], fac_t, m, rank, opts, counts[t],
                                            means[(t, m)], means[(other, m)])
                     store.put((t, m), new, tag)
         lap(f"sweep_{it}")
@@ -311,6 +326,6 @@ def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coup
         lap(f"loss_{it}")
 
     final = it if (it == 0 or rel > 0) else it - 1
-    for t in cached + (vcached or []):
+    for t in [c for per_mode in copies for c in per_mode] + (vcached or []):
         t.entries.unpersist()
     return Model(spark, rank, common, snapshots[final], history, final, checkpoints, best, root, timings)

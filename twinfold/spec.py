@@ -124,6 +124,7 @@ class FitConfig:
     seed: int = 0
     checkpoint_every: int = 1
     share_init: bool = False
+    rows_per_partition: int = 2_000_000
 
     def __post_init__(self) -> None:
         if self.rank < 1:
