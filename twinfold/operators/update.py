@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.functions.columns import cell_names, rhs_names
+from twinfold.operators.gram import GRAM_MIN_K, merge_and_solve, partial_grams
 from twinfold.operators.normal import add_mean_pull, observations
 from twinfold.operators.solve import solve_column
 from twinfold.spec import Options, Tensor
@@ -69,6 +70,13 @@ def _equations_with_rows(obs: Sequence[tuple[DataFrame, float]], rows: Sequence[
     return u.groupBy("key").agg(*[F.expr(a) for a in aggs])
 
 
+def use_gram(k: int, method: str) -> bool:
+    """``method``: ``sum`` (one aggregate column per cell), ``gram`` (NumPy runs), ``auto``."""
+    if method not in ("auto", "sum", "gram"):
+        raise ValueError(f"unknown method {method!r}")
+    return method == "gram" or (method == "auto" and k >= GRAM_MIN_K)
+
+
 def _row(label: str, rank: int) -> str:
     return "array(" + ", ".join(f"{label}_{c}" for c in range(rank)) + ")"
 
@@ -81,12 +89,19 @@ def _solved_row(label: str, k: int, start: int, rank: int) -> str:
 
 def update_uncoupled(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], mode: int,
                      rank: int, options: Options, n_entries: int, own_means: Sequence[float] | None = None,
-                     other_means: Sequence[float] | None = None) -> DataFrame:
+                     other_means: Sequence[float] | None = None, method: str = "auto") -> DataFrame:
     """Update an uncoupled mode, full rank, with the mean pull (M4).
 
     Without means (a single tensor) the mean pull is left out.
     """
     obs = observations(spark, tensor, factors, mode, list(range(rank)), rank)
+    if use_gram(rank, method):
+        pull = None
+        if own_means is not None and other_means is not None:
+            pull = (float(tensor.dims[mode]), list(own_means), list(other_means),
+                    1.0 / rank if options.loss == "wls" else 1.0)
+        return merge_and_solve([partial_grams(obs, rank)], [factors[mode]], rank, rank, 0, options.lam,
+                               [entry_weight(options, n_entries)], pull)
     eq = _equations_with_rows([(obs, entry_weight(options, n_entries))], [("old", factors[mode])], rank, rank)
     if own_means is not None and other_means is not None:
         w2 = 1.0 / rank if options.loss == "wls" else 1.0
@@ -98,13 +113,16 @@ def update_uncoupled(spark: SparkSession, tensor: Tensor, factors: Mapping[int,
 
 
 def update_specific(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], mode: int,
-                    rank: int, common: int, options: Options, n_entries: int) -> DataFrame:
+                    rank: int, common: int, options: Options, n_entries: int, method: str = "auto") -> DataFrame:
     """Update the specific block ``[common, rank)`` of a coupled mode (M5)."""
     if not 0 <= common < rank:
         raise ValueError("the specific block is empty")
     block = list(range(common, rank))
     k = len(block)
     obs = observations(spark, tensor, factors, mode, block, rank)
+    if use_gram(k, method):
+        return merge_and_solve([partial_grams(obs, k)], [factors[mode]], k, rank, common, options.lam,
+                               [entry_weight(options, n_entries)])
     eq = _equations_with_rows([(obs, entry_weight(options, n_entries))], [("old", factors[mode])], k, rank)
     eq = eq.withColumn("_x", solve_column(k, options.lam))
     return eq.selectExpr("key AS idx",
@@ -113,7 +131,8 @@ def update_specific(spark: SparkSession, tensor: Tensor, factors: Mapping[int, D
 
 def update_common(spark: SparkSession, a: Tensor, fa: Mapping[int, DataFrame], mode_a: int, na: int,
                   b: Tensor, fb: Mapping[int, DataFrame], mode_b: int, nb: int, rank: int, common: int,
-                  options: Options, labels: tuple[tuple[int, int], tuple[int, int]] = ((0, 1), (1, 1))) -> DataFrame:
+                  options: Options, labels: tuple[tuple[int, int], tuple[int, int]] = ((0, 1), (1, 1)),
+                  method: str = "auto") -> DataFrame:
     """Update the shared block ``[0, common)`` of both coupled factors at once (M6).
 
     Equations of both tensors are summed per key (A4); only keys seen in
@@ -126,6 +145,10 @@ def update_common(spark: SparkSession, a: Tensor, fa: Mapping[int, DataFrame], m
     block = list(range(common))
     oa = observations(spark, a, fa, mode_a, block, rank)
     ob = observations(spark, b, fb, mode_b, block, rank)
+    if use_gram(common, method):
+        return merge_and_solve([partial_grams(oa, common, 0), partial_grams(ob, common, 1)],
+                               [fa[mode_a], fb[mode_b]], common, rank, 0, options.lam,
+                               [entry_weight(options, na), entry_weight(options, nb)], None, list(labels))
     eq = _equations_with_rows(
         [(oa, entry_weight(options, na)), (ob, entry_weight(options, nb))],
         [("va", fa[mode_a]), ("vb", fb[mode_b])], common, rank)

@@ -310,11 +310,12 @@ def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coup
                     if common > 0 and t == 0:
                         fac_2 = {k: store.frames[(t2, k)] for k in range(n_modes)}
                         both = update_common(spark, copies[t][m], fac_t, m, counts[t], copies[t2][m2], fac_2, m2,
-                                             counts[t2], rank, common, opts, ((t, m), (t2, m2)))
+                                             counts[t2], rank, common, opts, ((t, m), (t2, m2)), cfg.method)
                         store.put_table(both, [(t, m), (t2, m2)], tag)
                         fac_t = {k: store.frames[(t, k)] for k in range(n_modes)}
                     if common < rank:
-                        new = update_specific(spark, copies[t][m], fac_t, m, rank, common, opts, counts[t])
+                        new = update_specific(spark, copies[t][m], fac_t, m, rank, common, opts, counts[t],
+                                              cfg.method)
                         store.put((t, m), new, tag)
                 else:
                     other = 1 - t

@@ -125,6 +125,7 @@ class FitConfig:
     checkpoint_every: int = 1
     share_init: bool = False
     rows_per_partition: int = 2_000_000
+    method: str = "auto"
 
     def __post_init__(self) -> None:
         if self.rank < 1:
