@@ -285,12 +285,19 @@ def q_gradient_x1(spark, sf):
 
 # -- fit, model outputs (iterative: no SQL twin) ------------------------------------------
 
+_FITS: dict = {}
+
+
 def _fit(spark, sf, sweeps=2):
+    """One fit per (session, tables), shared by the fit queries below."""
     from twinfold.plans.fit import fit
-    tensors, valid, coup = tpch.coupled_pair(spark, sf)
-    cfg = FitConfig(rank=RANK, common=COMMON, options=Options(LAM, "ls"),
-                    stop=Stop(min_rel_decrease=1e-4, max_iter=sweeps), init="random")
-    return fit(spark, tensors, coup, cfg, validation=valid), valid
+    memo = (id(spark), sf, sweeps)
+    if memo not in _FITS:
+        tensors, valid, coup = tpch.coupled_pair(spark, sf)
+        cfg = FitConfig(rank=RANK, common=COMMON, options=Options(LAM, "ls"),
+                        stop=Stop(min_rel_decrease=1e-4, max_iter=sweeps), init="random")
+        _FITS[memo] = (fit(spark, tensors, coup, cfg, validation=valid), valid)
+    return _FITS[memo]
 
 
 def q_fit_metrics(spark, sf):
