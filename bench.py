@@ -35,7 +35,7 @@ def main() -> None:
 
     spark = local_session("twinfold-bench")
     t0 = time.time()
-    tensors, valid, coup = tpch.coupled_pair(spark, sf_dir)
+    tensors, valid, coup = tpch.coupled_pair(spark, sf_dir, materialize=run_dir(spark, "bench-tensors"))
     cfg = FitConfig(rank=5, common=3, options=Options(0.1, "ls"), stop=Stop(max_iter=sweeps), init="random")
     model = fit(spark, tensors, coup, cfg, validation=valid)
     fit_s = time.time() - t0

@@ -293,7 +293,7 @@ def _fit(spark, sf, sweeps=2):
     from twinfold.plans.fit import fit
     memo = (id(spark), sf, sweeps)
     if memo not in _FITS:
-        tensors, valid, coup = tpch.coupled_pair(spark, sf)
+        tensors, valid, coup = tpch.coupled_pair(spark, sf, materialize=run_dir(spark, "fit-tensors"))
         cfg = FitConfig(rank=RANK, common=COMMON, options=Options(LAM, "ls"),
                         stop=Stop(min_rel_decrease=1e-4, max_iter=sweeps), init="random")
         _FITS[memo] = (fit(spark, tensors, coup, cfg, validation=valid), valid)

@@ -64,14 +64,26 @@ def split(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def coupled_pair(spark: SparkSession, sf_dir: str, three_mode: bool = False,
-                 with_validation: bool = True):
-    """``(tensors, validation tensors or None, couplings)`` for the fit."""
+                 with_validation: bool = True, materialize: str | None = None):
+    """``(tensors, validation tensors or None, couplings)`` for the fit.
+
+    With ``materialize`` (a folder, e.g. under ``spark.checkpoint.dir``) both
+    tensors are written once as parquet and the training and validation
+    parts are read from there, so the join and aggregation over the fact
+    table run once instead of once per part.
+    """
     d = dims_of(spark, sf_dir)
     extra = (SHIP_MONTHS,) if three_mode else ()
     dims1 = (d["customer"], d["part"]) + extra
     dims2 = (d["supplier"], d["part"]) + extra
     e1 = x1_entries(spark, sf_dir, three_mode)
     e2 = x2_entries(spark, sf_dir, three_mode)
+    if materialize:
+        base = materialize.rstrip("/")
+        e1.write.mode("overwrite").parquet(f"{base}/x1")
+        e2.write.mode("overwrite").parquet(f"{base}/x2")
+        e1 = spark.read.schema(e1.schema).parquet(f"{base}/x1")
+        e2 = spark.read.schema(e2.schema).parquet(f"{base}/x2")
     coupling = [Coupling(0, 1, 1, 1, 0)]
     if not with_validation:
         return [Tensor(e1, dims1, "x1"), Tensor(e2, dims2, "x2")], None, coupling
