@@ -2,6 +2,8 @@
 
 import inspect
 
+import pytest
+
 from pyspark import StorageLevel
 
 from twinfold.operators import update
@@ -76,3 +78,22 @@ def test_factor_plans_do_not_grow_with_iterations(spark, sf):
         store.put((0, 0), update.update_uncoupled(spark, a, fac, 0, 3, Options(0.1), 0), f"it{i}")
         sizes.append(len(store.frames[(0, 0)]._jdf.queryExecution().analyzed().toString()))
     assert len(set(sizes)) == 1
+
+
+def test_shuffle_join_path_when_factor_exceeds_bound(spark, sf):
+    """With broadcast disabled the update plans a shuffle join and gives the same rows."""
+    a = x1(spark, sf)
+    f = lcg_factors(spark, a, 0, 3)
+    want = {r.idx: list(r.v) for r in update.update_uncoupled(spark, a, f, 0, 3, Options(0.1), 0).collect()}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = update.update_uncoupled(spark, a, f, 0, 3, Options(0.1), 0)
+        plan = _plan(df)
+        assert "BroadcastHashJoin" not in plan
+        got = {r.idx: list(r.v) for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-12)
