@@ -76,3 +76,13 @@ def test_job_refuses_single_data_set(spark, scratch):
         raise AssertionError("expected refusal")
     except SystemExit:
         pass
+
+
+def test_positional_arguments_map_to_named():
+    a = job.from_positional(["2", "7889_154", "62_154", "48", "5", "map.txt", "CF_0.1_LS", "0_0.0001",
+                             "a.txt", "b.txt", "out", "va.txt", "vb.txt"])
+    assert a.tensor == ["a.txt:7889_154", "b.txt:62_154"]
+    assert (a.rank, a.split, a.coupling, a.optimizer, a.stop, a.output) == (5, 48, "map.txt", "CF_0.1_LS", "0_0.0001", "out")
+    assert a.validation == ["va.txt", "vb.txt"]
+    b = job.from_positional(["2", "3_4", "2_4", "8", "2", "m.txt", "CF_1_WLS", "1_3", "a", "b", "o"])
+    assert b.validation is None and b.common == 3

@@ -6,7 +6,9 @@ Arguments follow the reference's job, named instead of positional::
     --coupling map.txt --rank 5 --optimizer CF_0.1_LS --stop 0_0.0001
     --validation valid_0.txt --validation valid_1.txt --output OUT
 
-``--split`` sets the shuffle partition count when given. Outputs under
+The reference's positional order is accepted too (first argument a number,
+see :func:`from_positional`). ``--split`` sets the shuffle partition count
+when given. Outputs under
 OUT: ``factors/`` (parquet), ``U_{t}_{m}/`` tab exports of the final
 model, ``Validation_U_{t}_{m}/`` of each tensor's best validated version,
 ``metrics/`` (parquet), ``Log/`` and ``Validation_Log/`` (tab text), and,
@@ -43,6 +45,37 @@ def parse_args(argv: list[str]) -> argparse.Namespace:
     return p.parse_args(argv)
 
 
+def from_positional(argv: list[str]) -> argparse.Namespace:
+    """The reference job's positional order, mapped to the named arguments.
+
+    ``n  dims_1 .. dims_n  split  rank  [map (n > 1)]  optimizer  stopping
+    input_1 .. input_n  output  [validation_1 .. validation_n]``
+    """
+    it = iter(argv)
+    try:
+        n = int(next(it))
+        dims = [next(it) for _ in range(n)]
+        split = int(next(it))
+        rank = next(it)
+        coupling = next(it) if n > 1 else None
+        optimizer = next(it)
+        stop = next(it)
+        inputs = [next(it) for _ in range(n)]
+        output = next(it)
+    except StopIteration:
+        raise SystemExit("too few positional arguments") from None
+    rest = list(it)
+    if rest and len(rest) != n:
+        raise SystemExit("give one validation path per data set, or none")
+    named = [a for path, d in zip(inputs, dims) for a in ("--tensor", f"{path}:{d}")]
+    named += ["--rank", rank, "--optimizer", optimizer, "--stop", stop, "--output", output, "--split", str(split)]
+    if coupling:
+        named += ["--coupling", coupling]
+    for v in rest:
+        named += ["--validation", v]
+    return parse_args(named)
+
+
 def run(spark: SparkSession, args: argparse.Namespace):
     from twinfold.operators.predict import predict
     from twinfold.plans.fit import fit
@@ -68,7 +101,7 @@ def run(spark: SparkSession, args: argparse.Namespace):
                     stop=Stop.parse(args.stop), init=args.init, seed=args.seed,
                     checkpoint_every=args.checkpoint_every)
     out = args.output.rstrip("/")
-    model = fit(spark, tensors, couplings, cfg, validation=valid, root=f"{out}/work")
+    model = fit(spark, tensors, couplings, cfg, validation=valid)
     sinks.save_factor_table(model.factor_table(), f"{out}/factors")
     sinks.export_model_text(model, out)
     for t, (_, _, paths) in sorted(model.best_validation.items()):
@@ -86,7 +119,8 @@ def run(spark: SparkSession, args: argparse.Namespace):
 
 
 def main(argv: list[str] | None = None) -> None:
-    args = parse_args(sys.argv[1:] if argv is None else argv)
+    raw = sys.argv[1:] if argv is None else argv
+    args = from_positional(raw) if raw and raw[0].isdigit() else parse_args(raw)
     spark = SparkSession.builder.appName("twinfold-job").getOrCreate()
     run(spark, args)
 
