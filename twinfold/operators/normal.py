@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from twinfold.functions.columns import cell_names, cp_sum, rhs_names, row_product
 from twinfold.operators.factors import join_factors
+from twinfold.session import fits_broadcast
 from twinfold.spec import Tensor
 
 
@@ -29,6 +30,10 @@ def _prod_sql(vectors: Sequence[str], r: int) -> str:
     return " * ".join(f"{v}[{r}]" for v in vectors) if vectors else "CAST(1 AS DOUBLE)"
 
 
+# Salt buckets per key when observations are regrouped after a shuffle join.
+SALT_BUCKETS = 64
+
+
 def observations(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], mode: int,
                  block: Sequence[int], rank: int, with_own: bool | None = None) -> DataFrame:
     """Design and target per entry (P3, P5): ``key, a_0..a_{k-1}, t``.
@@ -37,6 +42,15 @@ def observations(spark: SparkSession, tensor: Tensor, factors: Mapping[int, Data
     rank form the residual subtracted from ``y``. The factor of ``mode``
     itself is joined only when the residual needs it. Expressions are
     passed as SQL text: one call builds the whole projection.
+
+    When every joined factor is broadcast, the observations keep the
+    entries' partitioning (clustered on the key), so the partial aggregate
+    that follows combines each key's rows map-side. When a factor is too
+    large to broadcast, the shuffle join scatters the keys; the
+    observations are then regrouped on ``(key, salt)`` (``salt`` a hash of
+    the other indices), so the following partial aggregate is effective
+    again and a hot key still spreads over ``SALT_BUCKETS`` tasks. That
+    shuffles one narrow row per entry instead of one wide partial row.
     """
     n = tensor.n_modes
     others = [k for k in range(n) if k != mode]
@@ -48,7 +62,11 @@ def observations(spark: SparkSession, tensor: Tensor, factors: Mapping[int, Data
     a = [f"{_prod_sql(other_vecs, r)} AS a_{i}" for i, r in enumerate(block)]
     all_vecs = [f"f{k}" for k in modes]
     target = "y - (" + " + ".join(_prod_sql(all_vecs, r) for r in rest) + ")" if rest else "y"
-    return j.selectExpr(f"i{mode} AS key", *a, f"{target} AS t")
+    obs = j.selectExpr(f"i{mode} AS key", *a, f"{target} AS t",
+                       f"pmod(xxhash64({', '.join(f'i{k}' for k in others)}), {SALT_BUCKETS}) AS _salt")
+    if all(fits_broadcast(spark, tensor.dims[k], rank) for k in modes):
+        return obs.drop("_salt")
+    return obs.repartition("key", "_salt").drop("_salt")
 
 
 def normal_equations(obs: DataFrame, k: int, weight: float = 1.0) -> DataFrame:

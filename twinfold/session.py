@@ -60,6 +60,11 @@ def factor_bytes(dim: int, width: int) -> int:
     return int(dim) * (8 * int(width) + _ROW_OVERHEAD)
 
 
+def fits_broadcast(spark: SparkSession, dim: int, width: int) -> bool:
+    """True when a factor of ``dim`` rows of ``width`` doubles may be broadcast."""
+    return factor_bytes(dim, width) <= broadcast_limit(spark)
+
+
 def maybe_broadcast(spark: SparkSession, df: DataFrame, dim: int, width: int) -> DataFrame:
     """Broadcast ``df`` only when its known row count bounds it below the limit.
 
@@ -67,7 +72,7 @@ def maybe_broadcast(spark: SparkSession, df: DataFrame, dim: int, width: int) ->
     index), so the bound is proven rather than estimated. Larger factors go
     through a shuffle join that AQE may still turn into a broadcast at run time.
     """
-    if factor_bytes(dim, width) <= broadcast_limit(spark):
+    if fits_broadcast(spark, dim, width):
         return F.broadcast(df)
     return df
 
