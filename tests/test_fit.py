@@ -52,10 +52,12 @@ def test_fit_matches_numpy(spark, sf, rank, common, loss):
     assert hist[(sweeps, "mean")] == pytest.approx(ml, rel=1e-6, abs=1e-12)
 
 
-def test_three_mode_fit_matches_numpy(spark, sf):
+@pytest.mark.parametrize("method", ["sum", "gram"])
+def test_three_mode_fit_matches_numpy(spark, sf, method):
     tensors, _, coup = tpch.coupled_pair(spark, sf, three_mode=True, with_validation=False)
     rank, common = 4, 2
-    cfg = FitConfig(rank=rank, common=common, options=Options(0.5, "ls"), stop=Stop(max_iter=1), init="lcg")
+    cfg = FitConfig(rank=rank, common=common, options=Options(0.5, "ls"), stop=Stop(max_iter=1), init="lcg",
+                    method=method)
     model = fit(spark, tensors, coup, cfg)
     arrs, F = _np_inputs(spark, tensors, rank)
     nm.sweep(arrs, F, 1, rank, common, 0.5, "ls")
