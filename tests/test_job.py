@@ -53,6 +53,8 @@ def test_job_end_to_end(spark, scratch):
         assert all(len(line.split("\t")) == 3 for line in lines)
     assert os.path.isdir(f"{out}/Validation_U_0_0") and os.path.isdir(f"{out}/Log")
     assert os.path.isdir(f"{out}/predictions_1") and os.path.isdir(f"{out}/factors/tensor=1/mode=1")
+    appended = spark.read.parquet(f"{out}/metrics")
+    assert appended.count() == len(model.history)
     log = spark.read.option("sep", "\t").option("header", "true").csv(f"{out}/Log")
     assert set(log.columns) == {"iter", "seconds", "se_0", "se_1", "mean", "total"}
     assert log.count() == len(totals)

@@ -186,8 +186,13 @@ def evaluate(spark: SparkSession, tensors: Sequence[Tensor], valid: Sequence[Ten
 
 def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coupling],
         config: FitConfig | None = None, validation: Sequence[Tensor] | None = None,
-        root: str | None = None, verbose: bool = False) -> Model:
-    """Coupled factorisation by alternating ridge least squares."""
+        root: str | None = None, verbose: bool = False, metrics_path: str | None = None) -> Model:
+    """Coupled factorisation by alternating ridge least squares.
+
+    ``metrics_path``: when set, each iteration's metric rows are appended
+    there as parquet as soon as they are known (S5/S6), so the log survives
+    a driver failure mid-fit.
+    """
     cfg = config or FitConfig()
     coupling = _check_layout(tensors, couplings, cfg)
     rank, common, opts = cfg.rank, cfg.common, cfg.options
@@ -292,6 +297,10 @@ def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coup
             history.append((it, seconds, f"val_rmse_{t}", r))
             if t not in best or r < best[t][1]:
                 best[t] = (it, r, snapshots[it])
+        if metrics_path:
+            rows = [(int(i), float(sec), term, None if v is None else float(v))
+                    for i, sec, term, v in history if i == it]
+            spark.createDataFrame(rows, METRICS_SCHEMA).coalesce(1).write.mode("append").parquet(metrics_path)
         _log(verbose, f"iter {it}: total {total:.6g} rel {rel:.3g} ({seconds:.1f}s)")
         prev_loss = total
         return means, stop, rel

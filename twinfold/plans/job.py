@@ -101,13 +101,12 @@ def run(spark: SparkSession, args: argparse.Namespace):
                     stop=Stop.parse(args.stop), init=args.init, seed=args.seed,
                     checkpoint_every=args.checkpoint_every)
     out = args.output.rstrip("/")
-    model = fit(spark, tensors, couplings, cfg, validation=valid)
+    model = fit(spark, tensors, couplings, cfg, validation=valid, metrics_path=f"{out}/metrics")
     sinks.save_factor_table(model.factor_table(), f"{out}/factors")
     sinks.export_model_text(model, out)
     for t, (_, _, paths) in sorted(model.best_validation.items()):
         sinks.export_model_text(model, out, "Validation_", {k: v for k, v in paths.items() if k[0] == t})
     metrics = model.metrics
-    sinks.write_metrics(metrics, f"{out}/metrics")
     sinks.write_training_log(metrics, len(tensors), f"{out}/Log")
     if valid:
         sinks.write_validation_log(metrics, len(tensors), f"{out}/Validation_Log")
