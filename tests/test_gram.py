@@ -60,3 +60,18 @@ def test_fit_rank_10_uses_gram_and_matches_numpy(spark, sf):
     got = _model_factors(model)
     for k in F:
         np.testing.assert_allclose(got[k], F[k], rtol=1e-6, atol=1e-8)
+
+
+@pytest.mark.parametrize("rank,common,loss", [(5, 3, "ls"), (4, 2, "wls")])
+def test_blocked_lookup_fit_matches_numpy(spark, sf, rank, common, loss):
+    """Factor rows routed to entry blocks (no entry shuffle) give the same sweep."""
+    tensors, _, coup = tpch.coupled_pair(spark, sf, with_validation=False)
+    cfg = FitConfig(rank=rank, common=common, options=Options(0.2, loss), stop=Stop(max_iter=2), init="lcg",
+                    lookup="blocked", rows_per_partition=500)
+    model = fit(spark, tensors, coup, cfg)
+    arrs, F = _np_inputs(spark, tensors, rank)
+    for _ in range(2):
+        nm.sweep(arrs, F, 1, rank, common, 0.2, loss)
+    got = _model_factors(model)
+    for k in F:
+        np.testing.assert_allclose(got[k], F[k], rtol=1e-7, atol=1e-9)

@@ -97,3 +97,17 @@ def test_shuffle_join_path_when_factor_exceeds_bound(spark, sf):
     assert got.keys() == want.keys()
     for k in want:
         assert got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-12)
+
+
+def test_blocked_update_reads_entries_in_place(spark, sf):
+    from twinfold.operators.blocked import block_entries
+    a = x1(spark, sf)
+    be = block_entries(a, 0, 4)
+    f = _factors(spark, a, 0, 3)
+    df = update.update_uncoupled(spark, be.tensor, f, 0, 3, Options(0.1), 0, blocked=be)
+    plan = _plan(df)
+    cog = plan[plan.index("FlatMapCoGroupsInPandas"):]
+    first_child = cog.split("\n")[1]
+    assert "InMemoryTableScan" in first_child  # entries: no exchange, no sort before the cogroup
+    assert "collect_list" not in plan
+    be.unpersist()

@@ -1,0 +1,131 @@
+"""Blocked factor lookup for factors too large to broadcast.
+
+A broadcast join sends every factor row to every task. Above the broadcast
+bound the plain alternative is a shuffle join, which moves the entries
+(the largest table) once per update. This layout moves factor rows instead,
+and only to the blocks that use them:
+
+* once per fit: the entries of a mode are range-clustered on that mode's
+  key, each partition becomes a block ``_blk``, and the blocks are cached
+  hash-partitioned on ``_blk`` and sorted by it. For every mode ``k`` a
+  link table ``(_blk, i_k)`` of the distinct indices each block needs is
+  cached too;
+* per update: each needed factor is joined to its link table (a join of
+  two tables of index size) and the rows travel to their blocks. A
+  ``cogroup`` on ``_blk`` then meets a block's entries with exactly the
+  factor rows it references. The cached entries already satisfy the
+  cogroup's distribution and ordering, so they are read in place, never
+  shuffled;
+* inside the block, NumPy builds the design and target and sums partial
+  Gram rows per key (the keys are clustered, so about one row per key per
+  block); :func:`twinfold.operators.gram.merge_and_solve` finishes.
+
+A block holds one range partition of entries (``rows_per_partition``), so a
+group is bounded by construction; a hot key spans many blocks.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twinfold.functions.columns import entry_columns
+from twinfold.operators.gram import _gram_rows, _starts
+from twinfold.operators.tensor import cluster_by_mode
+from twinfold.session import fits_broadcast, maybe_broadcast
+from twinfold.spec import Tensor
+
+PARTIAL_SCHEMA = "key long, _s int, n long, g array<double>"
+
+
+@dataclass(frozen=True)
+class BlockedEntries:
+    """Entries of one tensor laid out in blocks clustered on ``mode``."""
+
+    tensor: Tensor
+    mode: int
+    links: dict[int, DataFrame]
+
+    def unpersist(self) -> None:
+        self.tensor.entries.unpersist()
+        for df in self.links.values():
+            df.unpersist()
+
+
+def block_entries(tensor: Tensor, mode: int, partitions: int) -> BlockedEntries:
+    """Cache the blocked layout of ``tensor`` for updates of ``mode`` (and its links)."""
+    n = tensor.n_modes
+    clustered = cluster_by_mode(tensor.entries.select(*entry_columns(n)), mode, n, partitions)
+    e = (clustered.withColumn("_blk", F.spark_partition_id())
+         .repartition(int(partitions), "_blk").sortWithinPartitions("_blk")
+         .persist(StorageLevel.MEMORY_AND_DISK))
+    e.count()
+    links = {}
+    for k in range(n):
+        lk = e.select("_blk", f"i{k}").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+        lk.count()
+        links[k] = lk
+    return BlockedEntries(tensor.with_entries(e), mode, links)
+
+
+def needs_blocking(spark: SparkSession, tensor: Tensor, rank: int) -> bool:
+    """True when some factor of ``tensor`` is above the broadcast bound."""
+    return not all(fits_broadcast(spark, d, rank) for d in tensor.dims)
+
+
+def blocked_partials(spark: SparkSession, be: BlockedEntries, factors: Mapping[int, DataFrame],
+                     block: Sequence[int], rank: int, side: int = 0) -> DataFrame:
+    """Partial normal equations ``key, _s, n, g`` per block (no entry shuffle)."""
+    t = be.tensor
+    mode, n = be.mode, t.n_modes
+    others = [k for k in range(n) if k != mode]
+    rest = [r for r in range(rank) if r not in set(block)]
+    needed = others + ([mode] if rest else [])
+    routed = None
+    for k in needed:
+        f = maybe_broadcast(spark, factors[k].select(F.col("idx").alias("_fidx"), "v"), t.dims[k], rank)
+        rk = be.links[k].join(f, be.links[k][f"i{k}"] == f["_fidx"]).select(
+            F.col("_blk").alias("_rblk"), F.lit(k).alias("_mode"), F.col("_fidx").alias("idx"), "v")
+        routed = rk if routed is None else routed.unionByName(rk)
+    blk_cols = list(block)
+    k_width = len(blk_cols)
+
+    def fn(ent: pd.DataFrame, rt: pd.DataFrame) -> pd.DataFrame:
+        if ent.empty:
+            return pd.DataFrame({"key": pd.Series([], dtype="int64"), "_s": pd.Series([], dtype="int32"),
+                                 "n": pd.Series([], dtype="int64"), "g": pd.Series([], dtype="object")})
+        rows = {}
+        modes = rt["_mode"].to_numpy()
+        for k in needed:
+            sel = modes == k
+            idx = rt["idx"].to_numpy()[sel]
+            vals = np.stack(rt["v"].to_numpy()[sel]) if sel.any() else np.zeros((0, rank))
+            pos = pd.Index(idx).get_indexer(ent[f"i{k}"].to_numpy())
+            if (pos < 0).any():
+                raise ValueError(f"factor rows missing for mode {k} in a block")
+            rows[k] = vals[pos]
+        a = np.ones((len(ent), k_width))
+        for k in others:
+            a *= rows[k][:, blk_cols]
+        target = ent["y"].to_numpy(dtype="float64").copy()
+        if rest:
+            prod = np.ones((len(ent), len(rest)))
+            for k in needed:
+                prod *= rows[k][:, rest]
+            target -= prod.sum(axis=1)
+        keys = ent[f"i{mode}"].to_numpy()
+        order = np.argsort(keys, kind="stable")
+        keys, a, target = keys[order], a[order], target[order]
+        starts = _starts(keys)
+        g = _gram_rows(a, target, starts, k_width)
+        counts = np.diff(np.r_[starts, len(keys)])
+        return pd.DataFrame({"key": keys[starts], "_s": np.full(len(starts), side, dtype="int32"),
+                             "n": counts.astype("int64"), "g": list(g)})
+
+    return t.entries.groupBy("_blk").cogroup(routed.groupBy("_rblk")).applyInPandas(fn, PARTIAL_SCHEMA)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.functions.columns import cell_names, rhs_names
+from twinfold.operators.blocked import BlockedEntries, blocked_partials
 from twinfold.operators.gram import GRAM_MIN_K, merge_and_solve, partial_grams
 from twinfold.operators.normal import add_mean_pull, observations
 from twinfold.operators.solve import solve_column
@@ -77,6 +78,16 @@ def use_gram(k: int, method: str) -> bool:
     return method == "gram" or (method == "auto" and k >= GRAM_MIN_K)
 
 
+def _partials(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], mode: int,
+              block: Sequence[int], rank: int, blocked: BlockedEntries | None, side: int = 0) -> DataFrame:
+    """Partial Gram rows from the blocked layout when given, else from joined observations."""
+    if blocked is not None:
+        if blocked.mode != mode:
+            raise ValueError("blocked entries are laid out for another mode")
+        return blocked_partials(spark, blocked, factors, block, rank, side)
+    return partial_grams(observations(spark, tensor, factors, mode, block, rank), len(block), side)
+
+
 def _row(label: str, rank: int) -> str:
     return "array(" + ", ".join(f"{label}_{c}" for c in range(rank)) + ")"
 
@@ -89,19 +100,22 @@ def _solved_row(label: str, k: int, start: int, rank: int) -> str:
 
 def update_uncoupled(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], mode: int,
                      rank: int, options: Options, n_entries: int, own_means: Sequence[float] | None = None,
-                     other_means: Sequence[float] | None = None, method: str = "auto") -> DataFrame:
+                     other_means: Sequence[float] | None = None, method: str = "auto",
+                     blocked: BlockedEntries | None = None) -> DataFrame:
     """Update an uncoupled mode, full rank, with the mean pull (M4).
 
-    Without means (a single tensor) the mean pull is left out.
+    Without means (a single tensor) the mean pull is left out. With
+    ``blocked`` (entries in the blocked layout of ``mode``) the factor rows
+    travel to the entry blocks instead of the entries to the factors.
     """
-    obs = observations(spark, tensor, factors, mode, list(range(rank)), rank)
-    if use_gram(rank, method):
+    if blocked is not None or use_gram(rank, method):
         pull = None
         if own_means is not None and other_means is not None:
             pull = (float(tensor.dims[mode]), list(own_means), list(other_means),
                     1.0 / rank if options.loss == "wls" else 1.0)
-        return merge_and_solve([partial_grams(obs, rank)], [factors[mode]], rank, rank, 0, options.lam,
-                               [entry_weight(options, n_entries)], pull)
+        return merge_and_solve([_partials(spark, tensor, factors, mode, list(range(rank)), rank, blocked)],
+                               [factors[mode]], rank, rank, 0, options.lam, [entry_weight(options, n_entries)], pull)
+    obs = observations(spark, tensor, factors, mode, list(range(rank)), rank)
     eq = _equations_with_rows([(obs, entry_weight(options, n_entries))], [("old", factors[mode])], rank, rank)
     if own_means is not None and other_means is not None:
         w2 = 1.0 / rank if options.loss == "wls" else 1.0
@@ -113,16 +127,17 @@ def update_uncoupled(spark: SparkSession, tensor: Tensor, factors: Mapping[int,
 
 
 def update_specific(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], mode: int,
-                    rank: int, common: int, options: Options, n_entries: int, method: str = "auto") -> DataFrame:
+                    rank: int, common: int, options: Options, n_entries: int, method: str = "auto",
+                    blocked: BlockedEntries | None = None) -> DataFrame:
     """Update the specific block ``[common, rank)`` of a coupled mode (M5)."""
     if not 0 <= common < rank:
         raise ValueError("the specific block is empty")
     block = list(range(common, rank))
     k = len(block)
+    if blocked is not None or use_gram(k, method):
+        return merge_and_solve([_partials(spark, tensor, factors, mode, block, rank, blocked)], [factors[mode]],
+                               k, rank, common, options.lam, [entry_weight(options, n_entries)])
     obs = observations(spark, tensor, factors, mode, block, rank)
-    if use_gram(k, method):
-        return merge_and_solve([partial_grams(obs, k)], [factors[mode]], k, rank, common, options.lam,
-                               [entry_weight(options, n_entries)])
     eq = _equations_with_rows([(obs, entry_weight(options, n_entries))], [("old", factors[mode])], k, rank)
     eq = eq.withColumn("_x", solve_column(k, options.lam))
     return eq.selectExpr("key AS idx",
@@ -132,7 +147,8 @@ def update_specific(spark: SparkSession, tensor: Tensor, factors: Mapping[int, D
 def update_common(spark: SparkSession, a: Tensor, fa: Mapping[int, DataFrame], mode_a: int, na: int,
                   b: Tensor, fb: Mapping[int, DataFrame], mode_b: int, nb: int, rank: int, common: int,
                   options: Options, labels: tuple[tuple[int, int], tuple[int, int]] = ((0, 1), (1, 1)),
-                  method: str = "auto") -> DataFrame:
+                  method: str = "auto", blocked: tuple[BlockedEntries | None, BlockedEntries | None] = (None, None),
+                  ) -> DataFrame:
     """Update the shared block ``[0, common)`` of both coupled factors at once (M6).
 
     Equations of both tensors are summed per key (A4); only keys seen in
@@ -143,12 +159,14 @@ def update_common(spark: SparkSession, a: Tensor, fa: Mapping[int, DataFrame], m
     if not 0 < common <= rank:
         raise ValueError("the common block is empty")
     block = list(range(common))
-    oa = observations(spark, a, fa, mode_a, block, rank)
-    ob = observations(spark, b, fb, mode_b, block, rank)
-    if use_gram(common, method):
-        return merge_and_solve([partial_grams(oa, common, 0), partial_grams(ob, common, 1)],
+    if blocked[0] is not None or blocked[1] is not None or use_gram(common, method):
+        pa = _partials(spark, a, fa, mode_a, block, rank, blocked[0], 0)
+        pb = _partials(spark, b, fb, mode_b, block, rank, blocked[1], 1)
+        return merge_and_solve([pa, pb],
                                [fa[mode_a], fb[mode_b]], common, rank, 0, options.lam,
                                [entry_weight(options, na), entry_weight(options, nb)], None, list(labels))
+    oa = observations(spark, a, fa, mode_a, block, rank)
+    ob = observations(spark, b, fb, mode_b, block, rank)
     eq = _equations_with_rows(
         [(oa, entry_weight(options, na)), (ob, entry_weight(options, nb))],
         [("va", fa[mode_a]), ("vb", fb[mode_b])], common, rank)

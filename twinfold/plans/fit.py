@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinfold.functions.columns import entry_columns
+from twinfold.operators.blocked import BlockedEntries, block_entries, needs_blocking
 from twinfold.operators.factors import copy_factor, init_factor, means_rows
 from twinfold.operators.predict import loss_table, mean_loss, rmse, training_loss
 from twinfold.operators.tensor import check, cluster_by_mode, partitions_for
@@ -212,18 +213,28 @@ def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coup
     # executor is lost.
     copies: list[list[Tensor]] = []
     counts: list[int] = []
+    blocks: list[list[BlockedEntries | None]] = []
     for t in tensors:
         src = t.entries.select(*entry_columns(t.n_modes)).persist(StorageLevel.MEMORY_AND_DISK)
         n = check(t.with_entries(src))
         counts.append(n)
         parts = partitions_for(spark, n, cfg.rows_per_partition)
         per_mode = []
+        blocked_t: list[BlockedEntries | None] = []
+        use_blocks = cfg.lookup == "blocked" or (cfg.lookup == "auto" and needs_blocking(spark, t, cfg.rank))
         for m in range(t.n_modes):
-            e = cluster_by_mode(src, m, t.n_modes, parts).persist(StorageLevel.MEMORY_AND_DISK)
-            e.count()
-            per_mode.append(t.with_entries(e))
+            if use_blocks:
+                be = block_entries(t.with_entries(src), m, parts)
+                per_mode.append(be.tensor)
+                blocked_t.append(be)
+            else:
+                e = cluster_by_mode(src, m, t.n_modes, parts).persist(StorageLevel.MEMORY_AND_DISK)
+                e.count()
+                per_mode.append(t.with_entries(e))
+                blocked_t.append(None)
         src.unpersist()
         copies.append(per_mode)
+        blocks.append(blocked_t)
     cached = [c[0] for c in copies]
     vcached: list[Tensor] | None = None
     if validation is not None:
@@ -319,17 +330,18 @@ def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coup
                     if common > 0 and t == 0:
                         fac_2 = {k: store.frames[(t2, k)] for k in range(n_modes)}
                         both = update_common(spark, copies[t][m], fac_t, m, counts[t], copies[t2][m2], fac_2, m2,
-                                             counts[t2], rank, common, opts, ((t, m), (t2, m2)), cfg.method)
+                                             counts[t2], rank, common, opts, ((t, m), (t2, m2)), cfg.method,
+                                             (blocks[t][m], blocks[t2][m2]))
                         store.put_table(both, [(t, m), (t2, m2)], tag)
                         fac_t = {k: store.frames[(t, k)] for k in range(n_modes)}
                     if common < rank:
                         new = update_specific(spark, copies[t][m], fac_t, m, rank, common, opts, counts[t],
-                                              cfg.method)
+                                              cfg.method, blocks[t][m])
                         store.put((t, m), new, tag)
                 else:
                     other = 1 - t
                     new = update_uncoupled(spark, copies[t][m], fac_t, m, rank, opts, counts[t],
-                                           means[(t, m)], means[(other, m)])
+                                           means[(t, m)], means[(other, m)], cfg.method, blocks[t][m])
                     store.put((t, m), new, tag)
         lap(f"sweep_{it}")
         means, stop, rel = step_metrics(it)
@@ -338,4 +350,6 @@ def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coup
     final = it if (it == 0 or rel > 0) else it - 1
     for t in [c for per_mode in copies for c in per_mode] + (vcached or []):
         t.entries.unpersist()
+    for be in [b for per_mode in blocks for b in per_mode if b is not None]:
+        be.unpersist()
     return Model(spark, rank, common, snapshots[final], history, final, checkpoints, best, root, timings)

@@ -126,11 +126,14 @@ class FitConfig:
     share_init: bool = False
     rows_per_partition: int = 2_000_000
     method: str = "auto"
+    lookup: str = "auto"
 
     def __post_init__(self) -> None:
         if self.rank < 1:
             raise ValueError("rank must be >= 1")
         if not 0 <= self.common <= self.rank:
             raise ValueError("common must be in [0, rank]")
+        if self.lookup not in ("auto", "broadcast", "blocked"):
+            raise ValueError("lookup must be 'auto', 'broadcast' or 'blocked'")
         if self.checkpoint_every < 1:
             raise ValueError("checkpoint_every must be >= 1")
