@@ -75,3 +75,7 @@ def test_blocked_lookup_fit_matches_numpy(spark, sf, rank, common, loss):
     got = _model_factors(model)
     for k in F:
         np.testing.assert_allclose(got[k], F[k], rtol=1e-7, atol=1e-9)
+    se, _ = nm.total_loss(arrs, F, 1, rank, loss)
+    hist = {(i, term): v for i, _, term, v in model.history}
+    assert hist[(2, "se_0")] == pytest.approx(se[0], rel=1e-8)
+    assert hist[(2, "se_1")] == pytest.approx(se[1], rel=1e-8)

@@ -79,6 +79,34 @@ def needs_blocking(spark: SparkSession, tensor: Tensor, rank: int) -> bool:
     return not all(fits_broadcast(spark, d, rank) for d in tensor.dims)
 
 
+def _routed(spark: SparkSession, be: BlockedEntries, factors: Mapping[int, DataFrame], modes: Sequence[int],
+            rank: int) -> DataFrame:
+    """Factor rows of ``modes`` sent to the blocks that reference them: ``_rblk, _mode, idx, v``."""
+    t = be.tensor
+    routed = None
+    for k in modes:
+        f = maybe_broadcast(spark, factors[k].select(F.col("idx").alias("_fidx"), "v"), t.dims[k], rank)
+        rk = be.links[k].join(f, be.links[k][f"i{k}"] == f["_fidx"]).select(
+            F.col("_blk").alias("_rblk"), F.lit(k).alias("_mode"), F.col("_fidx").alias("idx"), "v")
+        routed = rk if routed is None else routed.unionByName(rk)
+    return routed
+
+
+def _lookup(ent: pd.DataFrame, rt: pd.DataFrame, modes: Sequence[int], rank: int) -> dict[int, np.ndarray]:
+    """Row ``F_k[i_k]`` for every entry of a block and every mode in ``modes``."""
+    rows = {}
+    kinds = rt["_mode"].to_numpy()
+    for k in modes:
+        sel = kinds == k
+        idx = rt["idx"].to_numpy()[sel]
+        vals = np.stack(rt["v"].to_numpy()[sel]) if sel.any() else np.zeros((0, rank))
+        pos = pd.Index(idx).get_indexer(ent[f"i{k}"].to_numpy())
+        if (pos < 0).any():
+            raise ValueError(f"factor rows missing for mode {k} in a block")
+        rows[k] = vals[pos]
+    return rows
+
+
 def blocked_partials(spark: SparkSession, be: BlockedEntries, factors: Mapping[int, DataFrame],
                      block: Sequence[int], rank: int, side: int = 0) -> DataFrame:
     """Partial normal equations ``key, _s, n, g`` per block (no entry shuffle)."""
@@ -87,12 +115,7 @@ def blocked_partials(spark: SparkSession, be: BlockedEntries, factors: Mapping[i
     others = [k for k in range(n) if k != mode]
     rest = [r for r in range(rank) if r not in set(block)]
     needed = others + ([mode] if rest else [])
-    routed = None
-    for k in needed:
-        f = maybe_broadcast(spark, factors[k].select(F.col("idx").alias("_fidx"), "v"), t.dims[k], rank)
-        rk = be.links[k].join(f, be.links[k][f"i{k}"] == f["_fidx"]).select(
-            F.col("_blk").alias("_rblk"), F.lit(k).alias("_mode"), F.col("_fidx").alias("idx"), "v")
-        routed = rk if routed is None else routed.unionByName(rk)
+    routed = _routed(spark, be, factors, needed, rank)
     blk_cols = list(block)
     k_width = len(blk_cols)
 
@@ -100,16 +123,7 @@ def blocked_partials(spark: SparkSession, be: BlockedEntries, factors: Mapping[i
         if ent.empty:
             return pd.DataFrame({"key": pd.Series([], dtype="int64"), "_s": pd.Series([], dtype="int32"),
                                  "n": pd.Series([], dtype="int64"), "g": pd.Series([], dtype="object")})
-        rows = {}
-        modes = rt["_mode"].to_numpy()
-        for k in needed:
-            sel = modes == k
-            idx = rt["idx"].to_numpy()[sel]
-            vals = np.stack(rt["v"].to_numpy()[sel]) if sel.any() else np.zeros((0, rank))
-            pos = pd.Index(idx).get_indexer(ent[f"i{k}"].to_numpy())
-            if (pos < 0).any():
-                raise ValueError(f"factor rows missing for mode {k} in a block")
-            rows[k] = vals[pos]
+        rows = _lookup(ent, rt, needed, rank)
         a = np.ones((len(ent), k_width))
         for k in others:
             a *= rows[k][:, blk_cols]
@@ -129,3 +143,24 @@ def blocked_partials(spark: SparkSession, be: BlockedEntries, factors: Mapping[i
                              "n": counts.astype("int64"), "g": list(g)})
 
     return t.entries.groupBy("_blk").cogroup(routed.groupBy("_rblk")).applyInPandas(fn, PARTIAL_SCHEMA)
+
+
+def blocked_squared_error(spark: SparkSession, be: BlockedEntries, factors: Mapping[int, DataFrame],
+                          rank: int) -> DataFrame:
+    """One row ``(sse, n)``: the training loss of the blocked tensor, entries read in place."""
+    n_modes = be.tensor.n_modes
+    routed = _routed(spark, be, factors, list(range(n_modes)), rank)
+
+    def fn(ent: pd.DataFrame, rt: pd.DataFrame) -> pd.DataFrame:
+        if ent.empty:
+            return pd.DataFrame({"sse": [0.0], "n": [0]})
+        rows = _lookup(ent, rt, range(n_modes), rank)
+        prod = np.ones((len(ent), rank))
+        for k in range(n_modes):
+            prod *= rows[k]
+        d = ent["y"].to_numpy(dtype="float64") - prod.sum(axis=1)
+        return pd.DataFrame({"sse": [float(d @ d)], "n": [len(ent)]})
+
+    per_block = be.tensor.entries.groupBy("_blk").cogroup(routed.groupBy("_rblk")).applyInPandas(
+        fn, "sse double, n long")
+    return per_block.agg(F.sum("sse").alias("sse"), F.sum("n").cast("long").alias("n"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinfold.functions.columns import entry_columns
-from twinfold.operators.blocked import BlockedEntries, block_entries, needs_blocking
+from twinfold.operators.blocked import BlockedEntries, block_entries, blocked_squared_error, needs_blocking
 from twinfold.operators.factors import copy_factor, init_factor, means_rows
 from twinfold.operators.predict import loss_table, mean_loss, rmse, training_loss
 from twinfold.operators.tensor import check, cluster_by_mode, partitions_for
@@ -157,8 +157,13 @@ def _log(verbose: bool, msg: str) -> None:
 
 
 def evaluate(spark: SparkSession, tensors: Sequence[Tensor], valid: Sequence[Tensor] | None,
-             store: FactorStore, rank: int) -> tuple[dict, dict, dict]:
-    """One job: column means of every factor, SSE and count of every tensor."""
+             store: FactorStore, rank: int, blocked: Sequence[BlockedEntries | None] | None = None,
+             ) -> tuple[dict, dict, dict]:
+    """One job: column means of every factor, SSE and count of every tensor.
+
+    A tensor in the blocked layout computes its training SSE block by block
+    (factor rows routed to the cached blocks), so no entry shuffle happens.
+    """
     means_df = means_rows(store.frames, rank).select(
         F.lit("mean").alias("kind"), "tensor", "mode", "col", F.col("mean").alias("value"),
         F.lit(None).cast("long").alias("n"))
@@ -166,7 +171,19 @@ def evaluate(spark: SparkSession, tensors: Sequence[Tensor], valid: Sequence[Ten
     for prefix, ts in (("train", tensors), ("valid", valid)):
         if not ts:
             continue
-        lt = loss_table(spark, ts, store.frames, rank, prefix)
+        if prefix == "train" and blocked and any(b is not None for b in blocked):
+            lt = None
+            for t, ten in enumerate(ts):
+                if blocked[t] is not None:
+                    fac = {m: store.frames[(t, m)] for m in range(ten.n_modes)}
+                    row = blocked_squared_error(spark, blocked[t], fac, rank)
+                    row = row.select(F.lit(prefix).alias("part"), F.lit(t).alias("tensor"), "sse", "n")
+                else:
+                    row = loss_table(spark, [ten], {(0, m): store.frames[(t, m)] for m in range(ten.n_modes)},
+                                     rank, prefix).withColumn("tensor", F.lit(t))
+                lt = row if lt is None else lt.unionByName(row)
+        else:
+            lt = loss_table(spark, ts, store.frames, rank, prefix)
         parts.append(lt.select(F.col("part").alias("kind"), "tensor", F.lit(None).cast("int").alias("mode"),
                                F.lit(None).cast("int").alias("col"), F.col("sse").alias("value"), "n"))
     union = parts[0]
@@ -277,7 +294,7 @@ def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coup
 
     def step_metrics(it: int) -> tuple[dict, bool, float]:
         nonlocal prev_loss
-        means, train, val = evaluate(spark, cached, vcached, store, rank)
+        means, train, val = evaluate(spark, cached, vcached, store, rank, [b[0] for b in blocks])
         seconds = time.time() - start
         losses = [training_loss(*train[t], opts.loss) for t in range(len(cached))]
         ml = mean_loss(means[(0, mean_mode)], means[(1, mean_mode)], opts.loss)
