@@ -300,6 +300,18 @@ def _fit(spark, sf, sweeps=2):
     return _FITS[memo]
 
 
+def q_fit_one_sweep(spark, sf):
+    """The factors after one full sweep (rank 2, common 1, lcg init) over whole X1 and X2."""
+    from twinfold.plans.fit import fit
+    tensors, _, coup = tpch.coupled_pair(spark, sf, with_validation=False,
+                                         materialize=run_dir(spark, "sweep-tensors"))
+    cfg = FitConfig(rank=2, common=1, options=Options(LAM, "ls"), stop=Stop(max_iter=1), init="lcg")
+    model = fit(spark, tensors, coup, cfg)
+    table = model.factor_table(model.versions[1])
+    return table.select("tensor", "mode", "idx",
+                        *[_r(F.col("v")[c], ROUND_SOLVE).alias(f"v{c}") for c in range(2)])
+
+
 def q_fit_metrics(spark, sf):
     model, _ = _fit(spark, sf)
     return model.metrics
@@ -351,6 +363,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "update_specific": q_update_specific,
     "update_common": q_update_common,
     "gradient_x1": q_gradient_x1,
+    "fit_one_sweep": q_fit_one_sweep,
     "fit_metrics": q_fit_metrics,
     "fit_predict_validation": q_fit_predict_validation,
     "fit_best_factors": q_fit_best_factors,

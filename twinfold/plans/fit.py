@@ -102,6 +102,7 @@ class Model:
     best_validation: dict[int, tuple[int, float, dict[FactorKey, str]]] = field(default_factory=dict)
     root: str = ""
     timings: list[tuple[str, float]] = field(default_factory=list)
+    versions: dict[int, dict[FactorKey, str]] = field(default_factory=dict)
 
     def factor(self, t: int, m: int) -> DataFrame:
         return self.spark.read.schema(FACTOR_SCHEMA).parquet(self.paths[(t, m)])
@@ -369,4 +370,5 @@ def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coup
         t.entries.unpersist()
     for be in [b for per_mode in blocks for b in per_mode if b is not None]:
         be.unpersist()
-    return Model(spark, rank, common, snapshots[final], history, final, checkpoints, best, root, timings)
+    return Model(spark, rank, common, snapshots[final], history, final, checkpoints, best, root, timings,
+                 dict(snapshots))

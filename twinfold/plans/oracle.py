@@ -315,6 +315,56 @@ def q_gradient_x1():
             f"JOIN ({lcg(X1_DIMS[1], RANK, 0, 1)}) f1 ON e.i1 = f1.idx GROUP BY e.i0")
 
 
+def q_fit_one_sweep():
+    """One Gauss-Seidel sweep at rank 2, common 1 as a chain of CTEs (M4, M6, M5, M4, M5)."""
+    lam = f"CAST({LAM} AS {D})"
+    L0, L1 = f"CAST({dim('customer')} AS {D})", f"CAST({dim('supplier')} AS {D})"
+
+    def m4(entries: str, other_factor: str, own: str, own_mean: str, other_mean: str, length: str) -> str:
+        ne = (f"SELECT e.i0 AS key, sum(f.v0 * f.v0) AS a00, sum(f.v0 * f.v1) AS a01, sum(f.v1 * f.v1) AS a11, "
+              f"sum(e.y * f.v0) AS b0, sum(e.y * f.v1) AS b1 FROM {entries} e JOIN {other_factor} f ON e.i1 = f.idx "
+              f"GROUP BY e.i0")
+        pull = f"CAST(1 AS {D}) / ({length} * {length})"
+        b = [f"ne.b{c} + ({other_mean}.m{c} - ({own_mean}.m{c} - o.v{c} / {length})) / {length}" for c in range(2)]
+        x0, x1_ = cramer2(f"ne.a00 + {lam} + {pull}", "ne.a01", f"ne.a11 + {lam} + {pull}", b[0], b[1])
+        solved = (f"SELECT o.idx, {x0} AS x0, {x1_} AS x1 FROM {own} o JOIN ({ne}) ne ON o.idx = ne.key, "
+                  f"{own_mean}, {other_mean}")
+        return (f"SELECT o.idx, coalesce(s.x0, o.v0) AS v0, coalesce(s.x1, o.v1) AS v1 "
+                f"FROM {own} o LEFT JOIN ({solved}) s ON o.idx = s.idx")
+
+    def side(entries: str, f0: str, f1: str, col: int, other_col: int) -> str:
+        # design f0[col]; target y - f0[other] * f1[other]; keyed by the coupled index i1
+        return (f"SELECT e.i1 AS key, sum(g.v{col} * g.v{col}) AS aa, "
+                f"sum((e.y - g.v{other_col} * h.v{other_col}) * g.v{col}) AS ab FROM {entries} e "
+                f"JOIN {f0} g ON e.i0 = g.idx JOIN {f1} h ON e.i1 = h.idx GROUP BY e.i1")
+
+    ctes = [
+        ("x1", x1()), ("x2", x2()),
+        ("f00", lcg(X1_DIMS[0], 2, 0, 0)), ("f01", lcg(X1_DIMS[1], 2, 0, 1)),
+        ("f10", lcg(X2_DIMS[0], 2, 1, 0)), ("f11", lcg(X2_DIMS[1], 2, 1, 1)),
+        ("m00", "SELECT avg(v0) AS m0, avg(v1) AS m1 FROM f00"),
+        ("m10", "SELECT avg(v0) AS m0, avg(v1) AS m1 FROM f10"),
+        ("g00", m4("x1", "f01", "f00", "m00", "m10", L0)),
+        ("ca", side("x1", "g00", "f01", 0, 1)),
+        ("cb", side("x2", "f10", "f11", 0, 1)),
+        ("sc", f"SELECT ca.key, (ca.ab + cb.ab) / (ca.aa + cb.aa + {lam}) AS x FROM ca JOIN cb ON ca.key = cb.key"),
+        ("h01", "SELECT o.idx, coalesce(sc.x, o.v0) AS v0, o.v1 FROM f01 o LEFT JOIN sc ON o.idx = sc.key"),
+        ("h11", "SELECT o.idx, coalesce(sc.x, o.v0) AS v0, o.v1 FROM f11 o LEFT JOIN sc ON o.idx = sc.key"),
+        ("sa", side("x1", "g00", "h01", 1, 0)),
+        ("k01", f"SELECT o.idx, o.v0, coalesce(sa.ab / (sa.aa + {lam}), o.v1) AS v1 FROM h01 o "
+                f"LEFT JOIN sa ON o.idx = sa.key"),
+        ("g10", m4("x2", "h11", "f10", "m10", "m00", L1)),
+        ("sb", side("x2", "g10", "h11", 1, 0)),
+        ("k11", f"SELECT o.idx, o.v0, coalesce(sb.ab / (sb.aa + {lam}), o.v1) AS v1 FROM h11 o "
+                f"LEFT JOIN sb ON o.idx = sb.key"),
+    ]
+    outs = [(0, 0, "g00"), (0, 1, "k01"), (1, 0, "g10"), (1, 1, "k11")]
+    body = " UNION ALL ".join(
+        f"SELECT {t} AS tensor, {m} AS mode, idx, {r('v0', ROUND_SOLVE)} AS v0, {r('v1', ROUND_SOLVE)} AS v1 "
+        f"FROM {name}" for t, m, name in outs)
+    return "WITH " + ", ".join(f"{n} AS ({q})" for n, q in ctes) + " " + body
+
+
 ORACLE = {
     "tensor_x1": q_tensor_x1,
     "tensor_x2": q_tensor_x2,
@@ -346,6 +396,7 @@ ORACLE = {
     "update_specific": q_update_specific,
     "update_common": q_update_common,
     "gradient_x1": q_gradient_x1,
+    "fit_one_sweep": q_fit_one_sweep,
 }
 
 
