@@ -8,11 +8,15 @@ batch size. Null text counts as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 BLOCK_BYTES = 1 << 19
 
@@ -162,3 +166,35 @@ def split_words(block: Block, is_word: np.ndarray) -> Words:
     kept = np.flatnonzero(inside)
     out[kept + np.repeat(shift - starts, lengths)] = block.data[kept]
     return Words(out, shift, shift + lengths, first)
+
+
+def map_text(docs: DataFrame, text_col: str, fields: list[tuple[str, T.DataType]],
+             fn: Callable[[Block], list], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with one new column per field, computed from the text of each row (no shuffle).
+
+    ``fn`` gets a block and returns one array (NumPy, Arrow or list) per field, one value per row. Every input
+    column passes through, except that a new column replaces an input column of the same name.
+    """
+    names = docs.columns
+    new = {name.lower() for name, _ in fields}
+    kept = [i for i, name in enumerate(names) if name.lower() not in new or name.lower() == text_col.lower()]
+    at = [n.lower() for n in names].index(text_col.lower())
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("t", F.col(f"c{at}").cast("string"))
+    carried = numbered.select("t", *[f"c{i}" for i in kept if i != at])
+    schema = T.StructType(list(carried.schema.fields) + [T.StructField(f"n{i}", t) for i, (_, t) in enumerate(fields)])
+    kinds = [to_arrow_type(t) for _, t in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [fn(block) for block in text_blocks(batch.column(0), block_bytes)]
+            extra = [pa.concat_arrays([_arrow(m[i], kind) for m in made]) if made else pa.array([], kind)
+                     for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(list(batch.columns) + extra, names=schema.names)
+
+    out = carried.mapInArrow(run, schema)
+    back = [F.col("t" if i == at else f"c{i}").alias(names[i]) for i in kept if names[i].lower() not in new]
+    return out.select(*back, *[F.col(f"n{i}").alias(name) for i, (name, _) in enumerate(fields)])
+
+
+def _arrow(values, kind: pa.DataType) -> pa.Array:
+    return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
