@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import decontaminate, simhash
+from twinfold.llm import decontaminate, simhash, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +24,15 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of every byte under a 200-byte string that starts anywhere else."""
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(spark, _table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_decontaminate": op4_decontaminate,
+    "op5_suffix_dedup": op5_suffix_dedup,
 }
 
 SQL: dict[str, str] = {}
