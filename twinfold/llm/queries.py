@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import decontaminate, simhash, suffix_dedup
+from twinfold.llm import decontaminate, simhash, suffix_dedup, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +29,16 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(spark, _table(spark, sf_dir, "documents")))
 
 
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowed fingerprints of every document and of its edited text, with their likeness."""
+    return winnow.edited_neighbours(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_decontaminate": op4_decontaminate,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op9_winnowing": op9_winnowing,
 }
 
 SQL: dict[str, str] = {}
