@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import decontaminate, mixing, simhash, suffix_dedup, winnow
+from twinfold.llm import decontaminate, line_crf, mixing, simhash, suffix_dedup, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,15 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(spark, _table(spark, sf_dir, "documents")))
 
 
+def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; learnt from documents that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = line_crf.train(spark, docs, _table(spark, sf_dir, "labels"))
+    return line_crf.score_documents(docs.select("doc_id", "text"), model).select(
+        "doc_id", line_crf.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= line_crf.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winnowed fingerprints of every document and of its edited text, with their likeness."""
     return winnow.edited_neighbours(_table(spark, sf_dir, "documents"))
@@ -44,6 +53,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_decontaminate": op4_decontaminate,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op7_line_crf": op7_line_crf,
     "op9_winnowing": op9_winnowing,
     "op10_mixing": op10_mixing,
 }
