@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import decontaminate, line_crf, mixing, simhash, suffix_dedup, winnow
+from twinfold.llm import decontaminate, line_crf, line_dedup, mixing, simhash, suffix_dedup, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,12 @@ def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= line_crf.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of lines that repeat an earlier line up to one edited word."""
+    found = line_dedup.dedup_lines(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winnowed fingerprints of every document and of its edited text, with their likeness."""
     return winnow.edited_neighbours(_table(spark, sf_dir, "documents"))
@@ -54,6 +60,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op7_line_crf": op7_line_crf,
+    "op8_line_dedup": op8_line_dedup,
     "op9_winnowing": op9_winnowing,
     "op10_mixing": op10_mixing,
 }
