@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import decontaminate, line_crf, line_dedup, mixing, simhash, suffix_dedup, winnow
+from twinfold.llm import decontaminate, line_crf, line_dedup, mixing, simhash, suffix_dedup, url_templates, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url: its rule's, else that of its host's path template."""
+    return url_templates.judge_urls(spark, _table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document (4-word shingles, at most 4 differing bits)."""
     found = simhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
@@ -56,6 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_templates": op1_url_templates,
     "op3_simhash": op3_simhash,
     "op4_decontaminate": op4_decontaminate,
     "op5_suffix_dedup": op5_suffix_dedup,
