@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import decontaminate, line_crf, line_dedup, mixing, simhash, suffix_dedup, url_templates, winnow
+from twinfold.llm import decontaminate, line_crf, line_dedup, mixing, secrets, simhash, suffix_dedup, url_templates, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(spark, _table(spark, sf_dir, "documents")))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: fixed patterns and inferred formats."""
+    return secrets.digest(secrets.find_secrets(spark, _table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; learnt from documents that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -65,6 +70,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_decontaminate": op4_decontaminate,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_secrets": op6_secrets,
     "op7_line_crf": op7_line_crf,
     "op8_line_dedup": op8_line_dedup,
     "op9_winnowing": op9_winnowing,
