@@ -45,10 +45,21 @@ def corpus(seed, passage=60):
     return rows + [(100, rows[20][1]), (101, rows[20][1]), (102, rows[30][1] + "x"), (103, "y" + rows[30][1])]
 
 
-@pytest.mark.parametrize("threshold,gram", [(200, 32), (50, 16), (40, 40)])
-def test_matches_brute_force(spark, threshold, gram):
+@pytest.mark.parametrize("threshold,gram,light", [(200, 64, 500), (200, 32, 2), (50, 16, 1), (40, 40, 5)])
+def test_matches_brute_force(spark, threshold, gram, light):
     rows = corpus(threshold)
-    assert got(spark, rows, threshold=threshold, gram=gram) == brute(rows, threshold)
+    assert got(spark, rows, threshold=threshold, gram=gram, light=light) == brute(rows, threshold)
+
+
+def test_crowded_pieces(spark):
+    rows = corpus(12)
+    assert got(spark, rows, light=1, crowded=1) == brute(rows, 200)
+    assert got(spark, rows, light=2, crowded=3, threshold=60, gram=20) == brute(rows, 60)
+
+
+def test_a_long_list_of_heavy_pieces_raises_the_bound(spark):
+    rows = corpus(11)
+    assert got(spark, rows, light=1, heavy_list=3) == brute(rows, 200)
 
 
 def test_repeated_and_null_ids(spark):

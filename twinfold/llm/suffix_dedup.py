@@ -10,15 +10,21 @@ first, a pass drops every group of one, and a digit is a whole range of bytes, c
    own ``gram``-byte pieces, the one with the smallest hash (leftmost if tied). Equal strings choose equal
    pieces at equal offsets, so only strings filed under equal pieces can be equal. An anchor is a piece
    together with all strings filed under it; they overlap, and there are about threshold/2 of them.
-2. *First digit*: the piece. Pieces that occur once go (most of the corpus ends here).
+2. *First digit*: the piece. Pieces that occur once go (most of an ordinary corpus ends here).
 3. *Second digit*: the whole range that the anchor's strings span. Anchors equal in it repeat all their
    strings at once. What is left are the rims of repeated passages.
-4. *Last digit*: each rim anchor's strings one by one. They meet the strings of other rims and of one
-   representative per group of equal anchors; equal ones repeat.
+4. *Last digit*: each rim anchor's strings one by one. They meet the strings of other rims of the same piece and of
+   one representative per group of equal anchors; equal ones repeat.
 
 Digits are compared by 64-bit hashes of the bytes, the later ones always together with the earlier
-ones (the last digit by 128 bits). Counting combines in the tasks before every shuffle and groups are matched
-by joins, so a string that a third of all documents share is never gathered in one task.
+ones (the last digit by 128 bits).
+
+Scale. Counts of the first digit combine in the tasks before the shuffle. Pieces that occur at most
+``light`` times are sorted further in one more shuffle, group by group, in memory that ``light`` bounds. Pieces
+that occur more often (the list of them is broadcast only while it has at most ``heavy_list`` entries; beyond that
+``light`` doubles) take the same digits by combined counts and joins; what is left of them is compared in memory too if
+it has at most ``crowded`` different surroundings, and by further counts and joins if it has more, so no task
+ever gathers them. Texts are moved compressed.
 """
 
 from __future__ import annotations
@@ -27,15 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinfold.llm.storage import cut
-from twinfold.llm.textblocks import RangeHash, sliding_min, text_blocks
+from twinfold.llm.storage import cut, number_rows
+from twinfold.llm.textblocks import RangeHash, mix, sliding_min, text_blocks
 
 THRESHOLD = 200
-GRAM = 32
+GRAM = 64
+LIGHT = 500
+HEAVY_LIST = 1_000_000
+CROWDED = 4096
 _PIECE = 1 << 19
 _FIRST, _SECOND = RangeHash(201), RangeHash(202)
 _SLOT_BITS = 20
@@ -90,81 +99,231 @@ def _anchor_rows(docs: DataFrame, threshold: int, gram: int, only_gram: bool = F
     return docs.select("row_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _string_rows(docs: DataFrame, threshold: int) -> DataFrame:
-    """``h1, h2, row_id, start, rim`` of every string of the anchors listed in ``anchors`` (negative: representative only)."""
+def _packed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the text as compressed bytes (``blob``) and its length, for a shuffle."""
+    others = [c for c in docs.columns if c != "text"]
+    schema = T.StructType([docs.schema[c] for c in others] + [T.StructField("n_bytes", T.LongType()),
+                                                              T.StructField("blob", T.BinaryType())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h1", "h2", "row_id", "start", "rim"]
+        codec = pa.Codec("zstd")
         for batch in batches:
-            listed = batch.column(2)
-            for b in text_blocks(batch.column(1)):
-                # Each string of each listed anchor, in the block's coordinates.
-                values = listed.slice(b.first, b.rows)
-                packed = values.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                count = np.diff(values.offsets.to_numpy()).astype(np.int64)
-                row = np.repeat(np.arange(b.rows), count)
-                rim, packed = packed >= 0, np.where(packed >= 0, packed, -packed - 1)
-                at = packed >> 24
-                first, last = at - ((packed >> 12) & 4095), at - (packed & 4095)
+            for b in text_blocks(batch.column(0)):
+                blobs = [codec.compress(b.data[s:e], asbytes=True) for s, e in zip(b.offsets.tolist(), b.offsets[1:].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [c.slice(b.first, b.rows) for c in batch.columns[1:]]
+                    + [pa.array(np.diff(b.offsets)), pa.array(blobs, pa.binary())], names=schema.names)
+
+    return docs.select("text", *others).mapInArrow(run, schema)
+
+
+def _unpack(size: int, blob: bytes) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(blob, size), np.uint8) if size else np.empty(0, np.uint8)
+
+
+def _contexts(docs: DataFrame, listed: DataFrame, threshold: int) -> DataFrame:
+    """The listed anchors with the bytes that their strings span from ``start``, ``lead`` bytes before the anchor."""
+    per_row = listed.groupBy("row_id").agg(F.collect_list(F.struct("at", "gram", "rim", "heavy")).alias("listed"))
+    names = ["gram", "heavy", "rim", "row_id", "start", "lead", "bytes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                data = _unpack(batch.column(1)[r].as_py(), batch.column(2)[r].as_py())
+                entries = batch.column(3)[r].values
+                at = entries.field("at").to_numpy()
+                first, last = (at >> 24) - ((at >> 12) & 4095), (at >> 24) - (at & 4095)
+                cuts = [data[s:e].tobytes() for s, e in zip(first.tolist(), (last + threshold).tolist())]
+                ids = pa.array(np.full(len(at), batch.column(0)[r].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([entries.field("gram"), entries.field("heavy"), entries.field("rim"), ids,
+                                                  pa.array(first), pa.array((at >> 12) & 4095), pa.array(cuts, pa.binary())],
+                                                 names=names)
+
+    joined = _packed(docs.select("row_id", "text")).join(per_row, "row_id")
+    return joined.select("row_id", "n_bytes", "blob", "listed").mapInArrow(
+        run, "gram long, heavy boolean, rim boolean, row_id long, start long, lead long, bytes binary")
+
+
+def _strings(column: pa.Array, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, offset in the row, two hashes) of every string of ``threshold`` bytes inside the rows of a binary column."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+    offsets = offsets - offsets[0]
+    n = np.maximum(np.diff(offsets) - threshold + 1, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    begin = offsets[row] + place
+    hashes = [maker.ranges(maker.prefix(data), begin, begin + threshold) for maker in (_FIRST, _SECOND)]
+    return row, place, *hashes
+
+
+def _pieces(batch: pa.RecordBatch, size: int = 1 << 12) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, batch.num_rows, size):
+        yield batch.slice(lo, size)
+
+
+def _light_rims(contexts: DataFrame, threshold: int) -> DataFrame:
+    """Repeated ranges of rim anchors whose pieces are light: groups meet in one task and are compared in memory."""
+    def emit(table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        row, place, h1, h2 = _strings(table.column("bytes"), threshold)
+        _, which, count = np.unique(np.stack([h1, h2], axis=1), axis=0, return_inverse=True, return_counts=True)
+        rim = table.column("rim").to_numpy(zero_copy_only=False).astype(bool)
+        hit = np.flatnonzero((count[which.ravel()] > 1) & rim[row])
+        if not len(hit):
+            return
+        # Strings that follow each other in one context are one range.
+        opens = np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(row[hit]) != 0)])
+        begin = np.flatnonzero(opens)
+        end = np.append(begin[1:], len(hit)) - 1
+        start = table.column("start").to_numpy()[row[hit[begin]]]
+        yield pa.record_batch([table.column("row_id").take(pa.array(row[hit[begin]])),
+                               pa.array(start + place[hit[begin]]), pa.array(start + place[hit[end]] + threshold)],
+                              names=["row_id", "start", "stop"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for piece in _pieces(batch):
+                if held is not None:
+                    piece = pa.Table.from_batches([held, piece]).combine_chunks().to_batches()[0]
+                gram = piece.column("gram").to_numpy()
+                cut_at = int(np.searchsorted(gram, gram[-1]))
+                held = piece.slice(cut_at)
+                if cut_at:
+                    yield from emit(piece.slice(0, cut_at))
+        if held is not None:
+            yield from emit(held)
+
+    return (contexts.where("NOT heavy").select("gram", "rim", "row_id", "start", "bytes").repartition("gram")
+            .sortWithinPartitions("gram").mapInArrow(run, "row_id long, start long, stop long"))
+
+
+def _heavy_rims(spark: SparkSession, contexts: DataFrame, threshold: int) -> DataFrame:
+    """The same for heavy pieces, by counts and joins across tasks.
+
+    The last digit is refined in steps: strings are taken in blocks of neighbouring offsets from the anchor, of ever
+    smaller size. What all strings of a block share is necessary for any of them to repeat: blocks alone in it go.
+    What they span together is sufficient: blocks equal in it repeat at once. The others are cut into smaller blocks
+    (and meet one representative of those already settled), so a context makes a few rows per step, not one per string.
+    """
+    columns = ["gram", "rim", "row_id", "start", "lead", "bytes"]
+    active = contexts.select(*columns, F.lit(0).alias("block"))
+    found, before = None, None
+    for size in _BLOCKS:
+        rows = cut(spark, _blocks(active, threshold, size, before), "blocks")
+        before = size
+        here = ["gram", "block", "common"]
+        counts = rows.groupBy(*here).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        spans = rows.groupBy("gram", "block", "spanned").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        met = (rows.join(counts, here).join(spans.withColumn("settled", F.lit(True)), ["gram", "block", "spanned"], "left")
+               .withColumn("settled", F.coalesce("settled", F.lit(size == 1))))
+        met = cut(spark, met, "blocks")
+        settled = met.where("rim AND settled").select("row_id", F.col("from").alias("start"), F.col("to").alias("stop"))
+        found = settled if found is None else found.unionByName(settled)
+        if size == 1:
+            return found
+        open_groups = met.where("rim AND NOT settled").select(*here).distinct()
+        going = met.join(open_groups, here)
+        one = F.struct("row_id", "start", "lead", "bytes")
+        partners = (going.where("settled OR NOT rim").groupBy("gram", "block", "spanned").agg(F.min(one).alias("one"))
+                    .select("gram", F.lit(False).alias("rim"), "one.*", "block"))
+        active = going.where("rim AND NOT settled").select(*columns, "block").unionByName(partners)
+    return found
+
+
+_BLOCKS = (64, 16, 4, 1)
+
+
+def _blocks(active: DataFrame, threshold: int, size: int, before: int | None) -> DataFrame:
+    """Every context with each of its blocks of ``size`` offsets inside its block of ``before`` offsets (None: all), the hash
+    of what the block's strings share (``common``), of what they span (``spanned``), and that range (``from, to``)."""
+    names = ["gram", "rim", "row_id", "start", "lead", "bytes", "block", "common", "spanned", "from", "to"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in _pieces(batch):
+                start, lead, parent = (piece.column(c).to_numpy() for c in ("start", "lead", "block"))
+                column = piece.column("bytes")
+                ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+                data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0]:ends[-1]]
+                ends = ends - ends[0]
+                # String i of a context lies lead - i before the anchor.
+                low = lead - (np.diff(ends) - threshold)
+                first, last = low // size, lead // size
+                if before is not None:
+                    first = np.maximum(first, parent * (before // size))
+                    last = np.minimum(last, (parent + 1) * (before // size) - 1)
                 n = last - first + 1
-                for lo in range(0, len(row), 1 << 12):
-                    k = n[lo:lo + (1 << 12)]
-                    rows = np.repeat(row[lo:lo + (1 << 12)], k)
-                    start = (np.repeat(first[lo:lo + (1 << 12)], k) + np.arange(k.sum())
-                             - np.repeat(np.cumsum(k) - k, k))
-                    begin = b.offsets[rows] + start
-                    h1, h2 = _two_hashes(b.data, begin, threshold)
-                    yield pa.record_batch([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
-                                           batch.column(0).take(pa.array(rows + b.first)), pa.array(start),
-                                           pa.array(np.repeat(rim[lo:lo + (1 << 12)], k))], names=names)
-
-    return docs.select("row_id", "text", "anchors").mapInArrow(
-        run, "h1 long, h2 long, row_id long, start long, rim boolean")
-
-
-def _two_hashes(data: np.ndarray, begin: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of the strings that begin at ``begin`` (sorted within pieces of the data)."""
-    h1, h2 = np.empty(len(begin), np.uint64), np.empty(len(begin), np.uint64)
-    order = np.argsort(begin, kind="stable")
-    ranked = begin[order]
-    at = 0
-    while at < len(ranked):
-        lo = ranked[at]
-        stop = int(np.searchsorted(ranked, lo + _PIECE, side="left"))
-        part = data[lo:ranked[stop - 1] + threshold]
-        here = ranked[at:stop] - lo
-        for maker, out in ((_FIRST, h1), (_SECOND, h2)):
-            out[order[at:stop]] = maker.ranges(maker.prefix(part), here, here + threshold)
-        at = stop
-    return h1, h2
-
-
-def repeated_spans(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
+                row = np.repeat(np.arange(len(n)), n)
+                block = first[row] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                near, far = block * size, block * size + size - 1
+                origin = ends[row] + lead[row]
+                prefix = _FIRST.prefix(data)
+                # Shared by all offsets of the block, whether the context has them all or not (nothing if it is too wide).
+                share = _FIRST.ranges(prefix, origin - near, np.maximum(origin - far + threshold, origin - near))
+                near, far = np.maximum(near, low[row]), np.minimum(far, lead[row])
+                begin, end = origin - far, origin - near + threshold
+                span = mix(_FIRST.ranges(prefix, begin, end) + (near * 4096 + far).astype(np.uint64))
+                shift = start[row] - ends[row]
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(c).take(take) for c in names[:6]]
+                    + [pa.array(block), pa.array(share.view(np.int64)), pa.array(span.view(np.int64)),
+                       pa.array(begin + shift), pa.array(end + shift)], names=names)
+
+    schema = "gram long, rim boolean, row_id long, start long, lead long, bytes binary, block long, common long, spanned long, `from` long, `to` long"
+    return active.select(*names[:6], F.col("block").cast("long").alias("block")).mapInArrow(run, schema)
+
+
+def _heavy_pieces(spark: SparkSession, twice: DataFrame, light: int, heavy_list: int) -> tuple[DataFrame, int]:
+    """Pieces that occur more than ``light`` times, with ``light`` doubled until the list is short enough to broadcast."""
+    while twice.where(F.col("n") > light).count() > heavy_list:
+        light *= 2
+    return twice.where(F.col("n") > light).select("gram"), light
+
+
+def repeated_spans(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM,
+                   light: int = LIGHT, heavy_list: int = HEAVY_LIST, crowded: int = CROWDED) -> DataFrame:
     """``row_id, start, stop``: byte ranges of ``docs(row_id long, text)`` whose strings repeat (ranges may overlap)."""
-    twice = (_anchor_rows(docs, threshold, gram, only_gram=True).groupBy("gram").agg(F.count("*").alias("n"))
-             .where("n > 1").select("gram"))
-    members = cut(spark, _anchor_rows(docs, threshold, gram).join(twice, "gram"), "anchors")
-    first = F.expr("(at >> 24) - ((at >> 12) & 4095)")
-    stop = F.expr("(at >> 24) - (at & 4095)") + threshold
+    twice = cut(spark, _anchor_rows(docs, threshold, gram, only_gram=True).groupBy("gram")
+                .agg(F.count("*").alias("n")).where("n > 1"), "pieces")
+    heavy, light = _heavy_pieces(spark, twice, light, heavy_list)
     # The offsets are part of the second digit: equal ranges at equal offsets hold equal strings.
     digit = ["gram", "spread", "shape"]
-    members = members.withColumn("shape", F.expr("at & 16777215"))
+    anchors = _anchor_rows(docs, threshold, gram).withColumn("shape", F.expr("at & 16777215"))
+    # At most heavy_list longs.
+    few = F.broadcast(heavy)
+    group, piece = Window.partitionBy(*digit), Window.partitionBy("gram")
+    sorted_light = (anchors.join(few, "gram", "left_anti").join(twice.where(F.col("n") <= light).select("gram"), "gram")
+                    .withColumn("n", F.count("*").over(group))
+                    .withColumn("nth", F.row_number().over(group.orderBy("row_id", "at")))
+                    .withColumn("rims", F.sum(F.expr("CAST(n = 1 AS int)")).over(piece)))
+    role = F.expr("CASE WHEN n = 1 THEN 2 WHEN nth = 1 AND rims > 0 THEN 1 ELSE 0 END")
+    states = cut(spark, sorted_light.select("row_id", "at", role.alias("role"),
+                                            F.when(role > 0, F.col("gram")).alias("gram")), "light")
+    first = F.expr("(at >> 24) - ((at >> 12) & 4095)")
+    stop = F.expr("(at >> 24) - (at & 4095)") + threshold
+
+    members = cut(spark, anchors.join(few, "gram"), "heavy")
     groups = members.groupBy(*digit).agg(F.count("*").alias("n"), F.min(F.struct("row_id", "at")).alias("one"))
-    rims = groups.where("n = 1").select("gram").distinct()
-    whole = (members.join(groups.where("n > 1").select(*digit), digit)
+    # A heavy piece with few different surroundings is as small as a light one by now.
+    crowd = groups.groupBy("gram").agg(F.count("*").alias("classes"), F.min("n").alias("n")).where("n = 1").drop("n")
+    listed_heavy = groups.join(crowd, "gram").select("one.row_id", "one.at", "gram", F.expr("n = 1").alias("rim"),
+                                                     (F.col("classes") > crowded).alias("heavy"))
+    whole = (states.where("role < 2").select("row_id", "at")
+             .unionByName(members.join(groups.where("n > 1").select(*digit), digit).select("row_id", "at"))
              .select("row_id", first.alias("start"), stop.alias("stop")))
-    listed = (groups.join(rims, "gram")
-              .select(F.col("one.row_id").alias("row_id"),
-                      F.expr("CASE WHEN n = 1 THEN one.at ELSE -one.at - 1 END").alias("at")))
-    anchors = listed.groupBy("row_id").agg(F.collect_list("at").alias("anchors"))
-    strings = cut(spark, _string_rows(docs.join(anchors, "row_id"), threshold), "strings")
-    equal = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    rim = (strings.where("rim").join(equal, ["h1", "h2"])
-           .select("row_id", "start", (F.col("start") + threshold).alias("stop")))
-    return whole.unionByName(rim)
+    listed = (states.where("role > 0").select("row_id", "at", "gram", F.expr("role = 2").alias("rim"),
+                                              F.lit(False).alias("heavy")).unionByName(listed_heavy))
+    contexts = cut(spark, _contexts(docs, listed, threshold), "contexts")
+    out = whole.unionByName(_light_rims(contexts, threshold))
+    heavy_contexts = contexts.where("heavy")
+    return out if heavy_contexts.isEmpty() else out.unionByName(_heavy_rims(spark, heavy_contexts, threshold))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
+                   threshold: int = THRESHOLD, gram: int = GRAM, light: int = LIGHT,
+                   heavy_list: int = HEAVY_LIST, crowded: int = CROWDED) -> DataFrame:
     """``doc_id, n_bytes, removed, kept`` per input row: ``removed`` holds the maximal removed byte ranges
     (``start, stop``), ``kept`` the remaining bytes.
 
@@ -172,26 +331,26 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     text. Null and repeated doc_ids are fine: rows are told apart by a number of their own, written down once.
     An empty table gives an empty result.
     """
-    if not gram <= threshold < 4096:
-        raise ValueError("threshold must be at least gram and below 4096")
+    if not gram <= threshold < 2048:
+        raise ValueError("threshold must be at least gram and below 2048")
     numbered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = _numbered(spark, numbered)
-    spans = repeated_spans(spark, rows.select("row_id", "text"), threshold, gram)
-    listed = spans.distinct().groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    joined = rows.join(listed, "row_id", "left")
-    return _apply(joined)
+    rows = number_rows(spark, numbered).drop("rank")
+    spans = repeated_spans(spark, rows.select("row_id", "text"), threshold, gram, light, heavy_list, crowded)
+    # A range is shorter than 2 * threshold + 1: both ends fit one long.
+    listed = (spans.select("row_id", F.expr("(start << 12) | (stop - start)").alias("span"))
+              .groupBy("row_id").agg(F.collect_list("span").alias("spans")))
+    return _apply(_packed(rows).join(listed, "row_id", "left"))
 
 
-def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Rows with a ``row_id``: the doc_id where it names its row alone, else a written number (negative)."""
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
-    plain = docs.schema["doc_id"].dataType in (T.LongType(), T.IntegerType())
-    if plain and docs.where("doc_id IS NULL OR doc_id < 0").isEmpty() and ids.where("n > 1").isEmpty():
-        return docs.withColumn("row_id", F.col("doc_id").cast("long"))
-    return cut(spark, docs.withColumn("row_id", F.monotonically_increasing_id()), "rows")
+_RANGES = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
 
 
-_RANGES = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
+def _merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of the union of packed ranges."""
+    spans = np.sort(spans)
+    start, stop = spans >> 12, np.maximum.accumulate((spans >> 12) + (spans & 4095))
+    new = np.concatenate([[True], start[1:] > stop[:-1]])
+    return start[new], stop[np.append(np.flatnonzero(new)[1:], len(spans)) - 1]
 
 
 def _apply(joined: DataFrame) -> DataFrame:
@@ -201,29 +360,25 @@ def _apply(joined: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column(2)
-            for b in text_blocks(batch.column(1)):
+            for piece in _pieces(batch, 1 << 9):
                 removed, kept = [], []
-                mine = spans.slice(b.first, b.rows).to_pylist()
-                for r, ranges in enumerate(mine):
-                    text = b.data[b.offsets[r]:b.offsets[r + 1]]
-                    merged: list = []
-                    for s in ranges or ():
-                        if merged and s["start"] <= merged[-1]["stop"]:
-                            merged[-1]["stop"] = max(merged[-1]["stop"], s["stop"])
-                        else:
-                            merged.append(dict(s))
-                    keep, at = [], 0
-                    for s in merged:
-                        keep.append(text[at:s["start"]].tobytes())
-                        at = s["stop"]
-                    keep.append(text[at:].tobytes())
-                    removed.append(merged)
-                    kept.append(b"".join(keep))
-                yield pa.record_batch([batch.column(0).slice(b.first, b.rows), pa.array(np.diff(b.offsets)),
-                                       pa.array(removed, kind), pa.array(kept, pa.binary())], names=schema.names)
-
-    return joined.select("doc_id", "text", "spans").mapInArrow(run, schema)
+                for r in range(piece.num_rows):
+                    text = _unpack(piece.column(1)[r].as_py(), piece.column(2)[r].as_py())
+                    if not piece.column(3)[r].is_valid:
+                        removed.append([])
+                        kept.append(text.tobytes())
+                        continue
+                    start, stop = _merged(piece.column(3)[r].values.to_numpy())
+                    change = np.zeros(len(text) + 1, np.int8)
+                    change[start] += 1
+                    change[stop] -= 1
+                    keep = np.cumsum(change[:-1], dtype=np.int8) == 0
+                    removed.append([{"start": s, "stop": e} for s, e in zip(start.tolist(), stop.tolist())])
+                    kept.append(text[keep].tobytes())
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(removed, kind),
+                                                  pa.array(kept, pa.binary())], names=schema.names)
+
+    return joined.select("doc_id", "n_bytes", "blob", "spans").mapInArrow(run, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
