@@ -23,8 +23,8 @@ def brute(rows, min_words=5):
             continue
         keep = []
         for line in text.split("\n"):
-            w = line.strip(" \t\r\x0b\f").split(" ")
-            if len(w) < min_words or line.strip(" \t\r\x0b\f") == "":
+            w = line.strip(" ").split(" ")
+            if len(w) < min_words or line.strip(" ") == "":
                 keep.append(line)
                 continue
             if not any(distance_one(w, e) for e in earlier):

@@ -1,6 +1,6 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame functions only.
 
-A line is judged by its words: the pieces between single spaces of the line without blanks at its ends. Lines of fewer
+A line is judged by its words: the pieces between single spaces of the line without the spaces at its ends. Lines of fewer
 than ``min_words`` words are kept. Of all others a line goes if an earlier line (by doc_id, then position)
 has the same words or words that one edit turns into the line's: one word replaced, inserted or left out. With
 five words or more, lines that are one edit apart agree in four fifths of their words at least.
@@ -29,12 +29,11 @@ from twinfold.llm.storage import broadcast_if_small, cut, number_rows
 
 MIN_WORDS = 5
 MAX_BROADCAST = 1_000_000
-_BLANKS = " \t\r\x0b\f"
 _ORDER = ("rank", "row_id", "line_no")
 
 
 def _clean(line: Column) -> Column:
-    return F.btrim(line, F.lit(_BLANKS))
+    return F.trim(line)
 
 
 def _count(clean: Column) -> Column:
@@ -42,6 +41,12 @@ def _count(clean: Column) -> Column:
     return F.when(clean == "", 0).otherwise(F.length(clean) - F.length(F.replace(clean, F.lit(" "), F.lit(""))) + 1)
 
 
+def _once(*parts: Column) -> Column:
+    """Column ``split`` holding the parts. A lambda that reads a part must not compute it again for every element,
+    which is what happens when the optimizer moves the expression into the lambda; it never moves one out of an explode."""
+    return F.explode(F.array(F.struct(*parts))).alias("split")
+
+
 def _lines(rows: DataFrame, min_words: int) -> DataFrame:
     """``rank, row_id, line_no, line, n`` of the judged lines."""
     each = rows.select("rank", "row_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
@@ -88,6 +93,17 @@ def _variants(chosen: DataFrame) -> DataFrame:
     return rest.select(*_ORDER, F.explode(made).alias("made")).select(*_ORDER, "made.left_out", "made.key")
 
 
+def _fetch(rows: DataFrame, places: DataFrame, max_broadcast: int) -> DataFrame:
+    """``places(rank, row_id, line_no, begins, ends)`` with their ``line``, its word count ``n`` and the shorter of its half lengths."""
+    wanted = places.groupBy("row_id").agg(F.collect_list(F.struct("line_no", "begins", "ends")).alias("wanted"))
+    found = rows.select("rank", "row_id", "text").join(broadcast_if_small(wanted, max_broadcast // 10), "row_id")
+    found = found.select("rank", "row_id", "wanted", _once(F.split("text", "\n").alias("lines"))).select(
+        "rank", "row_id", F.explode(F.expr(
+            "transform(wanted, w -> struct(w.line_no, w.begins, w.ends, trim(split.lines[w.line_no]) AS line))")).alias("w"))
+    found = found.select("rank", "row_id", "w.*").withColumn("n", _count(F.col("line")))
+    return found.withColumn("half", F.expr(f"least({_ladder('n')}, {_ladder('(n - 1)')})"))
+
+
 def _near(spark: SparkSession, table: DataFrame, rows: DataFrame, min_words: int, max_broadcast: int) -> DataFrame:
     """``rank, row_id, line_no`` of first occurrences that an earlier line comes within one edit of."""
     order = F.struct(*_ORDER)
@@ -95,14 +111,11 @@ def _near(spark: SparkSession, table: DataFrame, rows: DataFrame, min_words: int
     shared = cut(spark, keys.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b")
                  .select("half"), "halves")
     shared = broadcast_if_small(shared, max_broadcast)
-    lines = _lines(rows, min_words).withColumn("halves", _halves())
-    # Odd places hold ends, even ones beginnings; the shorter half length bounds where the edit can be.
-    met = (lines.select(*_ORDER, "line", "n", F.posexplode("halves").alias("place", "half")).join(shared, "half")
+    # Odd places hold ends, even ones beginnings.
+    met = (table.select(*_ORDER, "k1", "k2", F.posexplode("halves").alias("place", "half")).join(shared, "half")
            .withColumn("begins", F.col("place") % 2 == 0))
-    shortest = F.expr(f"least({_ladder('n')}, {_ladder('(n - 1)')})")
-    first = (met.groupBy("line", "n")
-             .agg(F.min(order).alias("first"), F.max("begins").alias("begins"), F.max(~F.col("begins")).alias("ends")))
-    chosen = cut(spark, first.select("first.*", "line", "n", "begins", "ends").withColumn("half", shortest), "lines")
+    first = met.groupBy("k1", "k2").agg(F.min(order).alias("first"), F.max("begins").alias("begins"), F.max(~F.col("begins")).alias("ends"))
+    chosen = cut(spark, _fetch(rows, cut(spark, first.select("first.*", "begins", "ends"), "chosen"), max_broadcast), "lines")
     variants = cut(spark, _variants(chosen), "variants")
     spots = variants.groupBy("key", "left_out").agg(F.min(order).alias("least"), F.count("*").alias("rows"))
     spots = cut(spark, spots.withColumn("alone", F.col("rows") == 1).drop("rows"), "spots")
@@ -150,14 +163,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     firsts = cut(spark, table.groupBy("k1", "k2").agg(F.min(F.struct(*_ORDER)).alias("first")).select("first.*"), "firsts")
     near = broadcast_if_small(cut(spark, _near(spark, table, rows, min_words, max_broadcast), "near"), max_broadcast)
     kept = firsts.join(near, list(_ORDER), "left_anti").groupBy("row_id").agg(F.collect_list("line_no").alias("stay"))
-    short = F.expr("filter(sequence(0, size(lines) - 1), i -> short[i])")
-    all_kept = F.array_sort(F.concat("unjudged", F.coalesce("stay", F.array().cast("array<int>"))))
-    joined = rows.join(kept, "row_id", "left").withColumn("lines", F.split("text", "\n"))
-    joined = joined.withColumn("short", F.transform("lines", lambda x: _count(_clean(x)) < min_words))
-    joined = joined.withColumn("unjudged", F.when(F.size("lines") > 0, short).otherwise(F.array().cast("array<int>")))
-    joined = joined.withColumn("at", all_kept)
-    new = F.when(F.col("text").isNotNull(), F.array_join(F.expr("transform(at, i -> lines[i])"), "\n"))
+    short = F.transform(F.split("text", "\n"), lambda x: _count(_clean(x)) < min_words)
+    joined = rows.join(kept, "row_id", "left").select("*", _once(F.split("text", "\n").alias("lines"), short.alias("short")))
+    unjudged = F.expr("CASE WHEN size(split.lines) > 0 THEN filter(sequence(0, size(split.lines) - 1), i -> split.short[i]) "
+                      "ELSE CAST(array() AS array<int>) END")
+    joined = joined.withColumn("at", F.sort_array(F.concat(unjudged, F.coalesce("stay", F.array().cast("array<int>")))))
+    new = F.when(F.col("text").isNotNull(), F.array_join(F.expr("transform(at, i -> split.lines[i])"), "\n"))
     plain = [(new if i == text else F.col(f"c{i}")).alias(names[i]) for i in range(len(names)) if low[i] not in own]
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("split.lines"))
     return joined.select(*plain, n_lines.cast("long").alias("n_lines"),
                          F.when(F.col("text").isNull(), 0).otherwise(n_lines - F.size("at")).cast("long").alias("n_removed"))
