@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import decontaminate, line_crf, line_dedup, mixing, pii, secrets, simhash, suffix_dedup, url_templates, winnow
+from twinfold.llm import decontaminate, line_crf, line_dedup, mixing, oracle, pii, secrets, simhash, suffix_dedup, url_templates, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,4 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-SQL: dict[str, str] = {
-    "op10_mixing": mixing.SQL,
-}
+SQL: dict[str, str] = oracle.SQL
