@@ -13,6 +13,7 @@ hash); the automata, a few kilobytes, go to every task. Scoring reads every whol
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import defaultdict
@@ -21,10 +22,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from twinfold.llm.storage import cut
 from twinfold.llm.textblocks import Block, map_text, text_blocks
 
 #: Kinds in order, patterns, and the shortest secret of each.
@@ -236,20 +239,28 @@ def score(formats: Formats, token: str) -> tuple[str | None, float]:
 def learn(spark: SparkSession, docs: DataFrame, text_col: str = "text", max_samples: int = MAX_SAMPLES) -> Formats | None:
     """Automata for the kinds that occur; None if no credential or no ordinary token is found."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A task keeps the max_samples tokens of smallest hash per kind.
+        smallest: dict[str, dict[str, int]] = defaultdict(dict)
         for batch in batches:
             for block in text_blocks(batch.column(0)):
                 base, rest = _scan(block)
                 pairs = {(f.kind, f.token) for fs in base.values() for f in fs} | {("ordinary", t) for *_, t in rest}
-                kinds, tokens = zip(*sorted(pairs)) if pairs else ((), ())
-                yield pa.record_batch([pa.array(kinds, pa.string()), pa.array(tokens, pa.string())], names=["kind", "token"])
-
-    tokens = (docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "kind string, token string")
-              .where(F.length("token") <= MAX_TOKEN))
+                for kind, token in pairs:
+                    if len(token) <= MAX_TOKEN:
+                        smallest[kind][token] = xxhash.xxh64_intdigest(token) >> 1
+                for kind, held in smallest.items():
+                    if len(held) > 4 * max_samples:
+                        smallest[kind] = dict(heapq.nsmallest(max_samples, held.items(), key=lambda x: (x[1], x[0])))
+        for kind, held in smallest.items():
+            top = heapq.nsmallest(max_samples, held.items(), key=lambda x: (x[1], x[0]))
+            yield pa.record_batch([pa.array([kind] * len(top)), pa.array([t for t, _ in top]), pa.array([h for _, h in top])],
+                                  names=["kind", "token", "h"])
+
+    tokens = cut(spark, docs.select(F.col(text_col).cast("string").alias("text"))
+                 .mapInArrow(run, "kind string, token string, h long").distinct(), "tokens")
     sample = None
     for kind in (*KINDS, "ordinary"):
-        # A top-k by hash: every task keeps its smallest max_samples.
-        part = (tokens.where(F.col("kind") == kind).select("kind", "token", F.xxhash64("token").alias("h")).distinct()
-                .orderBy("h", "token").limit(max_samples))
+        part = tokens.where(F.col("kind") == kind).orderBy("h", "token").limit(max_samples)
         sample = part if sample is None else sample.unionByName(part)
     by_kind: dict = defaultdict(list)
     for r in sample.collect():
