@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinfold.llm.storage import cut, number_rows
+from twinfold.llm.storage import broadcast_if_small, cut, number_rows
 from twinfold.llm.textblocks import RangeHash, mix, sliding_min, text_blocks
 
 THRESHOLD = 200
@@ -305,13 +305,16 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, threshold: int = THRESH
     stop = F.expr("(at >> 24) - (at & 4095)") + threshold
 
     members = cut(spark, anchors.join(few, "gram"), "heavy")
-    groups = members.groupBy(*digit).agg(F.count("*").alias("n"), F.min(F.struct("row_id", "at")).alias("one"))
+    groups = cut(spark, members.groupBy(*digit).agg(F.count("*").alias("n"), F.min(F.struct("row_id", "at")).alias("one")),
+                 "groups")
+    # One group may hold most members: they stay where they are as long as the list of groups can be broadcast.
+    several = broadcast_if_small(groups.where("n > 1").select(*digit), heavy_list)
     # A heavy piece with few different surroundings is as small as a light one by now.
     crowd = groups.groupBy("gram").agg(F.count("*").alias("classes"), F.min("n").alias("n")).where("n = 1").drop("n")
     listed_heavy = groups.join(crowd, "gram").select("one.row_id", "one.at", "gram", F.expr("n = 1").alias("rim"),
                                                      (F.col("classes") > crowded).alias("heavy"))
     whole = (states.where("role < 2").select("row_id", "at")
-             .unionByName(members.join(groups.where("n > 1").select(*digit), digit).select("row_id", "at"))
+             .unionByName(members.join(several, digit).select("row_id", "at"))
              .select("row_id", first.alias("start"), stop.alias("stop")))
     listed = (states.where("role > 0").select("row_id", "at", "gram", F.expr("role = 2").alias("rim"),
                                               F.lit(False).alias("heavy")).unionByName(listed_heavy))
