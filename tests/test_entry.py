@@ -11,5 +11,6 @@ def test_entry_smoke(spark):
 def test_registry_consistent():
     q, s = ent.queries(), ent.oracle_sql()
     assert set(s) <= set(q)
-    for name in q:
-        assert not name.startswith("op") and "pipeline" not in name
+    llm, pipeline = ent._training_text()
+    assert (llm is None) == (not any(n.startswith("op") for n in q))
+    assert (pipeline is None) == ("pipeline" not in q)

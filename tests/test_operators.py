@@ -28,6 +28,10 @@ def test_slices_and_coupled_slices(spark):
     assert cs == [(0, 2, 1)]  # key 1 only in b, key 2 only in a: dropped
     g = {r.key: len(r.entries) for r in tensor.group_by_mode(a, 1).collect()}
     assert g == {0: 2, 2: 1}
+    rows = [(0, i, float(i)) for i in range(50)] + [(1, 0, 2.0), (1, 0, 2.0)]
+    pages = tensor.group_by_mode(_tensor(spark, rows, (2, 50)), 0, page=8).collect()
+    assert sorted((r.key, e.i1, e.y) for r in pages for e in r.entries) == sorted(rows)
+    assert len([r for r in pages if r.key == 0]) > 4 and all(r.n == len(r.entries) < 20 for r in pages)
     assert tensor.count_entries(a).first().n == 3
 
 
@@ -61,7 +65,7 @@ def test_solve_batch_and_not_pd():
         m = a.T @ a
         b = rng.normal(size=k)
         mats.append((m, b))
-        row = {"key": i}
+        row = {"key": i, "due": True}
         for p in range(k):
             for q in range(p, k):
                 row[f"ata_{p}_{q}"] = m[p, q]
@@ -87,7 +91,7 @@ def test_ridge_solve_spark_matches_numpy(spark):
 
 def test_denormalise_ranges(spark):
     df = spark.createDataFrame([(0, 0, 1.0), (0, 62, 1.0), (0, 63, 1.0), (0, 5000, 2.0)], "i0 long, i1 long, yhat double")
-    got = [r.yhat for r in predict.denormalise(df).orderBy("i1").collect()]
+    got = [r.yhat for r in predict.denormalise(df, predict.REFERENCE_RESCALE_BREAKS, predict.REFERENCE_RESCALE_ELSE).orderBy("i1").collect()]
     assert got == [301894.0, 301894.0, 301895.0, 2 * 100532.0]
 
 

@@ -5,30 +5,23 @@ import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from twinfold.operators.gram import _complete_runs, _gram_rows, _starts
+from twinfold.operators.gram import _gram_rows, _starts, running_sums
 from twinfold.operators.solve import solve_batch
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 30), min_size=1, max_size=200), st.lists(st.integers(1, 40), min_size=1, max_size=10))
-def test_runs_are_complete_and_lossless(keys, cuts):
-    keys = sorted(keys)
+def test_running_sums_are_complete_and_lossless(keys, cuts):
+    keys = np.array(sorted(keys))
     batches, i = [], 0
-    for c in cuts * 50:
-        if i >= len(keys):
-            break
-        batches.append(pd.DataFrame({"key": keys[i:i + c]}))
+    for c in cuts * 200:
+        batches.append((keys[i:i + c], keys[i:i + c, None] + 1.0))
         i += c
-    if i < len(keys):
-        batches.append(pd.DataFrame({"key": keys[i:]}))
-    out = list(_complete_runs(iter(batches)))
-    flat = [k for b in out for k in b.key]
-    assert flat == keys
-    seen = set()
-    for b in out:
-        ks = set(b.key)
-        assert not (ks & seen)
-        seen |= ks
+    out = list(running_sums(iter(batches)))
+    got = [int(k) for ks, _ in out for k in ks]
+    assert got == sorted(set(keys.tolist()))
+    total = {k: (k + 1.0) * int((keys == k).sum()) for k in got}
+    assert {int(k): v[0] for ks, vs in out for k, v in zip(ks, vs)} == total
 
 
 @settings(max_examples=40, deadline=None)
@@ -56,7 +49,7 @@ def test_solve_batch_is_the_ridge_solution(k, n, lam, seed):
     for i in range(n):
         a = rng.normal(size=(rng.integers(0, 12), k))
         m, b = a.T @ a, rng.normal(size=k)
-        row = {"key": i}
+        row = {"key": i, "due": True}
         for p in range(k):
             for q in range(p, k):
                 row[f"ata_{p}_{q}"] = m[p, q]

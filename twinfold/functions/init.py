@@ -21,7 +21,8 @@ LCG_MODE = 32452843
 LCG_OFFSET = 17
 LCG_MOD = 1000003
 
-_MANTISSA = (1 << 53) - 1
+# ``random``: so many leading hex digits of the MD5 make a value (52 bits, exact in a double).
+RANDOM_DIGITS = 13
 
 
 def lcg_uniform(idx: Column, c: int, tensor: int, mode: int) -> Column:
@@ -32,9 +33,10 @@ def lcg_uniform(idx: Column, c: int, tensor: int, mode: int) -> Column:
 
 
 def hash_uniform(idx: Column, c: int, tensor: int, mode: int, seed: int) -> Column:
-    """Value in [0, 1) from the low 53 bits of ``xxhash64(seed, t, m, idx, c)``."""
-    h = F.xxhash64(F.lit(seed), F.lit(tensor), F.lit(mode), idx.cast("long"), F.lit(c))
-    return h.bitwiseAND(F.lit(_MANTISSA)).cast("double") / F.lit(float(1 << 53))
+    """Value in [0, 1) from the first 13 hex digits of ``md5("seed:tensor:mode:idx:column")``."""
+    text = F.concat_ws(":", F.lit(f"{seed}:{tensor}:{mode}"), idx.cast("long").cast("string"), F.lit(str(c)))
+    digits = F.conv(F.substring(F.md5(text.cast("binary")), 1, RANDOM_DIGITS), 16, 10)
+    return digits.cast("double") / F.lit(float(16**RANDOM_DIGITS))
 
 
 def init_value(method: str, idx: Column, c: int, tensor: int, mode: int,

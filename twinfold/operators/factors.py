@@ -12,14 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.functions.init import init_value
-from twinfold.session import maybe_broadcast
+from twinfold.session import fits_broadcast
 
 
 def init_factor(spark: SparkSession, dim: int, rank: int, method: str = "random", tensor: int = 0,
                 mode: int = 0, seed: int = 0, value: float = 1.0, diag_rows: int | None = None,
-                partitions: int | None = None) -> DataFrame:
-    """Factor init (M1, M2): ``spark.range(dim)`` with one computed value per cell."""
-    ids = spark.range(0, int(dim), 1, partitions) if partitions else spark.range(0, int(dim))
+                partitions: int | None = None, domain: DataFrame | None = None) -> DataFrame:
+    """Factor init (M1, M2): one row per index with one computed value per cell.
+
+    Indices are ``0 .. dim - 1``, or those of ``domain`` (a table of distinct ``idx``).
+    """
+    if domain is not None:
+        ids = domain.select(F.col("idx").cast("long").alias("id"))
+    else:
+        ids = spark.range(0, int(dim), 1, partitions) if partitions else spark.range(0, int(dim))
     idx = F.col("id")
     cells = [init_value(method, idx, c, tensor, mode, seed, value, diag_rows) for c in range(rank)]
     return ids.select(idx.alias("idx"), F.array(*cells).alias("v"))
@@ -50,19 +56,58 @@ def means_rows(factors: Mapping[tuple[int, int], DataFrame], rank: int) -> DataF
     return out
 
 
+# A mode index with more entries than this is spread over several salts when a factor is joined by shuffle.
+SALT_ROWS = 1_000_000
+
+
+def heavy_indices(entries: DataFrame, mode: int, rows: int = SALT_ROWS) -> DataFrame:
+    """``idx, salts``: indices of ``mode`` with more than ``rows`` entries (at most entries / rows of them), and over how
+    many salts to spread each."""
+    return (entries.groupBy(F.col(f"i{mode}").alias("idx")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows)
+            .select("idx", F.ceil(F.col("n") / F.lit(rows)).cast("int").alias("salts")))
+
+
+def salt(entries: DataFrame, mode: int, n_modes: int, heavy: DataFrame, name: str = "_salt") -> DataFrame:
+    """``entries`` with a salt: a hash of the other indices modulo the salts of the entry's index on ``mode``."""
+    h = heavy.select(F.col("idx").alias("_heavy"), F.col("salts").alias("_salts"))
+    others = [F.col(f"i{k}") for k in range(n_modes) if k != mode]
+    out = entries.join(F.broadcast(h), entries[f"i{mode}"] == h["_heavy"], "left")
+    return out.withColumn(name, F.pmod(F.xxhash64(*others), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_heavy", "_salts")
+
+
+def _sound(mode: int, width: int) -> str:
+    """SQL for the joined row of ``mode``; an entry without a factor row, or whose row has a null, NaN or infinite cell, fails."""
+    total = " + ".join(f"f{mode}[{r}]" for r in range(width))
+    return (f"CASE WHEN ({total}) * 0D = 0D THEN f{mode} ELSE raise_error(concat("
+            f"'no finite factor row for index ', CAST(i{mode} AS STRING), ' of mode {mode}')) END")
+
+
 def join_factors(spark: SparkSession, entries: DataFrame, factors: Mapping[int, DataFrame],
-                 dims: Sequence[int], modes: Iterable[int], width: int) -> DataFrame:
+                 dims: Sequence[int], modes: Iterable[int], width: int,
+                 heavy: Mapping[int, DataFrame] | None = None) -> DataFrame:
     """Entry x factor lookup (J1): add ``f{m}`` (the row of mode m) for each mode.
 
-    Many-to-one equi-joins on ``i{m} = idx``. A factor is broadcast only when
-    its declared row count bounds it below the broadcast limit; otherwise the
-    join is planned as a shuffle join (AQE may still switch it at run time).
+    Many-to-one left joins on ``i{m} = idx``: no entry is ever dropped, and one whose index has no finite factor row
+    fails the job, naming the index. A factor is broadcast only when its declared row count bounds it below the
+    broadcast limit. Otherwise the join is a shuffle join on ``(index, salt)``: an index with more than ``SALT_ROWS``
+    entries is spread over salts and its factor row repeated for each. ``heavy`` may hand in :func:`heavy_indices` per
+    mode where they are known already.
     """
     out = entries
+    n_modes = len(dims)
     for m in modes:
         f = factors[m].select(F.col("idx").alias(f"_k{m}"), F.col("v").alias(f"f{m}"))
-        f = maybe_broadcast(spark, f, dims[m], width)
-        out = out.join(f, out[f"i{m}"] == f[f"_k{m}"], "inner").drop(f"_k{m}")
+        if fits_broadcast(spark, dims[m], width):
+            out = out.join(F.broadcast(f), out[f"i{m}"] == f[f"_k{m}"], "left").drop(f"_k{m}")
+        else:
+            hot = heavy[m] if heavy and m in heavy else heavy_indices(entries, m)
+            few = hot.select(F.col("idx").alias("_heavy"), "salts")
+            f = f.join(F.broadcast(few), f[f"_k{m}"] == few["_heavy"], "left").select(
+                f"_k{m}", f"f{m}", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias(f"_s{m}"))
+            out = salt(out, m, n_modes, hot)
+            out = out.join(f, (out[f"i{m}"] == f[f"_k{m}"]) & (out["_salt"] == f[f"_s{m}"]), "left").drop(
+                f"_k{m}", f"_s{m}", "_salt")
+        out = out.withColumn(f"f{m}", F.expr(_sound(m, width)))
     return out
 
 

@@ -7,51 +7,40 @@ grows with ``k^2`` per entry. This path does the same algebra in NumPy:
 1. map side, no shuffle: observations sorted within their partition by key
    (the cached entries are already range-clustered on it) go through
    ``mapInPandas``, which sums ``a a^T`` and ``t a`` over each run of equal
-   keys, carrying a run across Arrow batches. A partition emits one partial
-   row per key it holds, so a hot key spread over many partitions sends at
-   most one row per partition, never its entries;
-2. one shuffle on the key, joined by the current factor rows;
-3. reduce side: runs of equal keys are merged (again carried across
-   batches), the mean pull and ridge term added, and all keys of a batch
-   solved together; keys without entries keep their rows.
+   keys. What is carried across Arrow batches is the running sum of the last
+   key, never its rows. A partition emits one partial row per key it holds;
+2. with many partitions, a first merge on ``(key, slot)``, where the slot
+   stands for about the square root of all partitions, so that a key present in
+   all of them meets at most that many rows twice instead of all at once;
+3. one shuffle on the key, joined by the current factor rows: sums are
+   merged the same way, the mean pull and ridge term added, and all keys of
+   a batch solved together; keys without entries keep their rows.
 
 Memory per task is bounded by the Arrow batch size and ``k``, not by the
-number of entries of any key.
+number of entries or partial rows of any key. A key with entries but without
+a finite factor row, or with equations that are not finite, fails like on the
+``sum`` path.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from twinfold.operators.solve import NotPositiveDefinite
+from twinfold.operators.solve import NotFinite, solve_equations
 
 # Blocks with at least this many columns use the Gram path.
 GRAM_MIN_K = 9
 # Cells of temporary product matrices per chunk (bounds NumPy memory).
 _CHUNK_CELLS = 4_000_000
-
-
-def _complete_runs(batches: Iterator[pd.DataFrame], key: str = "key") -> Iterator[pd.DataFrame]:
-    """Re-cut key-sorted batches so that no key is split between two outputs."""
-    carry = None
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        if carry is not None:
-            pdf = pd.concat([carry, pdf], ignore_index=True)
-        keys = pdf[key].to_numpy()
-        if np.any(keys[1:] < keys[:-1]):
-            raise ValueError("keys must arrive sorted within a partition")
-        cut = int(np.searchsorted(keys, keys[-1], side="left"))
-        if cut > 0:
-            yield pdf.iloc[:cut].reset_index(drop=True)
-        carry = pdf.iloc[cut:].reset_index(drop=True)
-    if carry is not None and not carry.empty:
-        yield carry
+# Partial rows are merged in two steps when the map side has more partitions than this.
+TWO_STEP_PARTITIONS = 256
 
 
 def _starts(keys: np.ndarray) -> np.ndarray:
@@ -78,21 +67,88 @@ def _gram_rows(a: np.ndarray, t: np.ndarray, starts: np.ndarray, k: int) -> np.n
     return out
 
 
+def running_sums(batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per-key sums of key-sorted ``(keys, values)`` batches, every key once.
+
+    One summed row is held back per batch (its key may go on in the next one); a key with any number of rows
+    is carried as that one row.
+    """
+    held_key, held = None, None
+    for keys, values in batches:
+        if not len(keys):
+            continue
+        if np.any(keys[1:] < keys[:-1]) or (held_key is not None and keys[0] < held_key):
+            raise ValueError("keys must arrive sorted within a partition")
+        starts = _starts(keys)
+        sums = np.add.reduceat(values, starts, axis=0)
+        heads = keys[starts]
+        if held_key is not None:
+            if heads[0] == held_key:
+                sums[0] += held
+            else:
+                heads, sums = np.r_[held_key, heads], np.concatenate([held[None], sums])
+        held_key, held = heads[-1], sums[-1].copy()
+        if len(heads) > 1:
+            yield heads[:-1], sums[:-1]
+    if held_key is not None:
+        yield np.array([held_key]), held[None]
+
+
+def _stack(column: pd.Series, width: int) -> np.ndarray:
+    return np.stack(column.to_numpy()) if len(column) else np.zeros((0, width))
+
+
+def _partial_batch(keys: np.ndarray, side: int, values: np.ndarray) -> pa.RecordBatch:
+    """Rows ``key, _s, n, g`` from summed values (count first, then the equations)."""
+    width = values.shape[1] - 1
+    flat = pa.array(np.ascontiguousarray(values[:, 1:]).ravel())
+    g = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * width), flat)
+    return pa.record_batch([pa.array(keys.astype(np.int64)), pa.array(np.full(len(keys), side, np.int32)),
+                            pa.array(np.rint(values[:, 0]).astype(np.int64)), g], names=["key", "_s", "n", "g"])
+
+
+PARTIAL_SCHEMA = "key long, _s int, n long, g array<double>"
+
+
 def partial_grams(obs: DataFrame, k: int, side: int = 0) -> DataFrame:
     """Map-side partial equations: ``key, _s, n, g`` (``g`` = triangle then rhs)."""
     cols = [f"a_{i}" for i in range(k)]
 
-    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for run in _complete_runs(batches):
-            keys = run["key"].to_numpy()
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column("key").to_numpy()
             starts = _starts(keys)
-            g = _gram_rows(run[cols].to_numpy(dtype="float64"), run["t"].to_numpy(dtype="float64"), starts, k)
+            a = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cols], axis=1)
+            g = _gram_rows(a, batch.column("t").to_numpy(zero_copy_only=False), starts, k)
             counts = np.diff(np.r_[starts, len(keys)])
-            yield pd.DataFrame({"key": keys[starts], "_s": np.full(len(starts), side, dtype="int32"),
-                                "n": counts.astype("int64"), "g": list(g)})
+            yield keys[starts], np.concatenate([counts[:, None].astype(float), g], axis=1)
 
-    return (obs.sortWithinPartitions("key")
-            .mapInPandas(fn, "key long, _s int, n long, g array<double>"))
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, values in running_sums(summed(batches)):
+            yield _partial_batch(keys, side, values)
+
+    return obs.sortWithinPartitions("key").mapInArrow(fn, PARTIAL_SCHEMA)
+
+
+def merge_slots(partials: DataFrame, k: int, side: int, slots: int) -> DataFrame:
+    """First merge of partial rows: one row per key and slot, the slot being the map partition modulo ``slots``."""
+    width = k * (k + 1) // 2 + k
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            n = batch.column("n").to_numpy().astype(float)
+            g = batch.column("g").flatten().to_numpy().reshape(-1, width)
+            yield batch.column("key").to_numpy(), np.concatenate([n[:, None], g], axis=1)
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, sums in running_sums(values(batches)):
+            yield _partial_batch(keys, side, sums)
+
+    slotted = partials.withColumn("_slot", F.pmod(F.spark_partition_id(), F.lit(int(slots))))
+    # Rows of one key in several slots of a task may meet already; their sum is what the next step needs.
+    return slotted.repartition("key", "_slot").sortWithinPartitions("key").select("key", "n", "g").mapInArrow(fn, PARTIAL_SCHEMA)
 
 
 def _unpack(g: np.ndarray, k: int, lam: float) -> tuple[np.ndarray, np.ndarray]:
@@ -106,91 +162,84 @@ def _unpack(g: np.ndarray, k: int, lam: float) -> tuple[np.ndarray, np.ndarray]:
     return a, g[:, tri:].copy()
 
 
-def _solve(a: np.ndarray, b: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    if len(a) == 0:
-        return np.zeros((0, b.shape[1]))
-    try:
-        chol = np.linalg.cholesky(a)
-    except np.linalg.LinAlgError:
-        bad = [int(keys[i]) for i in range(len(a)) if np.linalg.eigvalsh(a[i]).min() <= 0][:10]
-        raise NotPositiveDefinite(f"normal equations are not positive definite for keys {bad}") from None
-    z = np.linalg.solve(chol, b[..., None])
-    return np.linalg.solve(np.swapaxes(chol, 1, 2), z)[..., 0]
-
-
 def merge_and_solve(partials: Sequence[DataFrame], factors: Sequence[DataFrame], k: int, rank: int,
                     start: int, lam: float, weights: Sequence[float], mean_pull=None,
-                    labels: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+                    labels: Sequence[tuple[int, int]] | None = None, slots: int | None = None) -> DataFrame:
     """Reduce side: sum partial rows per key, solve, and write the block.
 
     ``partials``: one partial table per side (same keys domain); all sides
     must be seen for a key to be solved (one side: M4/M5, two: M6).
     ``factors``: the current factor of each output (one, or two for M6).
     ``mean_pull``: ``(length, own_means, other_means, weight)`` or None.
+    ``slots``: merge in two steps over so many slots (None: only with more
+    than ``TWO_STEP_PARTITIONS`` shuffle partitions).
     Returns ``idx, v`` for one factor, or ``tensor, mode, idx, v`` rows for
     each label when ``labels`` is given.
     """
-    n_sides = len(partials)
-    n_out = len(factors)
+    n_sides, n_out = len(partials), len(factors)
+    width = k * (k + 1) // 2 + k
+    if slots is None:
+        tasks = int(partials[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        slots = math.isqrt(tasks) if tasks > TWO_STEP_PARTITIONS else 0
     rows = None
     for s, p in enumerate(partials):
-        part = p.selectExpr("key", f"{s} AS _s", "n", "g", "CAST(NULL AS array<double>) AS v")
+        if slots:
+            p = merge_slots(p, k, s, slots)
+        part = p.selectExpr("key", f"{s} AS _s", "n", "g AS x")
         rows = part if rows is None else rows.unionByName(part)
     for j, f in enumerate(factors):
-        rows = rows.unionByName(f.selectExpr("idx AS key", f"{-1 - j} AS _s", "CAST(NULL AS long) AS n",
-                                             "CAST(NULL AS array<double>) AS g", "v"))
+        rows = rows.unionByName(f.selectExpr("idx AS key", f"{-1 - j} AS _s", "CAST(1 AS long) AS n", "v AS x"))
     w = [float(x) for x in weights]
+    # One summed row per key: counts per side, equations, then per output the number of factor rows and the row.
+    at_row = n_sides + width
 
-    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for run in _complete_runs(batches):
-            keys = run["key"].to_numpy()
-            side = run["_s"].to_numpy()
-            starts = _starts(keys)
-            ukeys = keys[starts]
-            nk = len(starts)
-            width = k * (k + 1) // 2 + k
-            gsum = np.zeros((nk, width))
-            seen = np.ones(nk, dtype=bool)
-            run_of_row = np.repeat(np.arange(nk), np.diff(np.r_[starts, len(keys)]))
+    def values(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for pdf in batches:
+            side = pdf["_s"].to_numpy()
+            out = np.zeros((len(pdf), at_row + n_out * (1 + rank)))
             for s in range(n_sides):
                 m = side == s
-                cnt = np.zeros(nk)
-                np.add.at(cnt, run_of_row[m], run["n"].to_numpy()[m].astype("float64"))
-                seen &= cnt > 0
                 if m.any():
-                    np.add.at(gsum, run_of_row[m], w[s] * np.stack(run["g"].to_numpy()[m]))
-            olds = []
+                    out[m, s] = pdf["n"].to_numpy()[m]
+                    out[m, n_sides:at_row] = w[s] * _stack(pdf["x"][m], width)
             for j in range(n_out):
                 m = side == -1 - j
-                cur = np.full((nk, rank), np.nan)
                 if m.any():
-                    cur[run_of_row[m]] = np.stack(run["v"].to_numpy()[m])
-                olds.append(cur)
-            # Keys missing from the factor table cannot be written back.
-            has_row = ~np.isnan(olds[0]).any(axis=1)
-            solve_rows = seen & has_row
-            a, b = _unpack(gsum[solve_rows], k, lam)
+                    lo = at_row + j * (1 + rank)
+                    out[m, lo] = 1.0
+                    cells = [np.asarray(v, dtype=float) if v is not None and len(v) == rank else np.full(rank, np.nan)
+                             for v in pdf["x"].to_numpy()[m]]
+                    out[m, lo + 1:lo + 1 + rank] = np.stack(cells)
+            yield pdf["key"].to_numpy(), out
+
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for keys, sums in running_sums(values(batches)):
+            due = (sums[:, :n_sides] > 0).all(axis=1)
+            olds = []
+            for j in range(n_out):
+                lo = at_row + j * (1 + rank)
+                old = sums[:, lo + 1:lo + 1 + rank]
+                wrong = (sums[:, lo] != 1) | ~np.isfinite(old).all(axis=1)
+                if wrong.any():
+                    raise NotFinite(f"no finite factor row (exactly one) for keys {keys[wrong][:10].tolist()}")
+                olds.append(old)
+            a, b = _unpack(sums[due, n_sides:at_row], k, lam)
             if mean_pull is not None:
                 length, own, other, w2 = mean_pull
-                x_old = olds[0][solve_rows][:, start:start + k]
+                x_old = olds[0][due][:, start:start + k]
                 z = np.asarray(other)[None, start:start + k] - (np.asarray(own)[None, start:start + k] - x_old / length)
                 d = np.arange(k)
                 a[:, d, d] += w2 / (length * length)
                 b += w2 * z / length
-            x = _solve(a, b, ukeys[solve_rows])
-            keep = has_row
-            if labels is None:
-                v = olds[0].copy()
-                v[np.flatnonzero(solve_rows), start:start + k] = x
-                yield pd.DataFrame({"idx": ukeys[keep], "v": list(v[keep])})
-            else:
-                for j, (t, mo) in enumerate(labels):
-                    v = olds[j].copy()
-                    v[np.flatnonzero(solve_rows), start:start + k] = x
-                    ok = ~np.isnan(v).any(axis=1)
-                    yield pd.DataFrame({"tensor": np.full(ok.sum(), t, dtype="int32"),
-                                        "mode": np.full(ok.sum(), mo, dtype="int32"),
-                                        "idx": ukeys[ok], "v": list(v[ok])})
+            x = solve_equations(a, b, keys[due])
+            for j in range(n_out):
+                v = olds[j].copy()
+                v[np.flatnonzero(due), start:start + k] = x
+                out = {"idx": keys.astype("int64"), "v": list(v)}
+                if labels is not None:
+                    out = {"tensor": np.full(len(keys), labels[j][0], dtype="int32"),
+                           "mode": np.full(len(keys), labels[j][1], dtype="int32")} | out
+                yield pd.DataFrame(out)
 
     schema = "idx long, v array<double>" if labels is None else "tensor int, mode int, idx long, v array<double>"
     return rows.repartition("key").sortWithinPartitions("key").mapInPandas(fn, schema)

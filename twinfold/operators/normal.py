@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.functions.columns import cell_names, cp_sum, rhs_names, row_product
-from twinfold.operators.factors import join_factors
+from twinfold.operators.factors import heavy_indices, join_factors, salt
 from twinfold.session import fits_broadcast
 from twinfold.spec import Tensor
 
@@ -30,12 +30,9 @@ def _prod_sql(vectors: Sequence[str], r: int) -> str:
     return " * ".join(f"{v}[{r}]" for v in vectors) if vectors else "CAST(1 AS DOUBLE)"
 
 
-# Salt buckets per key when observations are regrouped after a shuffle join.
-SALT_BUCKETS = 64
-
-
 def observations(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], mode: int,
-                 block: Sequence[int], rank: int, with_own: bool | None = None) -> DataFrame:
+                 block: Sequence[int], rank: int, with_own: bool | None = None,
+                 heavy: Mapping[int, DataFrame] | None = None) -> DataFrame:
     """Design and target per entry (P3, P5): ``key, a_0..a_{k-1}, t``.
 
     ``block`` lists the columns being solved; the remaining columns of the
@@ -47,25 +44,25 @@ def observations(spark: SparkSession, tensor: Tensor, factors: Mapping[int, Data
     entries' partitioning (clustered on the key), so the partial aggregate
     that follows combines each key's rows map-side. When a factor is too
     large to broadcast, the shuffle join scatters the keys; the
-    observations are then regrouped on ``(key, salt)`` (``salt`` a hash of
-    the other indices), so the following partial aggregate is effective
-    again and a hot key still spreads over ``SALT_BUCKETS`` tasks. That
-    shuffles one narrow row per entry instead of one wide partial row.
+    observations are then regrouped on ``(key, salt)``, so the following
+    partial aggregate is effective again. A key has as many salts as its
+    measured entry count asks for (:func:`heavy_indices`). That shuffles
+    one narrow row per entry instead of one wide partial row.
     """
     n = tensor.n_modes
     others = [k for k in range(n) if k != mode]
     rest = [r for r in range(rank) if r not in set(block)]
     own = bool(rest) if with_own is None else with_own
     modes = others + ([mode] if own else [])
-    j = join_factors(spark, tensor.entries, factors, tensor.dims, modes, rank)
+    j = join_factors(spark, tensor.entries, factors, tensor.dims, modes, rank, heavy)
     other_vecs = [f"f{k}" for k in others]
     a = [f"{_prod_sql(other_vecs, r)} AS a_{i}" for i, r in enumerate(block)]
     all_vecs = [f"f{k}" for k in modes]
     target = "y - (" + " + ".join(_prod_sql(all_vecs, r) for r in rest) + ")" if rest else "y"
-    obs = j.selectExpr(f"i{mode} AS key", *a, f"{target} AS t",
-                       f"pmod(xxhash64({', '.join(f'i{k}' for k in others)}), {SALT_BUCKETS}) AS _salt")
     if all(fits_broadcast(spark, tensor.dims[k], rank) for k in modes):
-        return obs.drop("_salt")
+        return j.selectExpr(f"i{mode} AS key", *a, f"{target} AS t")
+    hot = heavy[mode] if heavy and mode in heavy else heavy_indices(tensor.entries, mode)
+    obs = salt(j, mode, n, hot).selectExpr(f"i{mode} AS key", *a, f"{target} AS t", "_salt")
     return obs.repartition("key", "_salt").drop("_salt")
 
 
@@ -125,7 +122,7 @@ def add_mean_pull(df: DataFrame, k: int, length: int, own_means: Sequence[float]
 
 
 def gradient_by_key(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], mode: int,
-                    rank: int, weight: float = 1.0) -> DataFrame:
+                    rank: int, weight: float = 1.0, heavy: Mapping[int, DataFrame] | None = None) -> DataFrame:
     """Keyed gradient of the data term (A11): ``key, g_0..g_{rank-1}``.
 
     ``g = sum_entries 2 w (a . x - y) a`` with ``x`` the key's current row of
@@ -134,7 +131,7 @@ def gradient_by_key(spark: SparkSession, tensor: Tensor, factors: Mapping[int, D
     """
     n = tensor.n_modes
     others = [k for k in range(n) if k != mode]
-    j = join_factors(spark, tensor.entries, factors, tensor.dims, others + [mode], rank)
+    j = join_factors(spark, tensor.entries, factors, tensor.dims, others + [mode], rank, heavy)
     a = [row_product([f"f{k}" for k in others], r) for r in range(rank)]
     resid = cp_sum([f"f{k}" for k in range(n)], range(rank)) - F.col("y")
     scale = F.lit(2.0 * float(weight)) * resid

@@ -24,20 +24,21 @@ REFERENCE_RESCALE_ELSE = 100532.0
 
 
 def predict(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], rank: int,
-            keep: Sequence[str] | None = None) -> DataFrame:
+            keep: Sequence[str] | None = None, heavy: Mapping[int, DataFrame] | None = None) -> DataFrame:
     """CP predict (P4): ``yhat = sum_r prod_m F_m[i_m, r]`` at every entry.
 
-    Returns the index columns, ``y`` when present, and ``yhat``.
+    Returns the index columns, ``y`` when present, and ``yhat``; an entry without finite factor rows fails.
     """
     n = tensor.n_modes
-    j = join_factors(spark, tensor.entries, factors, tensor.dims, range(n), rank)
+    j = join_factors(spark, tensor.entries, factors, tensor.dims, range(n), rank, heavy)
     cols = list(keep) if keep is not None else [c for c in tensor.entries.columns]
     return j.select(*cols, cp_sum(vector_columns(n), range(rank)).alias("yhat"))
 
 
-def squared_error(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], rank: int) -> DataFrame:
+def squared_error(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], rank: int,
+                  heavy: Mapping[int, DataFrame] | None = None) -> DataFrame:
     """One row ``(sse, n)`` for a tensor (A6 / A7 building block)."""
-    p = predict(spark, tensor, factors, rank, keep=index_columns(tensor.n_modes) + ["y"])
+    p = predict(spark, tensor, factors, rank, keep=index_columns(tensor.n_modes) + ["y"], heavy=heavy)
     d = F.col("y") - F.col("yhat")
     return p.agg(F.sum(d * d).alias("sse"), F.count(F.lit(1)).alias("n"))
 
@@ -76,20 +77,20 @@ def mean_loss_df(factor_a: DataFrame, factor_b: DataFrame, rank: int, loss: str
 
 
 def loss_table(spark: SparkSession, tensors: Sequence[Tensor], factors: Mapping[tuple[int, int], DataFrame],
-               rank: int, prefix: str = "train") -> DataFrame:
+               rank: int, prefix: str = "train",
+               heavy: Sequence[Mapping[int, DataFrame]] | None = None) -> DataFrame:
     """Per-tensor ``(part, tensor, sse, n)`` rows as one union (A10 building block)."""
     out = None
     for t, ten in enumerate(tensors):
         fac = {m: factors[(t, m)] for m in range(ten.n_modes)}
-        row = squared_error(spark, ten, fac, rank).select(
+        row = squared_error(spark, ten, fac, rank, heavy[t] if heavy else None).select(
             F.lit(prefix).alias("part"), F.lit(t).alias("tensor"), "sse", "n")
         out = row if out is None else out.unionByName(row)
     return out
 
 
-def denormalise(df: DataFrame, breaks: Sequence[tuple[int, float]] = REFERENCE_RESCALE_BREAKS,
-                otherwise: float = REFERENCE_RESCALE_ELSE, mode: int = 1, value: str = "yhat",
-                out: str | None = None) -> DataFrame:
+def denormalise(df: DataFrame, breaks: Sequence[tuple[int, float]], otherwise: float, mode: int = 1,
+                value: str = "yhat", out: str | None = None) -> DataFrame:
     """Range rescale (J6): multiply ``value`` by the factor of the range holding ``i{mode}``.
 
     ``breaks`` are ascending exclusive upper bounds; the first range that

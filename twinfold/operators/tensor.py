@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,22 +16,25 @@ def mode_key(entries: DataFrame, mode: int, n_modes: int) -> DataFrame:
     return entries.select(F.col(f"i{mode}").alias("key"), *index_columns(n_modes), "y")
 
 
-def count_entries(tensor: Tensor) -> DataFrame:
-    """Entry count (A1) as a one-row DataFrame ``n``."""
-    return tensor.entries.agg(F.count(F.lit(1)).alias("n"))
+def count_entries(tensor: Tensor, by: Sequence[str] = ()) -> DataFrame:
+    """Entry count (A1) as a one-row DataFrame ``n``, or one row per value of the columns ``by``."""
+    return tensor.entries.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def group_by_mode(tensor: Tensor, mode: int) -> DataFrame:
-    """Whole slices (A2): ``key, entries array<struct<i0..,y>>``.
+def group_by_mode(tensor: Tensor, mode: int, page: int = 10_000) -> DataFrame:
+    """Slices of a mode (A2) in pages: ``key, page, n, entries array<struct<i0..,y>>``.
 
-    For inspection and export only. The fit never builds these lists: it
-    aggregates normal equations with partial (map-side) sums, so one hot key
-    is never held in one task's memory.
+    A slice of n entries becomes ``ceil(n / page)`` pages over which its entries are spread by a hash of their
+    coordinates and value, so a hot key never sits in one row (only copies of one entry always share a page). For inspection
+    and export; the fit aggregates normal equations with partial sums instead.
     """
     cols = index_columns(tensor.n_modes) + ["y"]
-    return tensor.entries.groupBy(F.col(f"i{mode}").alias("key")).agg(
-        F.collect_list(F.struct(*cols)).alias("entries")
-    )
+    key = F.col(f"i{mode}")
+    pages = tensor.entries.groupBy(key.alias("key")).agg(F.ceil(F.count(F.lit(1)) / F.lit(int(page))).cast("int").alias("_pages"))
+    entries = tensor.entries.select(key.alias("key"), F.struct(*cols).alias("entry"))
+    at = F.pmod(F.xxhash64("entry"), F.col("_pages")).cast("int")
+    return (entries.join(pages, "key").groupBy("key", at.alias("page"))
+            .agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("entry")).alias("entries")))
 
 
 def slice_sizes(tensor: Tensor, mode: int) -> DataFrame:
@@ -50,13 +55,6 @@ def coupled_slices(a: Tensor, mode_a: int, b: Tensor, mode_b: int) -> DataFrame:
     return sa.join(sb, "key", "inner")
 
 
-def coupled_slice_entries(a: Tensor, mode_a: int, b: Tensor, mode_b: int) -> DataFrame:
-    """J2 with the entry lists, as the reference builds it (user operator only)."""
-    ga = group_by_mode(a, mode_a).withColumnRenamed("entries", "entries_a")
-    gb = group_by_mode(b, mode_b).withColumnRenamed("entries", "entries_b")
-    return ga.join(gb, "key", "inner")
-
-
 def validate(tensor: Tensor) -> DataFrame:
     """Rows that break the data model (P8): ``i0.., y, issue``.
 
@@ -109,9 +107,16 @@ def check(tensor: Tensor, allow_duplicates: bool = True) -> int:
     return int(row.n)
 
 
-def partitions_for(spark, n_entries: int, rows_per_partition: int) -> int:
-    """Partition count for cached entries: enough for the cores, and bounded rows per task."""
-    by_size = -(-int(n_entries) // max(int(rows_per_partition), 1))
+def partitions_for(spark, n_entries: int, n_modes: int, partition_bytes: int, split: int | None = None,
+                   dim: int | None = None) -> int:
+    """Partition count for cached entries of one mode.
+
+    With ``split``, as many partitions as the reference's job gives a mode: ``min(split, dim)``. Without, enough for
+    the cores and for at most ``partition_bytes`` of raw entries (8 bytes per index and value) each.
+    """
+    if split is not None:
+        return max(1, min(int(split), int(dim) if dim is not None else int(split)))
+    by_size = -(-int(n_entries) * 8 * (n_modes + 1) // max(int(partition_bytes), 1))
     return max(spark.sparkContext.defaultParallelism, by_size, 1)
 
 

@@ -10,6 +10,11 @@ shuffle replaces the join of the equations with the old factor. An
 Arrow-batched solve follows, and keys without entries keep their rows
 (J4/J5), since every factor row passes through the aggregate.
 
+Whatever the path (``sum``, ``gram``, broadcast or shuffle join), the rows are the
+same and so are the refusals: an entry without a factor row, a factor row with
+a null, NaN or infinite cell, a repeated factor row and equations that are
+not finite fail the job, naming keys. Nothing is dropped.
+
 Each function returns a lazy DataFrame ``(idx, v)`` (M6: ``(tensor, mode,
 idx, v)`` for both coupled factors); the fit loop decides where it lands.
 """
@@ -22,7 +27,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.functions.columns import cell_names, rhs_names
-from twinfold.operators.blocked import BlockedEntries, blocked_partials
 from twinfold.operators.gram import GRAM_MIN_K, merge_and_solve, partial_grams
 from twinfold.operators.normal import add_mean_pull, observations
 from twinfold.operators.solve import solve_column
@@ -39,7 +43,8 @@ def _equations_with_rows(obs: Sequence[tuple[DataFrame, float]], rows: Sequence[
     """Union observations and factor rows, then one keyed aggregate.
 
     ``obs``: (observations ``key, a_0.., t``, weight) per side.
-    ``rows``: (label, factor ``idx, v``); the row lands in ``{label}_0..``.
+    ``rows``: (label, factor ``idx, v``); the row lands in ``{label}_0..``,
+    the number of rows in ``has_{label}``.
     Output: ``key, n_{side}.., ata_p_q, atb_p, {label}_c..``; equations are
     null for keys without observations. Expressions go in as SQL text, so
     building the plan costs a handful of calls whatever the rank.
@@ -67,6 +72,7 @@ def _equations_with_rows(obs: Sequence[tuple[DataFrame, float]], rows: Sequence[
     aggs = [f"count(CASE WHEN _s = {s} THEN 1 END) AS n_{s}" for s in range(len(obs))]
     aggs += [f"sum({wsql}a_{p} * a_{q}) AS {name}" for p, q, name in cell_names(k)]
     aggs += [f"sum({wsql}t * a_{p}) AS {name}" for p, name in enumerate(rhs_names(k))]
+    aggs += [f"count(CASE WHEN _s = {-1 - j} THEN 1 END) AS has_{lab}" for j, lab in enumerate(labels)]
     aggs += [f"max({c}) AS {c}" for c in row_cols]
     return u.groupBy("key").agg(*[F.expr(a) for a in aggs])
 
@@ -79,19 +85,21 @@ def use_gram(k: int, method: str) -> bool:
 
 
 def _partials(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], mode: int,
-              block: Sequence[int], rank: int, blocked: BlockedEntries | None, side: int = 0) -> DataFrame:
-    """Partial Gram rows from the blocked layout when given, else from joined observations."""
-    if blocked is not None:
-        if blocked.mode != mode:
-            raise ValueError("blocked entries are laid out for another mode")
-        return blocked_partials(spark, blocked, factors, block, rank, side)
-    return partial_grams(observations(spark, tensor, factors, mode, block, rank), len(block), side)
+              block: Sequence[int], rank: int, heavy: Mapping[int, DataFrame] | None, side: int = 0) -> DataFrame:
+    return partial_grams(observations(spark, tensor, factors, mode, block, rank, heavy=heavy), len(block), side)
 
 
 def _row(label: str, rank: int) -> str:
     return "array(" + ", ".join(f"{label}_{c}" for c in range(rank)) + ")"
 
 
+def _checked(label: str, rank: int, row: str) -> str:
+    """SQL for ``row`` of a key that has exactly one, finite factor row; any other key fails."""
+    total = " + ".join(f"{label}_{c}" for c in range(rank))
+    return (f"CASE WHEN has_{label} = 1 AND ({total}) * 0D = 0D THEN {row} ELSE raise_error(concat("
+            f"'no finite factor row (exactly one) for key ', CAST(key AS STRING))) END")
+
+
 def _solved_row(label: str, k: int, start: int, rank: int) -> str:
     cells = ([f"{label}_{c}" for c in range(start)] + [f"_x.x_{c}" for c in range(k)]
              + [f"{label}_{c}" for c in range(start + k, rank)])
@@ -101,53 +109,53 @@ def _solved_row(label: str, k: int, start: int, rank: int) -> str:
 def update_uncoupled(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], mode: int,
                      rank: int, options: Options, n_entries: int, own_means: Sequence[float] | None = None,
                      other_means: Sequence[float] | None = None, method: str = "auto",
-                     blocked: BlockedEntries | None = None) -> DataFrame:
+                     heavy: Mapping[int, DataFrame] | None = None) -> DataFrame:
     """Update an uncoupled mode, full rank, with the mean pull (M4).
 
-    Without means (a single tensor) the mean pull is left out. With
-    ``blocked`` (entries in the blocked layout of ``mode``) the factor rows
-    travel to the entry blocks instead of the entries to the factors.
+    Without means (a single tensor) the mean pull is left out. ``heavy`` hands
+    in known heavy indices per mode (only used where a factor is too large to broadcast).
     """
-    if blocked is not None or use_gram(rank, method):
+    if use_gram(rank, method):
         pull = None
         if own_means is not None and other_means is not None:
             pull = (float(tensor.dims[mode]), list(own_means), list(other_means),
                     1.0 / rank if options.loss == "wls" else 1.0)
-        return merge_and_solve([_partials(spark, tensor, factors, mode, list(range(rank)), rank, blocked)],
+        return merge_and_solve([_partials(spark, tensor, factors, mode, list(range(rank)), rank, heavy)],
                                [factors[mode]], rank, rank, 0, options.lam, [entry_weight(options, n_entries)], pull)
-    obs = observations(spark, tensor, factors, mode, list(range(rank)), rank)
+    obs = observations(spark, tensor, factors, mode, list(range(rank)), rank, heavy=heavy)
     eq = _equations_with_rows([(obs, entry_weight(options, n_entries))], [("old", factors[mode])], rank, rank)
     if own_means is not None and other_means is not None:
         w2 = 1.0 / rank if options.loss == "wls" else 1.0
         eq = add_mean_pull(eq, rank, tensor.dims[mode], own_means, other_means, w2,
                            x_cols=[f"old_{c}" for c in range(rank)])
-    eq = eq.withColumn("_x", solve_column(rank, options.lam))
-    return eq.selectExpr("key AS idx",
-                         f"CASE WHEN n_0 > 0 THEN {_solved_row('old', rank, 0, rank)} ELSE {_row('old', rank)} END AS v")
+    eq = eq.withColumn("_x", solve_column(rank, options.lam, due="n_0 > 0"))
+    row = f"CASE WHEN n_0 > 0 THEN {_solved_row('old', rank, 0, rank)} ELSE {_row('old', rank)} END"
+    return eq.selectExpr("key AS idx", f"{_checked('old', rank, row)} AS v")
 
 
 def update_specific(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], mode: int,
                     rank: int, common: int, options: Options, n_entries: int, method: str = "auto",
-                    blocked: BlockedEntries | None = None) -> DataFrame:
+                    heavy: Mapping[int, DataFrame] | None = None) -> DataFrame:
     """Update the specific block ``[common, rank)`` of a coupled mode (M5)."""
     if not 0 <= common < rank:
         raise ValueError("the specific block is empty")
     block = list(range(common, rank))
     k = len(block)
-    if blocked is not None or use_gram(k, method):
-        return merge_and_solve([_partials(spark, tensor, factors, mode, block, rank, blocked)], [factors[mode]],
+    if use_gram(k, method):
+        return merge_and_solve([_partials(spark, tensor, factors, mode, block, rank, heavy)], [factors[mode]],
                                k, rank, common, options.lam, [entry_weight(options, n_entries)])
-    obs = observations(spark, tensor, factors, mode, block, rank)
+    obs = observations(spark, tensor, factors, mode, block, rank, heavy=heavy)
     eq = _equations_with_rows([(obs, entry_weight(options, n_entries))], [("old", factors[mode])], k, rank)
-    eq = eq.withColumn("_x", solve_column(k, options.lam))
-    return eq.selectExpr("key AS idx",
-                         f"CASE WHEN n_0 > 0 THEN {_solved_row('old', k, common, rank)} ELSE {_row('old', rank)} END AS v")
+    eq = eq.withColumn("_x", solve_column(k, options.lam, due="n_0 > 0"))
+    row = f"CASE WHEN n_0 > 0 THEN {_solved_row('old', k, common, rank)} ELSE {_row('old', rank)} END"
+    return eq.selectExpr("key AS idx", f"{_checked('old', rank, row)} AS v")
 
 
 def update_common(spark: SparkSession, a: Tensor, fa: Mapping[int, DataFrame], mode_a: int, na: int,
                   b: Tensor, fb: Mapping[int, DataFrame], mode_b: int, nb: int, rank: int, common: int,
                   options: Options, labels: tuple[tuple[int, int], tuple[int, int]] = ((0, 1), (1, 1)),
-                  method: str = "auto", blocked: tuple[BlockedEntries | None, BlockedEntries | None] = (None, None),
+                  method: str = "auto",
+                  heavy: tuple[Mapping[int, DataFrame] | None, Mapping[int, DataFrame] | None] = (None, None),
                   ) -> DataFrame:
     """Update the shared block ``[0, common)`` of both coupled factors at once (M6).
 
@@ -159,24 +167,25 @@ def update_common(spark: SparkSession, a: Tensor, fa: Mapping[int, DataFrame], m
     if not 0 < common <= rank:
         raise ValueError("the common block is empty")
     block = list(range(common))
-    if blocked[0] is not None or blocked[1] is not None or use_gram(common, method):
-        pa = _partials(spark, a, fa, mode_a, block, rank, blocked[0], 0)
-        pb = _partials(spark, b, fb, mode_b, block, rank, blocked[1], 1)
+    if use_gram(common, method):
+        pa = _partials(spark, a, fa, mode_a, block, rank, heavy[0], 0)
+        pb = _partials(spark, b, fb, mode_b, block, rank, heavy[1], 1)
         return merge_and_solve([pa, pb],
                                [fa[mode_a], fb[mode_b]], common, rank, 0, options.lam,
                                [entry_weight(options, na), entry_weight(options, nb)], None, list(labels))
-    oa = observations(spark, a, fa, mode_a, block, rank)
-    ob = observations(spark, b, fb, mode_b, block, rank)
+    oa = observations(spark, a, fa, mode_a, block, rank, heavy=heavy[0])
+    ob = observations(spark, b, fb, mode_b, block, rank, heavy=heavy[1])
     eq = _equations_with_rows(
         [(oa, entry_weight(options, na)), (ob, entry_weight(options, nb))],
         [("va", fa[mode_a]), ("vb", fb[mode_b])], common, rank)
     both = "n_0 > 0 AND n_1 > 0"
     names = [n for _, _, n in cell_names(common)] + rhs_names(common)
     eq = eq.withColumns({n: F.expr(f"CASE WHEN {both} THEN {n} END") for n in names})
-    eq = eq.withColumn("_x", solve_column(common, options.lam))
+    eq = eq.withColumn("_x", solve_column(common, options.lam, due=both))
     (ta, ma), (tb, mb) = labels
     row_a = f"CASE WHEN {both} THEN {_solved_row('va', common, 0, rank)} ELSE {_row('va', rank)} END"
     row_b = f"CASE WHEN {both} THEN {_solved_row('vb', common, 0, rank)} ELSE {_row('vb', rank)} END"
+    row_a, row_b = _checked("va", rank, row_a), _checked("vb", rank, row_b)
     out = eq.selectExpr("key AS idx", f"explode(array(named_struct('tensor', {ta}, 'mode', {ma}, 'v', {row_a}), "
                                       f"named_struct('tensor', {tb}, 'mode', {mb}, 'v', {row_b}))) AS _r")
     return out.selectExpr("_r.tensor AS tensor", "_r.mode AS mode", "idx", "_r.v AS v")

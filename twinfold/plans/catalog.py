@@ -18,7 +18,7 @@ from twinfold.operators import factors as fo
 from twinfold.operators import normal, predict, solve, tensor, update
 from twinfold.operators.factors import init_factor
 from twinfold.session import run_dir
-from twinfold.sources import tables, text, tpch
+from twinfold.sources import sinks, tables, text, tpch
 from twinfold.spec import FitConfig, Options, Stop, Tensor
 
 RANK = 5
@@ -29,13 +29,23 @@ ROUND_SOLVE = 6
 ROUND_LOSS = 2
 ROUND_MEAN = 9
 
-_DIMS: dict[str, dict[str, int]] = {}
+_DIMS: dict[tuple[str, str], dict[str, int]] = {}
 
 
 def dims(spark: SparkSession, sf: str) -> dict[str, int]:
-    if sf not in _DIMS:
-        _DIMS[sf] = tpch.dims_of(spark, sf)
-    return _DIMS[sf]
+    """Row counts of the dimension tables, counted once per application."""
+    memo = (spark.sparkContext.applicationId, sf)
+    if memo not in _DIMS:
+        _DIMS[memo] = tpch.dims_of(spark, sf)
+    return _DIMS[memo]
+
+
+def domain(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    """Indices of a mode, read from its dimension table."""
+    return tpch.table(spark, sf, table).select(F.col(f"{table[0]}_{KEYS[table]}").cast("long").alias("idx"))
+
+
+KEYS = {"customer": "custkey", "part": "partkey", "supplier": "suppkey"}
 
 
 def x1(spark: SparkSession, sf: str, three_mode: bool = False) -> Tensor:
@@ -101,16 +111,28 @@ def q_tensor_events(spark, sf):
 # -- tensor operators ---------------------------------------------------------
 
 def q_entry_counts(spark, sf):
+    """A1 of both parts of both tensors, one pass per tensor."""
     out = None
     for ti, t in enumerate((x1(spark, sf), x2(spark, sf))):
-        tr, va = tpch.split(t.entries)
-        for part, df in (("train", tr), ("valid", va)):
-            row = df.agg(F.count(F.lit(1)).alias("n")).select(
-                F.lit(ti).alias("tensor"), F.lit(part).alias("part"), "n")
-            out = row if out is None else out.unionByName(row)
+        held = tpch.holdout(t.entries)
+        row = tensor.count_entries(t.with_entries(t.entries.withColumn("valid", held)), by=["valid"]).select(
+            F.lit(ti).alias("tensor"), F.when(F.col("valid"), "valid").otherwise("train").alias("part"), "n")
+        out = row if out is None else out.unionByName(row)
     return out
 
 
+def q_mode_key_x1(spark, sf):
+    """Entries of X1 keyed by part."""
+    return tensor.mode_key(x1(spark, sf).entries, 1, 2)
+
+
+def q_slice_pages_x1(spark, sf):
+    """A2: the pages of X1's part slices, unfolded again, with the entries of their page counted."""
+    pages = tensor.group_by_mode(x1(spark, sf), 1, page=16)
+    each = pages.select("key", "n", F.size("entries").alias("held"), F.explode("entries").alias("e"))
+    return each.where("n = held").select("key", "e.i0", "e.i1", "e.y")
+
+
 def q_slices_x1_part(spark, sf):
     return tensor.slice_sizes(x1(spark, sf), 1)
 
@@ -127,41 +149,96 @@ def q_validate_x2_raw(spark, sf):
     return tensor.validate(raw)
 
 
+def q_validate_mixed(spark, sf):
+    """P8 on lineitem rows bent so that every issue occurs."""
+    li = tpch.table(spark, sf, "lineitem")
+    d = dims(spark, sf)
+    bent = li.select(
+        (F.col("l_suppkey") - 3).alias("a"), F.when(F.col("l_partkey") % 50 != 0, F.col("l_partkey")).alias("b"),
+        F.when(F.col("l_linenumber") == 2, F.lit(float("nan"))).when(F.col("l_linenumber") == 3, F.lit(float("inf")))
+        .when(F.col("l_linenumber") != 4, F.col("l_quantity").cast("double")).alias("v"))
+    return tensor.validate(tables.tensor_from(bent, ["a", "b"], "v", dims=(d["supplier"] - 5, d["part"] - 7), name="mixed"))
+
+
 # -- factors --------------------------------------------------------------------
 
 def q_init_lcg(spark, sf):
-    return fo.flatten(init_factor(spark, dims(spark, sf)["customer"], RANK, "lcg", 0, 0), RANK)
+    return fo.flatten(init_factor(spark, 0, RANK, "lcg", 0, 0, domain=domain(spark, sf, "customer")), RANK)
 
 
 def q_init_const(spark, sf):
-    return fo.flatten(init_factor(spark, dims(spark, sf)["part"], RANK, "const", 0, 1, value=1.0), RANK)
+    return fo.flatten(init_factor(spark, 0, RANK, "const", 0, 1, value=1.0, domain=domain(spark, sf, "part")), RANK)
 
 
 def q_init_diagonal(spark, sf):
-    return fo.flatten(init_factor(spark, dims(spark, sf)["supplier"], RANK, "diagonal", 1, 0, value=1.0), RANK)
+    return fo.flatten(init_factor(spark, 0, RANK, "diagonal", 1, 0, value=1.0, domain=domain(spark, sf, "supplier")), RANK)
+
+
+def q_init_diagonal_random(spark, sf):
+    return fo.flatten(init_factor(spark, 0, RANK, "diagonal_random", 1, 1, seed=3, value=2.0, diag_rows=4,
+                                  domain=domain(spark, sf, "part")), RANK)
 
 
 def q_init_random(spark, sf):
-    return fo.flatten(init_factor(spark, dims(spark, sf)["customer"], RANK, "random", 0, 0, seed=7), RANK)
+    return fo.flatten(init_factor(spark, 0, RANK, "random", 0, 0, seed=7, domain=domain(spark, sf, "customer")), RANK)
+
+
+def _updated(spark, sf, t: int, **how):
+    """Mode 0 of tensor t after one update at rank 2 (mean pull on)."""
+    rank = 2
+    own_t, other_t = (x1(spark, sf), x2(spark, sf)) if t == 0 else (x2(spark, sf), x1(spark, sf))
+    f = lcg_factors(spark, own_t, t, rank)
+    other = init_factor(spark, other_t.dims[0], rank, "lcg", 1 - t, 0)
+    own_means, other_means = ([r for r in fo.column_means(g, rank).first()] for g in (f[0], other))
+    options = how.pop("options", Options(LAM, "ls"))
+    n = own_t.entries.count() if options.loss == "wls" else 0
+    return update.update_uncoupled(spark, own_t, f, 0, rank, options, n, own_means, other_means, **how)
 
 
 def q_copy_factor(spark, sf):
-    src = init_factor(spark, dims(spark, sf)["part"], RANK, "lcg", 0, 1)
-    c = fo.copy_factor(src, 1, 1)
-    return c.select("tensor", "mode", "idx", *[F.col("v")[r].alias(f"v{r}") for r in range(RANK)])
+    """M3: an updated factor copied to another tensor and mode."""
+    c = fo.copy_factor(_updated(spark, sf, 0), 1, 1)
+    return c.select("tensor", "mode", "idx", *[_r(F.col("v")[r], ROUND_SOLVE).alias(f"v{r}") for r in range(2)])
 
 
 def q_column_means(spark, sf):
-    f = init_factor(spark, dims(spark, sf)["customer"], RANK, "lcg", 0, 0)
-    m = fo.column_means(f, RANK)
-    return m.select(*[_r(F.col(f"m_{c}"), ROUND_MEAN).alias(f"m_{c}") for c in range(RANK)])
+    """A8 of an updated factor."""
+    m = fo.column_means(_updated(spark, sf, 0), 2)
+    return m.select(*[_r(F.col(f"m_{c}"), ROUND_SOLVE).alias(f"m_{c}") for c in range(2)])
 
 
 def q_mean_loss(spark, sf):
-    d = dims(spark, sf)
-    a = init_factor(spark, d["customer"], RANK, "lcg", 0, 0)
-    b = init_factor(spark, d["supplier"], RANK, "lcg", 1, 0)
-    return predict.mean_loss_df(a, b, RANK).select(_r(F.col("mean_loss"), ROUND_MEAN).alias("mean_loss"))
+    """A9 of both updated factors."""
+    loss = predict.mean_loss_df(_updated(spark, sf, 0), _updated(spark, sf, 1), 2)
+    return loss.select(_r(F.col("mean_loss"), ROUND_SOLVE).alias("mean_loss"))
+
+
+def q_mean_loss_wls(spark, sf):
+    loss = predict.mean_loss_df(_updated(spark, sf, 0), _updated(spark, sf, 1), 2, "wls")
+    return loss.select(_r(F.col("mean_loss"), ROUND_SOLVE).alias("mean_loss"))
+
+
+def q_upsert_rows(spark, sf):
+    """Updated rows over the initial factor; only every third row is new."""
+    new = _updated(spark, sf, 0).where("idx % 3 = 0")
+    old = init_factor(spark, 0, 2, "lcg", 0, 0, domain=domain(spark, sf, "customer"))
+    return _flat(fo.upsert_rows(old, new), 2)
+
+
+def q_upsert_block(spark, sf):
+    """The updated second column over the initial factor's."""
+    new = _updated(spark, sf, 0).select("idx", F.slice("v", 2, 1).alias("x"))
+    old = init_factor(spark, 0, 2, "lcg", 0, 0, domain=domain(spark, sf, "customer"))
+    return _flat(fo.upsert_block(old, new, 1, 2, 2), 2)
+
+
+def q_factor_sink(spark, sf):
+    """Updated factors written by tensor and mode and read back."""
+    path = run_dir(spark, "factor-sink")
+    both = fo.copy_factor(_updated(spark, sf, 0), 0, 0).unionByName(fo.copy_factor(_updated(spark, sf, 1), 1, 0))
+    sinks.save_factor_table(both, path)
+    back = spark.read.schema("idx long, v array<double>, tensor int, mode int").parquet(path)
+    return back.select("tensor", "mode", "idx", *[_r(F.col("v")[c], ROUND_SOLVE).alias(f"v{c}") for c in range(2)])
 
 
 # -- design, predict, losses ----------------------------------------------------------
@@ -216,12 +293,21 @@ def q_total_loss(spark, sf):
 def q_denormalise_x1(spark, sf):
     t = x1(spark, sf)
     p = predict.predict(spark, t, lcg_factors(spark, t, 0, RANK), RANK)
-    s = predict.denormalise(p, mode=1, value="yhat", out="yhat_scaled")
+    s = predict.denormalise(p, predict.REFERENCE_RESCALE_BREAKS, predict.REFERENCE_RESCALE_ELSE, out="yhat_scaled")
     return s.select("i0", "i1", _r(F.col("yhat_scaled"), 4).alias("yhat_scaled"))
 
 
 # -- normal equations, solve, updates ----------------------------------------------------
 
+def q_prediction_sink(spark, sf):
+    """Predictions at every cell of X1 written as tab text and read back."""
+    path = run_dir(spark, "predictions")
+    t = x1(spark, sf)
+    sinks.write_predictions(predict.predict(spark, t, lcg_factors(spark, t, 0, RANK), RANK), 2, path)
+    back = spark.read.schema("i0 long, i1 long, yhat double").option("sep", "\t").csv(path)
+    return back.select("i0", "i1", _r(F.col("yhat"), ROUND_MEAN).alias("yhat"))
+
+
 def _rounded(df, keep, digits):
     return df.select(*[F.col(c) if c in keep else _r(F.col(c), digits).alias(c) for c in df.columns])
 
@@ -252,54 +338,118 @@ def _flat(df, rank, digits=ROUND_SOLVE):
 
 
 def q_update_uncoupled(spark, sf):
-    rank = 2
-    a, b = x1(spark, sf), x2(spark, sf)
-    fa = lcg_factors(spark, a, 0, rank)
-    fb0 = init_factor(spark, b.dims[0], rank, "lcg", 1, 0)
-    own = [r for r in fo.column_means(fa[0], rank).first()]
-    other = [r for r in fo.column_means(fb0, rank).first()]
-    new = update.update_uncoupled(spark, a, fa, 0, rank, Options(LAM, "ls"), 0, own, other)
-    return _flat(new, rank)
+    return _flat(_updated(spark, sf, 0), 2)
+
+
+def q_update_uncoupled_gram(spark, sf):
+    return _flat(_updated(spark, sf, 0, method="gram"), 2)
+
+
+def q_update_uncoupled_wls(spark, sf):
+    return _flat(_updated(spark, sf, 0, options=Options(LAM, "wls")), 2)
+
+
+def _without_broadcast(spark, build):
+    """A plan built as if no factor could be broadcast (salted shuffle joins)."""
+    spark.conf.set("spark.twinfold.maxBroadcastBytes", "0")
+    try:
+        return build()
+    finally:
+        spark.conf.unset("spark.twinfold.maxBroadcastBytes")
+
+
+def q_update_uncoupled_shuffle(spark, sf):
+    return _without_broadcast(spark, lambda: _flat(_updated(spark, sf, 0, heavy=_salted(spark, sf)), 2))
+
+
+def _salted(spark, sf):
+    """Heavy indices of X1 with a low bound, so that the salts take effect on the test tables."""
+    t = x1(spark, sf)
+    return {m: fo.heavy_indices(t.entries, m, rows=20) for m in range(2)}
+
+
+def _specific(spark, sf, method="auto", heavy=None):
+    a = x1(spark, sf)
+    return update.update_specific(spark, a, lcg_factors(spark, a, 0, 3), 1, 3, 1, Options(LAM, "ls"), 0, method, heavy)
 
 
 def q_update_specific(spark, sf):
-    rank, common = 3, 1
+    return _flat(_specific(spark, sf), 3)
+
+
+def q_update_specific_gram(spark, sf):
+    return _flat(_specific(spark, sf, "gram"), 3)
+
+
+def q_update_specific_shuffle(spark, sf):
+    return _without_broadcast(spark, lambda: _flat(_specific(spark, sf, "gram", _salted(spark, sf)), 3))
+
+
+def q_update_specific_all(spark, sf):
+    """M5 with common = 0: the whole row of a coupled mode."""
     a = x1(spark, sf)
-    new = update.update_specific(spark, a, lcg_factors(spark, a, 0, rank), 1, rank, common, Options(LAM, "ls"), 0)
-    return _flat(new, rank)
+    return _flat(update.update_specific(spark, a, lcg_factors(spark, a, 0, 2), 1, 2, 0, Options(LAM, "ls"), 0), 2)
 
 
-def q_update_common(spark, sf):
-    rank, common = 3, 2
+def _common(spark, sf, rank=3, common=2, method="auto", shuffled=False):
     a, b = x1(spark, sf), x2(spark, sf)
     fa, fb = lcg_factors(spark, a, 0, rank), lcg_factors(spark, b, 1, rank)
-    both = update.update_common(spark, a, fa, 1, 0, b, fb, 1, 0, rank, common, Options(LAM, "ls"))
+    both = update.update_common(spark, a, fa, 1, 0, b, fb, 1, 0, rank, common, Options(LAM, "ls"), method=method,
+                                heavy=(_salted(spark, sf), None) if shuffled else (None, None))
     return both.select("idx", *[_r(F.col("v")[c], ROUND_SOLVE).alias(f"v{c}") for c in range(rank)], "tensor")
 
 
+def q_update_common(spark, sf):
+    return _common(spark, sf)
+
+
+def q_update_common_gram(spark, sf):
+    return _common(spark, sf, method="gram")
+
+
+def q_update_common_shuffle(spark, sf):
+    return _without_broadcast(spark, lambda: _common(spark, sf, shuffled=True))
+
+
+def q_update_common_all(spark, sf):
+    """M6 with common = rank: the whole row is shared."""
+    return _common(spark, sf, rank=2, common=2)
+
+
+def q_update_x1_3mode(spark, sf):
+    """M4 on a three-mode tensor (design from two other modes, no mean pull)."""
+    t = x1(spark, sf, three_mode=True)
+    return _flat(update.update_uncoupled(spark, t, lcg_factors(spark, t, 0, 2), 0, 2, Options(LAM, "ls"), 0), 2)
+
+
 def q_gradient_x1(spark, sf):
     t = x1(spark, sf)
     g = normal.gradient_by_key(spark, t, lcg_factors(spark, t, 0, RANK), 0, RANK)
     return _rounded(g, {"key"}, 4)
 
 
-# -- fit, model outputs (iterative: no SQL twin) ------------------------------------------
+# -- fit, model outputs --------------------------------------------------------------------
 
 _FITS: dict = {}
+SWEEPS = 2
 
 
-def _fit(spark, sf, sweeps=2):
-    """One fit per (session, tables), shared by the fit queries below."""
+def _fit(spark, sf):
+    """One fit per (application, tables), shared by the fit queries below: rank 2, common 1, lcg init, two sweeps."""
     from twinfold.plans.fit import fit
-    memo = (id(spark), sf, sweeps)
+    memo = (spark.sparkContext.applicationId, sf)
     if memo not in _FITS:
         tensors, valid, coup = tpch.coupled_pair(spark, sf, materialize=run_dir(spark, "fit-tensors"))
-        cfg = FitConfig(rank=RANK, common=COMMON, options=Options(LAM, "ls"),
-                        stop=Stop(min_rel_decrease=1e-4, max_iter=sweeps), init="random")
-        _FITS[memo] = (fit(spark, tensors, coup, cfg, validation=valid), valid)
+        cfg = FitConfig(rank=2, common=1, options=Options(LAM, "ls"), stop=Stop(max_iter=SWEEPS), init="lcg")
+        metrics = run_dir(spark, "fit-metrics")
+        _FITS[memo] = (fit(spark, tensors, coup, cfg, validation=valid, metrics_path=metrics), valid, metrics)
     return _FITS[memo]
 
 
+def _factor_rows(table):
+    return table.select("tensor", "mode", "idx", *[_r(F.col("v")[c], ROUND_SOLVE).alias(f"v{c}") for c in range(2)])
+
+
 def q_fit_one_sweep(spark, sf):
     """The factors after one full sweep (rank 2, common 1, lcg init) over whole X1 and X2."""
     from twinfold.plans.fit import fit
@@ -307,28 +457,60 @@ def q_fit_one_sweep(spark, sf):
                                          materialize=run_dir(spark, "sweep-tensors"))
     cfg = FitConfig(rank=2, common=1, options=Options(LAM, "ls"), stop=Stop(max_iter=1), init="lcg")
     model = fit(spark, tensors, coup, cfg)
-    table = model.factor_table(model.versions[1])
-    return table.select("tensor", "mode", "idx",
-                        *[_r(F.col("v")[c], ROUND_SOLVE).alias(f"v{c}") for c in range(2)])
+    return _factor_rows(model.factor_table(model.versions[1]))
+
+
+def _digits():
+    return (F.when(F.col("term") == "mean", _r(F.col("loss"), ROUND_SOLVE))
+            .when(F.col("term").startswith("val"), _r(F.col("loss"), ROUND_SOLVE)).otherwise(_r(F.col("loss"), ROUND_LOSS)))
 
 
 def q_fit_metrics(spark, sf):
-    model, _ = _fit(spark, sf)
-    return model.metrics
+    """Losses and validation errors per iteration, from the log written during the fit."""
+    _, _, path = _fit(spark, sf)
+    return spark.read.parquet(path).select("iter", "term", _digits().alias("loss"))
+
+
+def q_training_log(spark, sf):
+    """The training log's tab file, read back (without its time column)."""
+    model, _, _ = _fit(spark, sf)
+    path = run_dir(spark, "log")
+    sinks.write_training_log(model.metrics, 2, path)
+    back = spark.read.option("sep", "\t").option("header", "true").schema(
+        "iter int, seconds double, se_0 double, se_1 double, mean double, total double").csv(path)
+    return back.select("iter", *[_r(F.col(c), ROUND_LOSS).alias(c) for c in ("se_0", "se_1", "total")],
+                       _r(F.col("mean"), ROUND_SOLVE).alias("mean"))
+
+
+def q_validation_log(spark, sf):
+    """The validation log's tab file, read back."""
+    model, _, _ = _fit(spark, sf)
+    path = run_dir(spark, "validation-log")
+    sinks.write_validation_log(model.metrics, 2, path)
+    back = spark.read.option("sep", "\t").option("header", "true").schema(
+        "iter int, val_rmse_0 double, val_rmse_1 double").csv(path)
+    return back.select("iter", *[_r(F.col(f"val_rmse_{t}"), ROUND_SOLVE).alias(f"val_rmse_{t}") for t in range(2)])
 
 
 def q_fit_predict_validation(spark, sf):
-    model, valid = _fit(spark, sf)
+    model, valid, _ = _fit(spark, sf)
     out = None
     for t, v in enumerate(valid):
         p = predict.predict(spark, v, model.factors_of(t), model.rank).withColumn("tensor", F.lit(t))
         out = p if out is None else out.unionByName(p)
-    return out
+    return out.withColumn("yhat", _r(F.col("yhat"), ROUND_SOLVE))
+
+
+def q_fit_checkpoint(spark, sf):
+    """The factors checkpointed after the first sweep."""
+    model, _, _ = _fit(spark, sf)
+    return _factor_rows(model.factor_table(model.checkpoints[1]))
 
 
 def q_fit_best_factors(spark, sf):
-    model, _ = _fit(spark, sf)
-    return model.best_factor_table(1)
+    """Every tensor's factors at its best validation error."""
+    model, _, _ = _fit(spark, sf)
+    return _factor_rows(model.best_factor_table(0).unionByName(model.best_factor_table(1)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -367,4 +549,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fit_metrics": q_fit_metrics,
     "fit_predict_validation": q_fit_predict_validation,
     "fit_best_factors": q_fit_best_factors,
+    "mode_key_x1": q_mode_key_x1,
+    "slice_pages_x1": q_slice_pages_x1,
+    "validate_mixed": q_validate_mixed,
+    "init_diagonal_random": q_init_diagonal_random,
+    "mean_loss_wls": q_mean_loss_wls,
+    "upsert_rows": q_upsert_rows,
+    "upsert_block": q_upsert_block,
+    "factor_sink": q_factor_sink,
+    "prediction_sink": q_prediction_sink,
+    "update_uncoupled_gram": q_update_uncoupled_gram,
+    "update_uncoupled_wls": q_update_uncoupled_wls,
+    "update_uncoupled_shuffle": q_update_uncoupled_shuffle,
+    "update_specific_gram": q_update_specific_gram,
+    "update_specific_shuffle": q_update_specific_shuffle,
+    "update_specific_all": q_update_specific_all,
+    "update_common_gram": q_update_common_gram,
+    "update_common_shuffle": q_update_common_shuffle,
+    "update_common_all": q_update_common_all,
+    "update_x1_3mode": q_update_x1_3mode,
+    "training_log": q_training_log,
+    "validation_log": q_validation_log,
+    "fit_checkpoint": q_fit_checkpoint,
 }

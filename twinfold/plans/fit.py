@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import sys
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -22,12 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinfold.functions.columns import entry_columns
-from twinfold.operators.blocked import BlockedEntries, block_entries, blocked_squared_error, needs_blocking
-from twinfold.operators.factors import copy_factor, init_factor, means_rows
+from twinfold.operators.factors import copy_factor, heavy_indices, init_factor, means_rows
 from twinfold.operators.predict import loss_table, mean_loss, rmse, training_loss
 from twinfold.operators.tensor import check, cluster_by_mode, partitions_for
 from twinfold.operators.update import update_common, update_specific, update_uncoupled
-from twinfold.session import run_dir
+from twinfold.session import fits_broadcast, run_dir
 from twinfold.spec import Coupling, FitConfig, Tensor
 
 FactorKey = tuple[int, int]
@@ -48,6 +47,7 @@ class FactorStore:
         self.spark = spark
         self.root = root
         self.paths: dict[FactorKey, str] = {}
+        self.written: set[str] = set()
         self.frames: dict[FactorKey, DataFrame] = {}
         self._version = 0
 
@@ -80,10 +80,20 @@ class FactorStore:
     def load(self, key: FactorKey, path: str) -> DataFrame:
         # Declared schema: no job to read footers back.
         df = self.spark.read.schema(FACTOR_SCHEMA).parquet(path)
+        self.written.add(path)
         self.paths[key] = path
         self.frames[key] = df
         return df
 
+    def forget(self, needed: Sequence[dict[FactorKey, str]]) -> None:
+        """Delete the written versions that no snapshot in ``needed`` refers to."""
+        keep = {path for paths in needed for path in paths.values()} | set(self.paths.values())
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        for path in sorted(self.written - keep):
+            target = hadoop(path)
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+            self.written.discard(path)
+
     def snapshot(self) -> dict[FactorKey, str]:
         return dict(self.paths)
 
@@ -158,13 +168,9 @@ def _log(verbose: bool, msg: str) -> None:
 
 
 def evaluate(spark: SparkSession, tensors: Sequence[Tensor], valid: Sequence[Tensor] | None,
-             store: FactorStore, rank: int, blocked: Sequence[BlockedEntries | None] | None = None,
+             store: FactorStore, rank: int, heavy: Sequence[dict[int, DataFrame]] | None = None,
              ) -> tuple[dict, dict, dict]:
-    """One job: column means of every factor, SSE and count of every tensor.
-
-    A tensor in the blocked layout computes its training SSE block by block
-    (factor rows routed to the cached blocks), so no entry shuffle happens.
-    """
+    """One job: column means of every factor, SSE and count of every tensor."""
     means_df = means_rows(store.frames, rank).select(
         F.lit("mean").alias("kind"), "tensor", "mode", "col", F.col("mean").alias("value"),
         F.lit(None).cast("long").alias("n"))
@@ -172,19 +178,7 @@ def evaluate(spark: SparkSession, tensors: Sequence[Tensor], valid: Sequence[Ten
     for prefix, ts in (("train", tensors), ("valid", valid)):
         if not ts:
             continue
-        if prefix == "train" and blocked and any(b is not None for b in blocked):
-            lt = None
-            for t, ten in enumerate(ts):
-                if blocked[t] is not None:
-                    fac = {m: store.frames[(t, m)] for m in range(ten.n_modes)}
-                    row = blocked_squared_error(spark, blocked[t], fac, rank)
-                    row = row.select(F.lit(prefix).alias("part"), F.lit(t).alias("tensor"), "sse", "n")
-                else:
-                    row = loss_table(spark, [ten], {(0, m): store.frames[(t, m)] for m in range(ten.n_modes)},
-                                     rank, prefix).withColumn("tensor", F.lit(t))
-                lt = row if lt is None else lt.unionByName(row)
-        else:
-            lt = loss_table(spark, ts, store.frames, rank, prefix)
+        lt = loss_table(spark, ts, store.frames, rank, prefix, heavy if prefix == "train" else None)
         parts.append(lt.select(F.col("part").alias("kind"), "tensor", F.lit(None).cast("int").alias("mode"),
                                F.lit(None).cast("int").alias("col"), F.col("sse").alias("value"), "n"))
     union = parts[0]
@@ -210,13 +204,12 @@ def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coup
 
     ``metrics_path``: when set, each iteration's metric rows are appended
     there as parquet as soon as they are known (S5/S6), so the log survives
-    a driver failure mid-fit.
+    a driver failure mid-fit. Iteration 0 starts the log anew, so a rerun to the
+    same path does not mix two runs.
     """
     cfg = config or FitConfig()
     coupling = _check_layout(tensors, couplings, cfg)
-    rank, common, opts = cfg.rank, cfg.common, cfg.options
     root = root or run_dir(spark, "fit")
-    n_modes = tensors[0].n_modes
     timings: list[tuple[str, float]] = []
     mark = [time.time()]
 
@@ -225,34 +218,54 @@ def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coup
         timings.append((phase, now - mark[0]))
         mark[0] = now
 
-    # Entries: checked and counted once, then cached as one copy per mode,
-    # range-partitioned on that mode's key (the reference keeps one slice
-    # per mode too). Cached data is recomputable from its source if an
-    # executor is lost.
+    # One cached copy of the entries per mode (the reference keeps one slice per mode too), released however
+    # the fit ends. Cached data is recomputable from its source if an executor is lost.
+    held: list[DataFrame] = []
+    try:
+        return _fit(spark, tensors, validation, coupling, cfg, root, verbose, metrics_path, lap, timings, held)
+    finally:
+        for df in held:
+            df.unpersist()
+
+
+def _layout(spark: SparkSession, t: Tensor, cfg: FitConfig, level: StorageLevel, held: list[DataFrame],
+            ) -> tuple[int, list[Tensor], dict[int, DataFrame]]:
+    """Entries checked and counted once, then cached as one copy per mode, range-partitioned on that mode's key.
+
+    Heavy indices are measured only if some factor is too large to broadcast.
+    """
+    src = t.entries.select(*entry_columns(t.n_modes)).persist(level)
+    held.append(src)
+    n = check(t.with_entries(src))
+    per_mode, hot = [], {}
+    for m in range(t.n_modes):
+        parts = partitions_for(spark, n, t.n_modes, cfg.partition_bytes, cfg.split, t.dims[m])
+        e = cluster_by_mode(src, m, t.n_modes, parts).persist(level)
+        held.append(e)
+        e.count()
+        per_mode.append(t.with_entries(e))
+    if not all(fits_broadcast(spark, d, cfg.rank) for d in t.dims):
+        for m in range(t.n_modes):
+            hot[m] = heavy_indices(per_mode[m].entries, m).persist(level)
+            held.append(hot[m])
+    src.unpersist()
+    return n, per_mode, hot
+
+
+def _fit(spark: SparkSession, tensors: Sequence[Tensor], validation: Sequence[Tensor] | None, coupling: Coupling,
+         cfg: FitConfig, root: str, verbose: bool, metrics_path: str | None, lap: Callable[[str], None],
+         timings: list[tuple[str, float]], held: list[DataFrame]) -> Model:
+    rank, common, opts = cfg.rank, cfg.common, cfg.options
+    n_modes = tensors[0].n_modes
+    level = getattr(StorageLevel, cfg.storage)
     copies: list[list[Tensor]] = []
     counts: list[int] = []
-    blocks: list[list[BlockedEntries | None]] = []
+    heavy: list[dict[int, DataFrame]] = []
     for t in tensors:
-        src = t.entries.select(*entry_columns(t.n_modes)).persist(StorageLevel.MEMORY_AND_DISK)
-        n = check(t.with_entries(src))
+        n, per_mode, hot = _layout(spark, t, cfg, level, held)
         counts.append(n)
-        parts = partitions_for(spark, n, cfg.rows_per_partition)
-        per_mode = []
-        blocked_t: list[BlockedEntries | None] = []
-        use_blocks = cfg.lookup == "blocked" or (cfg.lookup == "auto" and needs_blocking(spark, t, cfg.rank))
-        for m in range(t.n_modes):
-            if use_blocks:
-                be = block_entries(t.with_entries(src), m, parts)
-                per_mode.append(be.tensor)
-                blocked_t.append(be)
-            else:
-                e = cluster_by_mode(src, m, t.n_modes, parts).persist(StorageLevel.MEMORY_AND_DISK)
-                e.count()
-                per_mode.append(t.with_entries(e))
-                blocked_t.append(None)
-        src.unpersist()
         copies.append(per_mode)
-        blocks.append(blocked_t)
+        heavy.append(hot)
     cached = [c[0] for c in copies]
     vcached: list[Tensor] | None = None
     if validation is not None:
@@ -262,7 +275,8 @@ def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coup
         for v, t in zip(validation, tensors):
             if v.dims != t.dims:
                 raise ValueError("validation tensor dims differ from the training tensor")
-            e = v.entries.select(*entry_columns(v.n_modes)).persist(StorageLevel.MEMORY_AND_DISK)
+            e = v.entries.select(*entry_columns(v.n_modes)).persist(level)
+            held.append(e)
             vt = v.with_entries(e)
             check(vt)
             vcached.append(vt)
@@ -295,7 +309,7 @@ def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coup
 
     def step_metrics(it: int) -> tuple[dict, bool, float]:
         nonlocal prev_loss
-        means, train, val = evaluate(spark, cached, vcached, store, rank, [b[0] for b in blocks])
+        means, train, val = evaluate(spark, cached, vcached, store, rank, heavy)
         seconds = time.time() - start
         losses = [training_loss(*train[t], opts.loss) for t in range(len(cached))]
         ml = mean_loss(means[(0, mean_mode)], means[(1, mean_mode)], opts.loss)
@@ -329,9 +343,15 @@ def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coup
         if metrics_path:
             rows = [(int(i), float(sec), term, None if v is None else float(v))
                     for i, sec, term, v in history if i == it]
-            spark.createDataFrame(rows, METRICS_SCHEMA).coalesce(1).write.mode("append").parquet(metrics_path)
+            spark.createDataFrame(rows, METRICS_SCHEMA).coalesce(1).write.mode(
+                "append" if it else "overwrite").parquet(metrics_path)
         _log(verbose, f"iter {it}: total {total:.6g} rel {rel:.3g} ({seconds:.1f}s)")
         prev_loss = total
+        if cfg.keep_versions == "needed":
+            # The model is this iteration or the one before; older versions stay only as checkpoints and best ones.
+            for old in [i for i in snapshots if i < it - 1]:
+                del snapshots[old]
+            store.forget([*snapshots.values(), *checkpoints.values(), *(b[2] for b in best.values())])
         return means, stop, rel
 
     means, stop, rel = step_metrics(0)
@@ -349,26 +369,22 @@ def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coup
                         fac_2 = {k: store.frames[(t2, k)] for k in range(n_modes)}
                         both = update_common(spark, copies[t][m], fac_t, m, counts[t], copies[t2][m2], fac_2, m2,
                                              counts[t2], rank, common, opts, ((t, m), (t2, m2)), cfg.method,
-                                             (blocks[t][m], blocks[t2][m2]))
+                                             (heavy[t], heavy[t2]))
                         store.put_table(both, [(t, m), (t2, m2)], tag)
                         fac_t = {k: store.frames[(t, k)] for k in range(n_modes)}
                     if common < rank:
                         new = update_specific(spark, copies[t][m], fac_t, m, rank, common, opts, counts[t],
-                                              cfg.method, blocks[t][m])
+                                              cfg.method, heavy[t])
                         store.put((t, m), new, tag)
                 else:
                     other = 1 - t
                     new = update_uncoupled(spark, copies[t][m], fac_t, m, rank, opts, counts[t],
-                                           means[(t, m)], means[(other, m)], cfg.method, blocks[t][m])
+                                           means[(t, m)], means[(other, m)], cfg.method, heavy[t])
                     store.put((t, m), new, tag)
         lap(f"sweep_{it}")
         means, stop, rel = step_metrics(it)
         lap(f"loss_{it}")
 
     final = it if (it == 0 or rel > 0) else it - 1
-    for t in [c for per_mode in copies for c in per_mode] + (vcached or []):
-        t.entries.unpersist()
-    for be in [b for per_mode in blocks for b in per_mode if b is not None]:
-        be.unpersist()
     return Model(spark, rank, common, snapshots[final], history, final, checkpoints, best, root, timings,
                  dict(snapshots))

@@ -7,12 +7,13 @@ Arguments follow the reference's job, named instead of positional::
     --validation valid_0.txt --validation valid_1.txt --output OUT
 
 The reference's positional order is accepted too (first argument a number,
-see :func:`from_positional`). ``--split`` sets the shuffle partition count
-when given. Outputs under
+see :func:`from_positional`). ``--split`` gives every mode ``min(split, dim)``
+partitions of entries and sets the shuffle partition count. Outputs under
 OUT: ``factors/`` (parquet), ``U_{t}_{m}/`` tab exports of the final
 model, ``Validation_U_{t}_{m}/`` of each tensor's best validated version,
 ``metrics/`` (parquet), ``Log/`` and ``Validation_Log/`` (tab text), and,
-with ``--predict``, ``predictions_{t}/`` at the validation cells.
+with ``--predict``, ``predictions_{t}/`` at the validation cells (with
+``--rescale`` in the reference's application units).
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ if __package__ in (None, ""):
 
 from pyspark.sql import SparkSession  # noqa: E402
 
+from twinfold.spec import STORAGE_LEVELS  # noqa: E402
+
 
 def parse_args(argv: list[str]) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="twinfold-job", description="coupled matrix/tensor factorisation")
@@ -37,7 +40,13 @@ def parse_args(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--stop", required=True, help="0_<min rel decrease>, 1_<max iters>, 2_<max hours>, combined")
     p.add_argument("--validation", action="append", default=None)
     p.add_argument("--output", required=True)
-    p.add_argument("--split", type=int, default=None, help="shuffle partitions")
+    p.add_argument("--split", type=int, default=None, help="partitions per mode (at most its size) and per shuffle")
+    p.add_argument("--partition-bytes", type=int, default=256 << 20, help="size of a cached partition without --split")
+    p.add_argument("--storage", default="MEMORY_AND_DISK", choices=STORAGE_LEVELS, help="level of cached entries")
+    p.add_argument("--method", default="auto", choices=["auto", "sum", "gram"], help="form of the normal equations")
+    p.add_argument("--share-init", action="store_true", help="start both coupled factors alike")
+    p.add_argument("--keep-versions", default="needed", choices=["needed", "all"], help="factor versions to keep")
+    p.add_argument("--rescale", action="store_true", help="write predictions in the reference's units")
     p.add_argument("--init", default="random", choices=["random", "lcg", "const"])
     p.add_argument("--seed", type=int, default=0)
     p.add_argument("--checkpoint-every", type=int, default=1)
@@ -77,7 +86,7 @@ def from_positional(argv: list[str]) -> argparse.Namespace:
 
 
 def run(spark: SparkSession, args: argparse.Namespace):
-    from twinfold.operators.predict import predict
+    from twinfold.operators.predict import REFERENCE_RESCALE_BREAKS, REFERENCE_RESCALE_ELSE, denormalise, predict
     from twinfold.plans.fit import fit
     from twinfold.sources import sinks, text
     from twinfold.spec import FitConfig, Options, Stop
@@ -99,7 +108,9 @@ def run(spark: SparkSession, args: argparse.Namespace):
     couplings = text.collect_couplings(text.read_coupling(spark, args.coupling))
     cfg = FitConfig(rank=args.rank, common=args.common, options=Options.parse(args.optimizer),
                     stop=Stop.parse(args.stop), init=args.init, seed=args.seed,
-                    checkpoint_every=args.checkpoint_every)
+                    checkpoint_every=args.checkpoint_every, split=args.split, partition_bytes=args.partition_bytes,
+                    storage=args.storage, method=args.method, share_init=args.share_init,
+                    keep_versions=args.keep_versions)
     out = args.output.rstrip("/")
     model = fit(spark, tensors, couplings, cfg, validation=valid, metrics_path=f"{out}/metrics")
     sinks.save_factor_table(model.factor_table(), f"{out}/factors")
@@ -112,8 +123,10 @@ def run(spark: SparkSession, args: argparse.Namespace):
         sinks.write_validation_log(metrics, len(tensors), f"{out}/Validation_Log")
         if args.predict:
             for t, v in enumerate(valid):
-                sinks.write_predictions(predict(spark, v, model.factors_of(t), model.rank), v.n_modes,
-                                        f"{out}/predictions_{t}")
+                cells = predict(spark, v, model.factors_of(t), model.rank)
+                if args.rescale:
+                    cells = denormalise(cells, REFERENCE_RESCALE_BREAKS, REFERENCE_RESCALE_ELSE)
+                sinks.write_predictions(cells, v.n_modes, f"{out}/predictions_{t}")
     return model
 
 

@@ -8,12 +8,17 @@ rule. Every float is DOUBLE (no DECIMAL literals) and rounded as in
 
 from __future__ import annotations
 
-from twinfold.functions.init import LCG_COL, LCG_IDX, LCG_MOD, LCG_MODE, LCG_OFFSET, LCG_TENSOR
-from twinfold.operators.predict import REFERENCE_RESCALE_BREAKS, REFERENCE_RESCALE_ELSE
 from twinfold.plans.catalog import COMMON, LAM, RANK, ROUND_LOSS, ROUND_MEAN, ROUND_SOLVE, ROUND_SUM
 
 D = "DOUBLE"
 
+# Fixed values, written out here so that a wrong constant in the code under test shows:
+# the initialiser's recurrence and the rescale table (exclusive upper bound of the mode-1 index, factor).
+LCG_IDX, LCG_COL, LCG_TENSOR, LCG_MODE, LCG_OFFSET, LCG_MOD = 7919, 104729, 15485863, 32452843, 17, 1000003
+RESCALE = ((63, 301894.0), (360, 301895.0), (578, 230410.0), (719, 215337.0), (896, 299896.0), (1039, 116771.0),
+           (1153, 301895.0), (1356, 299898.0), (1473, 301895.0), (1542, 299897.0), (1852, 301897.0))
+RESCALE_ELSE = 100532.0
+
 
 def dim(table: str) -> str:
     return f"(SELECT count(*) FROM {table})"
@@ -125,28 +130,122 @@ def q_validate_x2_raw():
     return f"{flagged} UNION ALL {dups}"
 
 
+def q_mode_key_x1():
+    return f"SELECT i1 AS key, i0, i1, y FROM ({x1()})"
+
+
+def q_slice_pages_x1():
+    return q_mode_key_x1()
+
+
+def q_validate_mixed():
+    raw = (f"SELECT l_suppkey - 3 AS i0, CASE WHEN l_partkey % 50 <> 0 THEN l_partkey END AS i1, "
+           f"CASE l_linenumber WHEN 2 THEN 'nan'::{D} WHEN 3 THEN 'inf'::{D} WHEN 4 THEN NULL ELSE l_quantity::{D} END AS y "
+           f"FROM lineitem")
+    issue = (f"CASE WHEN i0 IS NULL OR i1 IS NULL THEN 'null_index' "
+             f"WHEN i0 < 0 OR i0 >= {dim('supplier')} - 5 OR i1 < 0 OR i1 >= {dim('part')} - 7 THEN 'out_of_range' "
+             f"WHEN y IS NULL OR isnan(y) OR isinf(y) THEN 'bad_value' END")
+    flagged = f"SELECT * FROM (SELECT i0, i1, y, {issue} AS issue FROM ({raw})) WHERE issue IS NOT NULL"
+    dups = (f"SELECT r.i0, r.i1, r.y, 'duplicate' AS issue FROM ({raw}) r JOIN "
+            f"(SELECT i0, i1 FROM ({raw}) GROUP BY i0, i1 HAVING count(*) > 1) d ON r.i0 = d.i0 AND r.i1 = d.i1")
+    return f"{flagged} UNION ALL {dups}"
+
+
+def _lcg_over(column: str, table: str, rank: int, t: int, m: int) -> str:
+    cells = ", ".join(f"CAST(({column} * {LCG_IDX} + {c * LCG_COL + t * LCG_TENSOR + m * LCG_MODE + LCG_OFFSET}) % {LCG_MOD} AS {D}) "
+                      f"/ CAST({LCG_MOD} AS {D}) AS v{c}" for c in range(rank))
+    return f"SELECT {column} AS idx, {cells} FROM {table}"
+
+
+def _random(column: str, seed: int, t: int, m: int, c: int) -> str:
+    return (f"(('0x' || substr(md5('{seed}:{t}:{m}:' || {column} || ':{c}'), 1, 13))::BIGINT)::{D} / CAST(4503599627370496 AS {D})")
+
+
 def q_init_lcg():
-    return lcg(dim("customer"), RANK, 0, 0)
+    return _lcg_over("c_custkey", "customer", RANK, 0, 0)
 
 
 def q_init_const():
-    cols = ", ".join(f"CAST(1 AS {D}) AS v{c}" for c in range(RANK))
-    return f"SELECT idx, {cols} FROM ({rng(dim('part'))})"
+    return f"SELECT p_partkey AS idx, {', '.join(f'CAST(1 AS {D}) AS v{c}' for c in range(RANK))} FROM part"
 
 
 def q_init_diagonal():
-    cols = ", ".join(f"CASE WHEN idx = {c} THEN CAST(1 AS {D}) ELSE CAST(0 AS {D}) END AS v{c}" for c in range(RANK))
-    return f"SELECT idx, {cols} FROM ({rng(dim('supplier'))})"
+    cols = ", ".join(f"CASE WHEN s_suppkey = {c} THEN CAST(1 AS {D}) ELSE CAST(0 AS {D}) END AS v{c}" for c in range(RANK))
+    return f"SELECT s_suppkey AS idx, {cols} FROM supplier"
+
+
+def q_init_diagonal_random():
+    cols = ", ".join(f"CASE WHEN p_partkey >= 4 THEN {_random('p_partkey', 3, 1, 1, c)} WHEN p_partkey = {c} THEN CAST(2 AS {D}) "
+                     f"ELSE CAST(0 AS {D}) END AS v{c}" for c in range(RANK))
+    return f"SELECT p_partkey AS idx, {cols} FROM part"
+
+
+def q_init_random():
+    return f"SELECT c_custkey AS idx, {', '.join(f'{_random("c_custkey", 7, 0, 0, c)} AS v{c}' for c in range(RANK))} FROM customer"
+
+
+def _updated(t: int, wls: bool = False) -> str:
+    """``idx, v0, v1`` of mode 0 of tensor t after one update at rank 2 with the mean pull."""
+    src, dims, other = ((x1(), X1_DIMS, X2_DIMS), (x2(), X2_DIMS, X1_DIMS))[t]
+    length = f"CAST({dims[0]} AS {D})"
+    joins = f"JOIN ({lcg(dims[1], 2, t, 1)}) f1 ON e.i1 = f1.idx"
+    ne = _ne(src, "i0", ["f1.v0", "f1.v1"], "e.y", joins, 2)
+    w, w2 = "1", "1"
+    if wls:
+        w, w2 = f"(CAST(1 AS {D}) / (SELECT count(*) FROM ({src})))", f"(CAST(1 AS {D}) / 2)"
+    own = f"SELECT avg(v0) AS m0, avg(v1) AS m1 FROM ({lcg(dims[0], 2, t, 0)})"
+    oth = f"SELECT avg(v0) AS m0, avg(v1) AS m1 FROM ({lcg(other[0], 2, 1 - t, 0)})"
+    pull = f"{w2} * CAST(1 AS {D}) / ({length} * {length})"
+    diag = [_lam(f"{w} * ne.ata_{c}_{c}") + f" + {pull}" for c in range(2)]
+    b = [f"{w} * ne.atb_{c} + {w2} * (oth.m{c} - (own.m{c} - old.v{c} / {length})) / {length}" for c in range(2)]
+    x0, x1_ = cramer2(diag[0], f"{w} * ne.ata_0_1", diag[1], b[0], b[1])
+    solved = (f"SELECT old.idx, {x0} AS x0, {x1_} AS x1 FROM ({lcg(dims[0], 2, t, 0)}) old "
+              f"JOIN ({ne}) ne ON old.idx = ne.key, ({own}) own, ({oth}) oth")
+    return (f"SELECT old.idx, coalesce(s.x0, old.v0) AS v0, coalesce(s.x1, old.v1) AS v1 "
+            f"FROM ({lcg(dims[0], 2, t, 0)}) old LEFT JOIN ({solved}) s ON old.idx = s.idx")
+
+
+def _solved(inner: str, lead: str = "") -> str:
+    return f"SELECT {lead}idx, {r('v0', ROUND_SOLVE)} AS v0, {r('v1', ROUND_SOLVE)} AS v1 FROM ({inner})"
 
 
 def q_copy_factor():
-    cols = ", ".join(f"v{c}" for c in range(RANK))
-    return f"SELECT 1 AS tensor, 1 AS mode, idx, {cols} FROM ({lcg(dim('part'), RANK, 0, 1)})"
+    return _solved(_updated(0), "1 AS tensor, 1 AS mode, ")
 
 
 def q_column_means():
-    cols = ", ".join(f"{r(f'avg(v{c})', ROUND_MEAN)} AS m_{c}" for c in range(RANK))
-    return f"SELECT {cols} FROM ({lcg(dim('customer'), RANK, 0, 0)})"
+    return f"SELECT {r('avg(v0)', ROUND_SOLVE)} AS m_0, {r('avg(v1)', ROUND_SOLVE)} AS m_1 FROM ({_updated(0)})"
+
+
+def _updated_mean_loss() -> tuple[str, str]:
+    mean = "SELECT avg(v0) AS m0, avg(v1) AS m1"
+    return ("(a.m0 - b.m0) * (a.m0 - b.m0) + (a.m1 - b.m1) * (a.m1 - b.m1)",
+            f"({mean} FROM ({_updated(0)})) a, ({mean} FROM ({_updated(1)})) b")
+
+
+def q_mean_loss():
+    se, src = _updated_mean_loss()
+    return f"SELECT {r(se, ROUND_SOLVE)} AS mean_loss FROM {src}"
+
+
+def q_mean_loss_wls():
+    se, src = _updated_mean_loss()
+    return f"SELECT {r(f'({se}) / 2', ROUND_SOLVE)} AS mean_loss FROM {src}"
+
+
+def q_upsert_rows():
+    old = _lcg_over("c_custkey", "customer", 2, 0, 0)
+    return _solved(f"SELECT o.idx, CASE WHEN o.idx % 3 = 0 THEN n.v0 ELSE o.v0 END AS v0, "
+                   f"CASE WHEN o.idx % 3 = 0 THEN n.v1 ELSE o.v1 END AS v1 FROM ({old}) o JOIN ({_updated(0)}) n ON o.idx = n.idx")
+
+
+def q_upsert_block():
+    old = _lcg_over("c_custkey", "customer", 2, 0, 0)
+    return _solved(f"SELECT o.idx, o.v0, n.v1 FROM ({old}) o JOIN ({_updated(0)}) n ON o.idx = n.idx")
+
+
+def q_factor_sink():
+    return f"{_solved(_updated(0), '0 AS tensor, 0 AS mode, ')} UNION ALL {_solved(_updated(1), '1 AS tensor, 0 AS mode, ')}"
 
 
 def _mean_loss_expr():
@@ -158,11 +257,6 @@ def _mean_loss_expr():
     return se, src
 
 
-def q_mean_loss():
-    se, src = _mean_loss_expr()
-    return f"SELECT {r(se, ROUND_MEAN)} AS mean_loss FROM {src}"
-
-
 def q_design_x1_3mode():
     a = ", ".join(f"{r(f'f1.v{c} * f2.v{c}', ROUND_MEAN)} AS a{c}" for c in range(RANK))
     return (f"SELECT e.i0, e.i1, e.i2, e.y, {a} FROM ({x1(True)}) e "
@@ -184,6 +278,10 @@ def q_predict_x1():
     return f"SELECT i0, i1, y, {r('yhat', ROUND_MEAN)} AS yhat FROM ({_pred(x1(), X1_DIMS, 0)})"
 
 
+def q_prediction_sink():
+    return f"SELECT i0, i1, {r('yhat', ROUND_MEAN)} AS yhat FROM ({_pred(x1(), X1_DIMS, 0)})"
+
+
 def _sse(where: str | None):
     parts = []
     for ti, (src, dims) in enumerate(((x1(), X1_DIMS), (x2(), X2_DIMS))):
@@ -208,8 +306,8 @@ def q_total_loss():
 
 
 def q_denormalise_x1():
-    case = "CASE " + " ".join(f"WHEN i1 < {u} THEN CAST({s} AS {D})" for u, s in REFERENCE_RESCALE_BREAKS)
-    case += f" ELSE CAST({REFERENCE_RESCALE_ELSE} AS {D}) END"
+    case = "CASE " + " ".join(f"WHEN i1 < {u} THEN CAST({s} AS {D})" for u, s in RESCALE)
+    case += f" ELSE CAST({RESCALE_ELSE} AS {D}) END"
     return f"SELECT i0, i1, {r(f'yhat * ({case})', 4)} AS yhat_scaled FROM ({_pred(x1(), X1_DIMS, 0)})"
 
 
@@ -265,21 +363,38 @@ def q_ridge_solve():
 
 
 def q_update_uncoupled():
-    rank = 2
-    L = f"CAST({dim('customer')} AS {D})"
-    joins = f"JOIN ({lcg(X1_DIMS[1], rank, 0, 1)}) f1 ON e.i1 = f1.idx"
-    ne = _ne(x1(), "i0", ["f1.v0", "f1.v1"], "e.y", joins, rank)
-    own = f"SELECT avg(v0) AS m0, avg(v1) AS m1 FROM ({lcg(X1_DIMS[0], rank, 0, 0)})"
-    oth = f"SELECT avg(v0) AS m0, avg(v1) AS m1 FROM ({lcg(X2_DIMS[0], rank, 1, 0)})"
-    pull = f"CAST(1 AS {D}) / ({L} * {L})"
-    s00, s11 = f"{_lam('ne.ata_0_0')} + {pull}", f"{_lam('ne.ata_1_1')} + {pull}"
-    b = [f"ne.atb_{c} + (oth.m{c} - (own.m{c} - old.v{c} / {L})) / {L}" for c in range(rank)]
-    x0, x1_ = cramer2(s00, "ne.ata_0_1", s11, b[0], b[1])
-    solved = (f"SELECT old.idx, {x0} AS x0, {x1_} AS x1 FROM ({lcg(X1_DIMS[0], rank, 0, 0)}) old "
-              f"JOIN ({ne}) ne ON old.idx = ne.key, ({own}) own, ({oth}) oth")
-    return (f"SELECT old.idx, {r('coalesce(s.x0, old.v0)', ROUND_SOLVE)} AS v0, "
-            f"{r('coalesce(s.x1, old.v1)', ROUND_SOLVE)} AS v1 "
-            f"FROM ({lcg(X1_DIMS[0], rank, 0, 0)}) old LEFT JOIN ({solved}) s ON old.idx = s.idx")
+    return _solved(_updated(0))
+
+
+def q_update_uncoupled_wls():
+    return _solved(_updated(0, wls=True))
+
+
+def q_update_specific_all():
+    joins = f"JOIN ({lcg(X1_DIMS[0], 2, 0, 0)}) f0 ON e.i0 = f0.idx"
+    ne = _ne(x1(), "i1", ["f0.v0", "f0.v1"], "e.y", joins, 2)
+    x0, x1_ = cramer2(_lam("ata_0_0"), "ata_0_1", _lam("ata_1_1"), "atb_0", "atb_1")
+    return _solved(f"SELECT old.idx, coalesce(s.x0, old.v0) AS v0, coalesce(s.x1, old.v1) AS v1 "
+                   f"FROM ({lcg(X1_DIMS[1], 2, 0, 1)}) old LEFT JOIN (SELECT key, {x0} AS x0, {x1_} AS x1 FROM ({ne})) s "
+                   f"ON old.idx = s.key")
+
+
+def q_update_common_all():
+    x0, x1_ = cramer2(_lam("ata_0_0"), "ata_0_1", _lam("ata_1_1"), "atb_0", "atb_1")
+    solved = f"SELECT key, {x0} AS x0, {x1_} AS x1 FROM ({_merged(2, 2)})"
+    return " UNION ALL ".join(
+        f"SELECT old.idx, {r('coalesce(s.x0, old.v0)', ROUND_SOLVE)} AS v0, {r('coalesce(s.x1, old.v1)', ROUND_SOLVE)} AS v1, "
+        f"{t} AS tensor FROM ({lcg(dims[1], 2, t, 1)}) old LEFT JOIN ({solved}) s ON old.idx = s.key"
+        for t, dims in ((0, X1_DIMS), (1, X2_DIMS)))
+
+
+def q_update_x1_3mode():
+    joins = (f"JOIN ({lcg(X1_DIMS[1], 2, 0, 1)}) f1 ON e.i1 = f1.idx JOIN ({lcg(X1_DIMS[2], 2, 0, 2)}) f2 ON e.i2 = f2.idx")
+    ne = _ne(x1(True), "i0", ["f1.v0 * f2.v0", "f1.v1 * f2.v1"], "e.y", joins, 2)
+    x0, x1_ = cramer2(_lam("ata_0_0"), "ata_0_1", _lam("ata_1_1"), "atb_0", "atb_1")
+    return _solved(f"SELECT old.idx, coalesce(s.x0, old.v0) AS v0, coalesce(s.x1, old.v1) AS v1 "
+                   f"FROM ({lcg(X1_DIMS[0], 2, 0, 0)}) old LEFT JOIN (SELECT key, {x0} AS x0, {x1_} AS x1 FROM ({ne})) s "
+                   f"ON old.idx = s.key")
 
 
 def q_update_specific():
@@ -315,10 +430,13 @@ def q_gradient_x1():
             f"JOIN ({lcg(X1_DIMS[1], RANK, 0, 1)}) f1 ON e.i1 = f1.idx GROUP BY e.i0")
 
 
-def q_fit_one_sweep():
-    """One Gauss-Seidel sweep at rank 2, common 1 as a chain of CTEs (M4, M6, M5, M4, M5)."""
+def _sweeps(n: int, holdout: bool) -> list[tuple[str, str]]:
+    """CTEs of n Gauss-Seidel sweeps at rank 2, common 1 (M4, M6, M5, M4, M5 each).
+
+    ``x1, x2`` are the training cells (``v1, v2`` the held-out ones), ``f{t}{m}_{i}`` the factors after sweep i.
+    """
     lam = f"CAST({LAM} AS {D})"
-    L0, L1 = f"CAST({dim('customer')} AS {D})", f"CAST({dim('supplier')} AS {D})"
+    lengths = [f"CAST({dim('customer')} AS {D})", f"CAST({dim('supplier')} AS {D})"]
 
     def m4(entries: str, other_factor: str, own: str, own_mean: str, other_mean: str, length: str) -> str:
         ne = (f"SELECT e.i0 AS key, sum(f.v0 * f.v0) AS a00, sum(f.v0 * f.v1) AS a01, sum(f.v1 * f.v1) AS a11, "
@@ -332,37 +450,121 @@ def q_fit_one_sweep():
         return (f"SELECT o.idx, coalesce(s.x0, o.v0) AS v0, coalesce(s.x1, o.v1) AS v1 "
                 f"FROM {own} o LEFT JOIN ({solved}) s ON o.idx = s.idx")
 
-    def side(entries: str, f0: str, f1: str, col: int, other_col: int) -> str:
+    def side(entries: str, f0: str, f1: str, col: int) -> str:
         # design f0[col]; target y - f0[other] * f1[other]; keyed by the coupled index i1
         return (f"SELECT e.i1 AS key, sum(g.v{col} * g.v{col}) AS aa, "
-                f"sum((e.y - g.v{other_col} * h.v{other_col}) * g.v{col}) AS ab FROM {entries} e "
+                f"sum((e.y - g.v{1 - col} * h.v{1 - col}) * g.v{col}) AS ab FROM {entries} e "
                 f"JOIN {f0} g ON e.i0 = g.idx JOIN {f1} h ON e.i1 = h.idx GROUP BY e.i1")
 
-    ctes = [
-        ("x1", x1()), ("x2", x2()),
-        ("f00", lcg(X1_DIMS[0], 2, 0, 0)), ("f01", lcg(X1_DIMS[1], 2, 0, 1)),
-        ("f10", lcg(X2_DIMS[0], 2, 1, 0)), ("f11", lcg(X2_DIMS[1], 2, 1, 1)),
-        ("m00", "SELECT avg(v0) AS m0, avg(v1) AS m1 FROM f00"),
-        ("m10", "SELECT avg(v0) AS m0, avg(v1) AS m1 FROM f10"),
-        ("g00", m4("x1", "f01", "f00", "m00", "m10", L0)),
-        ("ca", side("x1", "g00", "f01", 0, 1)),
-        ("cb", side("x2", "f10", "f11", 0, 1)),
-        ("sc", f"SELECT ca.key, (ca.ab + cb.ab) / (ca.aa + cb.aa + {lam}) AS x FROM ca JOIN cb ON ca.key = cb.key"),
-        ("h01", "SELECT o.idx, coalesce(sc.x, o.v0) AS v0, o.v1 FROM f01 o LEFT JOIN sc ON o.idx = sc.key"),
-        ("h11", "SELECT o.idx, coalesce(sc.x, o.v0) AS v0, o.v1 FROM f11 o LEFT JOIN sc ON o.idx = sc.key"),
-        ("sa", side("x1", "g00", "h01", 1, 0)),
-        ("k01", f"SELECT o.idx, o.v0, coalesce(sa.ab / (sa.aa + {lam}), o.v1) AS v1 FROM h01 o "
-                f"LEFT JOIN sa ON o.idx = sa.key"),
-        ("g10", m4("x2", "h11", "f10", "m10", "m00", L1)),
-        ("sb", side("x2", "g10", "h11", 1, 0)),
-        ("k11", f"SELECT o.idx, o.v0, coalesce(sb.ab / (sb.aa + {lam}), o.v1) AS v1 FROM h11 o "
-                f"LEFT JOIN sb ON o.idx = sb.key"),
-    ]
-    outs = [(0, 0, "g00"), (0, 1, "k01"), (1, 0, "g10"), (1, 1, "k11")]
-    body = " UNION ALL ".join(
+    def specific(common: str, sums: str) -> str:
+        return (f"SELECT o.idx, o.v0, coalesce(s.ab / (s.aa + {lam}), o.v1) AS v1 FROM {common} o "
+                f"LEFT JOIN {sums} s ON o.idx = s.key")
+
+    both = [("x1", x1()), ("x2", x2())]
+    ctes = both
+    if holdout:
+        ctes = [(f"{n}_all", q) for n, q in both]
+        ctes += [(n, f"SELECT * FROM {n}_all WHERE NOT ({HOLDOUT})") for n, _ in both]
+        ctes += [(n.replace("x", "v"), f"SELECT * FROM {n}_all WHERE {HOLDOUT}") for n, _ in both]
+    for t, dims in ((0, X1_DIMS), (1, X2_DIMS)):
+        ctes += [(f"f{t}{m}_0", lcg(dims[m], 2, t, m)) for m in range(2)]
+    for i in range(1, n + 1):
+        p = i - 1
+        ctes += [
+            (f"m00_{p}", f"SELECT avg(v0) AS m0, avg(v1) AS m1 FROM f00_{p}"),
+            (f"m10_{p}", f"SELECT avg(v0) AS m0, avg(v1) AS m1 FROM f10_{p}"),
+            (f"f00_{i}", m4("x1", f"f01_{p}", f"f00_{p}", f"m00_{p}", f"m10_{p}", lengths[0])),
+            (f"ca_{i}", side("x1", f"f00_{i}", f"f01_{p}", 0)),
+            (f"cb_{i}", side("x2", f"f10_{p}", f"f11_{p}", 0)),
+            (f"sc_{i}", f"SELECT ca_{i}.key, (ca_{i}.ab + cb_{i}.ab) / (ca_{i}.aa + cb_{i}.aa + {lam}) AS x "
+                        f"FROM ca_{i} JOIN cb_{i} ON ca_{i}.key = cb_{i}.key"),
+        ]
+        ctes += [(f"h{t}1_{i}", f"SELECT o.idx, coalesce(s.x, o.v0) AS v0, o.v1 FROM f{t}1_{p} o LEFT JOIN sc_{i} s "
+                                f"ON o.idx = s.key") for t in range(2)]
+        ctes += [
+            (f"sa_{i}", side("x1", f"f00_{i}", f"h01_{i}", 1)),
+            (f"f01_{i}", specific(f"h01_{i}", f"sa_{i}")),
+            (f"f10_{i}", m4("x2", f"h11_{i}", f"f10_{p}", f"m10_{p}", f"m00_{p}", lengths[1])),
+            (f"sb_{i}", side("x2", f"f10_{i}", f"h11_{i}", 1)),
+            (f"f11_{i}", specific(f"h11_{i}", f"sb_{i}")),
+        ]
+    return ctes
+
+
+def _with(ctes: list[tuple[str, str]], body: str) -> str:
+    return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({q})" for n, q in ctes) + " " + body
+
+
+def _factors_after(i: int, tensors=(0, 1), where: str = "") -> str:
+    return " UNION ALL ".join(
         f"SELECT {t} AS tensor, {m} AS mode, idx, {r('v0', ROUND_SOLVE)} AS v0, {r('v1', ROUND_SOLVE)} AS v1 "
-        f"FROM {name}" for t, m, name in outs)
-    return "WITH " + ", ".join(f"{n} AS ({q})" for n, q in ctes) + " " + body
+        f"FROM f{t}{m}_{i}{where}" for t in tensors for m in range(2))
+
+
+def q_fit_one_sweep():
+    """One Gauss-Seidel sweep over whole X1 and X2."""
+    return _with(_sweeps(1, False), _factors_after(1))
+
+
+def _errors(cells: str, t: int, i: int) -> str:
+    """Sum and number of squared errors of tensor t's cells after sweep i."""
+    return (f"SELECT sum((e.y - a.v0 * b.v0 - a.v1 * b.v1) * (e.y - a.v0 * b.v0 - a.v1 * b.v1)) AS sse, count(*) AS n "
+            f"FROM {cells}{t + 1} e JOIN f{t}0_{i} a ON e.i0 = a.idx JOIN f{t}1_{i} b ON e.i1 = b.idx")
+
+
+def _fit_ctes() -> list[tuple[str, str]]:
+    """Two sweeps over the training cells, and ``log``: one row of losses per iteration."""
+    rows = []
+    for i in range(3):
+        rows.append(
+            f"SELECT {i} AS iter, t0.sse AS se_0, t1.sse AS se_1, "
+            f"(a.m0 - b.m0) * (a.m0 - b.m0) + (a.m1 - b.m1) * (a.m1 - b.m1) AS mean, "
+            f"sqrt(v0.sse / v0.n) AS val_rmse_0, sqrt(v1.sse / v1.n) AS val_rmse_1 "
+            f"FROM ({_errors('x', 0, i)}) t0, ({_errors('x', 1, i)}) t1, ({_errors('v', 0, i)}) v0, ({_errors('v', 1, i)}) v1, "
+            f"(SELECT avg(v0) AS m0, avg(v1) AS m1 FROM f00_{i}) a, (SELECT avg(v0) AS m0, avg(v1) AS m1 FROM f10_{i}) b")
+    return _sweeps(2, True) + [("log", "SELECT *, se_0 + se_1 + mean AS total FROM (" + " UNION ALL ".join(rows) + ")")]
+
+
+_TERMS = {"se_0": ROUND_LOSS, "se_1": ROUND_LOSS, "mean": ROUND_SOLVE, "total": ROUND_LOSS, "val_rmse_0": ROUND_SOLVE,
+          "val_rmse_1": ROUND_SOLVE}
+
+
+def q_fit_metrics():
+    return _with(_fit_ctes(), " UNION ALL ".join(
+        f"SELECT iter, '{t}' AS term, {r(t, digits)} AS loss FROM log" for t, digits in _TERMS.items()))
+
+
+def q_training_log():
+    cols = ", ".join(f"{r(t, _TERMS[t])} AS {t}" for t in ("se_0", "se_1", "mean", "total"))
+    return _with(_fit_ctes(), f"SELECT iter, {cols} FROM log")
+
+
+def q_validation_log():
+    cols = ", ".join(f"{r(t, _TERMS[t])} AS {t}" for t in ("val_rmse_0", "val_rmse_1"))
+    return _with(_fit_ctes(), f"SELECT iter, {cols} FROM log")
+
+
+def q_fit_checkpoint():
+    """The first sweep is a checkpoint (every iteration that does not stop is one)."""
+    return _with(_sweeps(1, True), _factors_after(1))
+
+
+def q_fit_predict_validation():
+    """Predictions of the last iteration if its loss fell, else of the one before."""
+    parts = []
+    fell = "(SELECT a.total < b.total FROM log a, log b WHERE a.iter = 2 AND b.iter = 1)"
+    for i, cond in ((2, fell), (1, f"NOT {fell}")):
+        for t in range(2):
+            parts.append(f"SELECT {t} AS tensor, e.i0, e.i1, e.y, {r('a.v0 * b.v0 + a.v1 * b.v1', ROUND_SOLVE)} AS yhat "
+                         f"FROM v{t + 1} e JOIN f{t}0_{i} a ON e.i0 = a.idx JOIN f{t}1_{i} b ON e.i1 = b.idx WHERE {cond}")
+    return _with(_fit_ctes(), " UNION ALL ".join(parts))
+
+
+def q_fit_best_factors():
+    """Every tensor's factors after its iteration of least validation error (the first of equals)."""
+    parts = [_factors_after(i, (t,), f" WHERE {i} = (SELECT iter FROM log ORDER BY val_rmse_{t}, iter LIMIT 1)")
+             for t in range(2) for i in range(3)]
+    return _with(_fit_ctes(), " UNION ALL ".join(parts))
 
 
 ORACLE = {
@@ -397,6 +599,32 @@ ORACLE = {
     "update_common": q_update_common,
     "gradient_x1": q_gradient_x1,
     "fit_one_sweep": q_fit_one_sweep,
+    "mode_key_x1": q_mode_key_x1,
+    "slice_pages_x1": q_slice_pages_x1,
+    "validate_mixed": q_validate_mixed,
+    "init_random": q_init_random,
+    "init_diagonal_random": q_init_diagonal_random,
+    "mean_loss_wls": q_mean_loss_wls,
+    "upsert_rows": q_upsert_rows,
+    "upsert_block": q_upsert_block,
+    "factor_sink": q_factor_sink,
+    "prediction_sink": q_prediction_sink,
+    "update_uncoupled_gram": q_update_uncoupled,
+    "update_uncoupled_shuffle": q_update_uncoupled,
+    "update_uncoupled_wls": q_update_uncoupled_wls,
+    "update_specific_gram": q_update_specific,
+    "update_specific_shuffle": q_update_specific,
+    "update_specific_all": q_update_specific_all,
+    "update_common_gram": q_update_common,
+    "update_common_shuffle": q_update_common,
+    "update_common_all": q_update_common_all,
+    "update_x1_3mode": q_update_x1_3mode,
+    "fit_metrics": q_fit_metrics,
+    "training_log": q_training_log,
+    "validation_log": q_validation_log,
+    "fit_checkpoint": q_fit_checkpoint,
+    "fit_predict_validation": q_fit_predict_validation,
+    "fit_best_factors": q_fit_best_factors,
 }
 
 

@@ -6,8 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 # Bytes per factor row beyond its doubles (idx, array header, row overhead).
 _ROW_OVERHEAD = 48
@@ -18,10 +17,10 @@ MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and per-update factor tables.
 
-    Reads ``spark.checkpoint.dir`` from the session. Only a local-mode
-    session (tests, the smoke check) gets a private folder when it is unset;
-    a cluster session without it is an error, since a machine-local folder
-    would not survive the loss of an executor.
+    Reads ``spark.checkpoint.dir`` from the session. Only a session whose
+    driver and executors are one process (``local``, ``local[n]``: tests, the
+    smoke check) gets a folder of its own when it is unset. Any other session without
+    it is an error, since a machine-local folder would not survive the loss of an executor.
     """
     conf = spark.sparkContext.getConf()
     path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
@@ -29,7 +28,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
         master = conf.get("spark.master", "")
-        if not master.startswith("local"):
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         path = tempfile.mkdtemp(prefix="twinfold-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -44,7 +43,8 @@ def run_dir(spark: SparkSession, label: str = "run") -> str:
 
 
 def broadcast_limit(spark: SparkSession) -> int:
-    """Session broadcast threshold in bytes, capped by MAX_BROADCAST_BYTES."""
+    """Session broadcast threshold in bytes, capped by ``spark.twinfold.maxBroadcastBytes`` and MAX_BROADCAST_BYTES."""
+    own = int(spark.conf.get("spark.twinfold.maxBroadcastBytes", str(MAX_BROADCAST_BYTES)))
     raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
     try:
         limit = _parse_bytes(raw)
@@ -52,7 +52,7 @@ def broadcast_limit(spark: SparkSession) -> int:
         limit = 10 * 1024 * 1024
     if limit < 0:
         return 0
-    return min(limit, MAX_BROADCAST_BYTES)
+    return min(limit, own, MAX_BROADCAST_BYTES)
 
 
 def factor_bytes(dim: int, width: int) -> int:
@@ -61,20 +61,12 @@ def factor_bytes(dim: int, width: int) -> int:
 
 
 def fits_broadcast(spark: SparkSession, dim: int, width: int) -> bool:
-    """True when a factor of ``dim`` rows of ``width`` doubles may be broadcast."""
-    return factor_bytes(dim, width) <= broadcast_limit(spark)
-
+    """True when a factor of ``dim`` rows of ``width`` doubles may be broadcast.
 
-def maybe_broadcast(spark: SparkSession, df: DataFrame, dim: int, width: int) -> DataFrame:
-    """Broadcast ``df`` only when its known row count bounds it below the limit.
-
-    ``dim`` is the declared number of rows (a factor has exactly one row per
-    index), so the bound is proven rather than estimated. Larger factors go
-    through a shuffle join that AQE may still turn into a broadcast at run time.
+    ``dim`` is the declared number of rows (a factor has exactly one row per index), so the bound is proven rather
+    than estimated. Larger factors go through a salted shuffle join.
     """
-    if fits_broadcast(spark, dim, width):
-        return F.broadcast(df)
-    return df
+    return factor_bytes(dim, width) <= broadcast_limit(spark)
 
 
 def _parse_bytes(raw: str) -> int:

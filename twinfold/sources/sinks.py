@@ -57,11 +57,6 @@ def write_validation_log(metrics: DataFrame, n_tensors: int, path: str) -> None:
     log.write.mode("overwrite").option("sep", "\t").option("header", "true").csv(path)
 
 
-def write_metrics(metrics: DataFrame, path: str) -> None:
-    """The metrics table ``(iter, seconds, term, loss)`` as parquet."""
-    metrics.write.mode("overwrite").parquet(path)
-
-
 def write_predictions(pred: DataFrame, n_modes: int, path: str, value: str = "yhat") -> None:
     """``i0 .. i{N-1} \\t value`` lines, the reference's prediction layout."""
     cols = index_columns(n_modes) + [value]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinfold.functions.columns import index_columns
+from twinfold.session import run_dir
 from twinfold.spec import Tensor
 
 
@@ -33,14 +34,20 @@ def index_mode(df: DataFrame, col: str, id_col: str = "idx") -> DataFrame:
     """Dense 0-based ids for the distinct non-null values of ``col``, in sorted order.
 
     Returns ``(value, idx)``. Distributed: distinct values are range
-    partitioned and numbered inside each partition; only the per-partition
-    counts (one row per partition) are combined into offsets and broadcast.
+    partitioned, sorted and numbered inside each partition, and written once under
+    the checkpoint folder; ids and the per-partition counts (one row per
+    partition, combined into offsets) both come from that one written table, so they agree
+    whatever the planner reuses.
     """
+    spark = df.sparkSession
     vals = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
-    ranged = vals.repartitionByRange("value").withColumn("_pid", F.spark_partition_id())
-    numbered = ranged.withColumn(
-        "_rn", F.row_number().over(Window.partitionBy("_pid").orderBy("value")) - 1
-    )
+    placed = (vals.repartitionByRange("value").sortWithinPartitions("value")
+              .withColumn("_at", F.monotonically_increasing_id()))
+    path = run_dir(spark, "index")
+    placed.write.parquet(path)
+    # monotonically_increasing_id: the partition above bit 33, the row below.
+    numbered = spark.read.schema(placed.schema).parquet(path).select(
+        "value", F.shiftright("_at", 33).alias("_pid"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_rn"))
     counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

@@ -83,12 +83,9 @@ def coupling_lookup(coupling: DataFrame) -> DataFrame:
     return fwd.unionByName(rev)
 
 
-def collect_couplings(coupling: DataFrame, max_pairs: int = 1000) -> list[Coupling]:
-    """Bring the (few) coupling rows to the driver to plan the sweep."""
-    rows = coupling.orderBy("pair").limit(max_pairs + 1).collect()
-    if len(rows) > max_pairs:
-        raise ValueError(f"more than {max_pairs} coupling pairs")
-    return [Coupling(r.t1, r.m1, r.t2, r.m2, r.pair) for r in rows]
+def collect_couplings(coupling: DataFrame) -> list[Coupling]:
+    """Bring the coupling rows (one per coupled pair of modes) to the driver to plan the sweep."""
+    return [Coupling(r.t1, r.m1, r.t2, r.m2, r.pair) for r in coupling.orderBy("pair").collect()]
 
 
 def write_entries(df: DataFrame, path: str, n_modes: int, mode: str = "overwrite") -> None:

@@ -114,8 +114,16 @@ class Options:
         return Options(float(parts[1]), parts[2].lower())
 
 
+STORAGE_LEVELS = ("MEMORY_ONLY", "MEMORY_AND_DISK", "DISK_ONLY", "MEMORY_ONLY_2", "MEMORY_AND_DISK_2", "DISK_ONLY_2")
+
+
 @dataclass
 class FitConfig:
+    """``partition_bytes``: size of a cached partition of entries; ``split``: instead, at most so many partitions
+    per mode (never more than the mode has indices); ``storage``: level of the cached entries; ``keep_versions``:
+    ``needed`` deletes factor versions that no checkpoint, best or last-two snapshot refers to.
+    """
+
     rank: int = 5
     common: int = 3
     options: Options = field(default_factory=Options)
@@ -124,16 +132,24 @@ class FitConfig:
     seed: int = 0
     checkpoint_every: int = 1
     share_init: bool = False
-    rows_per_partition: int = 2_000_000
+    partition_bytes: int = 256 << 20
+    split: int | None = None
     method: str = "auto"
-    lookup: str = "auto"
+    storage: str = "MEMORY_AND_DISK"
+    keep_versions: str = "needed"
 
     def __post_init__(self) -> None:
         if self.rank < 1:
             raise ValueError("rank must be >= 1")
         if not 0 <= self.common <= self.rank:
             raise ValueError("common must be in [0, rank]")
-        if self.lookup not in ("auto", "broadcast", "blocked"):
-            raise ValueError("lookup must be 'auto', 'broadcast' or 'blocked'")
+        if self.method not in ("auto", "sum", "gram"):
+            raise ValueError("method must be 'auto', 'sum' or 'gram'")
+        if self.storage not in STORAGE_LEVELS:
+            raise ValueError(f"storage must be one of {STORAGE_LEVELS}")
+        if self.keep_versions not in ("needed", "all"):
+            raise ValueError("keep_versions must be 'needed' or 'all'")
+        if self.partition_bytes < 1 or (self.split is not None and self.split < 1):
+            raise ValueError("partition_bytes and split must be positive")
         if self.checkpoint_every < 1:
             raise ValueError("checkpoint_every must be >= 1")
