@@ -48,9 +48,10 @@ def _starts(keys: np.ndarray) -> np.ndarray:
 
 
 def _gram_rows(a: np.ndarray, t: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
-    """Per-run sums of the upper triangle of ``a a^T`` then of ``t a``."""
+    """Per-run sums of the upper triangle of ``a a^T``, then of ``t a``, then of ``t^2``."""
     iu0, iu1 = np.triu_indices(k)
-    width = len(iu0) + k
+    tri = len(iu0)
+    width = tri + k + 1
     n = a.shape[0]
     out = np.zeros((len(starts), width))
     step = max(1, _CHUNK_CELLS // width)
@@ -58,8 +59,9 @@ def _gram_rows(a: np.ndarray, t: np.ndarray, starts: np.ndarray, k: int) -> np.n
     for lo in range(0, n, step):
         hi = min(n, lo + step)
         prod = np.empty((hi - lo, width))
-        prod[:, : len(iu0)] = a[lo:hi, iu0] * a[lo:hi, iu1]
-        prod[:, len(iu0):] = a[lo:hi] * t[lo:hi, None]
+        prod[:, :tri] = a[lo:hi, iu0] * a[lo:hi, iu1]
+        prod[:, tri:-1] = a[lo:hi] * t[lo:hi, None]
+        prod[:, -1] = t[lo:hi] ** 2
         runs = run_of_row[lo:hi]
         local = _starts(runs)
         sums = np.add.reduceat(prod, local, axis=0)
@@ -111,7 +113,7 @@ PARTIAL_SCHEMA = "key long, _s int, n long, g array<double>"
 
 
 def partial_grams(obs: DataFrame, k: int, side: int = 0) -> DataFrame:
-    """Map-side partial equations: ``key, _s, n, g`` (``g`` = triangle then rhs)."""
+    """Map-side partial equations: ``key, _s, n, g`` (``g`` = triangle, rhs, squared targets)."""
     cols = [f"a_{i}" for i in range(k)]
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -134,7 +136,7 @@ def partial_grams(obs: DataFrame, k: int, side: int = 0) -> DataFrame:
 
 def merge_slots(partials: DataFrame, k: int, side: int, slots: int) -> DataFrame:
     """First merge of partial rows: one row per key and slot, the slot being the map partition modulo ``slots``."""
-    width = k * (k + 1) // 2 + k
+    width = k * (k + 1) // 2 + k + 1
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
@@ -159,12 +161,13 @@ def _unpack(g: np.ndarray, k: int, lam: float) -> tuple[np.ndarray, np.ndarray]:
     a[:, iu1, iu0] = g[:, :tri]
     d = np.arange(k)
     a[:, d, d] += lam
-    return a, g[:, tri:].copy()
+    return a, g[:, tri:tri + k].copy()
 
 
 def merge_and_solve(partials: Sequence[DataFrame], factors: Sequence[DataFrame], k: int, rank: int,
                     start: int, lam: float, weights: Sequence[float], mean_pull=None,
-                    labels: Sequence[tuple[int, int]] | None = None, slots: int | None = None) -> DataFrame:
+                    labels: Sequence[tuple[int, int]] | None = None, slots: int | None = None,
+                    with_error: bool = False) -> DataFrame:
     """Reduce side: sum partial rows per key, solve, and write the block.
 
     ``partials``: one partial table per side (same keys domain); all sides
@@ -173,11 +176,13 @@ def merge_and_solve(partials: Sequence[DataFrame], factors: Sequence[DataFrame],
     ``mean_pull``: ``(length, own_means, other_means, weight)`` or None.
     ``slots``: merge in two steps over so many slots (None: only with more
     than ``TWO_STEP_PARTITIONS`` shuffle partitions).
+    ``with_error``: add ``sse``, the squared error of the key's entries at the
+    new row (one side only; null without entries).
     Returns ``idx, v`` for one factor, or ``tensor, mode, idx, v`` rows for
     each label when ``labels`` is given.
     """
     n_sides, n_out = len(partials), len(factors)
-    width = k * (k + 1) // 2 + k
+    width = k * (k + 1) // 2 + k + 1
     if slots is None:
         tasks = int(partials[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
         slots = math.isqrt(tasks) if tasks > TWO_STEP_PARTITIONS else 0
@@ -224,6 +229,8 @@ def merge_and_solve(partials: Sequence[DataFrame], factors: Sequence[DataFrame],
                     raise NotFinite(f"no finite factor row (exactly one) for keys {keys[wrong][:10].tolist()}")
                 olds.append(old)
             a, b = _unpack(sums[due, n_sides:at_row], k, lam)
+            if with_error:
+                plain, rhs = _unpack(sums[due, n_sides:at_row], k, 0.0)
             if mean_pull is not None:
                 length, own, other, w2 = mean_pull
                 x_old = olds[0][due][:, start:start + k]
@@ -232,14 +239,20 @@ def merge_and_solve(partials: Sequence[DataFrame], factors: Sequence[DataFrame],
                 a[:, d, d] += w2 / (length * length)
                 b += w2 * z / length
             x = solve_equations(a, b, keys[due])
+            if with_error:
+                sse = np.full(len(keys), np.nan)
+                sse[due] = (sums[due, at_row - 1] - 2 * (x * rhs).sum(1) + np.einsum("ni,nij,nj->n", x, plain, x)) / w[0]
             for j in range(n_out):
                 v = olds[j].copy()
                 v[np.flatnonzero(due), start:start + k] = x
                 out = {"idx": keys.astype("int64"), "v": list(v)}
+                if with_error:
+                    out["sse"] = pd.array(np.where(due, np.maximum(sse, 0.0), 0.0), dtype="Float64")
+                    out["sse"][~due] = pd.NA
                 if labels is not None:
                     out = {"tensor": np.full(len(keys), labels[j][0], dtype="int32"),
                            "mode": np.full(len(keys), labels[j][1], dtype="int32")} | out
                 yield pd.DataFrame(out)
 
-    schema = "idx long, v array<double>" if labels is None else "tensor int, mode int, idx long, v array<double>"
+    schema = "idx long, v array<double>, sse double" if with_error else "idx long, v array<double>" if labels is None else "tensor int, mode int, idx long, v array<double>"
     return rows.repartition("key").sortWithinPartitions("key").mapInPandas(fn, schema)

@@ -72,6 +72,7 @@ def _equations_with_rows(obs: Sequence[tuple[DataFrame, float]], rows: Sequence[
     aggs = [f"count(CASE WHEN _s = {s} THEN 1 END) AS n_{s}" for s in range(len(obs))]
     aggs += [f"sum({wsql}a_{p} * a_{q}) AS {name}" for p, q, name in cell_names(k)]
     aggs += [f"sum({wsql}t * a_{p}) AS {name}" for p, name in enumerate(rhs_names(k))]
+    aggs += [f"sum({wsql}t * t) AS tt"]
     aggs += [f"count(CASE WHEN _s = {-1 - j} THEN 1 END) AS has_{lab}" for j, lab in enumerate(labels)]
     aggs += [f"max({c}) AS {c}" for c in row_cols]
     return u.groupBy("key").agg(*[F.expr(a) for a in aggs])
@@ -100,6 +101,16 @@ def _checked(label: str, rank: int, row: str) -> str:
             f"'no finite factor row (exactly one) for key ', CAST(key AS STRING))) END")
 
 
+def _error(k: int, weight: float, names: str = "") -> str:
+    """SQL for the squared error of a key's entries at its new block: ``t't - 2 x'b + x'Ax`` from the sums of the solve.
+
+    The difference of sums loses digits only where the error is far below the targets' squares; it is never negative.
+    """
+    linear = " + ".join(f"_x.x_{p} * {names}atb_{p}" for p in range(k))
+    square = " + ".join(f"{'' if p == q else '2D * '}_x.x_{p} * _x.x_{q} * {names}{name}" for p, q, name in cell_names(k))
+    return f"CASE WHEN n_0 > 0 THEN greatest(0D, tt - 2D * ({linear}) + {square}) / CAST({float(weight)!r} AS DOUBLE) END"
+
+
 def _solved_row(label: str, k: int, start: int, rank: int) -> str:
     cells = ([f"{label}_{c}" for c in range(start)] + [f"_x.x_{c}" for c in range(k)]
              + [f"{label}_{c}" for c in range(start + k, rank)])
@@ -109,11 +120,12 @@ def _solved_row(label: str, k: int, start: int, rank: int) -> str:
 def update_uncoupled(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], mode: int,
                      rank: int, options: Options, n_entries: int, own_means: Sequence[float] | None = None,
                      other_means: Sequence[float] | None = None, method: str = "auto",
-                     heavy: Mapping[int, DataFrame] | None = None) -> DataFrame:
+                     heavy: Mapping[int, DataFrame] | None = None, with_error: bool = False) -> DataFrame:
     """Update an uncoupled mode, full rank, with the mean pull (M4).
 
     Without means (a single tensor) the mean pull is left out. ``heavy`` hands
     in known heavy indices per mode (only used where a factor is too large to broadcast).
+    ``with_error`` adds ``sse``, the squared error of every key's entries at its new row.
     """
     if use_gram(rank, method):
         pull = None
@@ -121,34 +133,40 @@ def update_uncoupled(spark: SparkSession, tensor: Tensor, factors: Mapping[int,
             pull = (float(tensor.dims[mode]), list(own_means), list(other_means),
                     1.0 / rank if options.loss == "wls" else 1.0)
         return merge_and_solve([_partials(spark, tensor, factors, mode, list(range(rank)), rank, heavy)],
-                               [factors[mode]], rank, rank, 0, options.lam, [entry_weight(options, n_entries)], pull)
+                               [factors[mode]], rank, rank, 0, options.lam, [entry_weight(options, n_entries)], pull,
+                               with_error=with_error)
     obs = observations(spark, tensor, factors, mode, list(range(rank)), rank, heavy=heavy)
     eq = _equations_with_rows([(obs, entry_weight(options, n_entries))], [("old", factors[mode])], rank, rank)
+    if with_error:
+        eq = eq.selectExpr("*", *[f"{n} AS data_{n}" for n in [c for _, _, c in cell_names(rank)] + rhs_names(rank)])
     if own_means is not None and other_means is not None:
         w2 = 1.0 / rank if options.loss == "wls" else 1.0
         eq = add_mean_pull(eq, rank, tensor.dims[mode], own_means, other_means, w2,
                            x_cols=[f"old_{c}" for c in range(rank)])
     eq = eq.withColumn("_x", solve_column(rank, options.lam, due="n_0 > 0"))
     row = f"CASE WHEN n_0 > 0 THEN {_solved_row('old', rank, 0, rank)} ELSE {_row('old', rank)} END"
-    return eq.selectExpr("key AS idx", f"{_checked('old', rank, row)} AS v")
+    error = [f"{_error(rank, entry_weight(options, n_entries), 'data_')} AS sse"] if with_error else []
+    return eq.selectExpr("key AS idx", f"{_checked('old', rank, row)} AS v", *error)
 
 
 def update_specific(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], mode: int,
                     rank: int, common: int, options: Options, n_entries: int, method: str = "auto",
-                    heavy: Mapping[int, DataFrame] | None = None) -> DataFrame:
-    """Update the specific block ``[common, rank)`` of a coupled mode (M5)."""
+                    heavy: Mapping[int, DataFrame] | None = None, with_error: bool = False) -> DataFrame:
+    """Update the specific block ``[common, rank)`` of a coupled mode (M5); ``with_error`` as in M4."""
     if not 0 <= common < rank:
         raise ValueError("the specific block is empty")
     block = list(range(common, rank))
     k = len(block)
     if use_gram(k, method):
         return merge_and_solve([_partials(spark, tensor, factors, mode, block, rank, heavy)], [factors[mode]],
-                               k, rank, common, options.lam, [entry_weight(options, n_entries)])
+                               k, rank, common, options.lam, [entry_weight(options, n_entries)],
+                               with_error=with_error)
     obs = observations(spark, tensor, factors, mode, block, rank, heavy=heavy)
     eq = _equations_with_rows([(obs, entry_weight(options, n_entries))], [("old", factors[mode])], k, rank)
     eq = eq.withColumn("_x", solve_column(k, options.lam, due="n_0 > 0"))
     row = f"CASE WHEN n_0 > 0 THEN {_solved_row('old', k, common, rank)} ELSE {_row('old', rank)} END"
-    return eq.selectExpr("key AS idx", f"{_checked('old', rank, row)} AS v")
+    error = [f"{_error(k, entry_weight(options, n_entries))} AS sse"] if with_error else []
+    return eq.selectExpr("key AS idx", f"{_checked('old', rank, row)} AS v", *error)
 
 
 def update_common(spark: SparkSession, a: Tensor, fa: Mapping[int, DataFrame], mode_a: int, na: int,

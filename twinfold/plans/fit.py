@@ -52,11 +52,16 @@ class FactorStore:
         self._version = 0
 
     def put(self, key: FactorKey, df: DataFrame, tag: str) -> DataFrame:
+        """Write one factor (with the ``sse`` column of an update that measured its error) and load it."""
         self._version += 1
         path = f"{self.root}/factors/{tag}/v{self._version:05d}_t{key[0]}_m{key[1]}"
-        df.select("idx", "v").write.mode("overwrite").parquet(path)
+        df.select("idx", "v", *[c for c in df.columns if c == "sse"]).write.mode("overwrite").parquet(path)
         return self.load(key, path)
 
+    def error(self, key: FactorKey) -> DataFrame:
+        """Squared error that the update behind the current version of ``key`` measured: one row ``sse``."""
+        return self.spark.read.schema("sse double").parquet(self.paths[key]).agg(F.sum("sse").alias("sse"))
+
     def put_many(self, frames: dict[FactorKey, DataFrame], tag: str) -> None:
         """Write several factors in one job (partitioned by tensor and mode)."""
         self._version += 1
@@ -169,8 +174,13 @@ def _log(verbose: bool, msg: str) -> None:
 
 def evaluate(spark: SparkSession, tensors: Sequence[Tensor], valid: Sequence[Tensor] | None,
              store: FactorStore, rank: int, heavy: Sequence[dict[int, DataFrame]] | None = None,
+             measured: dict[int, FactorKey] | None = None, counts: Sequence[int] = (),
              ) -> tuple[dict, dict, dict]:
-    """One job: column means of every factor, SSE and count of every tensor."""
+    """One job: column means of every factor, SSE and count of every tensor.
+
+    ``measured``: tensors whose last update of the sweep measured the error of all their entries, with the factor it
+    wrote; their entries are not read again.
+    """
     means_df = means_rows(store.frames, rank).select(
         F.lit("mean").alias("kind"), "tensor", "mode", "col", F.col("mean").alias("value"),
         F.lit(None).cast("long").alias("n"))
@@ -178,9 +188,16 @@ def evaluate(spark: SparkSession, tensors: Sequence[Tensor], valid: Sequence[Ten
     for prefix, ts in (("train", tensors), ("valid", valid)):
         if not ts:
             continue
-        lt = loss_table(spark, ts, store.frames, rank, prefix, heavy if prefix == "train" else None)
-        parts.append(lt.select(F.col("part").alias("kind"), "tensor", F.lit(None).cast("int").alias("mode"),
-                               F.lit(None).cast("int").alias("col"), F.col("sse").alias("value"), "n"))
+        for t, ten in enumerate(ts):
+            if prefix == "train" and measured and t in measured:
+                lt = store.error(measured[t]).select(F.lit(prefix).alias("part"), F.lit(t).alias("tensor"), "sse",
+                                                     F.lit(int(counts[t])).cast("long").alias("n"))
+            else:
+                own = {(0, m): store.frames[(t, m)] for m in range(ten.n_modes)}
+                hot = [heavy[t]] if heavy and prefix == "train" else None
+                lt = loss_table(spark, [ten], own, rank, prefix, hot).withColumn("tensor", F.lit(t))
+            parts.append(lt.select(F.col("part").alias("kind"), "tensor", F.lit(None).cast("int").alias("mode"),
+                                   F.lit(None).cast("int").alias("col"), F.col("sse").alias("value"), "n"))
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
@@ -309,7 +326,7 @@ def _fit(spark: SparkSession, tensors: Sequence[Tensor], validation: Sequence[Te
 
     def step_metrics(it: int) -> tuple[dict, bool, float]:
         nonlocal prev_loss
-        means, train, val = evaluate(spark, cached, vcached, store, rank, heavy)
+        means, train, val = evaluate(spark, cached, vcached, store, rank, heavy, measured, counts)
         seconds = time.time() - start
         losses = [training_loss(*train[t], opts.loss) for t in range(len(cached))]
         ml = mean_loss(means[(0, mean_mode)], means[(1, mean_mode)], opts.loss)
@@ -354,14 +371,18 @@ def _fit(spark: SparkSession, tensors: Sequence[Tensor], validation: Sequence[Te
             store.forget([*snapshots.values(), *checkpoints.values(), *(b[2] for b in best.values())])
         return means, stop, rel
 
+    # Per tensor: the factor whose update is the last of the sweep to touch the tensor, if that update measured the error.
+    measured: dict[int, FactorKey] = {}
     means, stop, rel = step_metrics(0)
     lap("loss_0")
     while not stop:
         it += 1
         tag = f"it{it:05d}"
         # M7: Gauss-Seidel sweep, tensors then modes in order.
+        measured.clear()
         for t, ten in enumerate(cached):
             for m in range(n_modes):
+                last = m == n_modes - 1
                 fac_t = {k: store.frames[(t, k)] for k in range(n_modes)}
                 if (t, m) in coupled:
                     t2, m2 = coupled[(t, m)]
@@ -374,13 +395,17 @@ def _fit(spark: SparkSession, tensors: Sequence[Tensor], validation: Sequence[Te
                         fac_t = {k: store.frames[(t, k)] for k in range(n_modes)}
                     if common < rank:
                         new = update_specific(spark, copies[t][m], fac_t, m, rank, common, opts, counts[t],
-                                              cfg.method, heavy[t])
+                                              cfg.method, heavy[t], last)
                         store.put((t, m), new, tag)
+                        if last:
+                            measured[t] = (t, m)
                 else:
                     other = 1 - t
                     new = update_uncoupled(spark, copies[t][m], fac_t, m, rank, opts, counts[t],
-                                           means[(t, m)], means[(other, m)], cfg.method, heavy[t])
+                                           means[(t, m)], means[(other, m)], cfg.method, heavy[t], last)
                     store.put((t, m), new, tag)
+                    if last:
+                        measured[t] = (t, m)
         lap(f"sweep_{it}")
         means, stop, rel = step_metrics(it)
         lap(f"loss_{it}")
