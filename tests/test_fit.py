@@ -82,3 +82,34 @@ def test_refuses_single_tensor(spark, sf):
     tensors, _, coup = tpch.coupled_pair(spark, sf, with_validation=False)
     with pytest.raises(ValueError):
         fit(spark, tensors[:1], coup, FitConfig(rank=2, common=1, stop=Stop(max_iter=1)))
+
+
+def test_versions_are_kept_only_where_needed_and_reruns_start_the_log_anew(spark, sf, tmp_path):
+    import os
+
+    def versions(root):
+        return {os.path.join(d, x) for d, _, files in os.walk(root) for x in files if x.endswith(".parquet")}
+
+    tensors, valid, coup = tpch.coupled_pair(spark, sf)
+    metrics = str(tmp_path / "metrics")
+    seen = {}
+    for keep, iters in (("all", 3), ("needed", 2)):
+        cfg = FitConfig(rank=2, common=1, stop=Stop(max_iter=iters), init="lcg", checkpoint_every=100, keep_versions=keep)
+        root = str(tmp_path / keep)
+        model = fit(spark, tensors, coup, cfg, validation=valid, root=root, metrics_path=metrics)
+        seen[keep] = len({os.path.dirname(v) for v in versions(root)})
+        assert model.factor_table().count() == sum(sum(t.dims) for t in tensors)
+        for t in range(2):
+            assert model.best_factor_table(t).count() == sum(tensors[t].dims)
+        assert {r.iter for r in spark.read.parquet(metrics).select("iter").distinct().collect()} == set(range(iters + 1))
+    assert seen["needed"] < seen["all"]
+
+
+def test_partitions_follow_bytes_or_split(spark):
+    from twinfold.operators.tensor import partitions_for
+
+    cores = spark.sparkContext.defaultParallelism
+    assert partitions_for(spark, 10, 2, 1 << 20) == cores
+    assert partitions_for(spark, 10**6, 2, 24_000) == 1000
+    assert partitions_for(spark, 10**6, 2, 24_000, split=48, dim=154) == 48
+    assert partitions_for(spark, 10**6, 2, 24_000, split=48, dim=12) == 12

@@ -71,3 +71,32 @@ def test_split_is_a_partition(spark, sf):
     tr, va = tpch.split(e)
     assert tr.count() + va.count() == e.count()
     assert tr.join(va, ["i0", "i1"]).count() == 0
+
+
+def test_index_mode_is_dense_and_sorted_whatever_is_reused(spark):
+    """Ids of a column with many values: 0 .. n-1 in sorted order, with and without exchange reuse."""
+    from pyspark.sql import functions as F
+
+    from twinfold.sources import tables, tpch
+
+    li = tpch.table(spark, "/root/testdata/sf0.01", "lineitem")
+    n = li.select("l_extendedprice").distinct().count()
+    old = spark.conf.get("spark.sql.exchange.reuse")
+    try:
+        for reuse in ("true", "false"):
+            spark.conf.set("spark.sql.exchange.reuse", reuse)
+            ids = tables.index_mode(li, "l_extendedprice")
+            row = ids.agg(F.count("*"), F.countDistinct("idx"), F.min("idx"), F.max("idx")).first()
+            assert tuple(row) == (n, n, 0, n - 1)
+            values = [r.value for r in ids.orderBy("idx").collect()]
+            assert values == sorted(values)
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", old)
+
+
+def test_long_coupling_maps_are_read_whole(spark, tmp_path):
+    from twinfold.sources import text
+
+    (tmp_path / "map.txt").write_text("".join(f"0_{i}\t1_{i}\n" for i in range(1500)))
+    got = text.collect_couplings(text.read_coupling(spark, str(tmp_path / "map.txt")))
+    assert [(c.m1, c.m2, c.pair) for c in got] == [(i, i, i) for i in range(1500)]
