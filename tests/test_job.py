@@ -88,3 +88,23 @@ def test_positional_arguments_map_to_named():
     assert a.validation == ["va.txt", "vb.txt"]
     b = job.from_positional(["2", "3_4", "2_4", "8", "2", "m.txt", "CF_1_WLS", "1_3", "a", "b", "o"])
     assert b.validation is None and b.common == 3
+
+
+def test_job_options_and_rerun(spark, scratch):
+    paths, mp, d1, d2 = _planted(scratch)
+    out = f"{scratch}/again"
+    base = ["--tensor", f"{paths[('a', 'train')]}:{d1[0]}_{d1[1]}", "--tensor", f"{paths[('b', 'train')]}:{d2[0]}_{d2[1]}",
+            "--coupling", mp, "--rank", "3", "--common", "2", "--validation", paths[("a", "valid")],
+            "--validation", paths[("b", "valid")], "--output", out, "--predict", "--init", "lcg", "--storage", "DISK_ONLY",
+            "--method", "gram"]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        plain = job.run(spark, job.parse_args([*base, "--stop", "1_2", "--split", "3"]))
+        cells = {(r._c0, r._c1): float(r._c2) for r in spark.read.option("sep", "\t").csv(f"{out}/predictions_1").collect()}
+        model = job.run(spark, job.parse_args([*base, "--stop", "1_1", "--split", "3", "--rescale", "--share-init"]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert plain.final_iter == 2 and model.final_iter <= 1
+    assert {r.iter for r in spark.read.parquet(f"{out}/metrics").collect()} == {0, 1}
+    scaled = {(r._c0, r._c1): float(r._c2) for r in spark.read.option("sep", "\t").csv(f"{out}/predictions_1").collect()}
+    assert scaled.keys() == cells.keys() and min(scaled.values()) > 1000 * max(cells.values())
