@@ -96,7 +96,10 @@ def _variants(chosen: DataFrame) -> DataFrame:
 def _fetch(rows: DataFrame, places: DataFrame, max_broadcast: int) -> DataFrame:
     """``places(rank, row_id, line_no, begins, ends)`` with their ``line``, its word count ``n`` and the shorter of its half lengths."""
     wanted = places.groupBy("row_id").agg(F.collect_list(F.struct("line_no", "begins", "ends")).alias("wanted"))
-    found = rows.select("rank", "row_id", "text").join(broadcast_if_small(wanted, max_broadcast // 10), "row_id")
+    # The bound is on places, as a text may hold any number of them.
+    few = max_broadcast // 4
+    wanted = F.broadcast(wanted) if places.limit(few + 1).count() <= few else wanted
+    found = rows.select("rank", "row_id", "text").join(wanted, "row_id")
     found = found.select("rank", "row_id", "wanted", _once(F.split("text", "\n").alias("lines"))).select(
         "rank", "row_id", F.explode(F.expr(
             "transform(wanted, w -> struct(w.line_no, w.begins, w.ends, trim(split.lines[w.line_no]) AS line))")).alias("w"))
