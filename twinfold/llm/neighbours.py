@@ -39,17 +39,16 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, stretch: Callable[[li
     tops = sorted((r.part, r.top) for r in placed.groupBy("part").agg(F.max("doc_id").alias("top")).collect())
     if not tops:
         return spark.createDataFrame([], schema)
-    # (part, doc_id) of each range's first document -> the range it is copied to.
-    above = {tops[i]: tops[i + 1][0] for i in range(len(tops) - 1)}
-    first = F.lit(False)
-    guest = F.lit(None).cast("int")
-    for (part, top), to in above.items():
-        guest = F.when((F.col("part") == part) & F.col("doc_id").eqNullSafe(F.lit(top).cast("long")), to).otherwise(guest)
-    first = (F.col("part") == tops[-1][0]) & F.col("doc_id").eqNullSafe(F.lit(tops[-1][1]).cast("long"))
+    # One row per range: its first document's id, the range above it, and (for the last range) the lowest one.
+    guide = spark.createDataFrame(
+        [(part, top, tops[i + 1][0] if i + 1 < len(tops) else None, tops[0][0] if i + 1 == len(tops) else None)
+         for i, (part, top) in enumerate(tops)], "part int, top long, above int, lowest int")
+    placed = placed.join(F.broadcast(guide), "part")
+    first = F.col("doc_id").eqNullSafe(F.col("top"))
     homes = F.filter(F.array(
         F.struct(F.col("part").alias("part"), F.lit(0).alias("kind")),
-        F.struct(guest.alias("part"), F.lit(1).alias("kind")),
-        F.struct(F.when(first, tops[0][0]).alias("part"), F.lit(2).alias("kind"))), lambda h: h["part"].isNotNull())
+        F.struct(F.when(first, F.col("above")).alias("part"), F.lit(1).alias("kind")),
+        F.struct(F.when(first, F.col("lowest")).alias("part"), F.lit(2).alias("kind"))), lambda h: h["part"].isNotNull())
     dealt = (placed.withColumn("home", F.explode(homes))
              .select(F.col("home.part").alias("part"), F.col("home.kind").alias("kind"), "doc_id", "text")
              .repartitionById(len(bounds) + 1, F.col("part"))
