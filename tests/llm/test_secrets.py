@@ -71,6 +71,21 @@ def test_inferred_formats_add_spans_without_keywords(spark):
     assert sum("like_" in got[2000 + i] for i in range(100)) <= 1
 
 
+def test_unlabelled_secrets_may_be_most_of_the_tokens(spark):
+    rng = random.Random(4)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    make = lambda: "-".join("".join(rng.choice(upper) for _ in range(5)) for _ in range(4))
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(18))
+    for share in (0.3, 0.8):
+        rows = [(i, f"secret = {make()}") for i in range(200)]
+        rows += [(1000 + i, make()) if i < 600 * share else (2000 + i, word()) for i in range(600)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc_id: r.spans for r in sc.digest(sc.find_secrets(spark, df)).collect()}
+        planted = [d for d in got if 1000 <= d < 2000]
+        assert sum("like_assign" in got[d] for d in planted) >= 0.85 * len(planted)
+        assert sum("like_" in got[d] for d in got if d >= 2000) <= 2
+
+
 def test_edge_cases(spark):
     df = spark.createDataFrame([(1, None, 5), (2, "plain words", 6)], "doc_id long, text string, secrets int")
     rows = sc.find_secrets(spark, df).collect()

@@ -4,8 +4,10 @@ The patterns label credentials. For each kind a prefix tree of the labelled cred
 classes) is folded into a probabilistic automaton: two states are merged when a Hoeffding test finds no difference between
 their end and transition frequencies, nor between those of the states below them. A second automaton is learnt the same way from
 ordinary tokens. Every other token of ``MIN_TOKEN`` or more credential characters is scored by the log-likelihood ratio
-of each format against the ordinary one; it becomes a span ``like_<kind>`` if the ratio is positive, above what
-98 of 100 ordinary tokens reach and above what the lowest twentieth of the labelled credentials reach.
+of each format against the ordinary one; it becomes a span ``like_<kind>`` if the ratio is positive and above what the lowest
+twentieth of the labelled credentials reach. However many tokens pass, all are reported. As tokens without a keyword may
+be credentials too, the ordinary automaton starts empty (every string as likely as its length) and is learnt again from the
+sampled tokens that do not pass until these stay the same (at most ``ROUNDS`` times).
 
 Learning uses at most ``max_samples`` distinct tokens of at most ``MAX_TOKEN`` characters per kind (those of smallest
 hash); the automata, a few kilobytes, go to every task. Scoring reads every whole text in one pass without a shuffle.
@@ -41,8 +43,10 @@ MAX_SAMPLES = 600
 MIN_TOKEN = 16
 MAX_TOKEN = 256
 ALPHA = 0.05
-#: Share of ordinary tokens that stay below the bar whatever they look like (some may be secrets without a keyword).
-ORDINARY = 0.98
+#: Share of a kind's labelled credentials that may score below its bar.
+MISSED = 0.05
+#: How often the ordinary automaton is learnt at most.
+ROUNDS = 10
 
 
 def _byte_table(chars: str) -> np.ndarray:
@@ -226,7 +230,10 @@ class Formats(NamedTuple):
 
 def score(formats: Formats, token: str) -> tuple[str | None, float]:
     """Best kind over its bar and its log-likelihood ratio."""
-    classes = token.translate(_CLASSES)
+    return score_classes(formats, token.translate(_CLASSES))
+
+
+def score_classes(formats: Formats, classes: str) -> tuple[str | None, float]:
     plain = log_likelihood(formats.ordinary, classes)
     best: tuple[str | None, float] = (None, -math.inf)
     for kind, automaton in formats.by_kind.items():
@@ -267,14 +274,24 @@ def learn(spark: SparkSession, docs: DataFrame, text_col: str = "text", max_samp
         by_kind[r.kind].append(r.token.translate(_CLASSES))
     if not by_kind.get("ordinary") or len(by_kind) < 2:
         return None
-    ordinary = infer(sorted(by_kind["ordinary"]))
-    automata = {k: infer(sorted(by_kind[k])) for k in KINDS if by_kind.get(k)}
-    bars = {}
-    for kind, a in automata.items():
-        ratio = lambda s: log_likelihood(a, s) - log_likelihood(ordinary, s)  # noqa: E731, B023
-        bars[kind] = max(0.0, float(np.quantile([ratio(s) for s in by_kind["ordinary"]], ORDINARY)),
-                         float(np.quantile([ratio(s) for s in by_kind[kind]], 0.05)))
-    return Formats(ordinary, automata, bars)
+    return fit({k: by_kind[k] for k in KINDS if by_kind.get(k)}, by_kind["ordinary"])
+
+
+def fit(labelled: dict[str, list[str]], other: list[str]) -> Formats:
+    """Formats of the labelled credentials against the other tokens (all as classes) that none of the formats takes."""
+    automata = {k: infer(sorted(strings)) for k, strings in labelled.items()}
+    own = {k: [log_likelihood(a, s) for s in labelled[k]] for k, a in automata.items()}
+    ordinary: list[str] = []
+    for _ in range(ROUNDS):
+        plain = infer(ordinary)
+        bars = {k: max(0.0, float(np.quantile([x - log_likelihood(plain, s) for x, s in zip(own[k], labelled[k])], MISSED)))
+                for k in automata}
+        formats = Formats(plain, automata, bars)
+        left = [s for s in sorted(other) if score_classes(formats, s)[0] is None]
+        if left == ordinary:
+            break
+        ordinary = left
+    return formats
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()),
