@@ -86,6 +86,20 @@ def test_unlabelled_secrets_may_be_most_of_the_tokens(spark):
         assert sum("like_" in got[d] for d in got if d >= 2000) <= 2
 
 
+def test_short_secrets_are_scored(spark):
+    rng = random.Random(5)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    pick = lambda k: "".join(rng.choice(upper) for _ in range(k))
+    make = lambda: f"{pick(4)}-{pick(4)}-{pick(1)}"
+    words = lambda: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.choice([4, 9, 12]))) for _ in range(10))
+    rows = [(i, f"{words()} secret = {make()} {words()}") for i in range(200)] + [(1000 + i, f"{words()} {make()}") for i in range(40)]
+    rows += [(2000 + i, words()) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in sc.digest(sc.find_secrets(spark, df)).collect()}
+    assert sum("like_assign" in got[1000 + i] for i in range(40)) >= 34
+    assert sum("like_" in got[2000 + i] for i in range(100)) <= 1
+
+
 def test_edge_cases(spark):
     df = spark.createDataFrame([(1, None, 5), (2, "plain words", 6)], "doc_id long, text string, secrets int")
     rows = sc.find_secrets(spark, df).collect()

@@ -3,7 +3,7 @@
 The patterns label credentials. For each kind a prefix tree of the labelled credentials (characters reduced to
 classes) is folded into a probabilistic automaton: two states are merged when a Hoeffding test finds no difference between
 their end and transition frequencies, nor between those of the states below them. A second automaton is learnt the same way from
-ordinary tokens. Every other token of ``MIN_TOKEN`` or more credential characters is scored by the log-likelihood ratio
+ordinary tokens. Every other token of at least as many credential characters as a format's shortest secret is scored by the log-likelihood ratio
 of each format against the ordinary one; it becomes a span ``like_<kind>`` if the ratio is positive and above what the lowest
 twentieth of the labelled credentials reach. However many tokens pass, all are reported. As tokens without a keyword may
 be credentials too, the ordinary automaton starts empty (every string as likely as its length) and is learnt again from the
@@ -40,7 +40,6 @@ HEX = re.compile("[0-9a-f]+")
 SHORTEST = {"assign": 8, "access": 16, "hex": 32}
 
 MAX_SAMPLES = 600
-MIN_TOKEN = 16
 MAX_TOKEN = 256
 ALPHA = 0.05
 #: Share of a kind's labelled credentials that may score below its bar.
@@ -110,7 +109,7 @@ def _scan(block: Block) -> tuple[dict[int, list[Found]], list[tuple[int, int, in
     """Base spans per row, and the other tokens as (row, start, end, token); positions in code points."""
     base: dict[int, list[Found]] = {}
     rest = []
-    rows, starts, stops = _runs(_TOKEN, block.data, block.offsets, MIN_TOKEN)
+    rows, starts, stops = _runs(_TOKEN, block.data, block.offsets, min(SHORTEST.values()))
     points = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80, dtype=np.int64)])
     raw = block.data.tobytes()
     for r in np.flatnonzero(_rows_with_base(block)).tolist():
@@ -228,15 +227,13 @@ class Formats(NamedTuple):
     bars: dict
 
 
-def score(formats: Formats, token: str) -> tuple[str | None, float]:
-    """Best kind over its bar and its log-likelihood ratio."""
-    return score_classes(formats, token.translate(_CLASSES))
-
-
 def score_classes(formats: Formats, classes: str) -> tuple[str | None, float]:
+    """Best kind over its bar and its log-likelihood ratio; a format is asked from its shortest secret's length on."""
     plain = log_likelihood(formats.ordinary, classes)
     best: tuple[str | None, float] = (None, -math.inf)
     for kind, automaton in formats.by_kind.items():
+        if len(classes) < SHORTEST[kind]:
+            continue
         ratio = log_likelihood(automaton, classes) - plain
         if ratio > formats.bars[kind] and ratio > best[1]:
             best = (kind, ratio)
@@ -315,8 +312,13 @@ def find_secrets(spark: SparkSession, docs: DataFrame, text_col: str = "text", m
             spans[r] = [(f.start, KINDS.index(f.kind), f.kind, f.end) for f in found]
         if plain is not None:
             known = Formats(Automaton(*plain[0]), {k: Automaton(*a) for k, a in plain[1].items()}, plain[2])
+            # Most tokens of a block share few class strings, each scored once.
+            kinds: dict[str, str | None] = {}
             for r, start, end, token in rest:
-                kind, _ = score(known, token)
+                classes = token.translate(_CLASSES)
+                if classes not in kinds:
+                    kinds[classes] = score_classes(known, classes)[0]
+                kind = kinds[classes]
                 if kind:
                     spans[r].append((start, len(KINDS) + KINDS.index(kind), f"like_{kind}", end))
         return [[[{"kind": k, "start": s, "end": e} for s, _, k, e in sorted(row)] for row in spans]]
