@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import decontaminate, line_crf, line_dedup, mixing, oracle, pii, secrets, simhash, suffix_dedup, url_templates, winnow
+from twinfold.llm import (decontaminate, line_crf, line_dedup, mixing, oracle, pii, secrets, simhash, suffix_dedup, token_pairs,
+                          url_templates, winnow)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +77,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
+def op11_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two tokenizers over every document, scored by corpus-wide counts of linked ids."""
+    found, _ = token_pairs.alignment(spark, _table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     "op1_url_templates": op1_url_templates,
     "op2_pii": op2_pii,
@@ -87,6 +94,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_winnowing": op9_winnowing,
     "op10_mixing": op10_mixing,
+    "op11_token_pairs": op11_token_pairs,
 }
 
 SQL: dict[str, str] = oracle.SQL
