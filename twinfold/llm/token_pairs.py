@@ -10,8 +10,9 @@ of chunks are OR-merged by lying side by side (a document is in one chunk), so a
 popcounts over its rows. The postings then take the pair's score back to its chunk, where the bits name the documents.
 
 Both encoders work word by word: no match of A's pattern and no piece of B's vocabulary crosses from a character that is
-not white space to a following space (checked for B's vocabulary when it is loaded), so the text is cut there and the
-alignment of each distinct word is made once and remembered, up to ``MAX_WORDS`` of them at a time.
+not white space to a following space or line feed (checked for B's vocabulary when it is loaded), so the text is cut there
+and the alignment of each distinct word is made once and remembered. When there are more than ``MAX_WORDS``, those that were
+met in one block only are forgotten.
 
 Defined results: a null or empty text has no tokens, nor has a text with U+2581 or any other whose tokens do not spell
 it; both give zeros and an empty ``groups``. Ids may be null or repeated (rows are counted on their own, each once). Very
@@ -48,7 +49,7 @@ LONG_WORD = 48
 # The split pattern of the byte-level tokenizer.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_SPACED = re.compile(r"\s ")
+_SPACED = re.compile(r"\s[ \n]")
 _B_BITS = 20
 
 
@@ -71,57 +72,82 @@ class Aligner:
         special = {t["content"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self._a = tiktoken.Encoding("a", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._a_len = {i: len(token) for token, i in ranks.items()}
+        self._a_len = [0] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self._a_len[i] = len(token)
+        self._a_text = [str(i) for i in range(len(self._a_len))]
         self._b = sentencepiece.SentencePieceProcessor()
         self._b.LoadFromSerializedProto(b_model)
         self._b_bytes = []
         for i in range(self._b.get_piece_size()):
             piece = self._b.id_to_piece(i)
-            if "▁" in piece.lstrip("▁"):
-                raise ValueError(f"piece {piece!r} crosses from a word to a following space")
+            if "▁" in piece.lstrip("▁") or "\n" in piece:
+                raise ValueError(f"piece {piece!r} crosses from a word to a following space or line feed")
             self._b_bytes.append(bytes([int(piece[3:5], 16)]) if self._b.is_byte(i) else piece.replace("▁", " ").encode())
         if self._a.max_token_value >= 1 << 31 or len(self._b_bytes) >= 1 << _B_BITS:
             raise ValueError("vocabularies are too large for the pair key")
-        self._forget()
-
-    def _forget(self) -> None:
+        self._b_len, self._b_text = [len(x) for x in self._b_bytes], [str(i) for i in range(len(self._b_bytes))]
+        self._space = self._b.piece_to_id("▁")
         self._at: dict[str, int] = {}
         self._groups: list[str] = []
         self._counts: list[tuple[int, int, int, int]] = []
         self._pairs: list[list[int]] = []
+        self._again = bytearray()
 
     def trim(self) -> None:
-        """Forget the words when there are too many of them (between blocks only)."""
-        if len(self._at) > MAX_WORDS:
-            self._forget()
-
-    def _align(self, word: str, a: list[int], b: list[int]) -> int:
-        """Number of a new entry for a space and ``word``, encoded as ``a`` and ``b``."""
-        pieces = [self._b_bytes[i] for i in b]
-        good = b"".join(pieces) == (" " + word).encode()
+        """Keep the words that were met again, if there are too many words (between blocks only)."""
+        if len(self._at) <= MAX_WORDS:
+            return
+        kept = [(w, i) for w, i in self._at.items() if self._again[i]]
+        kept = kept if len(kept) <= MAX_WORDS // 2 else []
+        self._at = {w: n for n, (w, _) in enumerate(kept)}
+        for name in ("_groups", "_counts", "_pairs"):
+            old = getattr(self, name)
+            setattr(self, name, [old[i] for _, i in kept])
+        self._again = bytearray(len(kept))
+
+    def _align(self, text: str, a: list[int], b: list[int]) -> int:
+        """Number of a new entry for ``text``, encoded as ``a`` and ``b``."""
+        good = b"".join([self._b_bytes[y] for y in b]) == text.encode()
         groups, pairs = [], []
         if good:
-            i = j = at_a = at_b = 0
-            from_a = from_b = 0
-            while i < len(a) or j < len(b):
-                if at_a <= at_b:
-                    at_a += self._a_len[a[i]]
-                    i += 1
-                else:
-                    at_b += len(pieces[j])
-                    j += 1
+            rest, in_a, in_b, at_a, at_b, y = iter(b), [], [], 0, 0, 0
+            for x in a:
+                in_a.append(self._a_text[x])
+                at_a += self._a_len[x]
+                while at_b < at_a:
+                    y = next(rest)
+                    in_b.append(self._b_text[y])
+                    at_b += self._b_len[y]
                 if at_a == at_b:
-                    groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-                    pairs.append(a[i - 1] << _B_BITS | b[j - 1])
-                    from_a, from_b = i, j
+                    groups.append(f"{','.join(in_a)}|{','.join(in_b)}")
+                    pairs.append(x << _B_BITS | y)
+                    in_a, in_b = [], []
         self._groups.append(";".join(groups))
         self._counts.append((len(a), len(b), len(pairs), good))
         self._pairs.append(pairs)
+        self._again.append(0)
         return len(self._groups) - 1
 
-    def _words(self, text: str) -> list[str]:
-        """``text`` cut before each space that follows a character other than white space; the spaces at the cuts are left out."""
-        parts = text.split(" ")
+    def _learn(self, words: list[str]) -> dict[str, int]:
+        """Entries for new ``words``; those too long to remember are returned."""
+        once: dict[str, int] = {}
+        texts = [w if w[:1] in (" ", "\n") and w else " " + w for w in words]
+        # B puts a space before what it is given; a line feed never joins it.
+        coded = self._b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
+        for w, t, b in zip(words, texts, coded, strict=True):
+            if t[0] == "\n":
+                b = b[1:] if b[0] == self._space else []
+            (self._at if len(w) <= LONG_WORD else once)[w] = self._align(t, self._a.encode_ordinary(t), b)
+        return once
+
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        """A space and ``text``, cut before each space or line feed that follows a character other than white space.
+
+        A word that starts at a space is named without it, unless another space or a line feed comes next.
+        """
+        parts = text.replace("\n", " \n").split(" ")
         if len(parts) > 1 and not parts[-1]:
             # A last space stays with what it follows: B has no token for an empty word.
             parts[-2:] = [parts[-2] + " "]
@@ -130,27 +156,26 @@ class Aligner:
         out: list[str] = []
         joined = False
         for part in parts:
+            full = part if part[:1] == "\n" else " " + part
             if joined:
-                out[-1] += " " + part
+                out[-1] += full
             else:
-                out.append(part)
-            joined = not out[-1] or out[-1][-1].isspace()
-        return out
+                out.append(full)
+            joined = out[-1][-1].isspace()
+        return [w[1:] if w[0] == " " and w[1:2] not in (" ", "\n") else w for w in out]
 
     def block(self, texts: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
         """Figures of every text, and its links as arrays (index of the text, pair, how often), each pair of a text once."""
         words = [self._words(t) if t else [] for t in texts]
-        at = self._at
-        once: dict[str, int] = {}
-        fresh = list({w for doc in words for w in doc if w not in at})
-        if fresh:
-            for w, b in zip(fresh, self._b.encode(fresh, num_threads=1), strict=True):
-                (at if len(w) <= LONG_WORD else once)[w] = self._align(w, self._a.encode_ordinary(" " + w), b)
+        at, before = self._at, len(self._groups)
+        once = self._learn(list({w for doc in words for w in doc if w not in at}))
         found = [[at[w] if w in at else once[w] for w in doc] if once else [at[w] for w in doc] for doc in words]
         sizes = np.array([len(f) for f in found], np.int64)
         flat = np.fromiter((i for f in found for i in f), np.int64, int(sizes.sum()))
         doc = np.repeat(np.arange(len(texts)), sizes)
         entry, place = np.unique(flat, return_inverse=True)
+        for i in entry[entry < before].tolist():
+            self._again[i] = 1
         counts = np.array([self._counts[i] for i in entry], np.int64).reshape(-1, 4)
         totals = np.zeros((len(texts), 4), np.int64)
         np.add.at(totals, doc, counts[place])
