@@ -71,9 +71,46 @@ SELECT d.doc_id, coalesce(t.n, 0) AS n_lines, coalesce(t.n, 0) - coalesce(k.n, 0
 FROM documents d LEFT JOIN total t ON d.doc_id = t.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
+OP12 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+usable AS (SELECT vec_id, label, e FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM usable a JOIN usable b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS u, vec_id AS v FROM v UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+least AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u),
+n AS (SELECT u, count(*) AS n_links FROM links GROUP BY u)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN least ON v.vec_id = least.u LEFT JOIN n ON v.vec_id = n.u
+"""
+
+OP13 = """
+WITH turns AS (SELECT conv_id, turn, octet_length(encode(coalesce(text, ''))) AS bytes,
+               md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(struct_pack(k := k, bytes := bytes) ORDER BY turn NULLS FIRST, k) AS t FROM turns GROUP BY conv_id),
+-- CRC-32 bit by bit: a list of each digit's code and eight shifts.
+crc AS (SELECT conv_id, t, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+          lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+          lambda s, e: CASE WHEN e >= 0 THEN xor(s, e) WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END), 4294967295) % 9 AS h FROM own),
+rebuilt AS (SELECT c.conv_id, list_concat(coalesce(b.t, [])[:c.h], c.t[c.h + 1:]) AS t
+            FROM crc c LEFT JOIN own b ON b.conv_id = c.conv_id - ((c.conv_id % 5) + 5) % 5),
+paths AS (SELECT conv_id, list_transform(t, lambda x: x.k) AS p, list_transform(t, lambda x: x.bytes) AS bytes FROM rebuilt),
+steps AS (SELECT conv_id, p, bytes, unnest(range(0, len(p) + 1)) AS d FROM paths),
+nodes AS (SELECT d, p[:d] AS node, min(conv_id) AS rep, count(*) AS n, (count(*) - 1) * coalesce(max(bytes[d]), 0) AS cost,
+                 coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(p) = d), '') AS ends FROM steps GROUP BY d, p[:d]),
+kids AS (SELECT d - 1 AS d, node[:d - 1] AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+above AS (SELECT node, cost, k.n IS NULL AS leaf, unnest(range(0, nodes.d + 1)) AS up FROM nodes LEFT JOIN kids k USING (d, node)),
+sums AS (SELECT up AS d, node[:up] AS node, sum(cost) AS saved, count(*) FILTER (leaf) AS leaves FROM above GROUP BY ALL)
+SELECT o.rep AS conv_id, o.d AS depth, q.rep AS parent_conv_id, o.n AS n_convs, coalesce(k.n, 0) AS n_children, s.leaves AS n_leaves,
+       s.saved::BIGINT AS saved_tokens, sha256(o.ends) AS ends_sha256
+FROM nodes o JOIN sums s USING (d, node) LEFT JOIN kids k USING (d, node) LEFT JOIN nodes q ON q.d = o.d - 1 AND q.node = o.node[:o.d - 1]
+"""
+
 SQL = {
     "op4_decontaminate": OP4,
     "op5_suffix_dedup": OP5,
     "op8_line_dedup": OP8,
     "op10_mixing": mixing.SQL,
+    "op12_embedding_pq": OP12,
+    "op13_turn_trie": OP13,
 }

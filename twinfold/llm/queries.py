@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import (decontaminate, line_crf, line_dedup, mixing, oracle, pii, secrets, simhash, suffix_dedup, token_pairs,
-                          url_templates, winnow)
+from twinfold.llm import (decontaminate, embedding_pq, line_crf, line_dedup, mixing, oracle, pii, secrets, simhash,
+                          suffix_dedup, token_pairs, turn_trie, url_templates, winnow)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,16 @@ def op11_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with one label at a cosine of 0.98 or more."""
+    return embedding_pq.near_duplicates(spark, _table(spark, sf_dir, "embeddings"))
+
+
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of the rebuilt conversations with subtree totals."""
+    return turn_trie.trie(spark, _table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_url_templates": op1_url_templates,
     "op2_pii": op2_pii,
@@ -95,6 +105,8 @@ QUERIES = {
     "op9_winnowing": op9_winnowing,
     "op10_mixing": op10_mixing,
     "op11_token_pairs": op11_token_pairs,
+    "op12_embedding_pq": op12_embedding_pq,
+    "op13_turn_trie": op13_turn_trie,
 }
 
 SQL: dict[str, str] = oracle.SQL
