@@ -109,3 +109,96 @@ def test_shuffle_join_path_when_factor_exceeds_bound(spark, sf):
     assert got.keys() == want.keys()
     for k in want:
         assert got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-12)
+
+
+def _above(plan, leaf):
+    """Node lines between a leaf that contains ``leaf`` and the root, nearest first, for every such leaf."""
+    lines = [line for line in plan.split("\n") if line.strip()]
+    depth = [len(line) - len(line.lstrip(" :+-*()0123456789")) for line in lines]
+    for i, line in enumerate(lines):
+        if leaf in line:
+            chain, d = [], depth[i]
+            for j in range(i - 1, -1, -1):
+                if depth[j] < d:
+                    chain.append(lines[j])
+                    d = depth[j]
+            yield chain
+
+
+@pytest.mark.parametrize("update_of", ["uncoupled", "specific"])
+def test_stored_entries_do_not_move_to_meet_a_large_factor(spark, sf, update_of):
+    from twinfold.operators.factors import heavy_indices, store_entries
+
+    a = x1(spark, sf)
+    f = _factors(spark, a, 0, 4)
+    mode = 0 if update_of == "uncoupled" else 1
+
+    def updated(t, heavy=None):
+        if update_of == "uncoupled":
+            return update.update_uncoupled(spark, t, f, mode, 4, Options(0.1), 0, heavy=heavy)
+        return update.update_specific(spark, t, f, mode, 4, 1, Options(0.1), 0, heavy=heavy)
+
+    want = {r.idx: list(r.v) for r in updated(a).collect()}
+    spark.conf.set("spark.twinfold.maxBroadcastBytes", "0")
+    try:
+        hot = {m: heavy_indices(a.entries, m, rows=5).persist() for m in range(2)}
+        name = f"stored_{update_of}"
+        stored = a.with_entries(store_entries(spark, a.entries, 1 - mode, 2, hot[1 - mode], 8, name, f"{run_dir(spark, 'st')}/{name}"))
+        df = updated(stored, hot)
+    finally:
+        spark.conf.unset("spark.twinfold.maxBroadcastBytes")
+    chains = list(_above(_plan(df), "Bucketed: true"))
+    assert chains
+    for chain in chains:
+        joined = next(i for i, line in enumerate(chain) if "SortMergeJoin" in line)
+        assert not [line for line in chain[:joined] if "Exchange" in line]
+        # Then the entries move once, to their keys, before the partial aggregate; its sums move once more.
+        assert len([line for line in chain if "Exchange" in line]) == 2
+    got = {r.idx: list(r.v) for r in df.collect()}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-12)
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_shuffle_queries_join_by_sort_merge(spark, sf):
+    from twinfold.plans.catalog import QUERIES
+
+    for name in ("update_uncoupled_shuffle", "update_specific_shuffle", "update_common_shuffle", "update_stored"):
+        df = QUERIES[name](spark, sf)
+        df.collect()
+        final = _plan(df).split("== Initial Plan ==")[0]
+        assert "SortMergeJoin" in final, name
+
+
+def test_heavy_list_is_bounded_by_the_shuffle_partitions(spark, sf):
+    from twinfold.operators.factors import heavy_indices
+
+    a = x1(spark, sf)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert heavy_indices(a.entries, 0).count() <= parts
+    one = spark.range(1000).selectExpr("0L AS i0", "id AS i1", "1D AS y")
+    assert [(r.idx, r.salts) for r in heavy_indices(one, 0).collect()] == [(0, parts)]
+
+
+def test_fit_with_large_factors_equals_broadcast_fit(spark, sf):
+    from twinfold.plans.fit import fit
+    from twinfold.sources import tpch
+    from twinfold.spec import FitConfig, Stop
+
+    tensors, valid, coup = tpch.coupled_pair(spark, sf)
+    cfg = FitConfig(rank=3, common=1, stop=Stop(max_iter=1), init="lcg")
+    want = fit(spark, tensors, coup, cfg, validation=valid)
+    tables = {t.name for t in spark.catalog.listTables()}
+    spark.conf.set("spark.twinfold.maxBroadcastBytes", "0")
+    try:
+        got = fit(spark, tensors, coup, cfg, validation=valid)
+    finally:
+        spark.conf.unset("spark.twinfold.maxBroadcastBytes")
+    assert {t.name for t in spark.catalog.listTables()} == tables
+    a, b = ({(r.tensor, r.mode, r.idx): list(r.v) for r in m.factor_table(m.versions[1]).collect()} for m in (want, got))
+    assert a.keys() == b.keys()
+    for k in a:
+        assert b[k] == pytest.approx(a[k], rel=1e-8, abs=1e-11)
+    for (i, _, term, v), (_, _, _, w) in zip(want.history, got.history):
+        assert w == pytest.approx(v, rel=1e-8, abs=1e-10), (i, term)

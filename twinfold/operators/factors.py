@@ -56,13 +56,16 @@ def means_rows(factors: Mapping[tuple[int, int], DataFrame], rank: int) -> DataF
     return out
 
 
-# A mode index with more entries than this is spread over several salts when a factor is joined by shuffle.
-SALT_ROWS = 1_000_000
+def heavy_indices(entries: DataFrame, mode: int, rows: int | None = None) -> DataFrame:
+    """``idx, salts``: indices of ``mode`` with more than ``rows`` entries, and over how many salts to spread each.
 
-
-def heavy_indices(entries: DataFrame, mode: int, rows: int = SALT_ROWS) -> DataFrame:
-    """``idx, salts``: indices of ``mode`` with more than ``rows`` entries (at most entries / rows of them), and over how
-    many salts to spread each."""
+    At most entries / rows indices are heavy. By default ``rows`` is the mean number of entries of a shuffle partition, so
+    that a salt is no larger than a partition and there are at most as many heavy indices as shuffle partitions: a bound on
+    the list, which is broadcast.
+    """
+    if rows is None:
+        parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = max(1, -(-entries.count() // parts))
     return (entries.groupBy(F.col(f"i{mode}").alias("idx")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows)
             .select("idx", F.ceil(F.col("n") / F.lit(rows)).cast("int").alias("salts")))
 
@@ -75,11 +78,42 @@ def salt(entries: DataFrame, mode: int, n_modes: int, heavy: DataFrame, name: st
     return out.withColumn(name, F.pmod(F.xxhash64(*others), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_heavy", "_salts")
 
 
-def _sound(mode: int, width: int) -> str:
-    """SQL for the joined row of ``mode``; an entry without a factor row, or whose row has a null, NaN or infinite cell, fails."""
+def stored_salt(mode: int) -> str:
+    """Column of the salt by which entries are bucketed together with their index on ``mode`` (see :func:`store_entries`)."""
+    return f"_salt{mode}"
+
+
+def store_entries(spark: SparkSession, entries: DataFrame, mode: int, n_modes: int, heavy: DataFrame, buckets: int,
+                  table: str, path: str) -> DataFrame:
+    """Entries written once, bucketed and sorted on (index of ``mode``, salt) as ``table`` at ``path``.
+
+    Every later join with the factor of ``mode`` moves the factor's rows only: the entries lie in the buckets the join asks
+    for. ``heavy`` must be the list that the joins use.
+    """
+    keys = [f"i{mode}", stored_salt(mode)]
+    salted = salt(entries, mode, n_modes, heavy, stored_salt(mode)).repartition(buckets, *keys)
+    salted.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def join_salted(entries: DataFrame, factor: DataFrame, mode: int, salt_col: str, heavy: DataFrame) -> DataFrame:
+    """Left join of ``f{mode}`` on (index, salt), the factor's rows repeated for each salt of a heavy index.
+
+    The hint keeps Spark from broadcasting a factor that is over the bound by its estimates.
+    """
+    few = heavy.select(F.col("idx").alias("_heavy"), "salts")
+    f = factor.select(F.col("idx").alias("_k"), F.col("v").alias(f"f{mode}"))
+    f = f.join(F.broadcast(few), F.col("_k") == F.col("_heavy"), "left").select(
+        "_k", f"f{mode}", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("_s")).hint("merge")
+    return entries.join(f, (entries[f"i{mode}"] == f["_k"]) & (entries[salt_col] == f["_s"]), "left").drop("_k", "_s")
+
+
+def sound(joined: DataFrame, mode: int, width: int) -> DataFrame:
+    """``joined`` with ``f{mode}`` checked: an entry without a factor row, or whose row has a null, NaN or infinite cell, fails."""
     total = " + ".join(f"f{mode}[{r}]" for r in range(width))
-    return (f"CASE WHEN ({total}) * 0D = 0D THEN f{mode} ELSE raise_error(concat("
-            f"'no finite factor row for index ', CAST(i{mode} AS STRING), ' of mode {mode}')) END")
+    return joined.withColumn(f"f{mode}", F.expr(
+            f"CASE WHEN ({total}) * 0D = 0D THEN f{mode} ELSE raise_error(concat("
+            f"'no finite factor row for index ', CAST(i{mode} AS STRING), ' of mode {mode}')) END"))
 
 
 def join_factors(spark: SparkSession, entries: DataFrame, factors: Mapping[int, DataFrame],
@@ -89,25 +123,23 @@ def join_factors(spark: SparkSession, entries: DataFrame, factors: Mapping[int,
 
     Many-to-one left joins on ``i{m} = idx``: no entry is ever dropped, and one whose index has no finite factor row
     fails the job, naming the index. A factor is broadcast only when its declared row count bounds it below the
-    broadcast limit. Otherwise the join is a shuffle join on ``(index, salt)``: an index with more than ``SALT_ROWS``
-    entries is spread over salts and its factor row repeated for each. ``heavy`` may hand in :func:`heavy_indices` per
-    mode where they are known already.
+    broadcast limit. Otherwise the join is a sort-merge join on ``(index, salt)``: a heavy index is spread over salts and
+    its factor row repeated for each. Entries bucketed on a mode (:func:`store_entries`) stay where they are for that
+    mode's join, which therefore comes first. ``heavy`` may hand in :func:`heavy_indices` per mode where they are known.
     """
     out = entries
     n_modes = len(dims)
-    for m in modes:
-        f = factors[m].select(F.col("idx").alias(f"_k{m}"), F.col("v").alias(f"f{m}"))
+    for m in sorted(modes, key=lambda k: stored_salt(k) not in entries.columns):
         if fits_broadcast(spark, dims[m], width):
+            f = factors[m].select(F.col("idx").alias(f"_k{m}"), F.col("v").alias(f"f{m}"))
             out = out.join(F.broadcast(f), out[f"i{m}"] == f[f"_k{m}"], "left").drop(f"_k{m}")
         else:
             hot = heavy[m] if heavy and m in heavy else heavy_indices(entries, m)
-            few = hot.select(F.col("idx").alias("_heavy"), "salts")
-            f = f.join(F.broadcast(few), f[f"_k{m}"] == few["_heavy"], "left").select(
-                f"_k{m}", f"f{m}", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias(f"_s{m}"))
-            out = salt(out, m, n_modes, hot)
-            out = out.join(f, (out[f"i{m}"] == f[f"_k{m}"]) & (out["_salt"] == f[f"_s{m}"]), "left").drop(
-                f"_k{m}", f"_s{m}", "_salt")
-        out = out.withColumn(f"f{m}", F.expr(_sound(m, width)))
+            if stored_salt(m) in entries.columns:
+                out = join_salted(out, factors[m], m, stored_salt(m), hot)
+            else:
+                out = join_salted(salt(out, m, n_modes, hot), factors[m], m, "_salt", hot).drop("_salt")
+        out = sound(out, m, width)
     return out
 
 

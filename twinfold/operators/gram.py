@@ -170,9 +170,9 @@ def merge_and_solve(partials: Sequence[DataFrame], factors: Sequence[DataFrame],
                     with_error: bool = False) -> DataFrame:
     """Reduce side: sum partial rows per key, solve, and write the block.
 
-    ``partials``: one partial table per side (same keys domain); all sides
-    must be seen for a key to be solved (one side: M4/M5, two: M6).
-    ``factors``: the current factor of each output (one, or two for M6).
+    ``partials``: one partial table per side (same keys domain). One side (M4, M5): every key with entries is solved.
+    Several (M6): keys with entries on at least two sides are, for the factors of the sides that have them.
+    ``factors``: the current factor of each output (one, or one per side for M6).
     ``mean_pull``: ``(length, own_means, other_means, weight)`` or None.
     ``slots``: merge in two steps over so many slots (None: only with more
     than ``TWO_STEP_PARTITIONS`` shuffle partitions).
@@ -219,7 +219,8 @@ def merge_and_solve(partials: Sequence[DataFrame], factors: Sequence[DataFrame],
 
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for keys, sums in running_sums(values(batches)):
-            due = (sums[:, :n_sides] > 0).all(axis=1)
+            seen = sums[:, :n_sides] > 0
+            due = seen.sum(axis=1) >= min(2, n_sides)
             olds = []
             for j in range(n_out):
                 lo = at_row + j * (1 + rank)
@@ -244,7 +245,8 @@ def merge_and_solve(partials: Sequence[DataFrame], factors: Sequence[DataFrame],
                 sse[due] = (sums[due, at_row - 1] - 2 * (x * rhs).sum(1) + np.einsum("ni,nij,nj->n", x, plain, x)) / w[0]
             for j in range(n_out):
                 v = olds[j].copy()
-                v[np.flatnonzero(due), start:start + k] = x
+                own = seen[due, j]
+                v[np.flatnonzero(due)[own], start:start + k] = x[own]
                 out = {"idx": keys.astype("int64"), "v": list(v)}
                 if with_error:
                     out["sse"] = pd.array(np.where(due, np.maximum(sse, 0.0), 0.0), dtype="Float64")

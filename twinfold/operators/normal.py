@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.functions.columns import cell_names, cp_sum, rhs_names, row_product
-from twinfold.operators.factors import heavy_indices, join_factors, salt
+from twinfold.operators.factors import heavy_indices, join_factors, join_salted, salt, sound
 from twinfold.session import fits_broadcast
 from twinfold.spec import Tensor
 
@@ -43,27 +43,34 @@ def observations(spark: SparkSession, tensor: Tensor, factors: Mapping[int, Data
     When every joined factor is broadcast, the observations keep the
     entries' partitioning (clustered on the key), so the partial aggregate
     that follows combines each key's rows map-side. When a factor is too
-    large to broadcast, the shuffle join scatters the keys; the
-    observations are then regrouped on ``(key, salt)``, so the following
-    partial aggregate is effective again. A key has as many salts as its
-    measured entry count asks for (:func:`heavy_indices`). That shuffles
-    one narrow row per entry instead of one wide partial row.
+    large to broadcast, its join scatters the keys; the observations are then
+    brought together on ``(key, salt)``, so the following partial aggregate is
+    effective again. A key has as many salts as its measured entry count asks
+    for (:func:`heavy_indices`). Where the factor of ``mode`` is needed and large, its
+    own join on ``(key, salt)`` does that, so a matrix whose entries are stored in
+    the buckets of the other mode moves one narrow row per entry, once.
     """
     n = tensor.n_modes
     others = [k for k in range(n) if k != mode]
     rest = [r for r in range(rank) if r not in set(block)]
     own = bool(rest) if with_own is None else with_own
     modes = others + ([mode] if own else [])
-    j = join_factors(spark, tensor.entries, factors, tensor.dims, modes, rank, heavy)
     other_vecs = [f"f{k}" for k in others]
     a = [f"{_prod_sql(other_vecs, r)} AS a_{i}" for i, r in enumerate(block)]
     all_vecs = [f"f{k}" for k in modes]
     target = "y - (" + " + ".join(_prod_sql(all_vecs, r) for r in rest) + ")" if rest else "y"
-    if all(fits_broadcast(spark, tensor.dims[k], rank) for k in modes):
+    small = {k: fits_broadcast(spark, tensor.dims[k], rank) for k in modes}
+    if all(small.values()):
+        j = join_factors(spark, tensor.entries, factors, tensor.dims, modes, rank, heavy)
         return j.selectExpr(f"i{mode} AS key", *a, f"{target} AS t")
     hot = heavy[mode] if heavy and mode in heavy else heavy_indices(tensor.entries, mode)
-    obs = salt(j, mode, n, hot).selectExpr(f"i{mode} AS key", *a, f"{target} AS t", "_salt")
-    return obs.repartition("key", "_salt").drop("_salt")
+    large_own = own and not small[mode]
+    j = join_factors(spark, tensor.entries, factors, tensor.dims, others if large_own else modes, rank, heavy)
+    j = salt(j, mode, n, hot)
+    if large_own:
+        j = sound(join_salted(j, factors[mode], mode, "_salt", hot), mode, rank)
+        return j.selectExpr(f"i{mode} AS key", *a, f"{target} AS t")
+    return j.selectExpr(f"i{mode} AS key", *a, f"{target} AS t", "_salt").repartition("key", "_salt").drop("_salt")
 
 
 def normal_equations(obs: DataFrame, k: int, weight: float = 1.0) -> DataFrame:

@@ -16,12 +16,13 @@ a null, NaN or infinite cell, a repeated factor row and equations that are
 not finite fail the job, naming keys. Nothing is dropped.
 
 Each function returns a lazy DataFrame ``(idx, v)`` (M6: ``(tensor, mode,
-idx, v)`` for both coupled factors); the fit loop decides where it lands.
+idx, v)`` for all coupled factors); the fit loop decides where it lands.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,10 +121,11 @@ def _solved_row(label: str, k: int, start: int, rank: int) -> str:
 def update_uncoupled(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], mode: int,
                      rank: int, options: Options, n_entries: int, own_means: Sequence[float] | None = None,
                      other_means: Sequence[float] | None = None, method: str = "auto",
-                     heavy: Mapping[int, DataFrame] | None = None, with_error: bool = False) -> DataFrame:
+                     heavy: Mapping[int, DataFrame] | None = None, with_error: bool = False, pulls: int = 1) -> DataFrame:
     """Update an uncoupled mode, full rank, with the mean pull (M4).
 
-    Without means (a single tensor) the mean pull is left out. ``heavy`` hands
+    Without means (a single tensor) the mean pull is left out. With ``pulls`` other factors, ``other_means`` is the average
+    of their column means: as many pseudo-observations, each with its own target, have the same sums. ``heavy`` hands
     in known heavy indices per mode (only used where a factor is too large to broadcast).
     ``with_error`` adds ``sse``, the squared error of every key's entries at its new row.
     """
@@ -131,7 +133,7 @@ def update_uncoupled(spark: SparkSession, tensor: Tensor, factors: Mapping[int,
         pull = None
         if own_means is not None and other_means is not None:
             pull = (float(tensor.dims[mode]), list(own_means), list(other_means),
-                    1.0 / rank if options.loss == "wls" else 1.0)
+                    pulls / rank if options.loss == "wls" else float(pulls))
         return merge_and_solve([_partials(spark, tensor, factors, mode, list(range(rank)), rank, heavy)],
                                [factors[mode]], rank, rank, 0, options.lam, [entry_weight(options, n_entries)], pull,
                                with_error=with_error)
@@ -140,7 +142,7 @@ def update_uncoupled(spark: SparkSession, tensor: Tensor, factors: Mapping[int,
     if with_error:
         eq = eq.selectExpr("*", *[f"{n} AS data_{n}" for n in [c for _, _, c in cell_names(rank)] + rhs_names(rank)])
     if own_means is not None and other_means is not None:
-        w2 = 1.0 / rank if options.loss == "wls" else 1.0
+        w2 = pulls / rank if options.loss == "wls" else float(pulls)
         eq = add_mean_pull(eq, rank, tensor.dims[mode], own_means, other_means, w2,
                            x_cols=[f"old_{c}" for c in range(rank)])
     eq = eq.withColumn("_x", solve_column(rank, options.lam, due="n_0 > 0"))
@@ -169,42 +171,58 @@ def update_specific(spark: SparkSession, tensor: Tensor, factors: Mapping[int, D
     return eq.selectExpr("key AS idx", f"{_checked('old', rank, row)} AS v", *error)
 
 
-def update_common(spark: SparkSession, a: Tensor, fa: Mapping[int, DataFrame], mode_a: int, na: int,
-                  b: Tensor, fb: Mapping[int, DataFrame], mode_b: int, nb: int, rank: int, common: int,
-                  options: Options, labels: tuple[tuple[int, int], tuple[int, int]] = ((0, 1), (1, 1)),
-                  method: str = "auto",
-                  heavy: tuple[Mapping[int, DataFrame] | None, Mapping[int, DataFrame] | None] = (None, None),
-                  ) -> DataFrame:
-    """Update the shared block ``[0, common)`` of both coupled factors at once (M6).
+class Side(NamedTuple):
+    """One tensor of a common update: its entries, factors, coupled mode, entry count, label of the output and heavy indices."""
+
+    tensor: Tensor
+    factors: Mapping[int, DataFrame]
+    mode: int
+    n_entries: int
+    label: tuple[int, int]
+    heavy: Mapping[int, DataFrame] | None = None
+
 
-    Equations of both tensors are summed per key (A4); only keys seen in
-    both tensors are solved (J3) and the solution is written to both
-    factors. Returns ``(tensor, mode, idx, v)`` rows for both factors, so
-    one write lands both.
+def update_shared(spark: SparkSession, sides: Sequence[Side], rank: int, common: int, options: Options,
+                  method: str = "auto") -> DataFrame:
+    """Update the shared block ``[0, common)`` of all coupled factors at once (M6).
+
+    ``sides`` are two or more tensors, of any mode counts, each coupled by a mode at any position. The equations of all
+    sides are summed per key (A4). A key is solved where at least two tensors have entries (J3), from the entries of all
+    that have; the solution goes to the factors of those tensors, and a tensor without entries on the key keeps its row.
+    Returns ``(tensor, mode, idx, v)`` rows for all factors, so one write lands them.
     """
     if not 0 < common <= rank:
         raise ValueError("the common block is empty")
+    if len(sides) < 2:
+        raise ValueError("a common block needs two tensors")
     block = list(range(common))
+    weights = [entry_weight(options, s.n_entries) for s in sides]
     if use_gram(common, method):
-        pa = _partials(spark, a, fa, mode_a, block, rank, heavy[0], 0)
-        pb = _partials(spark, b, fb, mode_b, block, rank, heavy[1], 1)
-        return merge_and_solve([pa, pb],
-                               [fa[mode_a], fb[mode_b]], common, rank, 0, options.lam,
-                               [entry_weight(options, na), entry_weight(options, nb)], None, list(labels))
-    oa = observations(spark, a, fa, mode_a, block, rank, heavy=heavy[0])
-    ob = observations(spark, b, fb, mode_b, block, rank, heavy=heavy[1])
-    eq = _equations_with_rows(
-        [(oa, entry_weight(options, na)), (ob, entry_weight(options, nb))],
-        [("va", fa[mode_a]), ("vb", fb[mode_b])], common, rank)
-    both = "n_0 > 0 AND n_1 > 0"
-    names = [n for _, _, n in cell_names(common)] + rhs_names(common)
-    eq = eq.withColumns({n: F.expr(f"CASE WHEN {both} THEN {n} END") for n in names})
-    eq = eq.withColumn("_x", solve_column(common, options.lam, due=both))
-    (ta, ma), (tb, mb) = labels
-    row_a = f"CASE WHEN {both} THEN {_solved_row('va', common, 0, rank)} ELSE {_row('va', rank)} END"
-    row_b = f"CASE WHEN {both} THEN {_solved_row('vb', common, 0, rank)} ELSE {_row('vb', rank)} END"
-    row_a, row_b = _checked("va", rank, row_a), _checked("vb", rank, row_b)
-    out = eq.selectExpr("key AS idx", f"explode(array(named_struct('tensor', {ta}, 'mode', {ma}, 'v', {row_a}), "
-                                      f"named_struct('tensor', {tb}, 'mode', {mb}, 'v', {row_b}))) AS _r")
+        partials = [_partials(spark, s.tensor, s.factors, s.mode, block, rank, s.heavy, i) for i, s in enumerate(sides)]
+        return merge_and_solve(partials, [s.factors[s.mode] for s in sides], common, rank, 0, options.lam, weights, None,
+                               [s.label for s in sides])
+    obs = [observations(spark, s.tensor, s.factors, s.mode, block, rank, heavy=s.heavy) for s in sides]
+    names = [f"v{i}" for i in range(len(sides))]
+    eq = _equations_with_rows(list(zip(obs, weights)), [(n, s.factors[s.mode]) for n, s in zip(names, sides)], common, rank)
+    seen = "(" + " + ".join(f"CAST(n_{i} > 0 AS INT)" for i in range(len(sides))) + ") > 1"
+    cells = [n for _, _, n in cell_names(common)] + rhs_names(common)
+    eq = eq.withColumns({n: F.expr(f"CASE WHEN {seen} THEN {n} END") for n in cells})
+    eq = eq.withColumn("_x", solve_column(common, options.lam, due=seen))
+    rows = []
+    for i, (name, side) in enumerate(zip(names, sides)):
+        row = f"CASE WHEN {seen} AND n_{i} > 0 THEN {_solved_row(name, common, 0, rank)} ELSE {_row(name, rank)} END"
+        t, m = side.label
+        rows.append(f"named_struct('tensor', {t}, 'mode', {m}, 'v', {_checked(name, rank, row)})")
+    out = eq.selectExpr("key AS idx", f"explode(array({', '.join(rows)})) AS _r")
     return out.selectExpr("_r.tensor AS tensor", "_r.mode AS mode", "idx", "_r.v AS v")
 
+
+def update_common(spark: SparkSession, a: Tensor, fa: Mapping[int, DataFrame], mode_a: int, na: int,
+                  b: Tensor, fb: Mapping[int, DataFrame], mode_b: int, nb: int, rank: int, common: int,
+                  options: Options, labels: tuple[tuple[int, int], tuple[int, int]] = ((0, 1), (1, 1)),
+                  method: str = "auto",
+                  heavy: tuple[Mapping[int, DataFrame] | None, Mapping[int, DataFrame] | None] = (None, None),
+                  ) -> DataFrame:
+    """:func:`update_shared` of two tensors: only keys seen in both are solved."""
+    return update_shared(spark, [Side(a, fa, mode_a, na, labels[0], heavy[0]), Side(b, fb, mode_b, nb, labels[1], heavy[1])],
+                         rank, common, options, method)

@@ -9,6 +9,7 @@ another engine; exact values (counts, integer sums, ids) are not rounded.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -187,6 +188,7 @@ def _updated(spark, sf, t: int, **how):
     """Mode 0 of tensor t after one update at rank 2 (mean pull on)."""
     rank = 2
     own_t, other_t = (x1(spark, sf), x2(spark, sf)) if t == 0 else (x2(spark, sf), x1(spark, sf))
+    own_t = own_t.with_entries(how.pop("entries", own_t.entries))
     f = lcg_factors(spark, own_t, t, rank)
     other = init_factor(spark, other_t.dims[0], rank, "lcg", 1 - t, 0)
     own_means, other_means = ([r for r in fo.column_means(g, rank).first()] for g in (f[0], other))
@@ -460,6 +462,47 @@ def q_fit_one_sweep(spark, sf):
     return _factor_rows(model.factor_table(model.versions[1]))
 
 
+def q_fit_three_tensors(spark, sf):
+    """The factors after one sweep over three tensors that share parts at positions 1, 1 and 0 (rank 2, common 1, lcg init)."""
+    from twinfold.plans.fit import fit
+    tensors, coup = tpch.coupled_three(spark, sf)
+    cfg = FitConfig(rank=2, common=1, options=Options(LAM, "ls"), stop=Stop(max_iter=1), init="lcg")
+    model = fit(spark, tensors, coup, cfg)
+    return _factor_rows(model.factor_table(model.versions[1]))
+
+
+def q_fit_resumed(spark, sf):
+    """One sweep, then a second fit that goes on from its commit to the second sweep (rank 2, common 1, lcg init)."""
+    from twinfold.plans.fit import fit
+    tensors, _, coup = tpch.coupled_pair(spark, sf, with_validation=False, materialize=run_dir(spark, "resume-tensors"))
+    root = run_dir(spark, "resumed-fit")
+    for sweeps in (1, 2):
+        cfg = FitConfig(rank=2, common=1, options=Options(LAM, "ls"), stop=Stop(max_iter=sweeps), init="lcg")
+        model = fit(spark, tensors, coup, cfg, root=root, resume=True)
+    return _factor_rows(model.factor_table(model.versions[2]))
+
+
+def q_update_stored(spark, sf):
+    """Customers updated against parts too large to broadcast, the entries stored in buckets of (part, salt)."""
+    def build():
+        t = x1(spark, sf)
+        hot = _salted(spark, sf)
+        name = f"twinfold_{uuid.uuid4().hex}"
+        stored = fo.store_entries(spark, t.entries, 1, 2, hot[1], 16, name, f"{run_dir(spark, 'stored')}/{name}")
+        return _flat(_updated(spark, sf, 0, entries=stored, heavy=hot), 2)
+
+    return _without_broadcast(spark, build)
+
+
+def q_update_shared_modes(spark, sf):
+    """M6 and J3 of a three-mode tensor (parts in mode 1) with two matrices (parts in modes 1 and 0), rank 3, common 2."""
+    tensors, coup = tpch.coupled_three(spark, sf, three_mode=True)
+    keys = ((0, 1), (1, 1), (2, 0))
+    sides = [update.Side(t, lcg_factors(spark, t, i, 3), m, 0, (i, m)) for t, (i, m) in zip(tensors, keys)]
+    both = update.update_shared(spark, sides, 3, 2, Options(LAM, "ls"))
+    return both.select("tensor", "mode", "idx", *[_r(F.col("v")[c], ROUND_SOLVE).alias(f"v{c}") for c in range(3)])
+
+
 def _digits():
     return (F.when(F.col("term") == "mean", _r(F.col("loss"), ROUND_SOLVE))
             .when(F.col("term").startswith("val"), _r(F.col("loss"), ROUND_SOLVE)).otherwise(_r(F.col("loss"), ROUND_LOSS)))
@@ -571,4 +614,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "training_log": q_training_log,
     "validation_log": q_validation_log,
     "fit_checkpoint": q_fit_checkpoint,
+    "fit_three_tensors": q_fit_three_tensors,
+    "fit_resumed": q_fit_resumed,
+    "update_stored": q_update_stored,
+    "update_shared_modes": q_update_shared_modes,
 }

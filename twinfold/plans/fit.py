@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import sys
 import time
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -22,14 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinfold.functions.columns import entry_columns
-from twinfold.operators.factors import copy_factor, heavy_indices, init_factor, means_rows
+from twinfold.operators.factors import copy_factor, heavy_indices, init_factor, means_rows, store_entries
 from twinfold.operators.predict import loss_table, mean_loss, rmse, training_loss
 from twinfold.operators.tensor import check, cluster_by_mode, partitions_for
-from twinfold.operators.update import update_common, update_specific, update_uncoupled
+from twinfold.operators.update import Side, update_shared, update_specific, update_uncoupled
+from twinfold.plans import commits
+from twinfold.plans.layout import FactorKey, Layout, layout
 from twinfold.session import fits_broadcast, run_dir
 from twinfold.spec import Coupling, FitConfig, Tensor
 
-FactorKey = tuple[int, int]
 FACTOR_SCHEMA = "idx long, v array<double>"
 
 METRICS_SCHEMA = T.StructType([
@@ -49,12 +51,12 @@ class FactorStore:
         self.paths: dict[FactorKey, str] = {}
         self.written: set[str] = set()
         self.frames: dict[FactorKey, DataFrame] = {}
-        self._version = 0
+        self.version = 0
 
     def put(self, key: FactorKey, df: DataFrame, tag: str) -> DataFrame:
         """Write one factor (with the ``sse`` column of an update that measured its error) and load it."""
-        self._version += 1
-        path = f"{self.root}/factors/{tag}/v{self._version:05d}_t{key[0]}_m{key[1]}"
+        self.version += 1
+        path = f"{self.root}/factors/{tag}/v{self.version:05d}_t{key[0]}_m{key[1]}"
         df.select("idx", "v", *[c for c in df.columns if c == "sse"]).write.mode("overwrite").parquet(path)
         return self.load(key, path)
 
@@ -64,8 +66,8 @@ class FactorStore:
 
     def put_many(self, frames: dict[FactorKey, DataFrame], tag: str) -> None:
         """Write several factors in one job (partitioned by tensor and mode)."""
-        self._version += 1
-        path = f"{self.root}/factors/{tag}/v{self._version:05d}"
+        self.version += 1
+        path = f"{self.root}/factors/{tag}/v{self.version:05d}"
         parts = [df.select(F.lit(t).alias("tensor"), F.lit(m).alias("mode"), "idx", "v")
                  for (t, m), df in frames.items()]
         union = parts[0]
@@ -76,8 +78,8 @@ class FactorStore:
     def put_table(self, table: DataFrame, keys: list[FactorKey], tag: str, path: str | None = None) -> None:
         """Write a ``(tensor, mode, idx, v)`` table in one job and load each factor."""
         if path is None:
-            self._version += 1
-            path = f"{self.root}/factors/{tag}/v{self._version:05d}"
+            self.version += 1
+            path = f"{self.root}/factors/{tag}/v{self.version:05d}"
         table.write.mode("overwrite").partitionBy("tensor", "mode").parquet(path)
         for (t, m) in keys:
             self.load((t, m), f"{path}/tensor={t}/mode={m}")
@@ -99,6 +101,13 @@ class FactorStore:
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
             self.written.discard(path)
 
+    def restore(self, paths: dict[FactorKey, str], version: int, written: Sequence[str]) -> None:
+        """Take up the factors of a committed iteration; later versions of a killed run are written over."""
+        for key, path in paths.items():
+            self.load(key, path)
+        self.version = version
+        self.written.update(written)
+
     def snapshot(self) -> dict[FactorKey, str]:
         return dict(self.paths)
 
@@ -146,27 +155,6 @@ class Model:
         return self.spark.createDataFrame(rows, METRICS_SCHEMA)
 
 
-def _check_layout(tensors: Sequence[Tensor], couplings: Sequence[Coupling], config: FitConfig) -> Coupling:
-    if len(tensors) != 2:
-        raise ValueError("the coupled fit takes exactly two tensors (a single data set is refused)")
-    if len(couplings) != 1:
-        raise ValueError("the coupled fit takes exactly one coupled pair of modes")
-    c = couplings[0]
-    if {c.t1, c.t2} != {0, 1}:
-        raise ValueError("the coupling must join tensor 0 and tensor 1")
-    if c.m1 != c.m2:
-        raise ValueError("the coupled mode must sit at the same position in both tensors")
-    if tensors[0].n_modes != tensors[1].n_modes:
-        raise ValueError("both tensors must have the same number of modes")
-    ta, tb = (c.t1, c.t2)
-    if tensors[ta].dims[c.m1] != tensors[tb].dims[c.m2]:
-        raise ValueError("coupled modes must have the same size")
-    for t in tensors:
-        if config.rank < 1 or any(d < 1 for d in t.dims):
-            raise ValueError("empty mode")
-    return c
-
-
 def _log(verbose: bool, msg: str) -> None:
     if verbose:
         print(f"[twinfold] {msg}", file=sys.stderr, flush=True)
@@ -216,16 +204,25 @@ def evaluate(spark: SparkSession, tensors: Sequence[Tensor], valid: Sequence[Ten
 
 def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coupling],
         config: FitConfig | None = None, validation: Sequence[Tensor] | None = None,
-        root: str | None = None, verbose: bool = False, metrics_path: str | None = None) -> Model:
-    """Coupled factorisation by alternating ridge least squares.
+        root: str | None = None, verbose: bool = False, metrics_path: str | None = None, resume: bool = False) -> Model:
+    """Coupled factorisation of two or more tensors by alternating ridge least squares.
 
+    ``couplings`` may join modes at any positions of tensors with any mode counts (see :mod:`twinfold.plans.layout`).
     ``metrics_path``: when set, each iteration's metric rows are appended
     there as parquet as soon as they are known (S5/S6), so the log survives
     a driver failure mid-fit. Iteration 0 starts the log anew, so a rerun to the
     same path does not mix two runs.
+
+    ``resume``: go on from the last iteration committed under ``root`` (S8; :mod:`twinfold.plans.commits`), if there is
+    one; what a killed run wrote after it is written again. The tensors, couplings and options must be those of the run
+    that is resumed; the stopping rule may differ.
     """
     cfg = config or FitConfig()
-    coupling = _check_layout(tensors, couplings, cfg)
+    if resume and not root:
+        raise ValueError("resuming needs the root of the fit to be resumed")
+    if any(d < 1 for t in tensors for d in t.dims):
+        raise ValueError("empty mode")
+    graph = layout(tensors, couplings)
     root = root or run_dir(spark, "fit")
     timings: list[tuple[str, float]] = []
     mark = [time.time()]
@@ -238,48 +235,60 @@ def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coup
     # One cached copy of the entries per mode (the reference keeps one slice per mode too), released however
     # the fit ends. Cached data is recomputable from its source if an executor is lost.
     held: list[DataFrame] = []
+    tables: list[str] = []
     try:
-        return _fit(spark, tensors, validation, coupling, cfg, root, verbose, metrics_path, lap, timings, held)
+        return _fit(spark, tensors, validation, graph, cfg, root, verbose, metrics_path, resume, lap, timings, held, tables)
     finally:
         for df in held:
             df.unpersist()
+        for name in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def _layout(spark: SparkSession, t: Tensor, cfg: FitConfig, level: StorageLevel, held: list[DataFrame],
-            ) -> tuple[int, list[Tensor], dict[int, DataFrame]]:
-    """Entries checked and counted once, then cached as one copy per mode, range-partitioned on that mode's key.
+            root: str, tables: list[str]) -> tuple[int, list[Tensor], dict[int, DataFrame]]:
+    """Entries checked and counted once, then kept as one copy per mode.
 
+    Where the other modes' factors can be broadcast, the copy is cached and range-partitioned on the mode's key. Otherwise it is
+    written once, in buckets of the largest other mode, so that no update moves the entries to meet that factor.
     Heavy indices are measured only if some factor is too large to broadcast.
     """
     src = t.entries.select(*entry_columns(t.n_modes)).persist(level)
     held.append(src)
     n = check(t.with_entries(src))
+    large = [m for m, d in enumerate(t.dims) if not fits_broadcast(spark, d, cfg.rank)]
     per_mode, hot = [], {}
-    for m in range(t.n_modes):
-        parts = partitions_for(spark, n, t.n_modes, cfg.partition_bytes, cfg.split, t.dims[m])
-        e = cluster_by_mode(src, m, t.n_modes, parts).persist(level)
-        held.append(e)
-        e.count()
-        per_mode.append(t.with_entries(e))
-    if not all(fits_broadcast(spark, d, cfg.rank) for d in t.dims):
+    if large:
+        shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
         for m in range(t.n_modes):
-            hot[m] = heavy_indices(per_mode[m].entries, m).persist(level)
+            hot[m] = heavy_indices(src, m, max(1, -(-n // shuffled))).persist(level)
             held.append(hot[m])
+    for m in range(t.n_modes):
+        others = [k for k in large if k != m]
+        if others:
+            by = max(others, key=lambda k: t.dims[k])
+            buckets = partitions_for(spark, n, t.n_modes, cfg.partition_bytes, cfg.split, t.dims[by])
+            tables.append(f"twinfold_{uuid.uuid4().hex}")
+            e = store_entries(spark, src, by, t.n_modes, hot[by], buckets, tables[-1], f"{root}/entries/{tables[-1]}")
+        else:
+            e = cluster_by_mode(src, m, t.n_modes, partitions_for(spark, n, t.n_modes, cfg.partition_bytes, cfg.split, t.dims[m]))
+            held.append(e.persist(level))
+            e.count()
+        per_mode.append(t.with_entries(e))
     src.unpersist()
     return n, per_mode, hot
 
 
-def _fit(spark: SparkSession, tensors: Sequence[Tensor], validation: Sequence[Tensor] | None, coupling: Coupling,
-         cfg: FitConfig, root: str, verbose: bool, metrics_path: str | None, lap: Callable[[str], None],
-         timings: list[tuple[str, float]], held: list[DataFrame]) -> Model:
+def _fit(spark: SparkSession, tensors: Sequence[Tensor], validation: Sequence[Tensor] | None, graph: Layout,
+         cfg: FitConfig, root: str, verbose: bool, metrics_path: str | None, resume: bool,
+         lap: Callable[[str], None], timings: list[tuple[str, float]], held: list[DataFrame], tables: list[str]) -> Model:
     rank, common, opts = cfg.rank, cfg.common, cfg.options
-    n_modes = tensors[0].n_modes
     level = getattr(StorageLevel, cfg.storage)
     copies: list[list[Tensor]] = []
     counts: list[int] = []
     heavy: list[dict[int, DataFrame]] = []
     for t in tensors:
-        n, per_mode, hot = _layout(spark, t, cfg, level, held)
+        n, per_mode, hot = _layout(spark, t, cfg, level, held, root, tables)
         counts.append(n)
         copies.append(per_mode)
         heavy.append(hot)
@@ -298,118 +307,116 @@ def _fit(spark: SparkSession, tensors: Sequence[Tensor], validation: Sequence[Te
             check(vt)
             vcached.append(vt)
 
-    # M1: initial factors, written together in one job.
     store = FactorStore(spark, root)
-    init = {}
-    for t, ten in enumerate(cached):
-        for m in range(n_modes):
-            init[(t, m)] = init_factor(spark, ten.dims[m], rank, cfg.init, t, m, cfg.seed)
-    if cfg.share_init:
-        init[(coupling.t2, coupling.m2)] = init[(coupling.t1, coupling.m1)]
+    what = commits.fingerprint(tensors, graph, cfg, counts)
+    state = commits.latest(spark, root, what) if resume else None
     lap("prepare")
-    store.put_many(init, "it00000")
+    if state is None:
+        # M1: initial factors, written together in one job.
+        init = {}
+        for t, ten in enumerate(cached):
+            for m in range(ten.n_modes):
+                first = (graph.group((t, m)) or [(t, m)])[0] if cfg.share_init else (t, m)
+                init[(t, m)] = init_factor(spark, ten.dims[m], rank, cfg.init, *first, cfg.seed)
+        store.put_many(init, "it00000")
+        state = commits.State()
+    else:
+        store.restore(state.snapshots[state.it], state.version, state.written)
     lap("init")
     _log(verbose, f"init done: entries {counts}")
 
-    coupled = {(coupling.t1, coupling.m1): (coupling.t2, coupling.m2),
-               (coupling.t2, coupling.m2): (coupling.t1, coupling.m1)}
-    uncoupled0 = [m for m in range(n_modes) if (0, m) not in coupled]
-    mean_mode = uncoupled0[0]
-
-    start = time.time()
-    history: list[tuple[int, float, str, float]] = []
-    checkpoints: dict[int, dict[FactorKey, str]] = {}
-    best: dict[int, tuple[int, float, dict[FactorKey, str]]] = {}
-    snapshots: dict[int, dict[FactorKey, str]] = {}
-    prev_loss = 1.0e80
-    it = 0
-
-    def step_metrics(it: int) -> tuple[dict, bool, float]:
-        nonlocal prev_loss
+    start = time.time() - state.seconds
+    # Per tensor: the factor whose update is the last of the sweep to touch the tensor, if that update measured the error.
+    measured: dict[int, FactorKey] = {}
+
+    def step_metrics(it: int) -> None:
         means, train, val = evaluate(spark, cached, vcached, store, rank, heavy, measured, counts)
         seconds = time.time() - start
         losses = [training_loss(*train[t], opts.loss) for t in range(len(cached))]
-        ml = mean_loss(means[(0, mean_mode)], means[(1, mean_mode)], opts.loss)
+        mean_losses = [sum(mean_loss(means[a], means[b], opts.loss) for a, b in graph.pairs(k))
+                       for k in range(len(graph.aligned))]
+        ml = mean_losses[0] if mean_losses else 0.0
         total = sum(losses) + ml
-        for t, v in enumerate(losses):
-            history.append((it, seconds, f"se_{t}", v))
-        history.append((it, seconds, "mean", ml))
-        for m in uncoupled0[1:]:
-            history.append((it, seconds, f"mean_m{m}",
-                            mean_loss(means[(0, m)], means[(1, m)], opts.loss)))
-        history.append((it, seconds, "total", total))
-        snapshots[it] = store.snapshot()
-        # M9: stopping rule (relative decrease, iterations, hours).
-        rel = (prev_loss - total) / prev_loss if prev_loss else float("nan")
-        stop = False
-        if cfg.stop.min_rel_decrease:
-            stop = not (math.isfinite(rel) and rel >= cfg.stop.min_rel_decrease)
-        if cfg.stop.max_hours and seconds / 3600.0 > cfg.stop.max_hours:
-            stop = True
-        if cfg.stop.max_iter and it >= cfg.stop.max_iter:
-            stop = True
-        # Factor checkpoints every k iterations; the last one only if the loss fell.
-        if (not stop and it % cfg.checkpoint_every == 0) or (stop and rel > 0):
-            checkpoints[it] = snapshots[it]
+        rows = [(f"se_{t}", v) for t, v in enumerate(losses)] + [("mean", ml)]
+        rows += [(f"mean_m{graph.aligned[k][0][1]}", v) for k, v in enumerate(mean_losses[1:], 1) if graph.pairs(k)]
+        rows.append(("total", total))
+        state.snapshots[it] = store.snapshot()
+        rel = (state.loss - total) / state.loss if state.loss else float("nan")
+        state.it, state.seconds, state.loss, state.rel, state.means = it, seconds, total, rel, means
+        note_checkpoint()
         # Best validated factors per tensor.
         for t, (sse, n) in sorted(val.items()):
             r = rmse(sse, n)
-            history.append((it, seconds, f"val_rmse_{t}", r))
-            if t not in best or r < best[t][1]:
-                best[t] = (it, r, snapshots[it])
+            rows.append((f"val_rmse_{t}", r))
+            if t not in state.best or r < state.best[t][1]:
+                state.best[t] = (it, r, state.snapshots[it])
+        state.history += [(it, seconds, term, v) for term, v in rows]
+        if cfg.keep_versions == "needed":
+            # The model is this iteration or the one before; older versions stay only as checkpoints and best ones.
+            for old in [i for i in state.snapshots if i < it - 1]:
+                del state.snapshots[old]
+        state.version, state.written = store.version, sorted(store.written)
+        commits.commit(spark, root, what, state)
         if metrics_path:
-            rows = [(int(i), float(sec), term, None if v is None else float(v))
-                    for i, sec, term, v in history if i == it]
-            spark.createDataFrame(rows, METRICS_SCHEMA).coalesce(1).write.mode(
-                "append" if it else "overwrite").parquet(metrics_path)
+            write_metrics([h for h in state.history if h[0] == it], "append" if it else "overwrite")
         _log(verbose, f"iter {it}: total {total:.6g} rel {rel:.3g} ({seconds:.1f}s)")
-        prev_loss = total
         if cfg.keep_versions == "needed":
-            # The model is this iteration or the one before; older versions stay only as checkpoints and best ones.
-            for old in [i for i in snapshots if i < it - 1]:
-                del snapshots[old]
-            store.forget([*snapshots.values(), *checkpoints.values(), *(b[2] for b in best.values())])
-        return means, stop, rel
+            # Only after the commit: the one before names what goes now.
+            store.forget([*state.snapshots.values(), *state.checkpoints.values(), *(b[2] for b in state.best.values())])
 
-    # Per tensor: the factor whose update is the last of the sweep to touch the tensor, if that update measured the error.
-    measured: dict[int, FactorKey] = {}
-    means, stop, rel = step_metrics(0)
-    lap("loss_0")
-    while not stop:
-        it += 1
+    def note_checkpoint() -> None:
+        # Factor checkpoints every k iterations; the last one only if the loss fell.
+        stop = cfg.stop.reached(state.it, state.seconds, state.rel)
+        if (not stop and state.it % cfg.checkpoint_every == 0) or (stop and state.rel > 0):
+            state.checkpoints[state.it] = state.snapshots[state.it]
+
+    def write_metrics(rows: list[tuple], mode: str) -> None:
+        spark.createDataFrame([(int(i), float(sec), term, None if v is None else float(v)) for i, sec, term, v in rows],
+                              METRICS_SCHEMA).coalesce(1).write.mode(mode).parquet(metrics_path)
+
+    def factors_of(t: int) -> dict[int, DataFrame]:
+        return {k: store.frames[(t, k)] for k in range(cached[t].n_modes)}
+
+    if state.it < 0:
+        step_metrics(0)
+        lap("loss_0")
+    else:
+        # The iteration that ended the resumed run may be one like any other now.
+        note_checkpoint()
+        if metrics_path:
+            write_metrics(state.history, "overwrite")
+    # M9: stopping rule (relative decrease, iterations, hours).
+    while not cfg.stop.reached(state.it, state.seconds, state.rel):
+        it, means = state.it + 1, state.means
         tag = f"it{it:05d}"
         # M7: Gauss-Seidel sweep, tensors then modes in order.
         measured.clear()
         for t, ten in enumerate(cached):
-            for m in range(n_modes):
-                last = m == n_modes - 1
-                fac_t = {k: store.frames[(t, k)] for k in range(n_modes)}
-                if (t, m) in coupled:
-                    t2, m2 = coupled[(t, m)]
-                    if common > 0 and t == 0:
-                        fac_2 = {k: store.frames[(t2, k)] for k in range(n_modes)}
-                        both = update_common(spark, copies[t][m], fac_t, m, counts[t], copies[t2][m2], fac_2, m2,
-                                             counts[t2], rank, common, opts, ((t, m), (t2, m2)), cfg.method,
-                                             (heavy[t], heavy[t2]))
-                        store.put_table(both, [(t, m), (t2, m2)], tag)
-                        fac_t = {k: store.frames[(t, k)] for k in range(n_modes)}
+            for m in range(ten.n_modes):
+                last = m == ten.n_modes - 1
+                group = graph.group((t, m))
+                if group:
+                    if common > 0 and group[0] == (t, m):
+                        sides = [Side(copies[u][k], factors_of(u), k, counts[u], (u, k), heavy[u]) for u, k in group]
+                        store.put_table(update_shared(spark, sides, rank, common, opts, cfg.method), list(group), tag)
                     if common < rank:
-                        new = update_specific(spark, copies[t][m], fac_t, m, rank, common, opts, counts[t],
+                        new = update_specific(spark, copies[t][m], factors_of(t), m, rank, common, opts, counts[t],
                                               cfg.method, heavy[t], last)
                         store.put((t, m), new, tag)
                         if last:
                             measured[t] = (t, m)
                 else:
-                    other = 1 - t
-                    new = update_uncoupled(spark, copies[t][m], fac_t, m, rank, opts, counts[t],
-                                           means[(t, m)], means[(other, m)], cfg.method, heavy[t], last)
+                    others = graph.pulled_by((t, m))
+                    pull = [sum(means[o][c] for o in others) / len(others) for c in range(rank)] if others else None
+                    new = update_uncoupled(spark, copies[t][m], factors_of(t), m, rank, opts, counts[t], means[(t, m)], pull,
+                                           cfg.method, heavy[t], last, len(others))
                     store.put((t, m), new, tag)
                     if last:
                         measured[t] = (t, m)
         lap(f"sweep_{it}")
-        means, stop, rel = step_metrics(it)
+        step_metrics(it)
         lap(f"loss_{it}")
 
-    final = it if (it == 0 or rel > 0) else it - 1
-    return Model(spark, rank, common, snapshots[final], history, final, checkpoints, best, root, timings,
-                 dict(snapshots))
+    final = state.it if state.it == 0 or state.rel > 0 else state.it - 1
+    return Model(spark, rank, common, state.snapshots[final], state.history, final, state.checkpoints, state.best, root, timings,
+                 dict(state.snapshots))

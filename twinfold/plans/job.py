@@ -50,6 +50,8 @@ def parse_args(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--init", default="random", choices=["random", "lcg", "const"])
     p.add_argument("--seed", type=int, default=0)
     p.add_argument("--checkpoint-every", type=int, default=1)
+    p.add_argument("--work", default=None, help="folder of the factor versions and commits (default: a new one)")
+    p.add_argument("--resume", action="store_true", help="go on from the last iteration committed under --work")
     p.add_argument("--predict", action="store_true", help="write predictions at the validation cells")
     return p.parse_args(argv)
 
@@ -112,7 +114,10 @@ def run(spark: SparkSession, args: argparse.Namespace):
                     storage=args.storage, method=args.method, share_init=args.share_init,
                     keep_versions=args.keep_versions)
     out = args.output.rstrip("/")
-    model = fit(spark, tensors, couplings, cfg, validation=valid, metrics_path=f"{out}/metrics")
+    if args.resume and not args.work:
+        raise SystemExit("--resume needs --work")
+    model = fit(spark, tensors, couplings, cfg, validation=valid, metrics_path=f"{out}/metrics",
+                root=args.work.rstrip("/") if args.work else None, resume=args.resume)
     sinks.save_factor_table(model.factor_table(), f"{out}/factors")
     sinks.export_model_text(model, out)
     for t, (_, _, paths) in sorted(model.best_validation.items()):

@@ -42,6 +42,11 @@ def x2(three: bool = False) -> str:
             f"FROM lineitem GROUP BY {group}")
 
 
+def x3() -> str:
+    return (f"SELECT l_partkey AS i0, CAST(month(l_shipdate) - 1 AS BIGINT) AS i1, CAST(count(*) AS {D}) AS y "
+            f"FROM lineitem GROUP BY 1, 2")
+
+
 HOLDOUT = "((i0 * 7 + i1 * 13) % 10) = 0"
 
 
@@ -506,6 +511,76 @@ def q_fit_one_sweep():
     return _with(_sweeps(1, False), _factors_after(1))
 
 
+def q_fit_three_tensors():
+    """One sweep over X1, X2 and X3 at rank 2, common 1; parts are mode 1, 1 and 0, every other mode is pulled by the two others."""
+    lam = f"CAST({LAM} AS {D})"
+    length = {"00": dim("customer"), "10": dim("supplier"), "21": "12"}
+
+    def pulled(entries: str, key: str, other: str, other_factor: str, own: str) -> str:
+        o = f"f{own}_0"
+        n = f"CAST({length[own]} AS {D})"
+        others = [f"m{k}" for k in length if k != own]
+        ne = (f"SELECT e.{key} AS key, sum(f.v0 * f.v0) AS a00, sum(f.v0 * f.v1) AS a01, sum(f.v1 * f.v1) AS a11, "
+              f"sum(e.y * f.v0) AS b0, sum(e.y * f.v1) AS b1 FROM {entries} e JOIN {other_factor} f ON e.{other} = f.idx GROUP BY 1")
+        b = [f"ne.b{c} + " + " + ".join(f"(p{j}.c{c} - (p.c{c} - o.v{c} / {n})) / {n}" for j in range(2)) for c in range(2)]
+        pull = f"CAST(2 AS {D}) / ({n} * {n})"
+        x = cramer2(f"ne.a00 + {lam} + {pull}", "ne.a01", f"ne.a11 + {lam} + {pull}", *b)
+        return (f"SELECT o.idx, " + ", ".join(f"CASE WHEN ne.key IS NULL THEN o.v{c} ELSE {x[c]} END AS v{c}" for c in range(2))
+                + f" FROM {o} o LEFT JOIN ({ne}) ne ON o.idx = ne.key, m{own} p, {others[0]} p0, {others[1]} p1")
+
+    def side(entries: str, key: str, own: str, other: str, other_factor: str, col: int) -> str:
+        return (f"SELECT e.{key} AS key, sum(g.v{col} * g.v{col}) AS aa, sum((e.y - g.v{1 - col} * h.v{1 - col}) * g.v{col}) AS ab "
+                f"FROM {entries} e JOIN {other_factor} g ON e.{other} = g.idx JOIN {own} h ON e.{key} = h.idx GROUP BY 1")
+
+    def specific(own: str, sums: str) -> str:
+        return f"SELECT o.idx, o.v0, coalesce(s.ab / (s.aa + {lam}), o.v1) AS v1 FROM {own} o LEFT JOIN {sums} s ON o.idx = s.key"
+
+    ctes = [("x1", x1()), ("x2", x2()), ("x3", x3())]
+    for t, dims in enumerate(([dim("customer"), dim("part")], [dim("supplier"), dim("part")], [dim("part"), "12"])):
+        ctes += [(f"f{t}{m}_0", lcg(d, 2, t, m)) for m, d in enumerate(dims)]
+    ctes += [(f"m{k}", f"SELECT avg(v0) AS c0, avg(v1) AS c1 FROM f{k}_0") for k in length]
+    ctes += [("f00_1", pulled("x1", "i0", "i1", "f01_0", "00")),
+             ("c0", side("x1", "i1", "f01_0", "i0", "f00_1", 0)), ("c1", side("x2", "i1", "f11_0", "i0", "f10_0", 0)),
+             ("c2", side("x3", "i0", "f20_0", "i1", "f21_0", 0)),
+             ("sc", "SELECT key, sum(ab) / (sum(aa) + " + lam + ") AS x FROM (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2) "
+                    "GROUP BY key HAVING count(*) > 1")]
+    ctes += [(f"h{t}", f"SELECT o.idx, CASE WHEN c.key IS NULL THEN o.v0 ELSE coalesce(s.x, o.v0) END AS v0, o.v1 FROM f{k}_0 o "
+                       f"LEFT JOIN c{t} c ON o.idx = c.key LEFT JOIN sc s ON o.idx = s.key") for t, k in enumerate(("01", "11", "20"))]
+    ctes += [("s0", side("x1", "i1", "h0", "i0", "f00_1", 1)), ("f01_1", specific("h0", "s0")),
+             ("f10_1", pulled("x2", "i0", "i1", "h1", "10")),
+             ("s1", side("x2", "i1", "h1", "i0", "f10_1", 1)), ("f11_1", specific("h1", "s1")),
+             ("s2", side("x3", "i0", "h2", "i1", "f21_0", 1)), ("f20_1", specific("h2", "s2")),
+             ("f21_1", pulled("x3", "i1", "i0", "f20_1", "21"))]
+    return _with(ctes, _factors_after(1, (0, 1, 2)))
+
+
+def q_fit_resumed():
+    """Two sweeps in one go."""
+    return _with(_sweeps(2, False), _factors_after(2))
+
+
+def q_update_shared_modes():
+    """Equations of every tensor on its part mode, summed over the tensors that see the part (two of them at least)."""
+    rank, common = 3, 2
+    tensors = [(x1(True), X1_DIMS, 1), (x2(), X2_DIMS[:2], 1), (x3(), [dim("part"), "12"], 0)]
+    sides = []
+    for t, (src, dims, mode) in enumerate(tensors):
+        joins = " ".join(f"JOIN ({lcg(d, rank, t, m)}) f{m} ON e.i{m} = f{m}.idx" for m, d in enumerate(dims))
+        others = [m for m in range(len(dims)) if m != mode]
+        design = [" * ".join(f"f{m}.v{c}" for m in others) for c in range(common)]
+        own = " * ".join(f"f{m}.v2" for m in range(len(dims)))
+        sides.append(_ne(src, f"i{mode}", design, f"e.y - {own}", joins, common))
+    names = ["ata_0_0", "ata_0_1", "ata_1_1", "atb_0", "atb_1"]
+    merged = (f"SELECT key, {', '.join(f'sum({n}) AS {n}' for n in names)} FROM ("
+              + " UNION ALL ".join(f"SELECT * FROM s{t}" for t in range(3)) + ") GROUP BY key HAVING count(*) > 1")
+    x0, x1_ = cramer2(_lam("ata_0_0"), "ata_0_1", _lam("ata_1_1"), "atb_0", "atb_1")
+    ctes = [(f"s{t}", q) for t, q in enumerate(sides)] + [("x", f"SELECT key, {x0} AS x0, {x1_} AS x1 FROM ({merged})")]
+    return _with(ctes, " UNION ALL ".join(
+        f"SELECT {t} AS tensor, {mode} AS mode, o.idx, {r('coalesce(x.x0, o.v0)', ROUND_SOLVE)} AS v0, "
+        f"{r('coalesce(x.x1, o.v1)', ROUND_SOLVE)} AS v1, {r('o.v2', ROUND_SOLVE)} AS v2 FROM ({lcg(dims[mode], rank, t, mode)}) o "
+        f"LEFT JOIN s{t} s ON o.idx = s.key LEFT JOIN x ON s.key = x.key" for t, (_, dims, mode) in enumerate(tensors)))
+
+
 def _errors(cells: str, t: int, i: int) -> str:
     """Sum and number of squared errors of tensor t's cells after sweep i."""
     return (f"SELECT sum((e.y - a.v0 * b.v0 - a.v1 * b.v1) * (e.y - a.v0 * b.v0 - a.v1 * b.v1)) AS sse, count(*) AS n "
@@ -625,6 +700,10 @@ ORACLE = {
     "fit_checkpoint": q_fit_checkpoint,
     "fit_predict_validation": q_fit_predict_validation,
     "fit_best_factors": q_fit_best_factors,
+    "fit_three_tensors": q_fit_three_tensors,
+    "fit_resumed": q_fit_resumed,
+    "update_stored": q_update_uncoupled,
+    "update_shared_modes": q_update_shared_modes,
 }
 
 

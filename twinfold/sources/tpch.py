@@ -3,8 +3,9 @@
 * X1: customers x parts, value = total quantity bought
   (``lineitem`` joined to ``orders``).
 * X2: suppliers x parts, value = highest extended price / 1000.
+* X3: parts x ship months, value = number of lines.
 
-Both share the part mode (mode 1). With ``three_mode=True`` each gains the
+X1 and X2 share the part mode (mode 1); in X3 parts are mode 0. With ``three_mode=True`` each gains the
 ship month (0..11) as mode 2. Dimension sizes come from the dimension tables,
 whose keys are dense and 0-based. Training and validation cells are split by a
 fixed hash of the coordinate, so both halves are whole, reproducible tables.
@@ -52,6 +53,11 @@ def x2_entries(spark: SparkSession, sf_dir: str, three_mode: bool = False) -> Da
     return li.groupBy(*keys).agg((F.max("l_extendedprice") / F.lit(1000.0)).alias("y"))
 
 
+def x3_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = [F.col("l_partkey").alias("i0"), (F.month("l_shipdate") - 1).cast("long").alias("i1")]
+    return table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("y"))
+
+
 def holdout(entries: DataFrame) -> DataFrame:
     """Boolean column: the cell belongs to the validation part."""
     return F.pmod(F.col("i0") * F.lit(7) + F.col("i1") * F.lit(13), F.lit(10)) == F.lit(0)
@@ -92,3 +98,12 @@ def coupled_pair(spark: SparkSession, sf_dir: str, three_mode: bool = False,
     tensors = [Tensor(t1, dims1, "x1"), Tensor(t2, dims2, "x2")]
     valid = [Tensor(v1, dims1, "x1_valid"), Tensor(v2, dims2, "x2_valid")]
     return tensors, valid, coupling
+
+
+def coupled_three(spark: SparkSession, sf_dir: str, three_mode: bool = False) -> tuple[list[Tensor], list[Coupling]]:
+    """X1, X2 and X3, chained by their part modes at positions 1, 1 and 0 (with ``three_mode`` X1 has three modes, the others two)."""
+    d = dims_of(spark, sf_dir)
+    tensors = [Tensor(x1_entries(spark, sf_dir, three_mode), (d["customer"], d["part"]) + (SHIP_MONTHS,) * three_mode, "x1"),
+               Tensor(x2_entries(spark, sf_dir), (d["supplier"], d["part"]), "x2"),
+               Tensor(x3_entries(spark, sf_dir), (d["part"], SHIP_MONTHS), "x3")]
+    return tensors, [Coupling(0, 1, 1, 1, 0), Coupling(1, 1, 2, 0, 1)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -73,6 +74,17 @@ class Stop:
         if not (self.min_rel_decrease or self.max_iter or self.max_hours):
             raise ValueError("set at least one stopping condition")
 
+    def reached(self, it: int, seconds: float, rel: float) -> bool:
+        """Whether the fit ends at iteration ``it``, after ``seconds``, with a relative decrease ``rel`` of the loss (M9).
+
+        A decrease that is not finite (a loss that is NaN or infinite) ends it like one that is too small.
+        """
+        if self.min_rel_decrease and not (math.isfinite(rel) and rel >= self.min_rel_decrease):
+            return True
+        if self.max_hours and seconds / 3600.0 > self.max_hours:
+            return True
+        return bool(self.max_iter and it >= self.max_iter)
+
     @staticmethod
     def parse(text: str) -> Stop:
         """``"0_1e-4_1_50_2_3"``: code 0 = min relative decrease, 1 = max iterations, 2 = max hours."""
