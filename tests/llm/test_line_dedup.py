@@ -23,11 +23,12 @@ def brute(rows, min_words=5):
             continue
         keep = []
         for line in text.split("\n"):
-            w = line.strip(" ").split(" ")
-            if len(w) < min_words or line.strip(" ") == "":
+            clean = line.strip(" \t\r\x0b\x0c")
+            w = clean.split(" ")
+            if clean == "":
                 keep.append(line)
                 continue
-            if not any(distance_one(w, e) for e in earlier):
+            if w not in earlier and not (len(w) >= min_words and any(distance_one(w, e) for e in earlier if len(e) >= min_words)):
                 keep.append(line)
             earlier.append(w)
         out[i] = (d, "\n".join(keep), len(text.split("\n")), len(text.split("\n")) - len(keep))
@@ -63,6 +64,13 @@ def test_matches_brute_force(spark):
         assert got(spark, rows) == brute(rows)
 
 
+def test_short_lines_other_scripts_and_line_ends(spark):
+    rows = [(1, "a b c d e\nLes.\n这是一个没有空格的很长的句子\nx\ty\n \t\nhttp://example.org/a"),
+            (2, "a b X d e\r\n\tLes.\r\n这是一个没有空格的很长的句子\nx\ty \n\x0b\x0c\nLes\nhttp://example.org/a\f"), (3, "a b c d\na b c\na b c d")]
+    assert got(spark, rows) == brute(rows)
+    assert {r[0]: r[3] for r in got(spark, rows)} == {1: 0, 2: 5, 3: 1}
+
+
 def test_shuffle_joins_give_the_same(spark):
     rows = corpus(3)
     assert got(spark, rows, max_broadcast=0) == brute(rows)

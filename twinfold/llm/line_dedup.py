@@ -1,9 +1,10 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame functions only.
 
-A line is judged by its words: the pieces between single spaces of the line without the spaces at its ends. Lines of fewer
-than ``min_words`` words are kept. Of all others a line goes if an earlier line (by doc_id, then position)
-has the same words or words that one edit turns into the line's: one word replaced, inserted or left out. With
-five words or more, lines that are one edit apart agree in four fifths of their words at least.
+A line counts without the blanks at its ends (space, tab, carriage return, vertical tab, form feed). A line that is blank
+then stays. Any other goes if an earlier line (by doc_id, then position) is the same, however short; a line of at least
+``min_words`` words (pieces between single spaces) also goes if an earlier one of as many words at least turns into it by
+one edit: one word replaced, inserted or left out. With five words or more, lines that are one edit apart agree in four
+fifths of their words at least.
 
 1. Equal lines fall into one class; its first occurrence stands for it.
 2. *Halves.* One edit leaves the first or the last half of a line alone. Lines hash a beginning and an end of about half their
@@ -32,8 +33,11 @@ MAX_BROADCAST = 1_000_000
 _ORDER = ("rank", "row_id", "line_no")
 
 
+_BLANKS = " \t\r\x0b\f"
+
+
 def _clean(line: Column) -> Column:
-    return F.trim(line)
+    return F.btrim(line, F.lit(_BLANKS))
 
 
 def _count(clean: Column) -> Column:
@@ -47,11 +51,11 @@ def _once(*parts: Column) -> Column:
     return F.explode(F.array(F.struct(*parts))).alias("split")
 
 
-def _lines(rows: DataFrame, min_words: int) -> DataFrame:
-    """``rank, row_id, line_no, line, n`` of the judged lines."""
+def _lines(rows: DataFrame) -> DataFrame:
+    """``rank, row_id, line_no, line, n`` of the lines that are not blank."""
     each = rows.select("rank", "row_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     return (each.select("rank", "row_id", "line_no", _clean(F.col("raw")).alias("line"))
-            .withColumn("n", _count(F.col("line"))).where(F.col("n") >= min_words))
+            .withColumn("n", _count(F.col("line"))).where("n > 0"))
 
 
 def _ladder(n: str) -> str:
@@ -102,12 +106,12 @@ def _fetch(rows: DataFrame, places: DataFrame, max_broadcast: int) -> DataFrame:
     found = rows.select("rank", "row_id", "text").join(wanted, "row_id")
     found = found.select("rank", "row_id", "wanted", _once(F.split("text", "\n").alias("lines"))).select(
         "rank", "row_id", F.explode(F.expr(
-            "transform(wanted, w -> struct(w.line_no, w.begins, w.ends, trim(split.lines[w.line_no]) AS line))")).alias("w"))
+            f"transform(wanted, w -> struct(w.line_no, w.begins, w.ends, btrim(split.lines[w.line_no], '{_BLANKS}') AS line))")).alias("w"))
     found = found.select("rank", "row_id", "w.*").withColumn("n", _count(F.col("line")))
     return found.withColumn("half", F.expr(f"least({_ladder('n')}, {_ladder('(n - 1)')})"))
 
 
-def _near(spark: SparkSession, table: DataFrame, rows: DataFrame, min_words: int, max_broadcast: int) -> DataFrame:
+def _near(spark: SparkSession, table: DataFrame, rows: DataFrame, max_broadcast: int) -> DataFrame:
     """``rank, row_id, line_no`` of first occurrences that an earlier line comes within one edit of."""
     order = F.struct(*_ORDER)
     keys = table.select("k1", F.explode("halves").alias("half"))
@@ -161,14 +165,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     text, number = low.index(text_col.lower()), low.index(id_col.lower())
     numbered = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("text", F.col(f"c{text}").cast("string"))
     rows = number_rows(spark, numbered.drop(f"c{text}"), f"c{number}")
-    judged = _lines(rows, min_words)
-    table = cut(spark, judged.select(*_ORDER, *_identity(), _halves().alias("halves")), "occurrences")
+    halves = F.when(F.col("n") >= min_words, _halves()).otherwise(F.array().cast("array<bigint>"))
+    table = cut(spark, _lines(rows).select(*_ORDER, *_identity(), halves.alias("halves")), "occurrences")
     firsts = cut(spark, table.groupBy("k1", "k2").agg(F.min(F.struct(*_ORDER)).alias("first")).select("first.*"), "firsts")
-    near = broadcast_if_small(cut(spark, _near(spark, table, rows, min_words, max_broadcast), "near"), max_broadcast)
+    near = broadcast_if_small(cut(spark, _near(spark, table, rows, max_broadcast), "near"), max_broadcast)
     kept = firsts.join(near, list(_ORDER), "left_anti").groupBy("row_id").agg(F.collect_list("line_no").alias("stay"))
-    short = F.transform(F.split("text", "\n"), lambda x: _count(_clean(x)) < min_words)
-    joined = rows.join(kept, "row_id", "left").select("*", _once(F.split("text", "\n").alias("lines"), short.alias("short")))
-    unjudged = F.expr("CASE WHEN size(split.lines) > 0 THEN filter(sequence(0, size(split.lines) - 1), i -> split.short[i]) "
+    blank = F.transform(F.split("text", "\n"), lambda x: _clean(x) == "")
+    joined = rows.join(kept, "row_id", "left").select("*", _once(F.split("text", "\n").alias("lines"), blank.alias("blank")))
+    unjudged = F.expr("CASE WHEN size(split.lines) > 0 THEN filter(sequence(0, size(split.lines) - 1), i -> split.blank[i]) "
                       "ELSE CAST(array() AS array<int>) END")
     joined = joined.withColumn("at", F.sort_array(F.concat(unjudged, F.coalesce("stay", F.array().cast("array<int>")))))
     new = F.when(F.col("text").isNotNull(), F.array_join(F.expr("transform(at, i -> split.lines[i])"), "\n"))

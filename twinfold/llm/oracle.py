@@ -53,17 +53,18 @@ FROM d LEFT JOIN sums s ON d.doc_id = s.doc_id LEFT JOIN kept k ON d.doc_id = k.
 OP8 = """
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos
                FROM documents WHERE text IS NOT NULL),
-cut AS (SELECT doc_id, pos, line, trim(line) AS t, string_split(trim(line), ' ') AS w FROM lines),
-judged AS (SELECT * FROM cut WHERE len(w) >= 5),
+cut AS (SELECT doc_id, pos, line, t, string_split(t, ' ') AS w
+        FROM (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS t FROM lines)),
+judged AS (SELECT * FROM cut WHERE t <> ''),
 firsts AS (SELECT t, any_value(w) AS w, min(row(doc_id, pos)) AS o FROM judged GROUP BY t),
 variants AS (SELECT t, o, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS rest, len(w) AS n
-             FROM (SELECT t, o, w, unnest(range(1, len(w) + 1)) AS i FROM firsts)),
+             FROM (SELECT t, o, w, unnest(range(1, len(w) + 1)) AS i FROM firsts WHERE len(w) >= 5)),
 replaced AS (SELECT t FROM (SELECT t, o, min(o) OVER (PARTITION BY n, i, rest) AS least FROM variants) WHERE least < o),
 inserted AS (SELECT CASE WHEN f.o < v.o THEN v.t ELSE f.t END AS t
-             FROM variants v JOIN firsts f ON v.rest = f.t AND v.n = len(f.w) + 1),
+             FROM variants v JOIN firsts f ON v.rest = f.t AND v.n = len(f.w) + 1 AND len(f.w) >= 5),
 near AS (SELECT t FROM replaced UNION SELECT t FROM inserted),
 stay AS (SELECT c.doc_id, c.pos, c.line FROM cut c LEFT JOIN firsts f ON c.t = f.t
-         WHERE len(c.w) < 5 OR (row(c.doc_id, c.pos) = f.o AND c.t NOT IN (SELECT t FROM near))),
+         WHERE c.t = '' OR (row(c.doc_id, c.pos) = f.o AND c.t NOT IN (SELECT t FROM near))),
 kept AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS text FROM stay GROUP BY doc_id),
 total AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id)
 SELECT d.doc_id, coalesce(t.n, 0) AS n_lines, coalesce(t.n, 0) - coalesce(k.n, 0) AS n_removed,

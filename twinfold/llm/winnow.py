@@ -20,8 +20,9 @@ from pyspark.sql import types as T
 from twinfold.llm.neighbours import with_next
 from twinfold.llm.textblocks import Block, RangeHash, map_text, sliding_min, text_blocks
 
-K = 24
-WINDOW = 64
+#: A shared passage of K + WINDOW - 1 = 27 code points is certain to give two texts a common hash.
+K = 12
+WINDOW = 16
 _PIECE = 1 << 19
 _SLOT_BITS = 20
 _BYTES = RangeHash(301)
