@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinfold.functions.columns import cp_sum, index_columns, vector_columns
@@ -104,3 +104,43 @@ def denormalise(df: DataFrame, breaks: Sequence[tuple[int, float]], otherwise: f
         scale = F.when(cond, F.lit(float(factor))) if scale is None else scale.when(cond, F.lit(float(factor)))
     scale = F.lit(float(otherwise)) if scale is None else scale.otherwise(F.lit(float(otherwise)))
     return df.withColumn(out or value, F.col(value) * scale)
+
+
+def disjoint_ranges(ranges: DataFrame, dim: int) -> tuple[DataFrame, int, int]:
+    """``bin, lo, hi, scale``: ranges over ``[0, dim)`` that do not overlap, cut at the borders of equal bins; the bins' width and number.
+
+    ``ranges``: ``lo`` (inclusive; null: from 0), ``hi`` (exclusive; null: to the end) and ``scale``. Where ranges overlap, the one
+    with the smallest ``hi`` holds, as in a chain of ascending upper bounds (then the smallest ``lo``, then the smallest
+    scale). Empty ranges and ranges without a scale hold nothing. There are as many bins as ranges; the work is the sum of
+    the squares of the ranges in a bin, so little unless most ranges lie in a small part of the domain.
+    """
+    whole = ranges.select(F.greatest(F.coalesce(F.col("lo").cast("long"), F.lit(0)), F.lit(0)).alias("lo"),
+                          F.least(F.coalesce(F.col("hi").cast("long"), F.lit(int(dim))), F.lit(int(dim))).alias("hi"),
+                          F.col("scale").cast("double").alias("scale")).where("lo < hi AND scale IS NOT NULL")
+    n = max(1, whole.count())
+    width = max(1, -(-int(dim) // n))
+    spread = whole.select("lo", "hi", "scale", F.explode(F.expr(f"sequence(lo div {width}, (hi - 1) div {width})")).alias("bin"))
+    spread = spread.selectExpr("*", f"greatest(lo, bin * {width}) AS a", f"least(hi, (bin + 1) * {width}) AS b")
+    cuts = spread.select("bin", F.explode(F.array("a", "b")).alias("at")).distinct()
+    pieces = cuts.withColumn("next", F.lead("at").over(Window.partitionBy("bin").orderBy("at"))).where("next IS NOT NULL")
+    held = pieces.join(spread, "bin").where("a <= at AND at < b").groupBy("bin", "at", "next").agg(
+        F.min(F.struct("hi", "lo", "scale")).alias("first"))
+    return held.select("bin", F.col("at").alias("lo"), F.col("next").alias("hi"), "first.scale"), width, n
+
+
+def rescale(df: DataFrame, ranges: DataFrame, dim: int, mode: int = 1, value: str = "yhat", out: str | None = None,
+            otherwise: float = 1.0, max_broadcast: int = 100_000) -> DataFrame:
+    """Range join (J6): ``value`` times the scale of the range of ``ranges`` that holds ``i{mode}``.
+
+    An index in a gap, outside ``[0, dim)`` or null takes ``otherwise``. Overlaps are settled by :func:`disjoint_ranges`. The join is
+    on the bin, so every row compares with the few ranges of its own bin. The ranges are broadcast if there are at most
+    ``max_broadcast`` of them in all bins; otherwise both sides are shuffled by bin, and hot bins are split by the
+    adaptive skew join.
+    """
+    flat, width, _ = disjoint_ranges(ranges, dim)
+    held = flat.select(F.col("bin").alias("_bin"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("scale").alias("_scale"))
+    held = F.broadcast(held) if held.limit(max_broadcast + 1).count() <= max_broadcast else held
+    at = F.col(f"i{mode}")
+    joined = df.join(held, (F.expr(f"i{mode} div {width}") == F.col("_bin")) & (at >= F.col("_lo")) & (at < F.col("_hi")), "left")
+    scaled = joined.withColumn(out or value, F.col(value) * F.coalesce("_scale", F.lit(float(otherwise))))
+    return scaled.drop("_bin", "_lo", "_hi", "_scale")

@@ -55,12 +55,33 @@ def coupled_slices(a: Tensor, mode_a: int, b: Tensor, mode_b: int) -> DataFrame:
     return sa.join(sb, "key", "inner")
 
 
-def validate(tensor: Tensor) -> DataFrame:
+def coupled_entries(a: Tensor, mode_a: int, b: Tensor, mode_b: int, page: int = 10_000) -> DataFrame:
+    """Coupled slices with their entries (J2): ``key, page, entries_a, entries_b`` for keys seen in both tensors.
+
+    Both slices of a key come in pages (:func:`group_by_mode`), and page p of one side meets page p of the other: a key has
+    as many rows as its longer slice has pages, every entry is in one of them, and no row holds more than about ``page``
+    entries of a side, however hot the key. Where a side has no page of that number its list is empty.
+    """
+    keys = coupled_slices(a, mode_a, b, mode_b).select("key")
+    left = group_by_mode(a, mode_a, page).select("key", "page", F.col("entries").alias("entries_a"))
+    right = group_by_mode(b, mode_b, page).select("key", "page", F.col("entries").alias("entries_b"))
+    both = left.join(right, ["key", "page"], "full").join(keys, "key", "left_semi")
+    empty = F.array()
+    return both.select("key", "page", F.coalesce("entries_a", empty.cast(left.schema["entries_a"].dataType)).alias("entries_a"),
+                       F.coalesce("entries_b", empty.cast(right.schema["entries_b"].dataType)).alias("entries_b"))
+
+
+def validate(tensor: Tensor, max_broadcast: int = 1_000_000) -> DataFrame:
     """Rows that break the data model (P8): ``i0.., y, issue``.
 
     Issues: ``null_index``, ``out_of_range`` (index outside ``[0, dim)``),
     ``bad_value`` (null, NaN or infinite y), ``duplicate`` (coordinate seen
-    more than once; each copy is reported, duplicates are still legal input).
+    more than once; each copy is reported, duplicates are still legal input; coordinates with a null are not compared).
+
+    Duplicates are found by counting 64-bit hashes of the coordinates, combined before the one narrow shuffle, so a
+    coordinate with any number of copies is one row per task. Only entries whose hash occurs twice are looked at again: they are
+    picked by a broadcast of those hashes (at most ``max_broadcast``; beyond, by a shuffle join that splits hot hashes), and
+    their coordinates are counted exactly.
     """
     idx = index_columns(tensor.n_modes)
     e = tensor.entries
@@ -76,8 +97,15 @@ def validate(tensor: Tensor) -> DataFrame:
         .when(bad_y, F.lit("bad_value"))
     )
     flagged = e.select(*idx, "y", row_issue.alias("issue")).where(F.col("issue").isNotNull())
-    dup_keys = e.groupBy(*idx).agg(F.count(F.lit(1)).alias("_copies")).where(F.col("_copies") > 1)
-    dups = e.join(dup_keys, idx, "inner").select(*idx, "y", F.lit("duplicate").alias("issue"))
+
+    def few(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if table.limit(max_broadcast + 1).count() <= max_broadcast else table
+
+    hashed = e.where(~null_idx).select(*idx, "y", F.xxhash64(*idx).alias("_hash"))
+    again = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash")
+    suspects = hashed.join(few(again), "_hash", "left_semi")
+    dup_keys = suspects.groupBy(*idx).agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1").select(*idx)
+    dups = suspects.join(few(dup_keys), idx, "left_semi").select(*idx, "y", F.lit("duplicate").alias("issue"))
     return flagged.unionByName(dups)
 
 

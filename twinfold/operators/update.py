@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.functions.columns import cell_names, rhs_names
-from twinfold.operators.gram import GRAM_MIN_K, merge_and_solve, partial_grams
+from twinfold.operators.gram import GRAM_MIN_K, PIECE, merge_and_solve, partial_grams, partial_pieces
 from twinfold.operators.normal import add_mean_pull, observations
 from twinfold.operators.solve import solve_column
 from twinfold.spec import Options, Tensor
@@ -87,8 +87,17 @@ def use_gram(k: int, method: str) -> bool:
 
 
 def _partials(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], mode: int,
-              block: Sequence[int], rank: int, heavy: Mapping[int, DataFrame] | None, side: int = 0) -> DataFrame:
-    return partial_grams(observations(spark, tensor, factors, mode, block, rank, heavy=heavy), len(block), side)
+              block: Sequence[int], rank: int, heavy: Mapping[int, DataFrame] | None, side: int = 0, n_sides: int = 1,
+              weight: float = 1.0, piece: int | None = None) -> DataFrame:
+    obs = observations(spark, tensor, factors, mode, block, rank, heavy=heavy)
+    if piece is not None:
+        return partial_pieces(obs, len(block), side, n_sides, weight, piece)
+    return partial_grams(obs, len(block), side)
+
+
+def _piece(k: int, piece: int | None) -> int | None:
+    """Cells of a piece if rows of ``k`` columns travel in pieces (always, if ``piece`` is given)."""
+    return piece if piece is not None else PIECE if k * (k + 1) // 2 + k + 1 > PIECE else None
 
 
 def _row(label: str, rank: int) -> str:
@@ -121,7 +130,8 @@ def _solved_row(label: str, k: int, start: int, rank: int) -> str:
 def update_uncoupled(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], mode: int,
                      rank: int, options: Options, n_entries: int, own_means: Sequence[float] | None = None,
                      other_means: Sequence[float] | None = None, method: str = "auto",
-                     heavy: Mapping[int, DataFrame] | None = None, with_error: bool = False, pulls: int = 1) -> DataFrame:
+                     heavy: Mapping[int, DataFrame] | None = None, with_error: bool = False, pulls: int = 1,
+                     piece: int | None = None) -> DataFrame:
     """Update an uncoupled mode, full rank, with the mean pull (M4).
 
     Without means (a single tensor) the mean pull is left out. With ``pulls`` other factors, ``other_means`` is the average
@@ -134,9 +144,9 @@ def update_uncoupled(spark: SparkSession, tensor: Tensor, factors: Mapping[int,
         if own_means is not None and other_means is not None:
             pull = (float(tensor.dims[mode]), list(own_means), list(other_means),
                     pulls / rank if options.loss == "wls" else float(pulls))
-        return merge_and_solve([_partials(spark, tensor, factors, mode, list(range(rank)), rank, heavy)],
-                               [factors[mode]], rank, rank, 0, options.lam, [entry_weight(options, n_entries)], pull,
-                               with_error=with_error)
+        weight, cells = entry_weight(options, n_entries), _piece(rank, piece)
+        return merge_and_solve([_partials(spark, tensor, factors, mode, list(range(rank)), rank, heavy, weight=weight, piece=cells)],
+                               [factors[mode]], rank, rank, 0, options.lam, [weight], pull, with_error=with_error, piece=cells)
     obs = observations(spark, tensor, factors, mode, list(range(rank)), rank, heavy=heavy)
     eq = _equations_with_rows([(obs, entry_weight(options, n_entries))], [("old", factors[mode])], rank, rank)
     if with_error:
@@ -153,16 +163,17 @@ def update_uncoupled(spark: SparkSession, tensor: Tensor, factors: Mapping[int,
 
 def update_specific(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], mode: int,
                     rank: int, common: int, options: Options, n_entries: int, method: str = "auto",
-                    heavy: Mapping[int, DataFrame] | None = None, with_error: bool = False) -> DataFrame:
+                    heavy: Mapping[int, DataFrame] | None = None, with_error: bool = False,
+                    piece: int | None = None) -> DataFrame:
     """Update the specific block ``[common, rank)`` of a coupled mode (M5); ``with_error`` as in M4."""
     if not 0 <= common < rank:
         raise ValueError("the specific block is empty")
     block = list(range(common, rank))
     k = len(block)
     if use_gram(k, method):
-        return merge_and_solve([_partials(spark, tensor, factors, mode, block, rank, heavy)], [factors[mode]],
-                               k, rank, common, options.lam, [entry_weight(options, n_entries)],
-                               with_error=with_error)
+        weight, cells = entry_weight(options, n_entries), _piece(k, piece)
+        return merge_and_solve([_partials(spark, tensor, factors, mode, block, rank, heavy, weight=weight, piece=cells)], [factors[mode]],
+                               k, rank, common, options.lam, [weight], with_error=with_error, piece=cells)
     obs = observations(spark, tensor, factors, mode, block, rank, heavy=heavy)
     eq = _equations_with_rows([(obs, entry_weight(options, n_entries))], [("old", factors[mode])], k, rank)
     eq = eq.withColumn("_x", solve_column(k, options.lam, due="n_0 > 0"))
@@ -183,7 +194,7 @@ class Side(NamedTuple):
 
 
 def update_shared(spark: SparkSession, sides: Sequence[Side], rank: int, common: int, options: Options,
-                  method: str = "auto") -> DataFrame:
+                  method: str = "auto", piece: int | None = None) -> DataFrame:
     """Update the shared block ``[0, common)`` of all coupled factors at once (M6).
 
     ``sides`` are two or more tensors, of any mode counts, each coupled by a mode at any position. The equations of all
@@ -198,9 +209,11 @@ def update_shared(spark: SparkSession, sides: Sequence[Side], rank: int, common:
     block = list(range(common))
     weights = [entry_weight(options, s.n_entries) for s in sides]
     if use_gram(common, method):
-        partials = [_partials(spark, s.tensor, s.factors, s.mode, block, rank, s.heavy, i) for i, s in enumerate(sides)]
+        cells = _piece(common, piece)
+        partials = [_partials(spark, s.tensor, s.factors, s.mode, block, rank, s.heavy, i, len(sides), weights[i], cells)
+                    for i, s in enumerate(sides)]
         return merge_and_solve(partials, [s.factors[s.mode] for s in sides], common, rank, 0, options.lam, weights, None,
-                               [s.label for s in sides])
+                               [s.label for s in sides], piece=cells)
     obs = [observations(spark, s.tensor, s.factors, s.mode, block, rank, heavy=s.heavy) for s in sides]
     names = [f"v{i}" for i in range(len(sides))]
     eq = _equations_with_rows(list(zip(obs, weights)), [(n, s.factors[s.mode]) for n, s in zip(names, sides)], common, rank)

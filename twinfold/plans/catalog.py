@@ -12,11 +12,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinfold.operators import factors as fo
-from twinfold.operators import normal, predict, solve, tensor, update
+from twinfold.operators import normal, predict, solve, stopping, tensor, update
 from twinfold.operators.factors import init_factor
 from twinfold.session import run_dir
 from twinfold.sources import sinks, tables, text, tpch
@@ -142,6 +142,13 @@ def q_coupled_slices(spark, sf):
     return tensor.coupled_slices(x1(spark, sf), 1, x2(spark, sf), 1)
 
 
+def q_coupled_entries(spark, sf):
+    """The entries of both sides of every part that X1 and X2 share, from their pages."""
+    pages = tensor.coupled_entries(x1(spark, sf), 1, x2(spark, sf), 1, page=16)
+    sides = [pages.select("key", F.lit(i).alias("side"), F.explode(f"entries_{s}").alias("e")) for i, s in enumerate("ab")]
+    return sides[0].unionByName(sides[1]).select("key", "side", "e.i0", "e.i1", "e.y")
+
+
 def q_validate_x2_raw(spark, sf):
     li = tpch.table(spark, sf, "lineitem")
     d = dims(spark, sf)
@@ -299,6 +306,18 @@ def q_denormalise_x1(spark, sf):
     return s.select("i0", "i1", _r(F.col("yhat_scaled"), 4).alias("yhat_scaled"))
 
 
+def q_rescale_ranges(spark, sf):
+    """J6 with ranges read from a table: two families of part ranges that leave gaps and overlap."""
+    part = tpch.table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("p"), "p_retailprice")
+    families = [part.groupBy(F.expr(f"p div {size}").alias("g")).agg(
+        (F.min("p") + low).alias("lo"), (F.max("p") + high).alias("hi"), _r(F.avg("p_retailprice") / F.lit(100.0), 6).alias("scale"))
+        for size, low, high in ((157, 0, -20), (400, 5, 31))]
+    t = x1(spark, sf)
+    p = predict.predict(spark, t, lcg_factors(spark, t, 0, RANK), RANK)
+    s = predict.rescale(p, families[0].unionByName(families[1]), t.dims[1], out="yhat_scaled")
+    return s.select("i0", "i1", _r(F.col("yhat_scaled"), 4).alias("yhat_scaled"))
+
+
 # -- normal equations, solve, updates ----------------------------------------------------
 
 def q_prediction_sink(spark, sf):
@@ -370,9 +389,9 @@ def _salted(spark, sf):
     return {m: fo.heavy_indices(t.entries, m, rows=20) for m in range(2)}
 
 
-def _specific(spark, sf, method="auto", heavy=None):
+def _specific(spark, sf, method="auto", heavy=None, piece=None):
     a = x1(spark, sf)
-    return update.update_specific(spark, a, lcg_factors(spark, a, 0, 3), 1, 3, 1, Options(LAM, "ls"), 0, method, heavy)
+    return update.update_specific(spark, a, lcg_factors(spark, a, 0, 3), 1, 3, 1, Options(LAM, "ls"), 0, method, heavy, piece=piece)
 
 
 def q_update_specific(spark, sf):
@@ -383,6 +402,18 @@ def q_update_specific_gram(spark, sf):
     return _flat(_specific(spark, sf, "gram"), 3)
 
 
+def q_update_specific_pieces(spark, sf):
+    """M5 with the summed rows in pieces of two cells."""
+    return _flat(_specific(spark, sf, "gram", piece=2), 3)
+
+
+def q_update_shared_pieces(spark, sf):
+    """M6 of X1 and X2 with the summed rows in pieces of two cells."""
+    sides = [update.Side(t, lcg_factors(spark, t, i, 3), 1, 0, (i, 1)) for i, t in enumerate((x1(spark, sf), x2(spark, sf)))]
+    both = update.update_shared(spark, sides, 3, 2, Options(LAM, "ls"), method="gram", piece=2)
+    return both.select("idx", *[_r(F.col("v")[c], ROUND_SOLVE).alias(f"v{c}") for c in range(3)], "tensor")
+
+
 def q_update_specific_shuffle(spark, sf):
     return _without_broadcast(spark, lambda: _flat(_specific(spark, sf, "gram", _salted(spark, sf)), 3))
 
@@ -556,6 +587,69 @@ def q_fit_best_factors(spark, sf):
     return _factor_rows(model.best_factor_table(0).unionByName(model.best_factor_table(1)))
 
 
+# -- logs, readers, job ----------------------------------------------------------------------
+
+def _loss_log(spark, sf):
+    """Losses of 40 runs from the orders: rises, equal steps, NaN and infinite values among them."""
+    orders = tpch.table(spark, sf, "orders").selectExpr("o_orderkey AS k", "o_custkey % 40 AS run", "CAST(o_totalprice AS DOUBLE) AS price")
+    each = Window.partitionBy("run").orderBy("k")
+    loss = (F.when(F.col("k") % 61 == 0, F.lit(float("nan"))).when(F.col("k") % 67 == 0, F.lit(float("inf")))
+            .otherwise(F.floor(F.col("price") / 50000) * 1.0 + 400000.0 / F.col("iter")))
+    return (orders.withColumn("iter", F.row_number().over(each)).withColumn("loss", loss)
+            .selectExpr("run", "iter - 1 AS iter", "(iter - 1) * 90D + run AS seconds", "loss"))
+
+
+def q_stopping_verdicts(spark, sf):
+    """M9 over a log of many runs: small decreases, rises, NaN, hours and iterations."""
+    found = stopping.verdicts(_loss_log(spark, sf), Stop(min_rel_decrease=1e-3, max_iter=60, max_hours=1.0), by=["run"])
+    return found.select("run", "iter", _r(F.col("rel"), ROUND_MEAN).alias("rel"), "reason", "stopped", "final")
+
+
+def q_best_iterations(spark, sf):
+    """M11 over the same log: the best iteration so far, and its age."""
+    return stopping.best_iterations(_loss_log(spark, sf), by=["run"]).select("run", "iter", "best", "lag")
+
+
+def q_validation_scan(spark, sf):
+    """The held-out cells of X1 and X2 written as tab text and read with the validation reader."""
+    path = run_dir(spark, "validation")
+    tensors = (x1(spark, sf), x2(spark, sf))
+    for i, t in enumerate(tensors):
+        text.write_entries(tpch.split(t.entries)[1], f"{path}/{i}", 2)
+    read = text.read_validation(spark, [f"{path}/{i}" for i in range(2)], [t.dims for t in tensors])
+    return read[0].entries.withColumn("tensor", F.lit(0)).unionByName(read[1].entries.withColumn("tensor", F.lit(1)))
+
+
+def q_coupling_lookup(spark, sf):
+    """A coupling map with a line per nation, written, read and looked up in both directions."""
+    path = run_dir(spark, "map")
+    nation = tpch.table(spark, sf, "nation")
+    lines = nation.selectExpr("n_nationkey AS k", "concat(n_nationkey, '_', n_regionkey) AS l", "concat(n_nationkey + 1, '_', n_nationkey % 3) AS r")
+    lines.coalesce(1).sortWithinPartitions("k").select("l", "r").write.option("sep", "\t").csv(path)
+    return text.coupling_lookup(text.read_coupling(spark, path))
+
+
+def q_job_factors(spark, sf):
+    """The job over tab files of X1, X2 and their map, in three partitions a mode; its factor files read back."""
+    from twinfold.plans import job
+    path = run_dir(spark, "job")
+    tensors = (x1(spark, sf), x2(spark, sf))
+    for i, t in enumerate(tensors):
+        text.write_entries(t.entries, f"{path}/x{i}", 2)
+    tpch.table(spark, sf, "region").where("r_regionkey = 0").selectExpr("'0_1' AS l", "'1_1' AS r").coalesce(1).write.option(
+        "sep", "\t").csv(f"{path}/map")
+    args = [a for i, t in enumerate(tensors) for a in ("--tensor", f"{path}/x{i}:{'_'.join(map(str, t.dims))}")]
+    args += ["--coupling", f"{path}/map", "--rank", "2", "--common", "1", "--optimizer", f"CF_{LAM}_LS", "--stop", "1_1",
+             "--init", "lcg", "--split", "3", "--output", f"{path}/out"]
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        job.run(spark, job.parse_args(args))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    back = spark.read.schema("idx long, v array<double>, tensor int, mode int").parquet(f"{path}/out/factors")
+    return _factor_rows(back)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tensor_x1": q_tensor_x1,
     "tensor_x2": q_tensor_x2,
@@ -615,6 +709,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "validation_log": q_validation_log,
     "fit_checkpoint": q_fit_checkpoint,
     "fit_three_tensors": q_fit_three_tensors,
+    "coupled_entries": q_coupled_entries,
+    "rescale_ranges": q_rescale_ranges,
+    "update_specific_pieces": q_update_specific_pieces,
+    "update_shared_pieces": q_update_shared_pieces,
+    "stopping_verdicts": q_stopping_verdicts,
+    "best_iterations": q_best_iterations,
+    "validation_scan": q_validation_scan,
+    "coupling_lookup": q_coupling_lookup,
+    "job_factors": q_job_factors,
     "fit_resumed": q_fit_resumed,
     "update_stored": q_update_stored,
     "update_shared_modes": q_update_shared_modes,

@@ -554,6 +554,56 @@ def q_fit_three_tensors():
     return _with(ctes, _factors_after(1, (0, 1, 2)))
 
 
+def q_coupled_entries():
+    shared = "key IN (SELECT i1 FROM a) AND key IN (SELECT i1 FROM b)"
+    return _with([("a", x1()), ("b", x2())], f"SELECT * FROM (SELECT i1 AS key, 0 AS side, i0, i1, y FROM a UNION ALL "
+                 f"SELECT i1 AS key, 1 AS side, i0, i1, y FROM b) WHERE {shared}")
+
+
+def q_rescale_ranges():
+    families = " UNION ALL ".join(
+        f"SELECT min(p_partkey) + {low} AS lo, max(p_partkey) + {high} AS hi, round(avg(p_retailprice) / CAST(100 AS {D}), 6) AS scale "
+        f"FROM part GROUP BY p_partkey // {size}" for size, low, high in ((157, 0, -20), (400, 5, 31)))
+    return _with([("ranges", families), ("p", _pred(x1(), X1_DIMS, 0))],
+                 f"SELECT p.i0, p.i1, {r('p.yhat * coalesce((SELECT g.scale FROM ranges g WHERE g.lo <= p.i1 AND p.i1 < g.hi ORDER BY g.hi, g.lo, g.scale LIMIT 1), 1)', 4)}"
+                 f" AS yhat_scaled FROM p")
+
+
+LOSS_LOG = (f"SELECT run, i - 1 AS iter, (i - 1) * CAST(90 AS {D}) + run AS seconds, CASE WHEN k % 61 = 0 THEN 'NaN'::{D} "
+            f"WHEN k % 67 = 0 THEN 'Infinity'::{D} ELSE floor(price / CAST(50000 AS {D})) + CAST(400000 AS {D}) / i END AS loss "
+            f"FROM (SELECT o_orderkey AS k, o_custkey % 40 AS run, CAST(o_totalprice AS {D}) AS price, "
+            f"row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) AS i FROM orders)")
+
+
+def q_stopping_verdicts():
+    big = f"CAST(1e80 AS {D})"
+    ctes = [("log", LOSS_LOG),
+            ("steps", f"SELECT *, lag(loss, 1, {big}) OVER (PARTITION BY run ORDER BY iter) AS prev, "
+                      f"lag(iter) OVER (PARTITION BY run ORDER BY iter) AS prior FROM log"),
+            ("rated", "SELECT *, CASE WHEN isfinite(loss) AND isfinite(prev) AND prev <> 0 THEN (prev - loss) / prev END AS rel FROM steps"),
+            ("judged", f"SELECT *, CASE WHEN rel IS NULL OR rel < CAST(0.001 AS {D}) THEN 'decrease' "
+                       f"WHEN seconds > 3600 THEN 'hours' WHEN iter >= 60 THEN 'iterations' END AS reason FROM rated")]
+    return _with(ctes, f"SELECT run, iter, {r('rel', ROUND_MEAN)} AS rel, reason, "
+                       f"iter >= coalesce(min(iter) FILTER (reason IS NOT NULL) OVER (PARTITION BY run), 1000000) AS stopped, "
+                       f"CASE WHEN rel > 0 THEN iter ELSE coalesce(prior, iter) END AS final FROM judged")
+
+
+def q_best_iterations():
+    return _with([("log", LOSS_LOG)],
+                 "SELECT run, iter, best, iter - best AS lag FROM (SELECT a.run, a.iter, (SELECT b.iter FROM log b WHERE b.run = a.run "
+                 "AND b.iter <= a.iter AND NOT isnan(b.loss) ORDER BY b.loss, b.iter LIMIT 1) AS best FROM log a)")
+
+
+def q_validation_scan():
+    return " UNION ALL ".join(f"SELECT *, {t} AS tensor FROM ({src}) WHERE {HOLDOUT}" for t, src in enumerate((x1(), x2())))
+
+
+def q_coupling_lookup():
+    pairs = ("SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS pair, n_nationkey::INTEGER AS t, n_regionkey::INTEGER AS m, "
+             "(n_nationkey + 1)::INTEGER AS partner_t, (n_nationkey % 3)::INTEGER AS partner_m FROM nation")
+    return _with([("p", pairs)], "SELECT * FROM p UNION ALL SELECT pair, partner_t, partner_m, t, m FROM p")
+
+
 def q_fit_resumed():
     """Two sweeps in one go."""
     return _with(_sweeps(2, False), _factors_after(2))
@@ -701,6 +751,15 @@ ORACLE = {
     "fit_predict_validation": q_fit_predict_validation,
     "fit_best_factors": q_fit_best_factors,
     "fit_three_tensors": q_fit_three_tensors,
+    "coupled_entries": q_coupled_entries,
+    "rescale_ranges": q_rescale_ranges,
+    "update_specific_pieces": q_update_specific,
+    "update_shared_pieces": q_update_common,
+    "stopping_verdicts": q_stopping_verdicts,
+    "best_iterations": q_best_iterations,
+    "validation_scan": q_validation_scan,
+    "coupling_lookup": q_coupling_lookup,
+    "job_factors": q_fit_one_sweep,
     "fit_resumed": q_fit_resumed,
     "update_stored": q_update_uncoupled,
     "update_shared_modes": q_update_shared_modes,
