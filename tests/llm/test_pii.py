@@ -6,7 +6,7 @@ import re
 from twinfold.llm import pii
 
 KEY = "test key"
-PY = {k: p.replace("++", "+") for k, p in pii.PATTERNS.items()}
+PY = pii.PATTERNS
 
 
 def digest(*parts):
@@ -48,16 +48,43 @@ def luhn(body):
     return str(-total % 10)
 
 
+def laid(template, digits):
+    rest = iter(digits)
+    return "".join(next(rest) if c in "0123456789" else c for c in template)
+
+
+def cards(m):
+    """New text and pseudonyms of a run of digit groups."""
+    spans = [g.span() for g in re.finditer("[0-9]+", m)]
+
+    def best(i):
+        found = []
+        for j in range(i, len(spans)):
+            d = re.sub("[^0-9]", "", m[spans[i][0]:spans[j][1]])
+            if len(d) in pii.CARD_DIGITS and luhn(d[:-1]) == d[-1]:
+                found.append((pii.CARD_DIGITS.index(len(d)), j, d))
+        return min(found, default=None)
+
+    out, listed, i, done = "", [], 0, 0
+    while i < len(spans):
+        b = best(i)
+        if b and not (b[0] > 1 and any((best(k) or (9,))[0] <= 1 for k in range(i + 1, b[1] + 1))):
+            body = text_permuted(b[2][:-1], "card")
+            new = laid(m[spans[i][0]:spans[b[1]][1]], body + luhn(body))
+            out += m[done:spans[i][0]] + new
+            listed.append(("card", new))
+            done, i = spans[b[1]][1], b[1]
+        i += 1
+    return out + m[done:], listed
+
+
 def replaced(kind, m):
     if kind == "email":
         local, domain = m.split("@")
         return text_permuted(local, "email") + "@" + domain
-    if kind == "card":
-        new = text_permuted(m[:-1], "card")
-        return new + luhn(new) if luhn(m[:-1]) == m[-1] else None
     if kind == "phone":
         code = re.match(r"(\+[0-9]+[ -]?)?", m)[0]
-        return code + text_permuted(m[len(code):], "phone")
+        return code + laid(m[len(code):], text_permuted(re.sub("[^0-9]", "", m[len(code):]), "phone"))
     if kind == "ip":
         x = 0
         for o in m.split("."):
@@ -89,6 +116,10 @@ def brute(text):
 
     def one(m):
         kind = next(k for k in ("email", "ip", "ssn", "date", "phone", "card") if re.fullmatch(PY[k], m[0]))
+        if kind == "card":
+            text, some = cards(m[0])
+            listed.extend(some)
+            return text
         new = replaced(kind, m[0])
         if new is not None:
             listed.append((kind, new))
@@ -106,6 +137,7 @@ def corpus(seed, n=80):
     rng = random.Random(seed)
     num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     make = [lambda: card(rng), lambda: card(rng, "-"), lambda: card(rng, " "), lambda: num(16), lambda: num(12), lambda: num(25),
+            lambda: f"{card(rng)} {num(2)}/{num(2)}", lambda: f"{num(1)} {card(rng, ' ')} {num(3)}",
             lambda: f"+1 ({num(3)}) 555-{num(4)}", lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"({num(3)}) {num(3)}-{num(4)}",
             lambda: ".".join(str(rng.randrange(300)) for _ in range(4)), lambda: f"{num(3)}-{num(2)}-{num(4)}",
             lambda: f"{rng.choice([1850, 1999, 2024, 2150])}-{rng.randrange(1, 14):02d}-{rng.randrange(1, 33):02d}",
@@ -141,6 +173,35 @@ def test_equal_values_stay_linked_and_formats_hold(spark):
     assert len(set(new.values())) == len(set(cards))
 
 
+def test_cards_beside_other_numbers_and_in_other_spellings(spark):
+    plain = "4111111111111111"
+    texts = [plain, f"{plain} 12/25", "4111 1111 1111 1111 123", f"5 {plain}", "4111-1111-1111-1111", f"{plain} 5500000000000004",
+             f"no. 17: {plain} 123 12/2027", f"{plain} 2024-05-06", f"{plain} 10.0.0.1", f"{plain} 555-123-4567", f"{plain} 12ab"]
+    out = {t: (new, listed) for (_, new, listed), t in zip(sorted(got(spark, list(enumerate(texts)))), texts)}
+    new = out[plain][0]
+    assert new != plain and luhn(new[:-1]) == new[-1]
+    spelt = [new[i:i + 4] for i in range(0, 16, 4)]
+    assert out[f"{plain} 12/25"] == (f"{new} 12/25", [("card", new)])
+    assert out["4111 1111 1111 1111 123"][0] == " ".join(spelt) + " 123"
+    assert out[f"5 {plain}"][0] == f"5 {new}"
+    assert out["4111-1111-1111-1111"][0] == "-".join(spelt)
+    both = out[f"{plain} 5500000000000004"][1]
+    assert [k for k, _ in both] == ["card", "card"] and both[0][1] == new
+    assert out[f"no. 17: {plain} 123 12/2027"][0] == f"no. 17: {new} 123 12/2027"
+    for other, kind in (("2024-05-06", "date"), ("10.0.0.1", "ip"), ("555-123-4567", "phone")):
+        text, listed = out[f"{plain} {other}"]
+        assert text.startswith(new + " ") and [k for k, _ in listed] == ["card", kind] and not text.endswith(other)
+    assert out[f"{plain} 12ab"][0] == f"{new} 12ab"
+    back = got(spark, [(i, out[t][0]) for i, t in enumerate(texts)], inverse=True)
+    assert [t for _, t, _ in sorted(back)] == texts
+
+
+def test_phone_numbers_in_other_spellings_stay_linked(spark):
+    out = got(spark, [(0, "555-123-4567"), (1, "(555) 123-4567"), (2, "+1 555.123.4567")])
+    digits = {re.sub("[^0-9]", "", t.removeprefix("+1 ")) for _, t, _ in out}
+    assert len(digits) == 1 and digits != {"5551234567"}
+
+
 def test_numbers_are_permuted_within_their_range(spark):
     from pyspark.sql import functions as F
 

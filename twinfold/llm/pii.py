@@ -6,11 +6,20 @@ the same format through a keyed Feistel network, so equal values keep equal pseu
 values never meet, and whoever has the key can go back (``inverse``).
 
 * Card numbers, phone numbers and the local part of mail addresses are permuted as strings: the halves of the string take turns in
-  being shifted, digit by digit and letter by letter, by a stream derived from the other half; marks stay. A card number's
-  last digit is computed anew. A phone number keeps its country code, an address its domain.
+  being shifted, digit by digit and letter by letter, by a stream derived from the other half. Of card and phone numbers only
+  the digits are permuted and the marks put back between them, so one number in two spellings keeps one pseudonym. A card
+  number's last digit is computed anew. A phone number keeps its country code, an address its domain.
+* A run of digit groups may hold more than a card number (a list number before it, an expiry or a check number behind it).
+  Every piece of 13 to 19 digits that begins and ends at a group border is tried, from the left; pieces of 16 and 15
+  digits go before others that begin with them or overlap them.
 * IPv4 addresses, social security numbers and dates are numbered through and permuted as numbers a * b + c, whose two parts
   take turns in being shifted modulo their size. Dates cover 73,000 days from 1900-01-01.
 
+Not found: phone numbers without one of the marks of ``PATTERNS`` (``555 123 4567``), foreign groupings (``+44 20 7946 0958``),
+month before day (``12/31/1999``), mail names in other letters; of a name with an apostrophe the part behind it is replaced.
+``inverse`` finds the same pieces again but for one case: where groups that belong to no card stand before one so that together they
+could be another of 15 or 16 digits, one in ten pseudonyms completes that one by chance.
+
 The round function is SHA-256 over key, kind, length, round and the other half.
 """
 
@@ -31,8 +40,12 @@ PATTERNS = {
     "ssn": rf"(?<![0-9A-Za-z-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?!-){_END}",
     "date": rf"(?<![0-9A-Za-z./-])(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}|[0-9]{{2}}\.[0-9]{{2}}\.[0-9]{{4}})(?![/-]){_END}",
     "phone": rf"(?<![0-9A-Za-z+])(?:\+[0-9]{{1,3}}[ -]?)?(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[-.])[0-9]{{3}}[-. ][0-9]{{4}}{_END}",
-    "card": rf"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){{12,18}}{_END}",
 }
+#: A group after a space that begins a value of another kind ends a run of card digits; two groups of ten digits and more
+#: never belong to one card number, so a run ends between them too.
+_OTHER = "|".join(PATTERNS[k] for k in ("ip", "ssn", "date", "phone"))
+PATTERNS["card"] = (rf"(?<![0-9A-Za-z])(?=(?:[ -]?[0-9]){{13}})[0-9]++{_END}"
+                    rf"(?:(?: (?!{_OTHER})|-)(?!(?<=[0-9]{{10}}[ -])[0-9]{{10}})[0-9]++{_END})*+")
 ANY = "|".join(PATTERNS.values())
 
 #: Days that dates are permuted among: 250 * 292 from this one on.
@@ -102,11 +115,89 @@ def _luhn_digit(body: Column) -> Column:
     return F.pmod(-total, F.lit(10)).cast("string")
 
 
-def _card(m: Column, key: str, inverse: bool) -> Column:
-    """Null unless the Luhn digit is right."""
-    body = F.substring(m, F.lit(1), F.length(m) - 1)
-    new = feistel_text(body, "card", key, inverse)
-    return F.when(F.right(m, F.lit(1)) == _luhn_digit(body), F.concat(new, _luhn_digit(new)))
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _laid(template: Column, digits: Column) -> Column:
+    """``digits`` in the places of the digits of a short ``template``."""
+    at = lambda i: i + 1 - F.length(F.regexp_replace(F.substring(template, F.lit(1), i), "[0-9]", ""))
+    return F.array_join(F.transform(F.split(template, ""), lambda c, i: F.when(
+        c.between("0", "9"), F.substring(digits, at(i), F.lit(1))).otherwise(c)), "")
+
+
+def _only_digits(text: Column) -> Column:
+    return F.regexp_replace(text, "[^0-9]", "")
+
+
+#: Numbers of digits a card number may have, the likelier ones first.
+CARD_DIGITS = (16, 15, 14, 13, 19, 18, 17)
+
+
+def _card_pieces(groups: Column) -> Column:
+    """Per group the best valid card number that begins there: rank, number of groups, digits; null if there is none."""
+    rank = lambda d: F.array_position(F.array(*[F.lit(n) for n in CARD_DIGITS]), F.length(d))
+
+    def piece(i: Column, n: Column) -> Column:
+        return _bound(F.array_join(F.slice(groups, i + 1, n), ""), lambda d: F.when(
+            rank(d) > 0, F.when(F.right(d, F.lit(1)) == _luhn_digit(F.substring(d, F.lit(1), F.length(d) - 1)),
+                                F.struct(rank(d).alias("rank"), n.alias("n"), d.alias("digits")))))
+
+    best = lambda i: F.array_min(F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(max(CARD_DIGITS)), F.size(groups) - i)), lambda n: piece(i, n)))
+    return F.transform(F.sequence(F.lit(0), F.size(groups) - 1), best)
+
+
+def _cards(m: Column, key: str, inverse: bool) -> Column:
+    """Struct of a run of digit groups with its card numbers replaced, and the list of their pseudonyms."""
+    words = F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0))
+    return _bound(words, lambda w: _bound(F.transform(w, _only_digits), lambda groups: _bound(
+        _bound(_card_pieces(groups), _chosen), lambda taken: _filled(w, groups, taken, key, inverse))))
+
+
+def _chosen(best: Column) -> Column:
+    """The pieces that are replaced, from the left: first group, number of groups, digits."""
+    def step(s: Column, i: Column) -> Column:
+        mine = F.element_at(best, i + 1)
+        yields = (mine["rank"] > 2) & F.exists(F.slice(best, i + 2, mine["n"] - 1), lambda o: F.coalesce(o["rank"] <= 2, F.lit(False)))
+        piece = F.struct(i.alias("i"), mine["n"].alias("n"), mine["digits"].alias("digits"))
+        return F.when((i < s["next"]) | mine.isNull() | yields, s).otherwise(
+            F.struct((i + mine["n"]).alias("next"), F.concat(s["taken"], F.array(piece)).alias("taken")))
+
+    none = F.array().cast("array<struct<i:int,n:int,digits:string>>")
+    return F.aggregate(F.sequence(F.lit(0), F.size(best) - 1), F.struct(F.lit(0).alias("next"), none.alias("taken")), step,
+                       lambda s: s["taken"])
+
+
+def _filled(words: Column, groups: Column, taken: Column, key: str, inverse: bool) -> Column:
+    """What ``_cards`` gives, from a run's groups with and without the mark before them and its chosen pieces."""
+    def new_digits(digits: Column) -> Column:
+        body = feistel_text(F.substring(digits, F.lit(1), F.length(digits) - 1), "card", key, inverse)
+        return _bound(body, lambda d: F.concat(d, _luhn_digit(d)))
+
+    def laid(i: Column, n: Column, digits: Column) -> Column:
+        """The digits over n groups from i on, with the marks between these."""
+        def step(s: Column, g: Column) -> Column:
+            size = F.length(F.element_at(groups, g + 1))
+            word = F.element_at(words, g + 1)
+            mark = F.when((g > i) & (F.length(word) > size), F.left(word, F.lit(1))).otherwise("")
+            return F.struct((s["at"] + size).alias("at"), F.concat(s["text"], mark, F.substring(digits, s["at"], size)).alias("text"))
+
+        return F.aggregate(F.sequence(i, i + n - 1), F.struct(F.lit(1).alias("at"), F.lit("").alias("text")), step, lambda s: s["text"])
+
+    def render(done: Column) -> Column:
+        end = lambda k: F.when(k > 0, F.element_at(taken, k)["i"] + F.element_at(taken, k)["n"]).otherwise(F.lit(0))
+        between = lambda a, n: F.array_join(F.slice(words, a + 1, n), "")
+        # A piece's first word gives the mark before the piece.
+        before = lambda p, k: F.concat(between(end(k), p["i"] - end(k)), F.when(
+            p["i"] > 0, F.left(F.element_at(words, p["i"] + 1), F.lit(1))).otherwise(""))
+        filled = F.transform(taken, lambda p, k: F.concat(before(p, k), F.element_at(done, k + 1)))
+        last = end(F.size(taken))
+        return F.struct(F.concat(F.array_join(filled, ""), between(last, F.size(words) - last)).alias("text"), done.alias("listed"))
+
+    new = F.transform(taken, lambda p: _bound(new_digits(p["digits"]), lambda d: laid(p["i"], p["n"], d)))
+    return _bound(new, render)
 
 
 def _email(m: Column, key: str, inverse: bool) -> Column:
@@ -115,7 +206,8 @@ def _email(m: Column, key: str, inverse: bool) -> Column:
 
 def _phone(m: Column, key: str, inverse: bool) -> Column:
     code = F.regexp_extract(m, r"^(\+[0-9]+[ -]?)?", 0)
-    return F.concat(code, feistel_text(F.substring(m, F.length(code) + 1, F.length(m)), "phone", key, inverse))
+    rest = F.substring(m, F.length(code) + 1, F.length(m))
+    return F.concat(code, _laid(rest, feistel_text(_only_digits(rest), "phone", key, inverse)))
 
 
 def _ip(m: Column, key: str, inverse: bool) -> Column:
@@ -150,7 +242,7 @@ def _date(m: Column, key: str, inverse: bool) -> Column:
     return out
 
 
-_MAKERS = {"email": _email, "ip": _ip, "ssn": _ssn, "date": _date, "phone": _phone, "card": _card}
+_MAKERS = {"email": _email, "ip": _ip, "ssn": _ssn, "date": _date, "phone": _phone}
 
 
 def _kind(m: Column) -> Column:
@@ -162,11 +254,15 @@ def _kind(m: Column) -> Column:
 
 
 def _pseudonym(m: Column, key: str, inverse: bool) -> Column:
+    """Struct of a match's kind, its new text and the list of pseudonyms in that (empty if nothing in it is valid)."""
     kind = _kind(m)
-    out = F.lit(None).cast("string")
+    one = F.lit(None).cast("string")
     for name, make in _MAKERS.items():
-        out = F.when(kind == name, make(m, key, inverse)).otherwise(out)
-    return F.struct(m.alias("match"), kind.alias("kind"), out.alias("pseudonym"))
+        one = F.when(kind == name, make(m, key, inverse)).otherwise(one)
+    none = F.array().cast("array<string>")
+    single = _bound(one, lambda p: F.struct(F.coalesce(p, m).alias("text"), F.when(p.isNull(), none).otherwise(F.array(p)).alias("listed")))
+    new = F.when(kind == "card", _cards(m, key, inverse)).otherwise(single)
+    return _bound(new, lambda n: F.struct(kind.alias("kind"), n["text"].alias("text"), n["listed"].alias("listed")))
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", inverse: bool = False) -> DataFrame:
@@ -186,10 +282,10 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", inverse: boo
     # The matches become a column before they are read: an explode is never folded into the expressions above it.
     rows = rows.select("*", F.explode(F.array(F.struct(found.alias("found")))).alias("m"))
     gaps = F.split(text, ANY, -1)
-    filled = F.zip_with(gaps, "m.found", lambda gap, x: F.concat(gap, F.coalesce(x["pseudonym"], x["match"], F.lit(""))))
+    filled = F.zip_with(gaps, "m.found", lambda gap, x: F.concat(gap, F.coalesce(x["text"], F.lit(""))))
     new = F.when(F.size("m.found") > 0, F.array_join(filled, "")).otherwise(text)
-    listed = F.transform(F.filter("m.found", lambda x: x["pseudonym"].isNotNull()),
-                         lambda x: F.struct(x["kind"].alias("kind"), x["pseudonym"].alias("pseudonym")))
+    listed = F.flatten(F.transform("m.found", lambda x: F.transform(
+        x["listed"], lambda p: F.struct(x["kind"].alias("kind"), p.alias("pseudonym")))))
     empty = F.array().cast("array<struct<kind:string,pseudonym:string>>")
     plain = [(new if i == at else F.col(f"c{i}")).alias(n) for i, n in enumerate(names) if low[i] != "pii"]
     return rows.select(*plain, F.coalesce(listed, empty).alias("pii"))
