@@ -35,8 +35,7 @@ def brute(rows):
             if level < len(x["s"]):
                 nodes[x["h"], x["t"]].append(x)
         for members in nodes.values():
-            total = sum(x["n"] for x in members)
-            ok = lambda c: c >= ut.MIN_COUNT and c >= ut.MIN_SHARE * total  # noqa: E731, B023
+            ok = lambda c: c >= ut.MIN_COUNT
             name, shapes = collections.Counter(), collections.Counter()
             for x in members:
                 name[x["s"][level]] += x["n"]
@@ -81,7 +80,7 @@ def brute(rows):
     for x in paths:
         by_q[x["q"]].append(x)
         by_t[x["h"], x["t"]].append(x)
-    back = {q: smooth(xs, B / (A + B) if A + B else 0.0) for q, xs in by_q.items()}
+    back = {q: min(.5, smooth(xs, B / (A + B) if A + B else 0.0)) for q, xs in by_q.items()}
     pure = {t: smooth(xs, sum(x["n"] * back[x["q"]] for x in xs) / sum(x["n"] for x in xs)) for t, xs in by_t.items()}
     info = {(x["h"], x["p"]): (x["t"], pure[x["h"], x["t"]]) for x in paths}
     out = []
@@ -114,6 +113,24 @@ def test_matches_brute_force(spark):
         assert sorted((tuple(r) for r in got), key=key) == sorted(brute(rows), key=key)
 
 
+def test_clean_sections_beside_a_blocked_one_stay(spark):
+    urls = [f"http://h.example.com/sec{i}/x/{j}" for i in range(60) for j in range(20)]
+    bad = [f"http://h.example.com/de/x/{j}" for j in range(40)]
+    df = spark.createDataFrame(list(enumerate(urls + bad)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in ut.judge_urls(spark, df).collect()}
+    assert [got[i] for i in range(1240)] == ["allow"] * 1200 + ["block"] * 40
+
+
+def test_other_hosts_never_reject_alone(spark):
+    urls = [f"http://spam{i}.net/offer/{j}" for i in range(5) for j in range(20)]
+    clean = [f"http://shop.example.org/offer/{j}" for j in range(20)] + ["http://x.example.org/offer/1"]
+    mixed = ["http://y.example.com/de/7"] * 6 + [f"http://y.example.com/de{j}/{j}" for j in range(3)]
+    df = spark.createDataFrame(list(enumerate(urls + clean + mixed)), "page_id long, url string")
+    got = {r.page_id: r for r in ut.judge_urls(spark, df).collect()}
+    assert all(got[100 + i].verdict == "allow" and got[100 + i].purity <= .5 for i in range(21))
+    assert all(got[121 + i].verdict == "block" for i in range(6))
+
+
 def test_unlabelled_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "http://a.b/c", "z"), (2, None, "y")], "page_id long, url string, host string")
     assert {r.verdict for r in ut.judge_urls(spark, df).collect()} == {"allow"}

@@ -2,14 +2,17 @@
 
 Rules give some pages a label (allow or block). The paths of every host form a tree, one segment per level.
 
-1. *Generalise.* At every node a segment keeps its name if it is common there (``min_count`` pages and ``min_share`` of
-   the node's). Other segments become their shape (runs of digits as ``#``) if the shape is common, else ``*``.
+1. *Generalise.* At every node a segment keeps its name if at least ``min_count`` pages have it there, however many the node
+   has. Rarer segments become their shape (runs of digits as ``#``) if the shape is as common, else ``*``.
 2. *Merge.* Named branches of a node that lean the same way (mostly allowed, mostly blocked, or unlabelled) are pooled, and a
    branch joins its pool (``~allow``, ``~block``, ``~none``) when neither its labels nor what follows it differ
    significantly from the pool: both total variation distances stay within a Hoeffding bound.
 3. *Judge.* A template's purity is its share of blocked pages among labelled ones, smoothed by ``weight`` pages of
-   what the same path shape shows on all hosts, which is itself smoothed by the overall share. Purity above one half
-   rejects the template. A rule that fits a page always decides it.
+   what the same path shape shows on all hosts, which is itself smoothed by the overall share and counts as one half at
+   most. Purity above one half rejects the template, so other hosts can never reject a template alone: it takes
+   blocked pages of its own. A rule that fits a page always decides it.
+
+Segments beyond ``max_depth`` levels fold into one, ``**``.
 
 Paths are counted once per host and path before the tree is built. Every level is a few counts (combined before the
 shuffle) and joins on the node, so one host with a third of all pages is never gathered in a task.
@@ -29,7 +32,6 @@ from twinfold.llm.storage import cut
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 MAX_DEPTH = 8
 MIN_COUNT = 3
-MIN_SHARE = 0.02
 ALPHA = 0.05
 WEIGHT = 2.0
 
@@ -64,16 +66,14 @@ def _shape(segment: Column) -> Column:
     return F.regexp_replace(segment, "[0-9]+", "#")
 
 
-def _generalise(paths: DataFrame, level: int, min_count: int, min_share: float) -> DataFrame:
+def _generalise(paths: DataFrame, level: int, min_count: int) -> DataFrame:
     """``paths`` with the ``token`` of their segment at ``level`` (null where the path has ended)."""
     here = paths.withColumn("segment", F.get("segments", F.lit(level)))
     node = ["host", "template"]
     names = here.where("segment IS NOT NULL").groupBy(*node, "segment").agg(F.sum("n").alias("c"))
-    totals = names.groupBy(*node).agg(F.sum("c").alias("total"))
-    enough = lambda c: (F.col(c) >= min_count) & (F.col(c) >= min_share * F.col("total"))
-    marked = names.join(totals, node).withColumn("named", enough("c")).withColumn("shape", _shape(F.col("segment")))
-    shapes = (marked.where("NOT named").groupBy(*node, "shape").agg(F.sum("c").alias("s"), F.max("total").alias("total"))
-              .select(*node, "shape", F.when(enough("s"), F.col("shape")).otherwise("*").alias("general")))
+    marked = names.withColumn("named", F.col("c") >= min_count).withColumn("shape", _shape(F.col("segment")))
+    shapes = (marked.where("NOT named").groupBy(*node, "shape").agg(F.sum("c").alias("s"))
+              .select(*node, "shape", F.when(F.col("s") >= min_count, F.col("shape")).otherwise("*").alias("general")))
     tokens = (marked.join(shapes, [*node, "shape"], "left")
               .select(*node, "segment", F.when(F.col("named"), F.col("segment")).otherwise(F.col("general")).alias("token"),
                       "named"))
@@ -109,14 +109,17 @@ def _merge(spark: SparkSession, paths: DataFrame, level: int, alpha: float) -> D
 
 
 def template_table(spark: SparkSession, paths: DataFrame, max_depth: int = MAX_DEPTH, min_count: int = MIN_COUNT,
-                   min_share: float = MIN_SHARE, alpha: float = ALPHA, weight: float = WEIGHT) -> DataFrame:
-    """``host, path, template, purity`` from ``host, path, n, allow, block`` (one row per host and path)."""
+                   alpha: float = ALPHA, weight: float = WEIGHT, most: float = 0.5) -> DataFrame:
+    """``host, path, template, purity`` from ``host, path, n, allow, block`` (one row per host and path).
+
+    What other hosts show counts as ``most`` at most.
+    """
     paths = paths.withColumn("segments", _segments(F.col("path"), max_depth))
     paths = cut(spark, paths.withColumn("template", F.lit("")).withColumn("plain", F.lit("")), "paths")
     depth = paths.agg(F.max(F.size("segments"))).first()[0] or 0
     keep = ["host", "path", "n", "allow", "block", "segments", "template", "plain"]
     for level in range(depth):
-        there = cut(spark, _generalise(paths, level, min_count, min_share).withColumn("plain_token", F.col("token")), "level")
+        there = cut(spark, _generalise(paths, level, min_count).withColumn("plain_token", F.col("token")), "level")
         there = _merge(spark, there, level, alpha)
         grown = lambda name, token: F.when(F.col(token).isNull(), F.col(name)).otherwise(F.concat(F.col(name), F.lit("/"), F.col(token)))
         paths = cut(spark, there.withColumn("template", grown("template", "token"))
@@ -125,7 +128,7 @@ def template_table(spark: SparkSession, paths: DataFrame, max_depth: int = MAX_D
     allow, block = total[0] or 0, total[1] or 0
     overall = block / (allow + block) if allow + block else 0.0
     smooth = lambda back: (F.sum("block") + weight * back) / (F.sum("allow") + F.sum("block") + weight)
-    everywhere = paths.groupBy("plain").agg(smooth(F.lit(overall)).alias("back"))
+    everywhere = paths.groupBy("plain").agg(F.least(smooth(F.lit(overall)), F.lit(most)).alias("back"))
     own = ["host", "template"]
     judged = (paths.join(everywhere, "plain").groupBy(*own)
               .agg(smooth(F.sum(F.col("n") * F.col("back")) / F.sum("n")).alias("purity")))
@@ -148,7 +151,7 @@ def judge_urls(spark: SparkSession, pages: DataFrame, url_col: str = "url", rule
     rows = rows.withColumn("by_rule", rule_of(F.col("host"), F.col("path"), rules))
     says = lambda v: F.sum(F.coalesce(F.col("by_rule.verdict") == v, F.lit(False)).cast("long"))
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), says("allow").alias("allow"), says("block").alias("block"))
-    found = template_table(spark, paths, **tree)
+    found = template_table(spark, paths, most=threshold, **tree)
     verdict = F.coalesce("by_rule.verdict", F.when(F.col("purity") > threshold, "block").otherwise("allow"))
     plain = [F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n.lower() not in new]
     return rows.join(found, ["host", "path"]).select(*plain, "host", "path", F.col("by_rule.rule").alias("rule"),
