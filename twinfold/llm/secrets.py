@@ -15,7 +15,9 @@ hash); the automata, a few kilobytes, go to every task. Scoring reads every whol
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import itertools
 import math
 import re
 from collections import defaultdict
@@ -116,9 +118,12 @@ def _scan(block: Block) -> tuple[dict[int, list[Found]], list[tuple[int, int, in
         found = base_spans(raw[block.offsets[r]:block.offsets[r + 1]].decode())
         if found:
             base[r] = found
+    # Per row the starts of its base spans, and how far those up to each reach.
+    reach = {r: ([f.start for f in found], list(itertools.accumulate((f.end for f in found), max))) for r, found in base.items()}
     for r, s, e in zip(rows.tolist(), starts.tolist(), stops.tolist()):
         a, b = (int(points[x] - points[block.offsets[r]]) for x in (s, e))
-        if not any(f.start < b and a < f.end for f in base.get(r, ())):
+        begun = bisect.bisect_left(reach[r][0], b) if r in reach else 0
+        if not begun or reach[r][1][begun - 1] <= a:
             rest.append((r, a, b, raw[s:e].decode()))
     return base, rest
 
