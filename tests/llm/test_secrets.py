@@ -105,3 +105,38 @@ def test_edge_cases(spark):
     rows = sc.find_secrets(spark, df).collect()
     assert [r.secrets for r in rows] == [[], []]
     assert sc.find_secrets(spark, df.where("false")).collect() == []
+
+
+def test_automaton_keeps_length_and_marks():
+    rng = random.Random(6)
+    pick = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    make = lambda: "-".join(pick(k) for k in (8, 4, 4, 4, 12))
+    a = sc.infer([make().translate(sc._CLASSES) for _ in range(600)])
+    like = lambda s: sc.log_likelihood(a, s.translate(sc._CLASSES))
+    assert len(a.moves) == 37 and sum(a.ended) == 600
+    assert all(sum(n for n, _ in a.moves[s].values()) + a.ended[s] == a.arrived[s] for s in range(37))
+    right = min(like(make()) for _ in range(100))
+    # Shorter strings have fewer factors; they are unlikelier all the same.
+    assert all(right > like(s) for s in (make()[:-1], make().replace("-", ""), make() + "a"))
+
+
+def test_merges_follow_the_test_between_states():
+    # After a: 40 b of 40; after c: 40 d of 40. Too different to merge, so no string crosses over.
+    apart = sc.infer(["ab"] * 40 + ["cd"] * 40)
+    assert len(apart.moves) == 4 and apart.moves[apart.moves[0]["a"][1]].keys() == {"b"}
+    # After a and after c the same: merged, and so are the states behind.
+    alike = sc.infer(["ab", "ad", "cb", "cd"] * 20)
+    assert len(alike.moves) == 3 and alike.moves[0]["a"][1] == alike.moves[0]["c"][1] and alike.arrived == [80, 80, 80]
+
+
+def test_mixed_formats_and_plain_words():
+    rng = random.Random(7)
+    pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    hexa, upper, low = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "etaoinshrdlucmwfgypbvk"
+    kinds = [lambda: pick(hexa, 40), lambda: "sk_" + pick(upper + low, 24), lambda: pick(upper + low + "+/", rng.randint(8, 20))]
+    word = lambda: pick(low, rng.randint(8, 20))
+    classes = lambda s: s.translate(sc._CLASSES)
+    formats = sc.fit({"assign": [classes(rng.choice(kinds)()) for _ in range(600)]},
+                     [classes(word() if rng.random() < .8 else rng.choice(kinds)()) for _ in range(600)])
+    found = lambda make: sum(sc.score_classes(formats, classes(make()))[0] is not None for _ in range(200))
+    assert all(found(make) >= 160 for make in kinds) and found(word) <= 2

@@ -5,9 +5,9 @@ classes) is folded into a probabilistic automaton: two states are merged when a
 their end and transition frequencies, nor between those of the states below them. A second automaton is learnt the same way from
 ordinary tokens. Every other token of at least as many credential characters as a format's shortest secret is scored by the log-likelihood ratio
 of each format against the ordinary one; it becomes a span ``like_<kind>`` if the ratio is positive and above what the lowest
-twentieth of the labelled credentials reach. However many tokens pass, all are reported. As tokens without a keyword may
+hundredth of the labelled credentials reach. However many tokens pass, all are reported. As tokens without a keyword may
 be credentials too, the ordinary automaton starts empty (every string as likely as its length) and is learnt again from the
-sampled tokens that do not pass until these stay the same (at most ``ROUNDS`` times).
+sampled tokens that do not pass until these stay the same (at most ``ROUNDS`` times); the bar is the lowest twentieth until then.
 
 Learning uses at most ``max_samples`` distinct tokens of at most ``MAX_TOKEN`` characters per kind (those of smallest
 hash); the automata, a few kilobytes, go to every task. Scoring reads every whole text in one pass without a shuffle.
@@ -45,7 +45,9 @@ MAX_SAMPLES = 600
 MAX_TOKEN = 256
 ALPHA = 0.05
 #: Share of a kind's labelled credentials that may score below its bar.
-MISSED = 0.05
+MISSED = 0.01
+#: The same share while the ordinary automaton is being learnt.
+MISSED_AT_FIRST = 0.05
 #: How often the ordinary automaton is learnt at most.
 ROUNDS = 10
 
@@ -156,7 +158,11 @@ def prefix_tree(strings: list[str]) -> Automaton:
 
 
 def infer(strings: list[str], alpha: float = ALPHA) -> Automaton:
-    """The prefix tree of the strings with statistically compatible states merged, nearest to the root first."""
+    """The prefix tree of the strings with statistically compatible states of one depth merged, nearest to the root first.
+
+    Merging within a depth pools the counts of a level before the next one is tested, so a format's length, its marks and
+    their places stay in the automaton; states of few strings are never compared with those of other depths.
+    """
     a = prefix_tree(strings)
     factor = math.sqrt(0.5 * math.log(2 / alpha))
 
@@ -193,21 +199,20 @@ def infer(strings: list[str], alpha: float = ALPHA) -> Automaton:
                 else:
                     a.moves[p][s] = (n, to)
 
-    red = [0]
-    blue = [(0, c) for c in sorted(a.moves[0])]
-    while blue:
-        parent, c = blue.pop(0)
-        state = a.moves[parent][c][1]
-        if state in red:
-            continue
-        for r in red:
-            if compatible(r, state):
-                merge(r, state, parent, c)
-                break
-        else:
-            red.append(state)
-        # Trees hanging from merged states are next in line.
-        blue = [(r, s) for r in red for s in sorted(a.moves[r]) if a.moves[r][s][1] not in red]
+    red, level = [0], [0]
+    while level:
+        # Two parents share no child: what merging joined, it joined at a state and all that hangs from it.
+        below: list[int] = []
+        for parent in level:
+            for c in sorted(a.moves[parent]):
+                state = a.moves[parent][c][1]
+                like = next((r for r in below if compatible(r, state)), None)
+                if like is None:
+                    below.append(state)
+                else:
+                    merge(like, state, parent, c)
+        red += below
+        level = below
     number = {s: i for i, s in enumerate(red)}
     return Automaton([a.arrived[s] for s in red], [a.ended[s] for s in red],
                      [{c: (n, number[to]) for c, (n, to) in a.moves[s].items()} for s in red])
@@ -284,16 +289,20 @@ def fit(labelled: dict[str, list[str]], other: list[str]) -> Formats:
     automata = {k: infer(sorted(strings)) for k, strings in labelled.items()}
     own = {k: [log_likelihood(a, s) for s in labelled[k]] for k, a in automata.items()}
     ordinary: list[str] = []
+
+    def against(plain: Automaton, missed: float) -> Formats:
+        bars = {k: max(0.0, float(np.quantile([x - log_likelihood(plain, s) for x, s in zip(own[k], labelled[k])], missed)))
+                for k in automata}
+        return Formats(plain, automata, bars)
+
     for _ in range(ROUNDS):
         plain = infer(ordinary)
-        bars = {k: max(0.0, float(np.quantile([x - log_likelihood(plain, s) for x, s in zip(own[k], labelled[k])], MISSED)))
-                for k in automata}
-        formats = Formats(plain, automata, bars)
+        formats = against(plain, MISSED_AT_FIRST)
         left = [s for s in sorted(other) if score_classes(formats, s)[0] is None]
         if left == ordinary:
             break
         ordinary = left
-    return formats
+    return against(plain, MISSED)
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()),
