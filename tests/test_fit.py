@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 
 import numpy_model as nm
-from twinfold.operators.factors import init_factor
-from twinfold.plans.fit import fit
+from twinfold.operators.factors import column_means, init_factor
+from twinfold.operators.predict import mean_loss, squared_error
+from twinfold.plans.fit import FactorStore, LEAST_ERROR, evaluate, fit
 from twinfold.sources import tpch
 from twinfold.spec import FitConfig, Options, Stop
 
@@ -113,3 +114,42 @@ def test_partitions_follow_bytes_or_split(spark):
     assert partitions_for(spark, 10**6, 2, 24_000) == 1000
     assert partitions_for(spark, 10**6, 2, 24_000, split=48, dim=154) == 48
     assert partitions_for(spark, 10**6, 2, 24_000, split=48, dim=12) == 12
+
+
+@pytest.mark.parametrize("common,loss,method", [(2, "ls", "sum"), (2, "wls", "gram"), (0, "ls", "sum"), (3, "ls", "sum")])
+def test_losses_of_the_writes_are_those_of_the_written_tables(spark, sf, common, loss, method):
+    tensors, valid, coup = tpch.coupled_pair(spark, sf)
+    cfg = FitConfig(rank=3, common=common, options=Options(0.1, loss), stop=Stop(max_iter=2), init="lcg", method=method)
+    model = fit(spark, tensors, coup, cfg, validation=valid)
+    log = {(i, term): v for i, _, term, v in model.history}
+    for it, paths in model.versions.items():
+        factors = {k: spark.read.parquet(p) for k, p in paths.items()}
+        assert all(f.columns == ["idx", "v"] for f in factors.values())
+        means = {k: list(column_means(f, 3).first()) for k, f in factors.items()}
+        assert log[(it, "mean")] == pytest.approx(mean_loss(means[(0, 0)], means[(1, 0)], loss), rel=1e-9, abs=1e-15)
+        for t, ten in enumerate(tensors):
+            row = squared_error(spark, ten, {m: factors[(t, m)] for m in range(2)}, 3).first()
+            assert log[(it, f"se_{t}")] == pytest.approx(row.sse / (row.n if loss == "wls" else 1), rel=1e-8)
+
+
+def test_means_and_errors_need_no_job_and_lost_digits_are_read_again(spark, sf, tmp_path):
+    ten = tpch.coupled_pair(spark, sf, with_validation=False)[0][0]
+    store = FactorStore(spark, str(tmp_path), 2)
+    store.put_many({(0, m): init_factor(spark, d, 2, "lcg", 0, m) for m, d in enumerate(ten.dims)}, "a")
+    last = store.frames[(0, 1)]
+    store.put((0, 1), last.selectExpr("idx", "v", "CASE WHEN idx = 0 THEN 5D END AS sse"), "b")
+    for m in range(2):
+        assert store.means[(0, m)] == pytest.approx(list(column_means(store.frames[(0, m)], 2).first()), rel=1e-12)
+    true = squared_error(spark, ten, {m: store.frames[(0, m)] for m in range(2)}, 2).first()
+
+    def jobs_of(squares):
+        group = f"evaluate-{squares}"
+        spark.sparkContext.setJobGroup(group, group)
+        out = evaluate(spark, [ten], None, store, 2, None, {0: (0, 1)}, [true.n], [squares])
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    (means, train, val), jobs = jobs_of(4.9 / LEAST_ERROR)
+    assert jobs == 0 and train == {0: (5.0, true.n)} and val == {} and means == store.means
+    (_, train, _), jobs = jobs_of(5.1 / LEAST_ERROR)
+    assert jobs > 0 and train[0] == (pytest.approx(true.sse, rel=1e-12), true.n)

@@ -111,6 +111,11 @@ def validate(tensor: Tensor, max_broadcast: int = 1_000_000) -> DataFrame:
 
 def check(tensor: Tensor, allow_duplicates: bool = True) -> int:
     """Raise on any row that breaks the data model (one aggregate job); returns the entry count."""
+    return check_and_sum(tensor, allow_duplicates)[0]
+
+
+def check_and_sum(tensor: Tensor, allow_duplicates: bool = True) -> tuple[int, float]:
+    """:func:`check` that also returns the sum of the squared values, from the same job."""
     idx = index_columns(tensor.n_modes)
     conds = []
     for c, d in zip(idx, tensor.dims):
@@ -123,6 +128,7 @@ def check(tensor: Tensor, allow_duplicates: bool = True) -> int:
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(bad_idx, 1).otherwise(0)).alias("bad_idx"),
         F.sum(F.when(bad_y, 1).otherwise(0)).alias("bad_y"),
+        F.sum(F.col("y") * F.col("y")).alias("squares"),
     ).collect()[0]
     if row.bad_idx:
         raise ValueError(f"tensor {tensor.name}: {row.bad_idx} entries have an index outside {tensor.dims}")
@@ -132,7 +138,7 @@ def check(tensor: Tensor, allow_duplicates: bool = True) -> int:
         dup = tensor.entries.groupBy(*idx).count().where("count > 1").limit(1).count()
         if dup:
             raise ValueError(f"tensor {tensor.name} has duplicate coordinates")
-    return int(row.n)
+    return int(row.n), float(row.squares or 0.0)
 
 
 def partitions_for(spark, n_entries: int, n_modes: int, partition_bytes: int, split: int | None = None,

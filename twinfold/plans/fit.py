@@ -18,14 +18,14 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinfold.functions.columns import entry_columns
-from twinfold.operators.factors import copy_factor, heavy_indices, init_factor, means_rows, store_entries
+from twinfold.operators.factors import copy_factor, heavy_indices, init_factor, store_entries
 from twinfold.operators.predict import loss_table, mean_loss, rmse, training_loss
-from twinfold.operators.tensor import check, cluster_by_mode, partitions_for
+from twinfold.operators.tensor import check, check_and_sum, cluster_by_mode, partitions_for
 from twinfold.operators.update import Side, update_shared, update_specific, update_uncoupled
 from twinfold.plans import commits
 from twinfold.plans.layout import FactorKey, Layout, layout
@@ -33,6 +33,8 @@ from twinfold.session import fits_broadcast, run_dir
 from twinfold.spec import Coupling, FitConfig, Tensor
 
 FACTOR_SCHEMA = "idx long, v array<double>"
+#: Share of the targets' squares below which a training error is summed entry by entry, not taken from the normal equations.
+LEAST_ERROR = 1e-9
 
 METRICS_SCHEMA = T.StructType([
     T.StructField("iter", T.IntegerType(), False),
@@ -43,26 +45,42 @@ METRICS_SCHEMA = T.StructType([
 
 
 class FactorStore:
-    """Factor versions as parquet folders; each put cuts the lineage."""
+    """Factor versions as parquet folders; each put cuts the lineage.
 
-    def __init__(self, spark: SparkSession, root: str):
+    The write itself measures what the loop needs to know of a factor (A1, A6, A8): its column means and the squared error
+    of the update behind it are observed on the rows on their way to the files. They are counted in the tasks that write,
+    whose results Spark takes once each, so no second job reads the factor and a task that is run again adds nothing.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, rank: int):
         self.spark = spark
         self.root = root
+        self.rank = rank
+        self.means: dict[FactorKey, list[float]] = {}
+        self.errors: dict[FactorKey, float] = {}
         self.paths: dict[FactorKey, str] = {}
         self.written: set[str] = set()
         self.frames: dict[FactorKey, DataFrame] = {}
         self.version = 0
 
     def put(self, key: FactorKey, df: DataFrame, tag: str) -> DataFrame:
-        """Write one factor (with the ``sse`` column of an update that measured its error) and load it."""
+        """Write one factor and load it; the ``sse`` column of an update that measured its error is summed, not written."""
         self.version += 1
         path = f"{self.root}/factors/{tag}/v{self.version:05d}_t{key[0]}_m{key[1]}"
-        df.select("idx", "v", *[c for c in df.columns if c == "sse"]).write.mode("overwrite").parquet(path)
+        watch = Observation()
+        sums = [F.avg(F.col("v")[c]).alias(f"m_{c}") for c in range(self.rank)]
+        sums += [F.sum("sse").alias("sse")] if "sse" in df.columns else []
+        df.observe(watch, *sums).select("idx", "v").write.mode("overwrite").parquet(path)
+        self._note([key], watch.get, "sse" in df.columns)
         return self.load(key, path)
 
-    def error(self, key: FactorKey) -> DataFrame:
-        """Squared error that the update behind the current version of ``key`` measured: one row ``sse``."""
-        return self.spark.read.schema("sse double").parquet(self.paths[key]).agg(F.sum("sse").alias("sse"))
+    def _note(self, keys: Sequence[FactorKey], seen: dict, with_error: bool = False) -> None:
+        """Keep what the write of ``keys`` measured."""
+        for i, key in enumerate(keys):
+            self.means[key] = [float(seen[f"m_{i * self.rank + c}"]) for c in range(self.rank)]
+            self.errors.pop(key, None)
+            if with_error:
+                self.errors[key] = float(seen["sse"] or 0.0)
 
     def put_many(self, frames: dict[FactorKey, DataFrame], tag: str) -> None:
         """Write several factors in one job (partitioned by tensor and mode)."""
@@ -80,7 +98,11 @@ class FactorStore:
         if path is None:
             self.version += 1
             path = f"{self.root}/factors/{tag}/v{self.version:05d}"
-        table.write.mode("overwrite").partitionBy("tensor", "mode").parquet(path)
+        watch = Observation()
+        cells = [(f"tensor = {t} AND mode = {m}", c) for t, m in keys for c in range(self.rank)]
+        sums = [F.expr(f"avg(CASE WHEN {mine} THEN v[{c}] END)").alias(f"m_{i}") for i, (mine, c) in enumerate(cells)]
+        table.observe(watch, *sums).write.mode("overwrite").partitionBy("tensor", "mode").parquet(path)
+        self._note(keys, watch.get)
         for (t, m) in keys:
             self.load((t, m), f"{path}/tensor={t}/mode={m}")
 
@@ -101,10 +123,12 @@ class FactorStore:
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
             self.written.discard(path)
 
-    def restore(self, paths: dict[FactorKey, str], version: int, written: Sequence[str]) -> None:
+    def restore(self, paths: dict[FactorKey, str], version: int, written: Sequence[str],
+                means: dict[FactorKey, list[float]]) -> None:
         """Take up the factors of a committed iteration; later versions of a killed run are written over."""
         for key, path in paths.items():
             self.load(key, path)
+        self.means.update(means)
         self.version = version
         self.written.update(written)
 
@@ -162,44 +186,31 @@ def _log(verbose: bool, msg: str) -> None:
 
 def evaluate(spark: SparkSession, tensors: Sequence[Tensor], valid: Sequence[Tensor] | None,
              store: FactorStore, rank: int, heavy: Sequence[dict[int, DataFrame]] | None = None,
-             measured: dict[int, FactorKey] | None = None, counts: Sequence[int] = (),
+             measured: dict[int, FactorKey] | None = None, counts: Sequence[int] = (), squares: Sequence[float] = (),
              ) -> tuple[dict, dict, dict]:
-    """One job: column means of every factor, SSE and count of every tensor.
+    """Column means of every factor, SSE and count of every tensor; at most one job.
 
     ``measured``: tensors whose last update of the sweep measured the error of all their entries, with the factor it
-    wrote; their entries are not read again.
+    wrote; their entries are not read again, unless the error is below ``LEAST_ERROR`` of the sum of their squares
+    (``squares``). It is a difference of sums then, with hardly a digit left.
     """
-    means_df = means_rows(store.frames, rank).select(
-        F.lit("mean").alias("kind"), "tensor", "mode", "col", F.col("mean").alias("value"),
-        F.lit(None).cast("long").alias("n"))
-    parts = [means_df]
-    for prefix, ts in (("train", tensors), ("valid", valid)):
-        if not ts:
-            continue
-        for t, ten in enumerate(ts):
-            if prefix == "train" and measured and t in measured:
-                lt = store.error(measured[t]).select(F.lit(prefix).alias("part"), F.lit(t).alias("tensor"), "sse",
-                                                     F.lit(int(counts[t])).cast("long").alias("n"))
-            else:
-                own = {(0, m): store.frames[(t, m)] for m in range(ten.n_modes)}
-                hot = [heavy[t]] if heavy and prefix == "train" else None
-                lt = loss_table(spark, [ten], own, rank, prefix, hot).withColumn("tensor", F.lit(t))
-            parts.append(lt.select(F.col("part").alias("kind"), "tensor", F.lit(None).cast("int").alias("mode"),
-                                   F.lit(None).cast("int").alias("col"), F.col("sse").alias("value"), "n"))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    means: dict[FactorKey, list[float]] = {}
     train: dict[int, tuple[float, int]] = {}
     val: dict[int, tuple[float, int]] = {}
-    for r in union.collect():
-        if r.kind == "mean":
-            means.setdefault((r.tensor, r.mode), [0.0] * rank)[r.col] = float(r.value)
-        elif r.kind == "train":
-            train[r.tensor] = (float(r.value or 0.0), int(r.n))
-        else:
-            val[r.tensor] = (float(r.value or 0.0), int(r.n))
-    return means, train, val
+    for t, key in (measured or {}).items():
+        if store.errors[key] > LEAST_ERROR * squares[t]:
+            train[t] = (store.errors[key], int(counts[t]))
+    union = None
+    for prefix, ts in (("train", tensors), ("valid", valid or ())):
+        for t, ten in enumerate(ts):
+            if prefix == "train" and t in train:
+                continue
+            own = {(0, m): store.frames[(t, m)] for m in range(ten.n_modes)}
+            hot = [heavy[t]] if heavy and prefix == "train" else None
+            row = loss_table(spark, [ten], own, rank, prefix, hot).withColumn("tensor", F.lit(t))
+            union = row if union is None else union.unionByName(row)
+    for r in union.collect() if union is not None else ():
+        (train if r.part == "train" else val)[r.tensor] = (float(r.sse or 0.0), int(r.n))
+    return dict(store.means), train, val
 
 
 def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coupling],
@@ -246,7 +257,7 @@ def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coup
 
 
 def _layout(spark: SparkSession, t: Tensor, cfg: FitConfig, level: StorageLevel, held: list[DataFrame],
-            root: str, tables: list[str]) -> tuple[int, list[Tensor], dict[int, DataFrame]]:
+            root: str, tables: list[str]) -> tuple[int, float, list[Tensor], dict[int, DataFrame]]:
     """Entries checked and counted once, then kept as one copy per mode.
 
     Where the other modes' factors can be broadcast, the copy is cached and range-partitioned on the mode's key. Otherwise it is
@@ -255,7 +266,7 @@ def _layout(spark: SparkSession, t: Tensor, cfg: FitConfig, level: StorageLevel,
     """
     src = t.entries.select(*entry_columns(t.n_modes)).persist(level)
     held.append(src)
-    n = check(t.with_entries(src))
+    n, squares = check_and_sum(t.with_entries(src))
     large = [m for m, d in enumerate(t.dims) if not fits_broadcast(spark, d, cfg.rank)]
     per_mode, hot = [], {}
     if large:
@@ -276,7 +287,7 @@ def _layout(spark: SparkSession, t: Tensor, cfg: FitConfig, level: StorageLevel,
             e.count()
         per_mode.append(t.with_entries(e))
     src.unpersist()
-    return n, per_mode, hot
+    return n, squares, per_mode, hot
 
 
 def _fit(spark: SparkSession, tensors: Sequence[Tensor], validation: Sequence[Tensor] | None, graph: Layout,
@@ -286,10 +297,12 @@ def _fit(spark: SparkSession, tensors: Sequence[Tensor], validation: Sequence[Te
     level = getattr(StorageLevel, cfg.storage)
     copies: list[list[Tensor]] = []
     counts: list[int] = []
+    squares: list[float] = []
     heavy: list[dict[int, DataFrame]] = []
     for t in tensors:
-        n, per_mode, hot = _layout(spark, t, cfg, level, held, root, tables)
+        n, square, per_mode, hot = _layout(spark, t, cfg, level, held, root, tables)
         counts.append(n)
+        squares.append(square)
         copies.append(per_mode)
         heavy.append(hot)
     cached = [c[0] for c in copies]
@@ -307,7 +320,7 @@ def _fit(spark: SparkSession, tensors: Sequence[Tensor], validation: Sequence[Te
             check(vt)
             vcached.append(vt)
 
-    store = FactorStore(spark, root)
+    store = FactorStore(spark, root, rank)
     what = commits.fingerprint(tensors, graph, cfg, counts)
     state = commits.latest(spark, root, what) if resume else None
     lap("prepare")
@@ -321,7 +334,7 @@ def _fit(spark: SparkSession, tensors: Sequence[Tensor], validation: Sequence[Te
         store.put_many(init, "it00000")
         state = commits.State()
     else:
-        store.restore(state.snapshots[state.it], state.version, state.written)
+        store.restore(state.snapshots[state.it], state.version, state.written, state.means)
     lap("init")
     _log(verbose, f"init done: entries {counts}")
 
@@ -330,7 +343,7 @@ def _fit(spark: SparkSession, tensors: Sequence[Tensor], validation: Sequence[Te
     measured: dict[int, FactorKey] = {}
 
     def step_metrics(it: int) -> None:
-        means, train, val = evaluate(spark, cached, vcached, store, rank, heavy, measured, counts)
+        means, train, val = evaluate(spark, cached, vcached, store, rank, heavy, measured, counts, squares)
         seconds = time.time() - start
         losses = [training_loss(*train[t], opts.loss) for t in range(len(cached))]
         mean_losses = [sum(mean_loss(means[a], means[b], opts.loss) for a, b in graph.pairs(k))
