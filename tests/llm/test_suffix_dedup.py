@@ -62,6 +62,22 @@ def test_a_long_list_of_heavy_pieces_raises_the_bound(spark):
     assert got(spark, rows, light=1, heavy_list=3) == brute(rows, 200)
 
 
+def test_more_heavy_pieces_than_may_be_broadcast(spark):
+    rows = corpus(13)
+    assert got(spark, rows, light=2, heavy_list=2, crowded=4, threshold=60, gram=20) == brute(rows, 60)
+    # One piece holds a third of the anchors; the list that is broadcast stays within its bound and nothing is lost.
+    counts = [(0, 500)] + [(g, 3 + g % 90) for g in range(1, 60)] + [(g, 2) for g in range(100, 120)]
+    twice = spark.createDataFrame(counts, "gram long, n long")
+    for bound in (1, 5, 20, 59):
+        hottest, others = sd._heavy_pieces(twice, 2, bound)
+        hot, rest = ({r.gram for r in t.collect()} for t in (hottest, others))
+        assert len(hot) <= bound and not hot & rest and hot | rest == {g for g, n in counts if n > 2}
+        assert all(n * bound <= sum(n for _, n in counts if n > 2) for g, n in counts if g in rest)
+    hottest, others = sd._heavy_pieces(twice, 2, 60)
+    assert others is None and hottest.count() == 60
+    assert sd._heavy_pieces(twice.where("n < 0"), 2, 5)[1] is None
+
+
 def test_repeated_and_null_ids(spark):
     rows = corpus(7) + [(10, "tail " * 100), (None, "q" * 450), (None, corpus(7)[15][1])]
     assert got(spark, rows) == brute(rows, 200)

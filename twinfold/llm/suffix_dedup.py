@@ -21,8 +21,8 @@ ones (the last digit by 128 bits).
 
 Scale. Counts of the first digit combine in the tasks before the shuffle. Pieces that occur at most
 ``light`` times are sorted further in one more shuffle, group by group, in memory that ``light`` bounds. Pieces
-that occur more often (the list of them is broadcast only while it has at most ``heavy_list`` entries; beyond that
-``light`` doubles) take the same digits by combined counts and joins; what is left of them is compared in memory too if
+that occur more often (at most ``heavy_list`` of them, the hottest, are found by a broadcast, the others by a join whose
+keys are each below a ``heavy_list``-th of the heavy anchors) take the same digits by combined counts and joins; what is left of them is compared in memory too if
 it has at most ``crowded`` different surroundings, and by further counts and joins if it has more, so no task
 ever gathers them. Texts are moved compressed.
 """
@@ -275,11 +275,18 @@ def _blocks(active: DataFrame, threshold: int, size: int, before: int | None) ->
     return active.select(*names[:6], F.col("block").cast("long").alias("block")).mapInArrow(run, schema)
 
 
-def _heavy_pieces(spark: SparkSession, twice: DataFrame, light: int, heavy_list: int) -> tuple[DataFrame, int]:
-    """Pieces that occur more than ``light`` times, with ``light`` doubled until the list is short enough to broadcast."""
-    while twice.where(F.col("n") > light).count() > heavy_list:
-        light *= 2
-    return twice.where(F.col("n") > light).select("gram"), light
+def _heavy_pieces(twice: DataFrame, light: int, heavy_list: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pieces that occur more than ``light`` times: the hottest, at most ``heavy_list`` of them, and the others (None: none).
+
+    If all are too many, the hottest are those with more than a ``heavy_list``-th of the heavy anchors, of which there are
+    fewer than ``heavy_list``. Each of the others then holds at most that share of the anchors.
+    """
+    heavy = twice.where(F.col("n") > light)
+    pieces, anchors = heavy.agg(F.count("*"), F.sum("n")).first()
+    if pieces <= heavy_list:
+        return heavy.select("gram"), None
+    most = anchors // heavy_list
+    return heavy.where(F.col("n") > most).select("gram"), heavy.where(F.col("n") <= most).select("gram")
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM,
@@ -287,12 +294,12 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, threshold: int = THRESH
     """``row_id, start, stop``: byte ranges of ``docs(row_id long, text)`` whose strings repeat (ranges may overlap)."""
     twice = cut(spark, _anchor_rows(docs, threshold, gram, only_gram=True).groupBy("gram")
                 .agg(F.count("*").alias("n")).where("n > 1"), "pieces")
-    heavy, light = _heavy_pieces(spark, twice, light, heavy_list)
+    hottest, other_heavy = _heavy_pieces(twice, light, heavy_list)
     # The offsets are part of the second digit: equal ranges at equal offsets hold equal strings.
     digit = ["gram", "spread", "shape"]
     anchors = _anchor_rows(docs, threshold, gram).withColumn("shape", F.expr("at & 16777215"))
     # At most heavy_list longs.
-    few = F.broadcast(heavy)
+    few = F.broadcast(hottest)
     group, piece = Window.partitionBy(*digit), Window.partitionBy("gram")
     sorted_light = (anchors.join(few, "gram", "left_anti").join(twice.where(F.col("n") <= light).select("gram"), "gram")
                     .withColumn("n", F.count("*").over(group))
@@ -304,7 +311,10 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, threshold: int = THRESH
     first = F.expr("(at >> 24) - ((at >> 12) & 4095)")
     stop = F.expr("(at >> 24) - (at & 4095)") + threshold
 
-    members = cut(spark, anchors.join(few, "gram"), "heavy")
+    members = anchors.join(few, "gram")
+    if other_heavy is not None:
+        members = members.unionByName(anchors.join(few, "gram", "left_anti").join(other_heavy.hint("merge"), "gram"))
+    members = cut(spark, members, "heavy")
     groups = cut(spark, members.groupBy(*digit).agg(F.count("*").alias("n"), F.min(F.struct("row_id", "at")).alias("one")),
                  "groups")
     # One group may hold most members: they stay where they are as long as the list of groups can be broadcast.
