@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.functions.init import init_value
-from twinfold.session import fits_broadcast
+from twinfold.session import fits_broadcast, splits_hot_keys
 
 
 def init_factor(spark: SparkSession, dim: int, rank: int, method: str = "random", tensor: int = 0,
@@ -56,16 +56,23 @@ def means_rows(factors: Mapping[tuple[int, int], DataFrame], rank: int) -> DataF
     return out
 
 
-def heavy_indices(entries: DataFrame, mode: int, rows: int | None = None) -> DataFrame:
+def heavy_indices(entries: DataFrame, mode: int, rows: int | None = None, bins: int | None = None) -> DataFrame:
     """``idx, salts``: indices of ``mode`` with more than ``rows`` entries, and over how many salts to spread each.
 
     At most entries / rows indices are heavy. By default ``rows`` is the mean number of entries of a shuffle partition, so
     that a salt is no larger than a partition and there are at most as many heavy indices as shuffle partitions: a bound on
     the list, which is broadcast.
+
+    With ``bins`` the entries are read twice, but next to nothing is shuffled: they are counted in so many hash bins of the
+    index first, and only indices in a bin of more than ``rows`` entries are counted themselves. No other can be heavy.
     """
     if rows is None:
         parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = max(1, -(-entries.count() // parts))
+    if bins:
+        hashed = entries.withColumn("_bin", F.pmod(F.xxhash64(f"i{mode}"), F.lit(int(bins))).cast("int"))
+        full = hashed.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows).select("_bin")
+        entries = hashed.join(F.broadcast(full), "_bin", "left_semi")
     return (entries.groupBy(F.col(f"i{mode}").alias("idx")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows)
             .select("idx", F.ceil(F.col("n") / F.lit(rows)).cast("int").alias("salts")))
 
@@ -108,6 +115,25 @@ def join_salted(entries: DataFrame, factor: DataFrame, mode: int, salt_col: str,
     return entries.join(f, (entries[f"i{mode}"] == f["_k"]) & (entries[salt_col] == f["_s"]), "left").drop("_k", "_s")
 
 
+def join_sorted(entries: DataFrame, factor: DataFrame, mode: int) -> DataFrame:
+    """Left join of ``f{mode}`` on the index, sort-merge: AQE splits the partitions of hot indices.
+
+    Entries that lie by this index already stay where they are.
+    """
+    f = factor.select(F.col("idx").alias("_k"), F.col("v").alias(f"f{mode}")).hint("merge")
+    return entries.join(f, entries[f"i{mode}"] == f["_k"], "left").drop("_k")
+
+
+def hot_list(entries: DataFrame, mode: int, heavy: Mapping[int, DataFrame] | None) -> DataFrame | None:
+    """The heavy indices of ``mode`` to salt by: those handed in, or measured where AQE does not split them (None: it does).
+
+    Measuring reads all entries, so entries that are not kept anywhere would be built again for every list.
+    """
+    if heavy and mode in heavy:
+        return heavy[mode]
+    return None if splits_hot_keys(entries.sparkSession) else heavy_indices(entries, mode)
+
+
 def sound(joined: DataFrame, mode: int, width: int) -> DataFrame:
     """``joined`` with ``f{mode}`` checked: an entry without a factor row, or whose row has a null, NaN or infinite cell, fails."""
     total = " + ".join(f"f{mode}[{r}]" for r in range(width))
@@ -123,8 +149,8 @@ def join_factors(spark: SparkSession, entries: DataFrame, factors: Mapping[int,
 
     Many-to-one left joins on ``i{m} = idx``: no entry is ever dropped, and one whose index has no finite factor row
     fails the job, naming the index. A factor is broadcast only when its declared row count bounds it below the
-    broadcast limit. Otherwise the join is a sort-merge join on ``(index, salt)``: a heavy index is spread over salts and
-    its factor row repeated for each. Entries bucketed on a mode (:func:`store_entries`) stay where they are for that
+    broadcast limit. Otherwise the join is a sort-merge join: on the index where AQE splits hot ones (:func:`hot_list`), on
+    ``(index, salt)`` with a list: a heavy index is spread over salts and its factor row repeated for each. Entries bucketed on a mode (:func:`store_entries`) stay where they are for that
     mode's join, which therefore comes first. ``heavy`` may hand in :func:`heavy_indices` per mode where they are known.
     """
     out = entries
@@ -134,8 +160,10 @@ def join_factors(spark: SparkSession, entries: DataFrame, factors: Mapping[int,
             f = factors[m].select(F.col("idx").alias(f"_k{m}"), F.col("v").alias(f"f{m}"))
             out = out.join(F.broadcast(f), out[f"i{m}"] == f[f"_k{m}"], "left").drop(f"_k{m}")
         else:
-            hot = heavy[m] if heavy and m in heavy else heavy_indices(entries, m)
-            if stored_salt(m) in entries.columns:
+            hot = hot_list(entries, m, heavy)
+            if hot is None:
+                out = join_sorted(out, factors[m], m)
+            elif stored_salt(m) in entries.columns:
                 out = join_salted(out, factors[m], m, stored_salt(m), hot)
             else:
                 out = join_salted(salt(out, m, n_modes, hot), factors[m], m, "_salt", hot).drop("_salt")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.functions.columns import cell_names, cp_sum, rhs_names, row_product
-from twinfold.operators.factors import heavy_indices, join_factors, join_salted, salt, sound
+from twinfold.operators.factors import hot_list, join_factors, join_salted, join_sorted, salt, sound, stored_salt
 from twinfold.session import fits_broadcast
 from twinfold.spec import Tensor
 
@@ -44,10 +44,12 @@ def observations(spark: SparkSession, tensor: Tensor, factors: Mapping[int, Data
     entries' partitioning (clustered on the key), so the partial aggregate
     that follows combines each key's rows map-side. When a factor is too
     large to broadcast, its join scatters the keys; the observations are then
-    brought together on ``(key, salt)``, so the following partial aggregate is
-    effective again. A key has as many salts as its measured entry count asks
-    for (:func:`heavy_indices`). Where the factor of ``mode`` is needed and large, its
-    own join on ``(key, salt)`` does that, so a matrix whose entries are stored in
+    brought together on the key, so the following partial aggregate is
+    effective again: by a rebalance, whose hot partitions AQE splits, or, with a
+    list of heavy indices, on ``(key, salt)`` with as many salts as the key's
+    measured entry count asks for (:func:`hot_list`). Where the factor of ``mode`` is needed and large, its
+    own join does that (moving nothing if the entries are stored in
+    the buckets of the mode), so a matrix whose entries are stored in
     the buckets of the other mode moves one narrow row per entry, once.
     """
     n = tensor.n_modes
@@ -63,13 +65,18 @@ def observations(spark: SparkSession, tensor: Tensor, factors: Mapping[int, Data
     if all(small.values()):
         j = join_factors(spark, tensor.entries, factors, tensor.dims, modes, rank, heavy)
         return j.selectExpr(f"i{mode} AS key", *a, f"{target} AS t")
-    hot = heavy[mode] if heavy and mode in heavy else heavy_indices(tensor.entries, mode)
+    hot = hot_list(tensor.entries, mode, heavy)
     large_own = own and not small[mode]
     j = join_factors(spark, tensor.entries, factors, tensor.dims, others if large_own else modes, rank, heavy)
-    j = salt(j, mode, n, hot)
+    stored = hot is not None and stored_salt(mode) in tensor.entries.columns
+    if hot is not None and not stored:
+        j = salt(j, mode, n, hot)
     if large_own:
-        j = sound(join_salted(j, factors[mode], mode, "_salt", hot), mode, rank)
-        return j.selectExpr(f"i{mode} AS key", *a, f"{target} AS t")
+        j = (join_sorted(j, factors[mode], mode) if hot is None
+             else join_salted(j, factors[mode], mode, stored_salt(mode) if stored else "_salt", hot))
+        return sound(j, mode, rank).selectExpr(f"i{mode} AS key", *a, f"{target} AS t")
+    if hot is None:
+        return j.selectExpr(f"i{mode} AS key", *a, f"{target} AS t").hint("rebalance", "key")
     return j.selectExpr(f"i{mode} AS key", *a, f"{target} AS t", "_salt").repartition("key", "_salt").drop("_salt")
 
 

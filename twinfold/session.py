@@ -69,6 +69,13 @@ def fits_broadcast(spark: SparkSession, dim: int, width: int) -> bool:
     return factor_bytes(dim, width) <= broadcast_limit(spark)
 
 
+def splits_hot_keys(spark: SparkSession) -> bool:
+    """True when Spark itself splits the hot partitions of a sort-merge join and of a rebalance as it runs (AQE)."""
+    names = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
+             "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled")
+    return all(str(spark.conf.get(n, "true")).lower() == "true" for n in names)
+
+
 def _parse_bytes(raw: str) -> int:
     s = str(raw).strip().lower()
     units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
