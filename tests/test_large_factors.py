@@ -2,9 +2,9 @@
 
 import pytest
 
-from test_plans import _plan
+from test_plans import _above, _plan
 from twinfold.operators import factors as fo
-from twinfold.operators import update
+from twinfold.operators import normal, update
 from twinfold.operators.factors import init_factor
 from twinfold.spec import Options, Tensor
 
@@ -93,3 +93,32 @@ def test_binned_heavy_indices_are_the_counted_ones(spark):
         for rows in (1, 20, 100, 10**6):
             want, got = ({(r.idx, r.salts) for r in fo.heavy_indices(t.entries, mode, rows, bins).collect()} for bins in (None, 16))
             assert got == want
+
+
+def test_fit_keeps_one_copy_per_bucketing(spark, no_broadcast):
+    """Modes that ask for the same buckets share a table; entries in buckets of the mode itself do not move to be summed."""
+    from pyspark import StorageLevel
+
+    from twinfold.plans.fit import _layout
+    from twinfold.session import run_dir
+    from twinfold.spec import FitConfig
+
+    spark.conf.set("spark.twinfold.maxBroadcastBytes", "2000")
+    cfg, held, tables = FitConfig(rank=2, common=1, split=3), [], []
+    e = spark.range(900).selectExpr("id % 5 AS i0", "id % 180 AS i1", "CAST(id % 11 AS DOUBLE) AS y")
+    t = Tensor(e, (5, 180), "t")
+    n, _, copies, hot = _layout(spark, t, cfg, StorageLevel.MEMORY_AND_DISK, held, run_dir(spark, "layout"), tables)
+    try:
+        assert n == 900 and len(tables) == 1
+        assert all(c.entries.count() == 900 for c in copies)
+        f = {m: init_factor(spark, d, 2, "lcg", 0, m) for m, d in enumerate(t.dims)}
+        obs = normal.observations(spark, copies[1], f, 1, [1], 2, heavy=hot)
+        chains = list(_above(_plan(obs), "Bucketed: true"))
+        assert chains and not [line for chain in chains for line in chain if "Exchange" in line]
+        want = normal.observations(spark, t, f, 1, [1], 2, with_own=True, heavy=hot)
+        assert sorted(map(tuple, obs.collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        for name in tables:
+            spark.sql(f"DROP TABLE {name}")
+        for df in held:
+            df.unpersist()

@@ -35,6 +35,8 @@ from twinfold.spec import Coupling, FitConfig, Tensor
 FACTOR_SCHEMA = "idx long, v array<double>"
 #: Share of the targets' squares below which a training error is summed entry by entry, not taken from the normal equations.
 LEAST_ERROR = 1e-9
+#: Bins per shuffle partition in which entries are counted before heavy indices are looked for.
+HEAVY_BINS = 32
 
 METRICS_SCHEMA = T.StructType([
     T.StructField("iter", T.IntegerType(), False),
@@ -50,9 +52,10 @@ class FactorStore:
     The write itself measures what the loop needs to know of a factor (A1, A6, A8): its column means and the squared error
     of the update behind it are observed on the rows on their way to the files. They are counted in the tasks that write,
     whose results Spark takes once each, so no second job reads the factor and a task that is run again adds nothing.
+    Without a rank only the rows are counted.
     """
 
-    def __init__(self, spark: SparkSession, root: str, rank: int):
+    def __init__(self, spark: SparkSession, root: str, rank: int = 0):
         self.spark = spark
         self.root = root
         self.rank = rank
@@ -68,7 +71,7 @@ class FactorStore:
         self.version += 1
         path = f"{self.root}/factors/{tag}/v{self.version:05d}_t{key[0]}_m{key[1]}"
         watch = Observation()
-        sums = [F.avg(F.col("v")[c]).alias(f"m_{c}") for c in range(self.rank)]
+        sums = [F.count(F.lit(1)).alias("n")] + [F.avg(F.col("v")[c]).alias(f"m_{c}") for c in range(self.rank)]
         sums += [F.sum("sse").alias("sse")] if "sse" in df.columns else []
         df.observe(watch, *sums).select("idx", "v").write.mode("overwrite").parquet(path)
         self._note([key], watch.get, "sse" in df.columns)
@@ -100,7 +103,7 @@ class FactorStore:
             path = f"{self.root}/factors/{tag}/v{self.version:05d}"
         watch = Observation()
         cells = [(f"tensor = {t} AND mode = {m}", c) for t, m in keys for c in range(self.rank)]
-        sums = [F.expr(f"avg(CASE WHEN {mine} THEN v[{c}] END)").alias(f"m_{i}") for i, (mine, c) in enumerate(cells)]
+        sums = [F.count(F.lit(1)).alias("n")] + [F.expr(f"avg(CASE WHEN {mine} THEN v[{c}] END)").alias(f"m_{i}") for i, (mine, c) in enumerate(cells)]
         table.observe(watch, *sums).write.mode("overwrite").partitionBy("tensor", "mode").parquet(path)
         self._note(keys, watch.get)
         for (t, m) in keys:
@@ -261,7 +264,9 @@ def _layout(spark: SparkSession, t: Tensor, cfg: FitConfig, level: StorageLevel,
     """Entries checked and counted once, then kept as one copy per mode.
 
     Where the other modes' factors can be broadcast, the copy is cached and range-partitioned on the mode's key. Otherwise it is
-    written once, in buckets of the largest other mode, so that no update moves the entries to meet that factor.
+    written once, in buckets of the largest other mode, so that no update moves the entries to meet that factor; if only the
+    mode's own factor is too large, in buckets of the mode itself, where they meet its rows and give its sums. Modes that
+    ask for the same buckets share one copy.
     Heavy indices are measured only if some factor is too large to broadcast.
     """
     src = t.entries.select(*entry_columns(t.n_modes)).persist(level)
@@ -272,15 +277,19 @@ def _layout(spark: SparkSession, t: Tensor, cfg: FitConfig, level: StorageLevel,
     if large:
         shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
         for m in range(t.n_modes):
-            hot[m] = heavy_indices(src, m, max(1, -(-n // shuffled))).persist(level)
+            hot[m] = heavy_indices(src, m, max(1, -(-n // shuffled)), HEAVY_BINS * shuffled).persist(level)
             held.append(hot[m])
+    stored: dict[int, DataFrame] = {}
     for m in range(t.n_modes):
         others = [k for k in large if k != m]
-        if others:
-            by = max(others, key=lambda k: t.dims[k])
-            buckets = partitions_for(spark, n, t.n_modes, cfg.partition_bytes, cfg.split, t.dims[by])
-            tables.append(f"twinfold_{uuid.uuid4().hex}")
-            e = store_entries(spark, src, by, t.n_modes, hot[by], buckets, tables[-1], f"{root}/entries/{tables[-1]}")
+        if others or m in large:
+            by = max(others or [m], key=lambda k: t.dims[k])
+            if by not in stored:
+                # A split of the cached copies would be a bound on the tasks that meet a large factor.
+                buckets = max(cfg.split or 1, partitions_for(spark, n, t.n_modes, cfg.partition_bytes))
+                tables.append(f"twinfold_{uuid.uuid4().hex}")
+                stored[by] = store_entries(spark, src, by, t.n_modes, hot[by], buckets, tables[-1], f"{root}/entries/{tables[-1]}")
+            e = stored[by]
         else:
             e = cluster_by_mode(src, m, t.n_modes, partitions_for(spark, n, t.n_modes, cfg.partition_bytes, cfg.split, t.dims[m]))
             held.append(e.persist(level))
