@@ -122,3 +122,22 @@ def test_fit_keeps_one_copy_per_bucketing(spark, no_broadcast):
             spark.sql(f"DROP TABLE {name}")
         for df in held:
             df.unpersist()
+
+
+def test_a_small_split_is_no_bound_on_shuffles(spark, tmp_path):
+    """The job raises the shuffle partitions to its split, never below the session's."""
+    from twinfold.plans import job
+
+    for i in range(2):
+        rows = [f"{a}\t{b}\t{1 + (a * b + i) % 5}" for a in range(6) for b in range(5)]
+        (tmp_path / f"x{i}").mkdir()
+        (tmp_path / f"x{i}" / "part").write_text("\n".join(rows) + "\n")
+    (tmp_path / "map").write_text("0_1\t1_1\n")
+    args = [a for i in range(2) for a in ("--tensor", f"{tmp_path}/x{i}:6_5")]
+    args += ["--coupling", f"{tmp_path}/map", "--rank", "2", "--common", "1", "--stop", "1_1", "--init", "lcg", "--split", "3"]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        job.run(spark, job.parse_args([*args, "--output", f"{tmp_path}/out"]))
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == max(3, int(old))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)

@@ -8,7 +8,7 @@ Arguments follow the reference's job, named instead of positional::
 
 The reference's positional order is accepted too (first argument a number,
 see :func:`from_positional`). ``--split`` gives every mode ``min(split, dim)``
-partitions of entries and sets the shuffle partition count. Outputs under
+partitions of cached entries and raises the shuffle partition count to it. Outputs under
 OUT: ``factors/`` (parquet), ``U_{t}_{m}/`` tab exports of the final
 model, ``Validation_U_{t}_{m}/`` of each tensor's best validated version,
 ``metrics/`` (parquet), ``Log/`` and ``Validation_Log/`` (tab text), and,
@@ -40,7 +40,7 @@ def parse_args(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--stop", required=True, help="0_<min rel decrease>, 1_<max iters>, 2_<max hours>, combined")
     p.add_argument("--validation", action="append", default=None)
     p.add_argument("--output", required=True)
-    p.add_argument("--split", type=int, default=None, help="partitions per mode (at most its size) and per shuffle")
+    p.add_argument("--split", type=int, default=None, help="partitions per mode (at most its size), the least per shuffle")
     p.add_argument("--partition-bytes", type=int, default=256 << 20, help="size of a cached partition without --split")
     p.add_argument("--storage", default="MEMORY_AND_DISK", choices=STORAGE_LEVELS, help="level of cached entries")
     p.add_argument("--method", default="auto", choices=["auto", "sum", "gram"], help="form of the normal equations")
@@ -98,7 +98,9 @@ def run(spark: SparkSession, args: argparse.Namespace):
     if not args.coupling:
         raise SystemExit("--coupling is required")
     if args.split:
-        spark.conf.set("spark.sql.shuffle.partitions", str(args.split))
+        # Never fewer than the session's: a small split of the entries is no bound on the tasks of every shuffle.
+        shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(args.split, shuffled)))
     specs = []
     for item in args.tensor:
         path, _, dims = item.rpartition(":")
