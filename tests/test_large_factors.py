@@ -87,6 +87,35 @@ def test_entries_by_part_do_not_move_to_meet_the_parts(spark, sf, no_broadcast):
         assert not [line for line in lines[joins[0]:cells] if "Exchange" in line]
 
 
+@pytest.mark.parametrize("query", ["update_common_gram", "update_specific_all", "normal_merge"])
+def test_entries_move_once_to_meet_a_large_factor_of_the_other_mode(spark, sf, no_broadcast, query):
+    """An update of parts: no exchange of entries between their cells and the join with the factor of mode 0."""
+    from twinfold.plans.catalog import QUERIES
+
+    lines = _plan(QUERIES[query](spark, sf)).split("\n")
+    joins = [n for n, line in enumerate(lines) if "SortMergeJoin [i0#" in line and "LeftOuter" in line]
+    assert len(joins) == (1 if query == "update_specific_all" else 2)
+    for join in joins:
+        cells = next(n for n, line in enumerate(lines) if n > join and "HashAggregate" in line)
+        assert not [line for line in lines[join:cells] if "Exchange" in line]
+
+
+def test_entries_lie_by_the_factor_they_meet_first(spark, sf):
+    """The cells are the same wherever they lie; by part unless the factor of mode 0 is too large to broadcast."""
+    from twinfold.plans.catalog import of_parts, x1, x2
+
+    for small in (True, False):
+        spark.conf.set("spark.twinfold.maxBroadcastBytes", str(10**9 if small else 0))
+        try:
+            tensors = of_parts(spark, sf, 3)
+        finally:
+            spark.conf.unset("spark.twinfold.maxBroadcastBytes")
+        for t, same in zip(tensors, (x1(spark, sf), x2(spark, sf))):
+            assert ("REPARTITION_BY_COL" in _plan(t.entries)) and f"hashpartitioning({'i1' if small else 'i0'}#" in _plan(t.entries)
+            assert sorted(map(tuple, t.entries.collect())) == sorted(map(tuple, same.entries.collect()))
+            assert t.dims == same.dims
+
+
 def test_binned_heavy_indices_are_the_counted_ones(spark):
     t = _tensor(spark, 5)
     for mode in range(2):

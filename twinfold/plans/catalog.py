@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from twinfold.operators import factors as fo
 from twinfold.operators import normal, predict, solve, stopping, tensor, update
 from twinfold.operators.factors import init_factor
-from twinfold.session import run_dir
+from twinfold.session import fits_broadcast, run_dir
 from twinfold.sources import sinks, tables, text, tpch
 from twinfold.spec import FitConfig, Options, Stop, Tensor
 
@@ -49,16 +49,27 @@ def domain(spark: SparkSession, sf: str, table: str) -> DataFrame:
 KEYS = {"customer": "custkey", "part": "partkey", "supplier": "suppkey"}
 
 
-def x1(spark: SparkSession, sf: str, three_mode: bool = False) -> Tensor:
+def x1(spark: SparkSession, sf: str, three_mode: bool = False, by: int = 1) -> Tensor:
     d = dims(spark, sf)
     extra = (tpch.SHIP_MONTHS,) if three_mode else ()
-    return Tensor(tpch.x1_entries(spark, sf, three_mode), (d["customer"], d["part"]) + extra, "x1")
+    return Tensor(tpch.x1_entries(spark, sf, three_mode, by), (d["customer"], d["part"]) + extra, "x1")
 
 
-def x2(spark: SparkSession, sf: str, three_mode: bool = False) -> Tensor:
+def x2(spark: SparkSession, sf: str, three_mode: bool = False, by: int = 1) -> Tensor:
     d = dims(spark, sf)
     extra = (tpch.SHIP_MONTHS,) if three_mode else ()
-    return Tensor(tpch.x2_entries(spark, sf, three_mode), (d["supplier"], d["part"]) + extra, "x2")
+    return Tensor(tpch.x2_entries(spark, sf, three_mode, by), (d["supplier"], d["part"]) + extra, "x2")
+
+
+def of_parts(spark: SparkSession, sf: str, rank: int, three_mode: bool = False) -> list[Tensor]:
+    """X1 (with ``three_mode`` of three modes) and X2 for an update of their parts at ``rank``.
+
+    Entries lie by part. Where the factor of mode 0 is too large to broadcast they lie by mode 0 instead: they meet that factor
+    first, where they are, and then move to their part with its row, once.
+    """
+    d = dims(spark, sf)
+    by = [int(fits_broadcast(spark, d[table], rank)) for table in ("customer", "supplier")]
+    return [x1(spark, sf, three_mode, by[0]), x2(spark, sf, by=by[1])]
 
 
 def lcg_factors(spark: SparkSession, t: Tensor, ti: int, rank: int) -> dict[int, DataFrame]:
@@ -340,7 +351,7 @@ def q_normal_equations_x1(spark, sf):
 
 
 def q_normal_merge(spark, sf):
-    a, b = x1(spark, sf), x2(spark, sf)
+    a, b = of_parts(spark, sf, RANK)
     block = list(range(COMMON))
     na = normal.normal_equations(normal.observations(spark, a, lcg_factors(spark, a, 0, RANK), 1, block, RANK), COMMON)
     nb = normal.normal_equations(normal.observations(spark, b, lcg_factors(spark, b, 1, RANK), 1, block, RANK), COMMON)
@@ -390,7 +401,7 @@ def _salted(spark, sf):
 
 
 def _specific(spark, sf, method="auto", heavy=None, piece=None):
-    a = x1(spark, sf)
+    a, _ = of_parts(spark, sf, 3)
     return update.update_specific(spark, a, lcg_factors(spark, a, 0, 3), 1, 3, 1, Options(LAM, "ls"), 0, method, heavy, piece=piece)
 
 
@@ -420,12 +431,12 @@ def q_update_specific_shuffle(spark, sf):
 
 def q_update_specific_all(spark, sf):
     """M5 with common = 0: the whole row of a coupled mode."""
-    a = x1(spark, sf)
+    a, _ = of_parts(spark, sf, 2)
     return _flat(update.update_specific(spark, a, lcg_factors(spark, a, 0, 2), 1, 2, 0, Options(LAM, "ls"), 0), 2)
 
 
 def _common(spark, sf, rank=3, common=2, method="auto", shuffled=False):
-    a, b = x1(spark, sf), x2(spark, sf)
+    a, b = of_parts(spark, sf, rank)
     fa, fb = lcg_factors(spark, a, 0, rank), lcg_factors(spark, b, 1, rank)
     both = update.update_common(spark, a, fa, 1, 0, b, fb, 1, 0, rank, common, Options(LAM, "ls"), method=method,
                                 heavy=(_salted(spark, sf), None) if shuffled else (None, None))
@@ -528,6 +539,7 @@ def q_update_stored(spark, sf):
 def q_update_shared_modes(spark, sf):
     """M6 and J3 of a three-mode tensor (parts in mode 1) with two matrices (parts in modes 1 and 0), rank 3, common 2."""
     tensors, coup = tpch.coupled_three(spark, sf, three_mode=True)
+    tensors[:2] = of_parts(spark, sf, 3, three_mode=True)
     keys = ((0, 1), (1, 1), (2, 0))
     sides = [update.Side(t, lcg_factors(spark, t, i, 3), m, 0, (i, m)) for t, (i, m) in zip(tensors, keys)]
     both = update.update_shared(spark, sides, 3, 2, Options(LAM, "ls"))

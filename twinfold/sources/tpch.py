@@ -35,31 +35,34 @@ def dims_of(spark: SparkSession, sf_dir: str) -> dict[str, int]:
     return {r.t: int(r["count"]) for r in df.collect()}
 
 
-def _by_part(lines: DataFrame, keys: list[Column], value: str) -> GroupedData:
-    """Lines grouped by cell, moved once, to the task of their part: what meets the parts' factor next need not move again.
+def _by_cell(lines: DataFrame, keys: list[Column], value: str, by: int) -> GroupedData:
+    """Lines grouped by cell, moved once, to the task of their index on mode ``by``: what meets that mode's factor next need
+    not move again.
 
     Few lines share a cell, so sums before that move would save nothing.
     """
-    cells = lines.select(*keys, value).repartition("i1")
+    cells = lines.select(*keys, value).repartition(f"i{by}")
     return cells.groupBy(*[c for c in cells.columns if c != value])
 
 
-def x1_entries(spark: SparkSession, sf_dir: str, three_mode: bool = False) -> DataFrame:
+def x1_entries(spark: SparkSession, sf_dir: str, three_mode: bool = False, by: int = 1) -> DataFrame:
+    """Entries of X1, dealt over the tasks by their index on mode ``by`` (their part)."""
     li = table(spark, sf_dir, "lineitem")
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     j = li.join(od, li.l_orderkey == od.o_orderkey)
     keys = [F.col("o_custkey").alias("i0"), F.col("l_partkey").alias("i1")]
     if three_mode:
         keys.append((F.month("l_shipdate") - 1).cast("long").alias("i2"))
-    return _by_part(j, keys, "l_quantity").agg(F.sum("l_quantity").cast("double").alias("y"))
+    return _by_cell(j, keys, "l_quantity", by).agg(F.sum("l_quantity").cast("double").alias("y"))
 
 
-def x2_entries(spark: SparkSession, sf_dir: str, three_mode: bool = False) -> DataFrame:
+def x2_entries(spark: SparkSession, sf_dir: str, three_mode: bool = False, by: int = 1) -> DataFrame:
+    """Entries of X2, dealt as those of X1."""
     li = table(spark, sf_dir, "lineitem")
     keys = [F.col("l_suppkey").alias("i0"), F.col("l_partkey").alias("i1")]
     if three_mode:
         keys.append((F.month("l_shipdate") - 1).cast("long").alias("i2"))
-    return _by_part(li, keys, "l_extendedprice").agg((F.max("l_extendedprice") / F.lit(1000.0)).alias("y"))
+    return _by_cell(li, keys, "l_extendedprice", by).agg((F.max("l_extendedprice") / F.lit(1000.0)).alias("y"))
 
 
 def x3_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
