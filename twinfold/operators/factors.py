@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from twinfold.functions.init import init_value
 from twinfold.session import fits_broadcast, splits_hot_keys
 
+#: Bytes of a factor's rows that a task may hash, and of a hashed row beside its doubles (key, headers, pointers).
+HASHED_BYTES = 48 << 20
+HASHED_ROW = 112
+OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
 
 def init_factor(spark: SparkSession, dim: int, rank: int, method: str = "random", tensor: int = 0,
                 mode: int = 0, seed: int = 0, value: float = 1.0, diag_rows: int | None = None,
@@ -77,6 +81,12 @@ def heavy_indices(entries: DataFrame, mode: int, rows: int | None = None, bins:
             .select("idx", F.ceil(F.col("n") / F.lit(rows)).cast("int").alias("salts")))
 
 
+def none_heavy(heavy: DataFrame) -> bool:
+    """True when the plan of ``heavy`` itself says that it has no rows (:func:`heavy_table` of none); takes no job."""
+    most = heavy._jdf.queryExecution().optimizedPlan().maxRows()
+    return most.isDefined() and int(most.get()) == 0
+
+
 def salt(entries: DataFrame, mode: int, n_modes: int, heavy: DataFrame, name: str = "_salt") -> DataFrame:
     """``entries`` with a salt: a hash of the other indices modulo the salts of the entry's index on ``mode``."""
     h = heavy.select(F.col("idx").alias("_heavy"), F.col("salts").alias("_salts"))
@@ -90,28 +100,75 @@ def stored_salt(mode: int) -> str:
     return f"_salt{mode}"
 
 
+def dealt_salt(mode: int) -> str:
+    """:func:`stored_salt` of entries that are bucketed and not sorted."""
+    return f"_dealt{mode}"
+
+
+def salt_of(entries: DataFrame, mode: int) -> str | None:
+    """The salt by which ``entries`` are bucketed together with their index on ``mode``, None if they are not."""
+    return next((c for c in (stored_salt(mode), dealt_salt(mode)) if c in entries.columns), None)
+
+
+def buckets_for_hashing(dim: int, width: int) -> int:
+    """Least number of buckets of which each holds at most ``HASHED_BYTES`` of a factor's rows, on average.
+
+    The indices are distinct, so the buckets hold about as many rows each, and the few that salts repeat.
+    """
+    return max(1, -(-int(dim) * (8 * int(width) + HASHED_ROW) // HASHED_BYTES))
+
+
 def store_entries(spark: SparkSession, entries: DataFrame, mode: int, n_modes: int, heavy: DataFrame, buckets: int,
-                  table: str, path: str) -> DataFrame:
+                  table: str, path: str, sort: bool = True) -> DataFrame:
     """Entries written once, bucketed and sorted on (index of ``mode``, salt) as ``table`` at ``path``.
 
     Every later join with the factor of ``mode`` moves the factor's rows only: the entries lie in the buckets the join asks
-    for. ``heavy`` must be the list that the joins use.
+    for. ``heavy`` must be the list that the joins use. Without ``sort`` the entries are sorted neither here nor in the joins:
+    those hash the factor's rows of a bucket, so there must be :func:`buckets_for_hashing` at least.
     """
-    keys = [f"i{mode}", stored_salt(mode)]
-    salted = salt(entries, mode, n_modes, heavy, stored_salt(mode)).repartition(buckets, *keys)
-    salted.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    keys = [f"i{mode}", stored_salt(mode) if sort else dealt_salt(mode)]
+    salted = salt(entries, mode, n_modes, heavy, keys[1]).repartition(buckets, *keys)
+    writer = salted.write.bucketBy(buckets, *keys).option("path", path)
+    if sort:
+        writer.sortBy(*keys).saveAsTable(table)
+        return spark.table(table)
+    # A task has the rows of one bucket, so one open file: Spark need not sort them by bucket first (and does from a second one on).
+    old = spark.conf.get(OPEN_FILES)
+    spark.conf.set(OPEN_FILES, "2")
+    try:
+        writer.saveAsTable(table)
+    finally:
+        spark.conf.set(OPEN_FILES, old)
     return spark.table(table)
 
 
+def stored_table(spark: SparkSession, mode: int, n_modes: int, buckets: int, table: str, path: str) -> DataFrame:
+    """Entries that :func:`store_entries` left unsorted at ``path``, as ``table`` again."""
+    columns = ", ".join([*[f"i{k} BIGINT" for k in range(n_modes)], "y DOUBLE", f"{dealt_salt(mode)} INT"])
+    place = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (i{mode}, {dealt_salt(mode)}) "
+              f"INTO {int(buckets)} BUCKETS LOCATION '{place}'")
+    return spark.table(table)
+
+
+def heavy_table(spark: SparkSession, rows: Sequence[tuple[int, int]]) -> DataFrame:
+    """``idx, salts`` of a collected list of heavy indices (:func:`heavy_indices` bounds it)."""
+    if not rows:
+        return spark.sql("SELECT * FROM VALUES (0L, 1) AS t(idx, salts) WHERE false")
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(f'({int(i)}L, {int(s)})' for i, s in rows)} AS t(idx, salts)")
+
+
 def join_salted(entries: DataFrame, factor: DataFrame, mode: int, salt_col: str, heavy: DataFrame) -> DataFrame:
     """Left join of ``f{mode}`` on (index, salt), the factor's rows repeated for each salt of a heavy index.
 
-    The hint keeps Spark from broadcasting a factor that is over the bound by its estimates.
+    The hint keeps Spark from broadcasting a factor that is over the bound by its estimates. Entries bucketed and not sorted meet
+    a hash table of the factor's rows of their bucket, others are sorted and merged with them.
     """
+    how = "shuffle_hash" if salt_col == dealt_salt(mode) else "merge"
     few = heavy.select(F.col("idx").alias("_heavy"), "salts")
     f = factor.select(F.col("idx").alias("_k"), F.col("v").alias(f"f{mode}"))
     f = f.join(F.broadcast(few), F.col("_k") == F.col("_heavy"), "left").select(
-        "_k", f"f{mode}", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("_s")).hint("merge")
+        "_k", f"f{mode}", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("_s")).hint(how)
     return entries.join(f, (entries[f"i{mode}"] == f["_k"]) & (entries[salt_col] == f["_s"]), "left").drop("_k", "_s")
 
 
@@ -155,7 +212,7 @@ def join_factors(spark: SparkSession, entries: DataFrame, factors: Mapping[int,
     """
     out = entries
     n_modes = len(dims)
-    for m in sorted(modes, key=lambda k: stored_salt(k) not in entries.columns):
+    for m in sorted(modes, key=lambda k: salt_of(entries, k) is None):
         if fits_broadcast(spark, dims[m], width):
             f = factors[m].select(F.col("idx").alias(f"_k{m}"), F.col("v").alias(f"f{m}"))
             out = out.join(F.broadcast(f), out[f"i{m}"] == f[f"_k{m}"], "left").drop(f"_k{m}")
@@ -163,8 +220,8 @@ def join_factors(spark: SparkSession, entries: DataFrame, factors: Mapping[int,
             hot = hot_list(entries, m, heavy)
             if hot is None:
                 out = join_sorted(out, factors[m], m)
-            elif stored_salt(m) in entries.columns:
-                out = join_salted(out, factors[m], m, stored_salt(m), hot)
+            elif salt_of(entries, m) is not None:
+                out = join_salted(out, factors[m], m, salt_of(entries, m), hot)
             else:
                 out = join_salted(salt(out, m, n_modes, hot), factors[m], m, "_salt", hot).drop("_salt")
         out = sound(out, m, width)

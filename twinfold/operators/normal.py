@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.functions.columns import cell_names, cp_sum, rhs_names, row_product
-from twinfold.operators.factors import hot_list, join_factors, join_salted, join_sorted, salt, sound, stored_salt
+from twinfold.operators.factors import hot_list, join_factors, join_salted, join_sorted, none_heavy, salt, salt_of, sound
 from twinfold.session import fits_broadcast
 from twinfold.spec import Tensor
 
@@ -47,7 +47,7 @@ def observations(spark: SparkSession, tensor: Tensor, factors: Mapping[int, Data
     brought together on the key, so the following partial aggregate is
     effective again: by a rebalance, whose hot partitions AQE splits, or, with a
     list of heavy indices, on ``(key, salt)`` with as many salts as the key's
-    measured entry count asks for (:func:`hot_list`). Where the factor of ``mode`` is needed and large, its
+    measured entry count asks for (:func:`hot_list`), on the key alone if there is none. Where the factor of ``mode`` is needed and large, its
     own join does that (moving nothing if the entries are stored in
     the buckets of the mode), so a matrix whose entries are stored in
     the buckets of the other mode moves one narrow row per entry, once.
@@ -68,23 +68,26 @@ def observations(spark: SparkSession, tensor: Tensor, factors: Mapping[int, Data
     hot = hot_list(tensor.entries, mode, heavy)
     large_own = own and not small[mode]
     j = join_factors(spark, tensor.entries, factors, tensor.dims, others if large_own else modes, rank, heavy)
-    stored = hot is not None and stored_salt(mode) in tensor.entries.columns
-    if hot is not None and not stored:
+    if hot is not None and not large_own and none_heavy(hot):
+        return j.selectExpr(f"i{mode} AS key", *a, f"{target} AS t").repartition("key")
+    stored = salt_of(tensor.entries, mode) if hot is not None else None
+    if hot is not None and stored is None:
         j = salt(j, mode, n, hot)
     if large_own:
         j = (join_sorted(j, factors[mode], mode) if hot is None
-             else join_salted(j, factors[mode], mode, stored_salt(mode) if stored else "_salt", hot))
+             else join_salted(j, factors[mode], mode, stored or "_salt", hot))
         return sound(j, mode, rank).selectExpr(f"i{mode} AS key", *a, f"{target} AS t")
     if hot is None:
         return j.selectExpr(f"i{mode} AS key", *a, f"{target} AS t").hint("rebalance", "key")
     return j.selectExpr(f"i{mode} AS key", *a, f"{target} AS t", "_salt").repartition("key", "_salt").drop("_salt")
 
 
-def normal_equations(obs: DataFrame, k: int, weight: float = 1.0) -> DataFrame:
-    """Keyed normal-equation aggregate (A3): ``key, n, ata_p_q (p<=q), atb_p``.
+def normal_equations(obs: DataFrame, k: int, weight: float = 1.0, squares: bool = False) -> DataFrame:
+    """Keyed normal-equation aggregate (A3): ``key, n, ata_p_q (p<=q), atb_p`` and, with ``squares``, ``tt``.
 
     ``weight`` multiplies every observation; it is applied once per key
     after the sums, which is the same algebra with fewer multiplications.
+    ``tt`` is the sum of the squared targets, without the weight.
     """
     w = float(weight)
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -94,9 +97,94 @@ def normal_equations(obs: DataFrame, k: int, weight: float = 1.0) -> DataFrame:
     for p, name in enumerate(rhs_names(k)):
         s = F.sum(F.col("t") * F.col(f"a_{p}"))
         aggs.append((s * F.lit(w) if w != 1.0 else s).alias(name))
+    if squares:
+        aggs.append(F.sum(F.col("t") * F.col("t")).alias("tt"))
     return obs.groupBy("key").agg(*aggs)
 
 
+def sum_names(rank: int) -> list[str]:
+    """Columns of :func:`mode_sums` beside ``key`` and ``n``."""
+    return [name for _, _, name in cell_names(rank)] + rhs_names(rank) + ["tt"]
+
+
+def sums_schema(rank: int) -> str:
+    return ", ".join(["key long", "n long", *[f"{c} double" for c in sum_names(rank)]])
+
+
+def mode_sums(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], mode: int, rank: int,
+              heavy: Mapping[int, DataFrame] | None = None) -> DataFrame:
+    """Unweighted normal equations of all columns of ``mode`` per key: ``key, n, ata_p_q, atb_p, tt`` (A3).
+
+    They depend on the other modes' factors only. The row of ``mode`` is one per key, so the equations of any block of
+    columns and the squared error follow from them key by key, for any rows (:func:`block_equations`, :func:`error_of_sums`):
+    as long as no other factor of the tensor changes the entries need not be read or moved again.
+    """
+    obs = observations(spark, tensor, factors, mode, list(range(rank)), rank, heavy=heavy)
+    return normal_equations(obs, rank, squares=True)
+
+
+def sums_with_rows(sums: Sequence[DataFrame], rows: Sequence[tuple[str, DataFrame]], rank: int) -> DataFrame:
+    """Sums of some sides (:func:`mode_sums`) and factor rows by key, in one aggregate.
+
+    ``rows``: (label, factor ``idx, v``); the row lands in ``{label}_0..``, the number of rows in ``has_{label}``. Output:
+    ``key, n_{side}, s{side}_{sum}.., has_{label}, {label}_c..``; a key without entries has ``n_{side}`` 0 and null sums.
+    """
+    null = "CAST(NULL AS DOUBLE)"
+    sides, labels = range(len(sums)), [label for label, _ in rows]
+    cells = [(i, c) for i in sides for c in sum_names(rank)]
+    own = [(label, c) for label in labels for c in range(rank)]
+    parts = [s.selectExpr("key", f"{i} AS _s", "n AS _n", *[f"{c if i == j else null} AS s{j}_{c}" for j, c in cells],
+                          *[f"{null} AS {label}_{c}" for label, c in own]) for i, s in enumerate(sums)]
+    parts += [f.selectExpr("idx AS key", f"{-1 - i} AS _s", "0L AS _n", *[f"{null} AS s{j}_{c}" for j, c in cells],
+                           *[f"{f'v[{c}]' if label == mine else null} AS {label}_{c}" for label, c in own])
+              for i, (mine, f) in enumerate(rows)]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    aggs = [f"max(CASE WHEN _s = {i} THEN _n ELSE 0L END) AS n_{i}" for i in sides]
+    aggs += [f"max(s{j}_{c}) AS s{j}_{c}" for j, c in cells]
+    aggs += [f"count(CASE WHEN _s = {-1 - i} THEN 1 END) AS has_{label}" for i, label in enumerate(labels)]
+    aggs += [f"max({label}_{c}) AS {label}_{c}" for label, c in own]
+    return u.groupBy("key").agg(*[F.expr(a) for a in aggs])
+
+
+def block_equations(side: int, label: str, block: Sequence[int], rank: int) -> dict[str, str]:
+    """SQL of the unweighted equations of ``block`` by name, from the sums of ``side`` and the key's row ``label``.
+
+    The residual of the other columns is taken off the sums (P5): ``b - A[block, rest] v[rest]``.
+    """
+    def cell(p: int, q: int) -> str:
+        return f"s{side}_ata_{min(p, q)}_{max(p, q)}"
+
+    rest = [r for r in range(rank) if r not in set(block)]
+    out = {name: cell(block[p], block[q]) for p, q, name in cell_names(len(block))}
+    for p, name in enumerate(rhs_names(len(block))):
+        out[name] = " - ".join([f"s{side}_atb_{block[p]}", *[f"{cell(block[p], r)} * {label}_{r}" for r in rest]])
+    return out
+
+
+def error_of_sums(side: int, rank: int, row: Sequence[str]) -> str:
+    """SQL of the squared error of a key's entries at the row whose cells are the expressions ``row``, from its sums.
+
+    The difference of sums loses digits only where the error is far below the values' squares; it is never negative.
+    """
+    linear = " + ".join(f"{x} * s{side}_{name}" for x, name in zip(row, rhs_names(rank)))
+    square = " + ".join(f"{'' if p == q else '2D * '}{row[p]} * {row[q]} * s{side}_{name}" for p, q, name in cell_names(rank))
+    return f"CASE WHEN n_{side} > 0 THEN greatest(0D, s{side}_tt - 2D * ({linear}) + {square}) END"
+
+
+def finite_row(label: str, rank: int) -> str:
+    """SQL condition: the key has exactly one, finite factor row ``label``."""
+    total = " + ".join(f"{label}_{c}" for c in range(rank))
+    return f"has_{label} = 1 AND ({total}) * 0D = 0D"
+
+
+def checked_row(label: str, rank: int, row: str) -> str:
+    """SQL for ``row`` of a key that has exactly one, finite factor row; any other key fails."""
+    return (f"CASE WHEN {finite_row(label, rank)} THEN {row} ELSE raise_error(concat("
+            f"'no finite factor row (exactly one) for key ', CAST(key AS STRING))) END")
+
+
 def merge_normal(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """Merge two tensors' equations (A4) on keys seen in both.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from twinfold.functions.columns import cp_sum, index_columns, vector_columns
 from twinfold.operators.factors import join_factors
+from twinfold.operators.normal import checked_row, error_of_sums, sums_with_rows
 from twinfold.spec import Tensor
 
 # The reference's rescale table for predictions, keyed by the
@@ -36,8 +37,17 @@ def predict(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame
 
 
 def squared_error(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], rank: int,
-                  heavy: Mapping[int, DataFrame] | None = None) -> DataFrame:
-    """One row ``(sse, n)`` for a tensor (A6 / A7 building block)."""
+                  heavy: Mapping[int, DataFrame] | None = None, sums: tuple[int, DataFrame] | None = None) -> DataFrame:
+    """One row ``(sse, n)`` for a tensor (A6 / A7 building block).
+
+    ``sums``: a mode and its sums at the rows of the other modes (``normal.mode_sums``), if known; the error is made of them.
+    It is a difference of sums then, with hardly a digit left far below the values' squares.
+    """
+    if sums is not None:
+        mode, table = sums
+        error = error_of_sums(0, rank, [f"own_{c}" for c in range(rank)])
+        each = sums_with_rows([table], [("own", factors[mode])], rank).selectExpr("n_0 AS n", f"{checked_row('own', rank, error)} AS sse")
+        return each.agg(F.sum("sse").alias("sse"), F.sum("n").alias("n"))
     p = predict(spark, tensor, factors, rank, keep=index_columns(tensor.n_modes) + ["y"], heavy=heavy)
     d = F.col("y") - F.col("yhat")
     return p.agg(F.sum(d * d).alias("sse"), F.count(F.lit(1)).alias("n"))
@@ -78,12 +88,13 @@ def mean_loss_df(factor_a: DataFrame, factor_b: DataFrame, rank: int, loss: str
 
 def loss_table(spark: SparkSession, tensors: Sequence[Tensor], factors: Mapping[tuple[int, int], DataFrame],
                rank: int, prefix: str = "train",
-               heavy: Sequence[Mapping[int, DataFrame]] | None = None) -> DataFrame:
+               heavy: Sequence[Mapping[int, DataFrame]] | None = None,
+               sums: Sequence[tuple[int, DataFrame] | None] | None = None) -> DataFrame:
     """Per-tensor ``(part, tensor, sse, n)`` rows as one union (A10 building block)."""
     out = None
     for t, ten in enumerate(tensors):
         fac = {m: factors[(t, m)] for m in range(ten.n_modes)}
-        row = squared_error(spark, ten, fac, rank, heavy[t] if heavy else None).select(
+        row = squared_error(spark, ten, fac, rank, heavy[t] if heavy else None, sums[t] if sums else None).select(
             F.lit(prefix).alias("part"), F.lit(t).alias("tensor"), "sse", "n")
         out = row if out is None else out.unionByName(row)
     return out

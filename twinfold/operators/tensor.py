@@ -116,6 +116,15 @@ def check(tensor: Tensor, allow_duplicates: bool = True) -> int:
 
 def check_and_sum(tensor: Tensor, allow_duplicates: bool = True) -> tuple[int, float]:
     """:func:`check` that also returns the sum of the squared values, from the same job."""
+    return check_and_digest(tensor, allow_duplicates)[:2]
+
+
+def check_and_digest(tensor: Tensor, allow_duplicates: bool = True) -> tuple[int, float, str]:
+    """:func:`check_and_sum` that also returns a digest of the entries, from the same job.
+
+    The digest sums a 64-bit hash of every entry, whatever their order: tensors of other entries differ in it. The hash is
+    summed in three pieces, so that no sum overflows.
+    """
     idx = index_columns(tensor.n_modes)
     conds = []
     for c, d in zip(idx, tensor.dims):
@@ -124,11 +133,13 @@ def check_and_sum(tensor: Tensor, allow_duplicates: bool = True) -> tuple[int, f
     for c in conds[1:]:
         bad_idx = bad_idx | c
     bad_y = F.col("y").isNull() | F.isnan("y") | (F.abs(F.col("y")) == F.lit(float("inf")))
+    _hash = f"xxhash64({', '.join(idx)}, y)"
     row = tensor.entries.agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(bad_idx, 1).otherwise(0)).alias("bad_idx"),
         F.sum(F.when(bad_y, 1).otherwise(0)).alias("bad_y"),
         F.sum(F.col("y") * F.col("y")).alias("squares"),
+        *[F.sum(F.expr(f"shiftright({_hash}, {low}) & {(1 << width) - 1}L")).alias(f"hash_{low}") for low, width in ((0, 21), (21, 21), (42, 22))],
     ).collect()[0]
     if row.bad_idx:
         raise ValueError(f"tensor {tensor.name}: {row.bad_idx} entries have an index outside {tensor.dims}")
@@ -138,7 +149,7 @@ def check_and_sum(tensor: Tensor, allow_duplicates: bool = True) -> tuple[int, f
         dup = tensor.entries.groupBy(*idx).count().where("count > 1").limit(1).count()
         if dup:
             raise ValueError(f"tensor {tensor.name} has duplicate coordinates")
-    return int(row.n), float(row.squares or 0.0)
+    return int(row.n), float(row.squares or 0.0), "_".join(str(row[f"hash_{low}"] or 0) for low in (0, 21, 42))
 
 
 def partitions_for(spark, n_entries: int, n_modes: int, partition_bytes: int, split: int | None = None,

@@ -15,6 +15,9 @@ same and so are the refusals: an entry without a factor row, a factor row with
 a null, NaN or infinite cell, a repeated factor row and equations that are
 not finite fail the job, naming keys. Nothing is dropped.
 
+An update may be handed the sums of its entries instead (``normal.mode_sums``, at the current rows of the other modes): it is
+then planned over one row per key, and the entries are neither read nor moved.
+
 Each function returns a lazy DataFrame ``(idx, v)`` (M6: ``(tensor, mode,
 idx, v)`` for all coupled factors); the fit loop decides where it lands.
 """
@@ -29,7 +32,8 @@ from pyspark.sql import functions as F
 
 from twinfold.functions.columns import cell_names, rhs_names
 from twinfold.operators.gram import GRAM_MIN_K, PIECE, merge_and_solve, partial_grams, partial_pieces
-from twinfold.operators.normal import add_mean_pull, observations
+from twinfold.operators.normal import (add_mean_pull, block_equations, checked_row, error_of_sums, finite_row, observations,
+                                       sums_with_rows)
 from twinfold.operators.solve import solve_column
 from twinfold.spec import Options, Tensor
 
@@ -104,11 +108,14 @@ def _row(label: str, rank: int) -> str:
     return "array(" + ", ".join(f"{label}_{c}" for c in range(rank)) + ")"
 
 
-def _checked(label: str, rank: int, row: str) -> str:
-    """SQL for ``row`` of a key that has exactly one, finite factor row; any other key fails."""
-    total = " + ".join(f"{label}_{c}" for c in range(rank))
-    return (f"CASE WHEN has_{label} = 1 AND ({total}) * 0D = 0D THEN {row} ELSE raise_error(concat("
-            f"'no finite factor row (exactly one) for key ', CAST(key AS STRING))) END")
+def _equations_of_sums(sums: Sequence[tuple[DataFrame, float]], rows: Sequence[tuple[str, DataFrame]], block: Sequence[int],
+                       rank: int) -> DataFrame:
+    """:func:`_equations_with_rows` from (sums, weight) per side, each with its row; the sums stay, as ``s{side}_{sum}``."""
+    eq = sums_with_rows([s for s, _ in sums], rows, rank)
+    cells = [block_equations(i, label, block, rank) for i, (label, _) in enumerate(rows)]
+    total = {name: " + ".join(f"CASE WHEN n_{i} > 0 THEN CAST({float(w)!r} AS DOUBLE) * ({c[name]}) ELSE 0D END"
+                              for i, (c, (_, w)) in enumerate(zip(cells, sums))) for name in cells[0]}
+    return eq.selectExpr("*", *[f"{sql} AS {name}" for name, sql in total.items()])
 
 
 def _error(k: int, weight: float, names: str = "") -> str:
@@ -121,25 +128,28 @@ def _error(k: int, weight: float, names: str = "") -> str:
     return f"CASE WHEN n_0 > 0 THEN greatest(0D, tt - 2D * ({linear}) + {square}) / CAST({float(weight)!r} AS DOUBLE) END"
 
 
+def _solved_cells(label: str, k: int, start: int, rank: int) -> list[str]:
+    return ([f"{label}_{c}" for c in range(start)] + [f"_x.x_{c}" for c in range(k)]
+            + [f"{label}_{c}" for c in range(start + k, rank)])
+
+
 def _solved_row(label: str, k: int, start: int, rank: int) -> str:
-    cells = ([f"{label}_{c}" for c in range(start)] + [f"_x.x_{c}" for c in range(k)]
-             + [f"{label}_{c}" for c in range(start + k, rank)])
-    return "array(" + ", ".join(cells) + ")"
+    return "array(" + ", ".join(_solved_cells(label, k, start, rank)) + ")"
 
 
 def update_uncoupled(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], mode: int,
                      rank: int, options: Options, n_entries: int, own_means: Sequence[float] | None = None,
                      other_means: Sequence[float] | None = None, method: str = "auto",
                      heavy: Mapping[int, DataFrame] | None = None, with_error: bool = False, pulls: int = 1,
-                     piece: int | None = None) -> DataFrame:
+                     piece: int | None = None, sums: DataFrame | None = None) -> DataFrame:
     """Update an uncoupled mode, full rank, with the mean pull (M4).
 
     Without means (a single tensor) the mean pull is left out. With ``pulls`` other factors, ``other_means`` is the average
     of their column means: as many pseudo-observations, each with its own target, have the same sums. ``heavy`` hands
     in known heavy indices per mode (only used where a factor is too large to broadcast).
-    ``with_error`` adds ``sse``, the squared error of every key's entries at its new row.
+    ``with_error`` adds ``sse``, the squared error of every key's entries at its new row. ``sums``: those of the mode, if known.
     """
-    if use_gram(rank, method):
+    if sums is None and use_gram(rank, method):
         pull = None
         if own_means is not None and other_means is not None:
             pull = (float(tensor.dims[mode]), list(own_means), list(other_means),
@@ -147,43 +157,53 @@ def update_uncoupled(spark: SparkSession, tensor: Tensor, factors: Mapping[int,
         weight, cells = entry_weight(options, n_entries), _piece(rank, piece)
         return merge_and_solve([_partials(spark, tensor, factors, mode, list(range(rank)), rank, heavy, weight=weight, piece=cells)],
                                [factors[mode]], rank, rank, 0, options.lam, [weight], pull, with_error=with_error, piece=cells)
-    obs = observations(spark, tensor, factors, mode, list(range(rank)), rank, heavy=heavy)
-    eq = _equations_with_rows([(obs, entry_weight(options, n_entries))], [("old", factors[mode])], rank, rank)
-    if with_error:
+    if sums is not None:
+        eq = _equations_of_sums([(sums, entry_weight(options, n_entries))], [("old", factors[mode])], list(range(rank)), rank)
+    else:
+        obs = observations(spark, tensor, factors, mode, list(range(rank)), rank, heavy=heavy)
+        eq = _equations_with_rows([(obs, entry_weight(options, n_entries))], [("old", factors[mode])], rank, rank)
+    if with_error and sums is None:
         eq = eq.selectExpr("*", *[f"{n} AS data_{n}" for n in [c for _, _, c in cell_names(rank)] + rhs_names(rank)])
     if own_means is not None and other_means is not None:
         w2 = pulls / rank if options.loss == "wls" else float(pulls)
         eq = add_mean_pull(eq, rank, tensor.dims[mode], own_means, other_means, w2,
                            x_cols=[f"old_{c}" for c in range(rank)])
-    eq = eq.withColumn("_x", solve_column(rank, options.lam, due="n_0 > 0"))
+    due = "n_0 > 0" if sums is None else f"n_0 > 0 AND {finite_row('old', rank)}"
+    eq = eq.withColumn("_x", solve_column(rank, options.lam, due=due))
     row = f"CASE WHEN n_0 > 0 THEN {_solved_row('old', rank, 0, rank)} ELSE {_row('old', rank)} END"
-    error = [f"{_error(rank, entry_weight(options, n_entries), 'data_')} AS sse"] if with_error else []
-    return eq.selectExpr("key AS idx", f"{_checked('old', rank, row)} AS v", *error)
+    sse = (_error(rank, entry_weight(options, n_entries), "data_") if sums is None
+           else error_of_sums(0, rank, _solved_cells("old", rank, 0, rank)))
+    return eq.selectExpr("key AS idx", f"{checked_row('old', rank, row)} AS v", *([f"{sse} AS sse"] if with_error else []))
 
 
 def update_specific(spark: SparkSession, tensor: Tensor, factors: Mapping[int, DataFrame], mode: int,
                     rank: int, common: int, options: Options, n_entries: int, method: str = "auto",
                     heavy: Mapping[int, DataFrame] | None = None, with_error: bool = False,
-                    piece: int | None = None) -> DataFrame:
-    """Update the specific block ``[common, rank)`` of a coupled mode (M5); ``with_error`` as in M4."""
+                    piece: int | None = None, sums: DataFrame | None = None) -> DataFrame:
+    """Update the specific block ``[common, rank)`` of a coupled mode (M5); ``with_error`` and ``sums`` as in M4."""
     if not 0 <= common < rank:
         raise ValueError("the specific block is empty")
     block = list(range(common, rank))
     k = len(block)
-    if use_gram(k, method):
+    if sums is None and use_gram(k, method):
         weight, cells = entry_weight(options, n_entries), _piece(k, piece)
         return merge_and_solve([_partials(spark, tensor, factors, mode, block, rank, heavy, weight=weight, piece=cells)], [factors[mode]],
                                k, rank, common, options.lam, [weight], with_error=with_error, piece=cells)
-    obs = observations(spark, tensor, factors, mode, block, rank, heavy=heavy)
-    eq = _equations_with_rows([(obs, entry_weight(options, n_entries))], [("old", factors[mode])], k, rank)
-    eq = eq.withColumn("_x", solve_column(k, options.lam, due="n_0 > 0"))
+    if sums is not None:
+        eq = _equations_of_sums([(sums, entry_weight(options, n_entries))], [("old", factors[mode])], block, rank)
+        due, sse = f"n_0 > 0 AND {finite_row('old', rank)}", error_of_sums(0, rank, _solved_cells("old", k, common, rank))
+    else:
+        obs = observations(spark, tensor, factors, mode, block, rank, heavy=heavy)
+        eq = _equations_with_rows([(obs, entry_weight(options, n_entries))], [("old", factors[mode])], k, rank)
+        due, sse = "n_0 > 0", _error(k, entry_weight(options, n_entries))
+    eq = eq.withColumn("_x", solve_column(k, options.lam, due=due))
     row = f"CASE WHEN n_0 > 0 THEN {_solved_row('old', k, common, rank)} ELSE {_row('old', rank)} END"
-    error = [f"{_error(k, entry_weight(options, n_entries))} AS sse"] if with_error else []
-    return eq.selectExpr("key AS idx", f"{_checked('old', rank, row)} AS v", *error)
+    return eq.selectExpr("key AS idx", f"{checked_row('old', rank, row)} AS v", *([f"{sse} AS sse"] if with_error else []))
 
 
 class Side(NamedTuple):
-    """One tensor of a common update: its entries, factors, coupled mode, entry count, label of the output and heavy indices."""
+    """One tensor of a common update: its entries, factors, coupled mode, entry count, label of the output, heavy indices and,
+    if they are known, the sums of the mode."""
 
     tensor: Tensor
     factors: Mapping[int, DataFrame]
@@ -191,6 +211,7 @@ class Side(NamedTuple):
     n_entries: int
     label: tuple[int, int]
     heavy: Mapping[int, DataFrame] | None = None
+    sums: DataFrame | None = None
 
 
 def update_shared(spark: SparkSession, sides: Sequence[Side], rank: int, common: int, options: Options,
@@ -200,6 +221,7 @@ def update_shared(spark: SparkSession, sides: Sequence[Side], rank: int, common:
     ``sides`` are two or more tensors, of any mode counts, each coupled by a mode at any position. The equations of all
     sides are summed per key (A4). A key is solved where at least two tensors have entries (J3), from the entries of all
     that have; the solution goes to the factors of those tensors, and a tensor without entries on the key keeps its row.
+    Where all sides come with their sums, the equations are made of them.
     Returns ``(tensor, mode, idx, v)`` rows for all factors, so one write lands them.
     """
     if not 0 < common <= rank:
@@ -208,24 +230,30 @@ def update_shared(spark: SparkSession, sides: Sequence[Side], rank: int, common:
         raise ValueError("a common block needs two tensors")
     block = list(range(common))
     weights = [entry_weight(options, s.n_entries) for s in sides]
-    if use_gram(common, method):
+    summed = all(s.sums is not None for s in sides)
+    if not summed and use_gram(common, method):
         cells = _piece(common, piece)
         partials = [_partials(spark, s.tensor, s.factors, s.mode, block, rank, s.heavy, i, len(sides), weights[i], cells)
                     for i, s in enumerate(sides)]
         return merge_and_solve(partials, [s.factors[s.mode] for s in sides], common, rank, 0, options.lam, weights, None,
                                [s.label for s in sides], piece=cells)
-    obs = [observations(spark, s.tensor, s.factors, s.mode, block, rank, heavy=s.heavy) for s in sides]
     names = [f"v{i}" for i in range(len(sides))]
-    eq = _equations_with_rows(list(zip(obs, weights)), [(n, s.factors[s.mode]) for n, s in zip(names, sides)], common, rank)
+    own = [(n, s.factors[s.mode]) for n, s in zip(names, sides)]
+    if summed:
+        eq = _equations_of_sums([(s.sums, w) for s, w in zip(sides, weights)], own, block, rank)
+    else:
+        obs = [observations(spark, s.tensor, s.factors, s.mode, block, rank, heavy=s.heavy) for s in sides]
+        eq = _equations_with_rows(list(zip(obs, weights)), own, common, rank)
     seen = "(" + " + ".join(f"CAST(n_{i} > 0 AS INT)" for i in range(len(sides))) + ") > 1"
     cells = [n for _, _, n in cell_names(common)] + rhs_names(common)
     eq = eq.withColumns({n: F.expr(f"CASE WHEN {seen} THEN {n} END") for n in cells})
-    eq = eq.withColumn("_x", solve_column(common, options.lam, due=seen))
+    due = " AND ".join([seen, *[finite_row(n, rank) for n in names if summed]])
+    eq = eq.withColumn("_x", solve_column(common, options.lam, due=due))
     rows = []
     for i, (name, side) in enumerate(zip(names, sides)):
         row = f"CASE WHEN {seen} AND n_{i} > 0 THEN {_solved_row(name, common, 0, rank)} ELSE {_row(name, rank)} END"
         t, m = side.label
-        rows.append(f"named_struct('tensor', {t}, 'mode', {m}, 'v', {_checked(name, rank, row)})")
+        rows.append(f"named_struct('tensor', {t}, 'mode', {m}, 'v', {checked_row(name, rank, row)})")
     out = eq.selectExpr("key AS idx", f"explode(array({', '.join(rows)})) AS _r")
     return out.selectExpr("_r.tensor AS tensor", "_r.mode AS mode", "idx", "_r.v AS v")
 

@@ -36,6 +36,9 @@ class State:
     checkpoints: dict[int, dict[FactorKey, str]] = field(default_factory=dict)
     best: dict[int, tuple[int, float, dict[FactorKey, str]]] = field(default_factory=dict)
     written: list[str] = field(default_factory=list)
+    # Per mode: the factors of the other modes at which its sums were taken, and where they lie.
+    sums: dict[FactorKey, tuple[list[str], str]] = field(default_factory=dict)
+    digests: list[str] = field(default_factory=list)
 
 
 def fingerprint(tensors: Sequence[Tensor], graph: Layout, cfg: FitConfig, counts: Sequence[int]) -> str:
@@ -59,7 +62,8 @@ def _text(state: State) -> str:
         "means": [[t, m, v] for (t, m), v in sorted(state.means.items())],
         "snapshots": [[i, _flat(p)] for i, p in state.snapshots.items()],
         "checkpoints": [[i, _flat(p)] for i, p in state.checkpoints.items()],
-        "best": [[t, i, r, _flat(p)] for t, (i, r, p) in state.best.items()]})
+        "best": [[t, i, r, _flat(p)] for t, (i, r, p) in state.best.items()],
+        "sums": [[t, m, met, path] for (t, m), (met, path) in sorted(state.sums.items())]})
 
 
 def _state(text: str) -> State:
@@ -67,7 +71,8 @@ def _state(text: str) -> State:
     return State(**raw | {
         "means": {(t, m): v for t, m, v in raw["means"]}, "history": [tuple(h) for h in raw["history"]],
         "snapshots": {i: _keyed(p) for i, p in raw["snapshots"]}, "checkpoints": {i: _keyed(p) for i, p in raw["checkpoints"]},
-        "best": {t: (i, r, _keyed(p)) for t, i, r, p in raw["best"]}})
+        "best": {t: (i, r, _keyed(p)) for t, i, r, p in raw["best"]},
+        "sums": {(t, m): (met, path) for t, m, met, path in raw.get("sums", [])}})
 
 
 def commit(spark: SparkSession, root: str, what: str, state: State) -> None:
@@ -97,3 +102,19 @@ def latest(spark: SparkSession, root: str, what: str) -> State | None:
     if row.fit != what:
         raise ValueError(f"the fit under {root} is another one: {row.fit}, not {what}")
     return _state(row.state)
+
+
+def note_copies(spark: SparkSession, root: str, copies: list[dict]) -> None:
+    """Write down which stored copies of the entries lie under ``root``: one dict per tensor (see ``fit._layout``)."""
+    spark.createDataFrame([(json.dumps(copies),)], "copies string").coalesce(1).write.mode("overwrite").parquet(f"{root}/copies")
+
+
+def copies(spark: SparkSession, root: str) -> list[dict]:
+    """What :func:`note_copies` wrote last under ``root``; nothing if it did not get that far."""
+    try:
+        row = spark.read.schema("copies string").parquet(f"{root}/copies").first()
+    except Exception as missing:
+        if "PATH_NOT_FOUND" in str(missing):
+            return []
+        raise
+    return json.loads(row.copies) if row is not None else []

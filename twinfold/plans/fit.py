@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinfold.functions.columns import entry_columns
-from twinfold.operators.factors import copy_factor, heavy_indices, init_factor, store_entries
+from twinfold.operators.factors import (buckets_for_hashing, copy_factor, heavy_indices, heavy_table, init_factor,
+                                        store_entries, stored_table)
+from twinfold.operators.normal import mode_sums, sum_names, sums_schema
 from twinfold.operators.predict import loss_table, mean_loss, rmse, training_loss
-from twinfold.operators.tensor import check, check_and_sum, cluster_by_mode, partitions_for
-from twinfold.operators.update import Side, update_shared, update_specific, update_uncoupled
+from twinfold.operators.tensor import check, check_and_digest, cluster_by_mode, partitions_for
+from twinfold.operators.update import Side, update_shared, update_specific, update_uncoupled, use_gram
 from twinfold.plans import commits
 from twinfold.plans.layout import FactorKey, Layout, layout
 from twinfold.session import fits_broadcast, run_dir
@@ -120,10 +122,8 @@ class FactorStore:
     def forget(self, needed: Sequence[dict[FactorKey, str]]) -> None:
         """Delete the written versions that no snapshot in ``needed`` refers to."""
         keep = {path for paths in needed for path in paths.values()} | set(self.paths.values())
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
         for path in sorted(self.written - keep):
-            target = hadoop(path)
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(self.spark, path)
             self.written.discard(path)
 
     def restore(self, paths: dict[FactorKey, str], version: int, written: Sequence[str],
@@ -182,6 +182,21 @@ class Model:
         return self.spark.createDataFrame(rows, METRICS_SCHEMA)
 
 
+def _folder(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    system, target = _folder(spark, path)
+    system.delete(target, True)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    system, target = _folder(spark, path)
+    return bool(system.exists(target))
+
+
 def _log(verbose: bool, msg: str) -> None:
     if verbose:
         print(f"[twinfold] {msg}", file=sys.stderr, flush=True)
@@ -190,29 +205,36 @@ def _log(verbose: bool, msg: str) -> None:
 def evaluate(spark: SparkSession, tensors: Sequence[Tensor], valid: Sequence[Tensor] | None,
              store: FactorStore, rank: int, heavy: Sequence[dict[int, DataFrame]] | None = None,
              measured: dict[int, FactorKey] | None = None, counts: Sequence[int] = (), squares: Sequence[float] = (),
-             ) -> tuple[dict, dict, dict]:
-    """Column means of every factor, SSE and count of every tensor; at most one job.
+             sums: dict[int, tuple[int, DataFrame]] | None = None) -> tuple[dict, dict, dict]:
+    """Column means of every factor, SSE and count of every tensor; at most one job, without ``sums``.
 
     ``measured``: tensors whose last update of the sweep measured the error of all their entries, with the factor it
     wrote; their entries are not read again, unless the error is below ``LEAST_ERROR`` of the sum of their squares
-    (``squares``). It is a difference of sums then, with hardly a digit left.
+    (``squares``). It is a difference of sums then, with hardly a digit left. The same holds for tensors with ``sums``
+    (a mode and its sums at the present rows of the others).
     """
     train: dict[int, tuple[float, int]] = {}
     val: dict[int, tuple[float, int]] = {}
     for t, key in (measured or {}).items():
         if store.errors[key] > LEAST_ERROR * squares[t]:
             train[t] = (store.errors[key], int(counts[t]))
-    union = None
-    for prefix, ts in (("train", tensors), ("valid", valid or ())):
-        for t, ten in enumerate(ts):
-            if prefix == "train" and t in train:
-                continue
+
+    def errors(which: Sequence[tuple[str, int, Tensor]], known: dict[int, tuple[int, DataFrame]]) -> list:
+        union = None
+        for prefix, t, ten in which:
             own = {(0, m): store.frames[(t, m)] for m in range(ten.n_modes)}
             hot = [heavy[t]] if heavy and prefix == "train" else None
-            row = loss_table(spark, [ten], own, rank, prefix, hot).withColumn("tensor", F.lit(t))
+            row = loss_table(spark, [ten], own, rank, prefix, hot, [known.get(t) if prefix == "train" else None]).withColumn("tensor", F.lit(t))
             union = row if union is None else union.unionByName(row)
-    for r in union.collect() if union is not None else ():
+        return union.collect() if union is not None else []
+
+    due = [("train", t, ten) for t, ten in enumerate(tensors) if t not in train]
+    known = {t: found for t, found in (sums or {}).items() if t not in (measured or {})}
+    for r in errors(due + [("valid", t, ten) for t, ten in enumerate(valid or ())], known):
         (train if r.part == "train" else val)[r.tensor] = (float(r.sse or 0.0), int(r.n))
+    lost = [(prefix, t, ten) for prefix, t, ten in due if t in known and not train[t][0] > LEAST_ERROR * squares[t]]
+    for r in errors(lost, {}):
+        train[r.tensor] = (float(r.sse or 0.0), int(r.n))
     return dict(store.means), train, val
 
 
@@ -259,8 +281,29 @@ def fit(spark: SparkSession, tensors: Sequence[Tensor], couplings: Sequence[Coup
             spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+def _bucketed_by(t: Tensor, large: Sequence[int]) -> list[int]:
+    """Per mode, the mode whose buckets its copy of the entries lies in: the largest other mode whose factor is too large to
+    broadcast, or the mode itself if only its own is."""
+    return [max([k for k in large if k != m] or [m], key=lambda k: t.dims[k]) for m in range(t.n_modes)]
+
+
+def _stored_before(spark: SparkSession, t: Tensor, n: int, by: Sequence[int], was: dict, tables: list[str]) -> dict[int, DataFrame] | None:
+    """The copies of an earlier run, per mode they are bucketed by; None if one is no longer whole."""
+    stored = {}
+    for k in sorted(set(by)):
+        path, buckets = was["stored"][str(k)]
+        if not _exists(spark, path):
+            return None
+        tables.append(f"twinfold_{uuid.uuid4().hex}")
+        stored[k] = stored_table(spark, k, t.n_modes, buckets, tables[-1], path)
+        if stored[k].count() != n:
+            return None
+    return stored
+
+
 def _layout(spark: SparkSession, t: Tensor, cfg: FitConfig, level: StorageLevel, held: list[DataFrame],
-            root: str, tables: list[str]) -> tuple[int, float, list[Tensor], dict[int, DataFrame]]:
+            root: str, tables: list[str], was: dict | None = None, note: dict | None = None,
+            ) -> tuple[int, float, list[Tensor], dict[int, DataFrame]]:
     """Entries checked and counted once, then kept as one copy per mode.
 
     Where the other modes' factors can be broadcast, the copy is cached and range-partitioned on the mode's key. Otherwise it is
@@ -268,28 +311,47 @@ def _layout(spark: SparkSession, t: Tensor, cfg: FitConfig, level: StorageLevel,
     mode's own factor is too large, in buckets of the mode itself, where they meet its rows and give its sums. Modes that
     ask for the same buckets share one copy.
     Heavy indices are measured only if some factor is too large to broadcast.
+
+    ``note`` takes up what a resumed fit needs to find the written copies again: ``digest`` of the entries, ``stored`` (path and
+    number of buckets per mode they are bucketed by) and ``heavy``. ``was``: such a note of the run that is resumed. If it is of
+    the same entries, they are read once, to be checked, and its copies are taken.
     """
-    src = t.entries.select(*entry_columns(t.n_modes)).persist(level)
-    held.append(src)
-    n, squares = check_and_sum(t.with_entries(src))
+    src = t.entries.select(*entry_columns(t.n_modes))
     large = [m for m, d in enumerate(t.dims) if not fits_broadcast(spark, d, cfg.rank)]
+    by = _bucketed_by(t, large)
+    hashed = {k: buckets_for_hashing(t.dims[k], cfg.rank) for k in by}
+    again = bool(large and was) and all(was["stored"].get(str(k), ["", 0])[1] >= hashed[k] for k in by)
+    if not again:
+        held.append(src.persist(level))
+    n, squares, digest = check_and_digest(t.with_entries(src))
+    note = {} if note is None else note
+    if again and was["digest"] == digest:
+        found = _stored_before(spark, t, n, by, was, tables)
+        if found is not None:
+            note.update(was)
+            return n, squares, [t.with_entries(found[k]) for k in by], {int(m): heavy_table(spark, rows) for m, rows in was["heavy"].items()}
+    if again:
+        held.append(src.persist(level))
+    note.update(digest=digest, stored={}, heavy={})
     per_mode, hot = [], {}
     if large:
         shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
         for m in range(t.n_modes):
-            hot[m] = heavy_indices(src, m, max(1, -(-n // shuffled)), HEAVY_BINS * shuffled).persist(level)
-            held.append(hot[m])
+            rows = heavy_indices(src, m, max(1, -(-n // shuffled)), HEAVY_BINS * shuffled).collect()
+            note["heavy"][str(m)] = [[r.idx, r.salts] for r in rows]
+            hot[m] = heavy_table(spark, note["heavy"][str(m)])
     stored: dict[int, DataFrame] = {}
     for m in range(t.n_modes):
-        others = [k for k in large if k != m]
-        if others or m in large:
-            by = max(others or [m], key=lambda k: t.dims[k])
-            if by not in stored:
+        if large:
+            k = by[m]
+            if k not in stored:
                 # A split of the cached copies would be a bound on the tasks that meet a large factor.
-                buckets = max(cfg.split or 1, partitions_for(spark, n, t.n_modes, cfg.partition_bytes))
+                buckets = max(cfg.split or 1, partitions_for(spark, n, t.n_modes, cfg.partition_bytes), hashed[k])
                 tables.append(f"twinfold_{uuid.uuid4().hex}")
-                stored[by] = store_entries(spark, src, by, t.n_modes, hot[by], buckets, tables[-1], f"{root}/entries/{tables[-1]}")
-            e = stored[by]
+                path = f"{root}/entries/{tables[-1]}"
+                stored[k] = store_entries(spark, src, k, t.n_modes, hot[k], buckets, tables[-1], path, sort=False)
+                note["stored"][str(k)] = [path, buckets]
+            e = stored[k]
         else:
             e = cluster_by_mode(src, m, t.n_modes, partitions_for(spark, n, t.n_modes, cfg.partition_bytes, cfg.split, t.dims[m]))
             held.append(e.persist(level))
@@ -299,6 +361,38 @@ def _layout(spark: SparkSession, t: Tensor, cfg: FitConfig, level: StorageLevel,
     return n, squares, per_mode, hot
 
 
+def _sweep(tensors: Sequence[Tensor], graph: Layout, rank: int, common: int) -> list[list[FactorKey]]:
+    """The updates of a sweep in their order, each as the factors it writes."""
+    out: list[list[FactorKey]] = []
+    for t, ten in enumerate(tensors):
+        for m in range(ten.n_modes):
+            group = graph.group((t, m))
+            if group and common > 0 and group[0] == (t, m):
+                out.append(list(group))
+            if not group or common < rank:
+                out.append([(t, m)])
+    return out
+
+
+def _summed(spark: SparkSession, tensors: Sequence[Tensor], graph: Layout, cfg: FitConfig, counts: Sequence[int]) -> set[FactorKey]:
+    """Modes whose sums are written and kept (``normal.mode_sums``): their entries move to be summed, and the sums are no more
+    than what would move for a second update. A coupled mode's are kept for all its tensors or for none."""
+    if use_gram(cfg.rank, cfg.method):
+        return set()
+
+    def few(t: int, m: int) -> bool:
+        return min(tensors[t].dims[m], counts[t]) * (len(sum_names(cfg.rank)) + 2) <= counts[t] * (cfg.rank + 2)
+
+    out = set()
+    for t, ten in enumerate(tensors):
+        for m in range(ten.n_modes):
+            group = graph.group((t, m)) or ((t, m),)
+            moved = any(not fits_broadcast(spark, d, cfg.rank) for u, _ in group for d in tensors[u].dims)
+            if moved and all(few(*key) for key in group):
+                out.add((t, m))
+    return out
+
+
 def _fit(spark: SparkSession, tensors: Sequence[Tensor], validation: Sequence[Tensor] | None, graph: Layout,
          cfg: FitConfig, root: str, verbose: bool, metrics_path: str | None, resume: bool,
          lap: Callable[[str], None], timings: list[tuple[str, float]], held: list[DataFrame], tables: list[str]) -> Model:
@@ -308,12 +402,16 @@ def _fit(spark: SparkSession, tensors: Sequence[Tensor], validation: Sequence[Te
     counts: list[int] = []
     squares: list[float] = []
     heavy: list[dict[int, DataFrame]] = []
-    for t in tensors:
-        n, square, per_mode, hot = _layout(spark, t, cfg, level, held, root, tables)
+    notes: list[dict] = [{} for _ in tensors]
+    before = commits.copies(spark, root) if resume else []
+    for i, t in enumerate(tensors):
+        n, square, per_mode, hot = _layout(spark, t, cfg, level, held, root, tables, before[i] if i < len(before) else None, notes[i])
         counts.append(n)
         squares.append(square)
         copies.append(per_mode)
         heavy.append(hot)
+    if any(note["stored"] for note in notes) and notes != before:
+        commits.note_copies(spark, root, notes)
     cached = [c[0] for c in copies]
     vcached: list[Tensor] | None = None
     if validation is not None:
@@ -332,6 +430,7 @@ def _fit(spark: SparkSession, tensors: Sequence[Tensor], validation: Sequence[Te
     store = FactorStore(spark, root, rank)
     what = commits.fingerprint(tensors, graph, cfg, counts)
     state = commits.latest(spark, root, what) if resume else None
+    digests = [note["digest"] for note in notes]
     lap("prepare")
     if state is None:
         # M1: initial factors, written together in one job.
@@ -344,15 +443,47 @@ def _fit(spark: SparkSession, tensors: Sequence[Tensor], validation: Sequence[Te
         state = commits.State()
     else:
         store.restore(state.snapshots[state.it], state.version, state.written, state.means)
+        # Sums of other entries, or deleted since, are taken anew.
+        state.sums = {(t, m): (met, path) for (t, m), (met, path) in state.sums.items()
+                      if state.digests[t:t + 1] == digests[t:t + 1] and _exists(spark, path)}
+    state.digests = digests
     lap("init")
     _log(verbose, f"init done: entries {counts}")
 
     start = time.time() - state.seconds
     # Per tensor: the factor whose update is the last of the sweep to touch the tensor, if that update measured the error.
     measured: dict[int, FactorKey] = {}
+    summed = _summed(spark, tensors, graph, cfg, counts)
+    stale: list[str] = []
+
+    def met_by(t: int, m: int) -> list[str]:
+        return [store.paths[(t, k)] for k in range(cached[t].n_modes) if k != m]
+
+    def sums_of(t: int, m: int) -> DataFrame | None:
+        """The sums of a mode at the present rows of the other modes, taken only where one of those has changed; None where no
+        sums are kept."""
+        if (t, m) not in summed:
+            return None
+        met, had = met_by(t, m), state.sums.get((t, m))
+        if had is None or had[0] != met:
+            # A name of its own: no commit of an earlier run names it.
+            path = f"{root}/sums/{uuid.uuid4().hex}"
+            mode_sums(spark, copies[t][m], factors_of(t), m, rank, heavy[t]).write.parquet(path)
+            stale.extend([had[1]] if had else [])
+            state.sums[(t, m)] = (met, path)
+        return spark.read.schema(sums_schema(rank)).parquet(state.sums[(t, m)][1])
+
+    def sums_for_losses() -> dict[int, tuple[int, DataFrame]]:
+        """Sums that give the errors of the tensors no update has measured: some that still hold, or those of the update that touches
+        a tensor first in the next sweep, which takes them again."""
+        first = {t: m for (t, m), (met, _) in state.sums.items() if met == met_by(t, m)}
+        for written in _sweep(cached, graph, rank, common):
+            for t, m in written:
+                first.setdefault(t, m)
+        return {t: (m, sums_of(t, m)) for t, m in sorted(first.items()) if t not in measured and (t, m) in summed}
 
     def step_metrics(it: int) -> None:
-        means, train, val = evaluate(spark, cached, vcached, store, rank, heavy, measured, counts, squares)
+        means, train, val = evaluate(spark, cached, vcached, store, rank, heavy, measured, counts, squares, sums_for_losses())
         seconds = time.time() - start
         losses = [training_loss(*train[t], opts.loss) for t in range(len(cached))]
         mean_losses = [sum(mean_loss(means[a], means[b], opts.loss) for a, b in graph.pairs(k))
@@ -382,8 +513,10 @@ def _fit(spark: SparkSession, tensors: Sequence[Tensor], validation: Sequence[Te
         if metrics_path:
             write_metrics([h for h in state.history if h[0] == it], "append" if it else "overwrite")
         _log(verbose, f"iter {it}: total {total:.6g} rel {rel:.3g} ({seconds:.1f}s)")
+        # Only after the commit: the one before names what goes now.
+        while stale:
+            _delete(spark, stale.pop())
         if cfg.keep_versions == "needed":
-            # Only after the commit: the one before names what goes now.
             store.forget([*state.snapshots.values(), *state.checkpoints.values(), *(b[2] for b in state.best.values())])
 
     def note_checkpoint() -> None:
@@ -419,11 +552,11 @@ def _fit(spark: SparkSession, tensors: Sequence[Tensor], validation: Sequence[Te
                 group = graph.group((t, m))
                 if group:
                     if common > 0 and group[0] == (t, m):
-                        sides = [Side(copies[u][k], factors_of(u), k, counts[u], (u, k), heavy[u]) for u, k in group]
+                        sides = [Side(copies[u][k], factors_of(u), k, counts[u], (u, k), heavy[u], sums_of(u, k)) for u, k in group]
                         store.put_table(update_shared(spark, sides, rank, common, opts, cfg.method), list(group), tag)
                     if common < rank:
                         new = update_specific(spark, copies[t][m], factors_of(t), m, rank, common, opts, counts[t],
-                                              cfg.method, heavy[t], last)
+                                              cfg.method, heavy[t], last, sums=sums_of(t, m))
                         store.put((t, m), new, tag)
                         if last:
                             measured[t] = (t, m)
@@ -431,7 +564,7 @@ def _fit(spark: SparkSession, tensors: Sequence[Tensor], validation: Sequence[Te
                     others = graph.pulled_by((t, m))
                     pull = [sum(means[o][c] for o in others) / len(others) for c in range(rank)] if others else None
                     new = update_uncoupled(spark, copies[t][m], factors_of(t), m, rank, opts, counts[t], means[(t, m)], pull,
-                                           cfg.method, heavy[t], last, len(others))
+                                           cfg.method, heavy[t], last, len(others), sums=sums_of(t, m))
                     store.put((t, m), new, tag)
                     if last:
                         measured[t] = (t, m)
